@@ -115,6 +115,23 @@ def with_position(df: DataFrame, key: str, order: Sequence[str | Column], new: s
     return placed.drop("_piece", "_piece_first", "_piece_last", "_lane", "_at", "_earlier")
 
 
+def with_running_max(df: DataFrame, key: str, order: Sequence[str | Column], value: str, new: str,
+                     is_long: bool) -> DataFrame:
+    """Add the largest ``value`` up to and including each row of its group."""
+    if not is_long:
+        window = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(new, F.max(value).over(window))
+    within = Window.partitionBy(key, "_piece").orderBy(*order)
+    inside = F.max(value).over(within.rowsBetween(Window.unboundedPreceding, 0))
+    ends = _piece_ends(_pieces(df, key, order).withColumn("_inside", inside), key, order)
+    before = Window.partitionBy(key, "_lane").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.max(F.when(F.col("_piece_last"), F.col("_inside"))).over(before)
+    carried = ends.withColumn("_earlier", F.when(F.col("_lane") == -1, earlier))
+    reached = F.greatest("_inside", F.max("_earlier").over(Window.partitionBy(key, "_piece")))
+    return carried.withColumn(new, reached).drop(
+        "_piece", "_piece_first", "_piece_last", "_lane", "_inside", "_earlier")
+
+
 def order_free_digest(*parts: Column, only: Column | None = None) -> list[Column]:
     """Aggregates that together identify a set of rows, whatever the order they are added in.
 

@@ -109,7 +109,10 @@ def normalise_events(raw: DataFrame, source_system: str, normalise: Callable[[Co
     salted hash that does not reveal the number.
     """
     rows = parsed(raw)
-    checked = F.coalesce("ts", F.raise_error(F.concat(F.lit("malformed timestamp: "), "raw_ts")).cast("timestamp"))
+    # filters may be evaluated together with this, so rows that are skipped must not raise here either
+    event = (F.col("case_id") != "") & (F.col("activity") != "") & (F.col("raw_ts") != "")
+    malformed = F.raise_error(F.concat(F.lit("malformed timestamp: "), "raw_ts")).cast("timestamp")
+    checked = F.coalesce("ts", F.when(event, malformed))
     return _events(rows.withColumn("ts", checked), source_system, normalise, case_key, salt)
 
 

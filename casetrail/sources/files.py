@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FILE, BLOCK = "_file", "_block"
-ORIGIN = [F"_metadata.file_path as {FILE}", f"_metadata.file_block_start as {BLOCK}"]
+ORIGIN = [f"_metadata.file_path as {FILE}", f"_metadata.file_block_start as {BLOCK}"]
 FILE_BITS = 43
 
 

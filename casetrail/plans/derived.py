@@ -1,0 +1,134 @@
+"""Further inputs that Spark derives from the given tables: raw exports, transcripts, logs to audit, datasets."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from casetrail.functions.text import strip
+from casetrail.operators.ordering import Grouped, long_groups
+from casetrail.plans.inputs import table
+from casetrail.sources.jsonl import tolerant_rows
+
+RAW_STATUS = {"NO": " Dispatched", "NF": "On Site", "AO": "finished", "AF": "BILLED ", "RO": "Fault", "RF": "rectified"}
+TOOL_OF_EVENT = {"click": "Read", "view": "Bash", "purchase": "Edit", "signup": "Write"}
+
+
+def choice(key: Column, values: dict[str, str]) -> Column:
+    return reduce(lambda col, kv: col.when(key == kv[0], kv[1]), values.items(), F)
+
+
+def raw_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statuses as people type them; seventh lines have one of their own."""
+    lines = table(spark, sf_dir, "lineitem")
+    status = choice(F.concat("l_returnflag", "l_linestatus"), RAW_STATUS)
+    return lines.select(F.when(F.col("l_linenumber") == 7, F.lit(" Custom Step ")).otherwise(status).alias("status"))
+
+
+def raw_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates spelled in eight ways, two of them unreadable: ``shape, raw``."""
+    orders = table(spark, sf_dir, "orders")
+    day = F.col("o_orderdate").cast("timestamp")
+    seconds = F.unix_seconds(day).cast("string")
+    shapes = [
+        seconds, F.concat(seconds, F.lit(".25")), F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss"),
+        F.date_format(day, "yyyy-MM-dd HH:mm:ss'Z'"), F.date_format(day, "yyyyMMdd'T'HHmmss'+0530'"),
+        F.date_format(day, "yyyy-MM-dd"), F.lit("nan"), F.date_format(day, "HH:mm"),
+    ]
+    shape = F.col("o_orderkey") % len(shapes)
+    raw = reduce(lambda col, i: col.when(shape == i, shapes[i]), range(len(shapes)), F)
+    return orders.select(shape.alias("shape"), raw.alias("raw"))
+
+
+def raw_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Export cells as the CSV reader returns them, one row per order."""
+    orders = table(spark, sf_dir, "orders")
+    status = choice(F.col("o_orderstatus"), {"O": "po received", "F": "Settled", "P": "on hold"})
+    key = F.col("o_orderkey").cast("string")
+    return orders.select(
+        F.col("o_orderkey").alias("ingest_seq"), F.concat(F.lit(" J"), key).alias("case_id"), status.alias("activity"),
+        F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss").alias("ts"),
+        F.concat(F.lit("desk "), F.col("o_orderpriority")).alias("resource"),
+        F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("crm.deal."), F.col("o_orderpriority"))).otherwise("")
+        .alias("entity_fqn"))
+
+
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as session transcripts, with the events of the user of the same number as tool use."""
+    said = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("place"),
+        F.to_json(F.struct(F.struct("role", F.col("text").alias("content")).alias("message"))).alias("line"))
+    events = table(spark, sf_dir, "events")
+    call = F.struct(F.lit("tool_use").alias("type"), choice(F.col("event_type"), TOOL_OF_EVENT).alias("name"),
+                    F.struct("props").alias("input"))
+    result = F.struct(F.lit("tool_result").alias("type"), F.lit(True).alias("is_error"),
+                      F.col("props").alias("content"))
+
+    def message(role: str, block: Column) -> Column:
+        return F.to_json(F.struct(F.struct(F.lit(role).alias("role"), F.array(block).alias("content")).alias("message")))
+
+    used = events.select(
+        F.col("user_id").cast("string").alias("session_id"), (F.col("event_id") + 1_000_000).alias("place"),
+        F.when(F.col("event_type") == "error", message("user", result)).otherwise(message("assistant", call))
+        .alias("line"))
+    return tolerant_rows(said.unionByName(used))
+
+
+def turns(spark: SparkSession, sf_dir: str) -> Grouped:
+    """The conversations; longest ones found by their key column."""
+    stored = table(spark, sf_dir, "conversations")
+    return Grouped(stored, "conv_id", long_groups(stored, "conv_id", stored=True))
+
+
+def two_sided_turns(spark: SparkSession, sf_dir: str) -> Grouped:
+    """The conversations with system turns counted to the user, so that turns of one side follow each other."""
+    own = turns(spark, sf_dir)
+    role = F.when(F.col("role") == "system", "user").otherwise(F.col("role"))
+    return Grouped(own.rows.withColumn("role", role), "conv_id", own.long_keys)
+
+
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query log: what was run for each order."""
+    orders = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey").cast("string")
+    priority = F.substring("o_orderpriority", 1, 1)
+    sql = (F.when(priority == "1", F.concat(F.lit("SELECT * FROM orders WHERE o_orderkey = "), key, F.lit(" ;")))
+           .when(priority == "2", F.concat(F.lit("with x as (select "), key, F.lit(" as k) delete from orders")))
+           .when(priority == "3", F.concat(F.lit("select "), key, F.lit("; drop table orders")))
+           .when(priority == "4", F.concat(F.lit("pragma page_size = "), key))
+           .otherwise(F.concat(F.lit("\n explain select "), key)))
+    return orders.select("o_orderkey", sql.alias("sql"))
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    verbs = {0: "GET", 1: "post", 2: "head"}
+    return pages.select("page_id", "url", choice(F.col("page_id") % 3, verbs).alias("method"))
+
+
+def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as tool calls with arguments."""
+    events = table(spark, sf_dir, "events")
+    tools = {"click": "http", "view": "warehouse_query", "purchase": "Edit", "signup": "list_events", "error": "probe"}
+    cheap = F.col("value") < 50
+    http = F.create_map(F.lit("method"), F.when(cheap, "get").otherwise("DELETE"),
+                        F.lit("url"), F.when(F.col("value") < 25, "https://API.example.com:443/x").otherwise(
+                            "http://169.254.169.254/latest"))
+    query = F.create_map(F.lit("sql"), F.when(cheap, "select 1").otherwise("update t set a = 1"),
+                         F.lit("note"), F.col("props"))
+    none = F.create_map(F.lit("note"), F.col("props"))
+    args = F.when(F.col("event_type") == "click", http).when(F.col("event_type") == "view", query).otherwise(none)
+    return events.select("event_id", choice(F.col("event_type"), tools).alias("tool"), args.alias("args"))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def document_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as dataset entries: identity by trimmed text."""
+    text = strip(F.col("text"))
+    return documents(spark, sf_dir).select(
+        F.col("doc_id").alias("entry"), "source", F.sha2(text, 256).alias("fingerprint"), (text == "").alias("bad"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from casetrail import fixed_values as fixed
 from casetrail.functions.text import strip
-from casetrail.sources.files import FILE, ORIGIN, place_in_file
+from casetrail.sources.files import BLOCK, FILE, ORIGIN, place_in_file
 
 
 def read_lines(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
@@ -18,7 +18,8 @@ def read_lines(spark: SparkSession, path: str, recursive: bool = False) -> DataF
 
 def placed_lines(read: DataFrame) -> DataFrame:
     """As :func:`read_lines`, from rows that carry their origin (also those of a stream's batch)."""
-    lines = read.select(FILE, place_in_file().alias("place"), strip(F.col("value")).alias("line"))
+    kept = [c for c in read.columns if c not in ("value", BLOCK)]
+    lines = read.select(*kept, place_in_file().alias("place"), strip(F.col("value")).alias("line"))
     return lines.where("line <> ''")
 
 
@@ -37,7 +38,9 @@ def tolerant_rows(lines: DataFrame) -> DataFrame:
 
 
 def with_session(lines: DataFrame) -> DataFrame:
-    """Add ``session_id`` and ``date`` from file names like ``<date>-<id>.jsonl``."""
+    """Add ``session_id`` and ``date`` from file names like ``<date>-<id>.jsonl``, unless the lines have them."""
+    if "session_id" in lines.columns:
+        return lines
     name = F.regexp_replace(F.element_at(F.split(FILE, "/"), -1), r"\.jsonl$", "")
     dated = name.rlike(fixed.TRANSCRIPT_NAME_PATTERN)
     return lines.withColumns({

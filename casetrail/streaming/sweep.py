@@ -66,22 +66,27 @@ def sweep_batch(lines: DataFrame, journal: str, batch: int, index: DataFrame | N
         f"{journal}/summaries/batch={batch}")
 
 
-def start_sweep(spark: SparkSession, transcripts: str, journal: str, checkpoint: str, index_path: str | None = None,
-                verdicts: DataFrame | None = None, every: str | None = None) -> StreamingQuery:
-    """Process the new files under ``transcripts``: once, or again and again with ``every`` (such as '60 seconds')."""
-    read = (spark.readStream.format("text").schema("value string").option("pathGlobFilter", "*.jsonl")
-            .option("maxFileAge", "3650d").load(transcripts).select("value", *[F.expr(e) for e in ORIGIN]))
+def transcript_stream(spark: SparkSession, transcripts: str, names: str = "*.jsonl",
+                      schema: str = "value string") -> DataFrame:
+    """Lines of the transcript files in a folder as a stream. Old files count as much as new ones."""
+    return (spark.readStream.format("text").schema(schema).option("pathGlobFilter", names)
+            .option("maxFileAge", "3650d").load(transcripts).select("*", *[F.expr(e) for e in ORIGIN]))
+
+
+def start(lines: DataFrame, journal: str, checkpoint: str, index_path: str | None = None,
+          verdicts: DataFrame | None = None, every: str | None = None) -> StreamingQuery:
+    """Process the new files: once, or again and again with ``every`` (such as '60 seconds')."""
 
     def process(batch: DataFrame, number: int) -> None:
         index = read_index(batch.sparkSession, index_path) if index_path else None
         sweep_batch(placed_lines(batch), journal, number, index, verdicts)
 
-    writer = read.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+    writer = lines.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     return writer.start()
 
 
 def sweep_once(spark: SparkSession, transcripts: str, journal: str, checkpoint: str, **options) -> DataFrame:
-    """One sweep; returns the journal."""
-    start_sweep(spark, transcripts, journal, checkpoint, **options).awaitTermination()
+    """One sweep over a folder; returns the journal."""
+    start(transcript_stream(spark, transcripts), journal, checkpoint, **options).awaitTermination()
     return read_journal(spark, journal)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from casetrail import fixed_values as fixed
-from casetrail.functions.text import lstrip, strip
+from casetrail.functions.text import lstrip, once, strip
 
 MESSAGE_ARRAY = "array<struct<role string, content string>>"
 
@@ -15,15 +15,8 @@ def is_text(value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
 
 
-def is_list(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value).startswith("ARRAY"), F.lit(False))
-
-
-def is_object(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
-
-
 def field(value: Column, name: str) -> Column:
+    """A member of an object, NULL for anything else."""
     return F.try_variant_get(value, f"$.{name}", "variant")
 
 
@@ -31,31 +24,57 @@ def text(value: Column) -> Column:
     return F.try_variant_get(value, "$", "string")
 
 
+def only_text(value: Column) -> Column:
+    return F.when(is_text(value), text(value))
+
+
 def items(value: Column) -> Column:
-    return F.when(is_list(value), F.try_variant_get(value, "$", "array<variant>"))
+    """Entries of a list, NULL for anything else."""
+    return F.try_variant_get(value, "$", "array<variant>")
 
 
 # --- transcript lines -----------------------------------------------------------------------------------------------
 
 
-def _block_type(block: Column) -> Column:
-    return F.when(is_object(block), text(field(block, "type")))
+def opened(row: Column) -> Column:
+    """``struct<role, content>`` of a transcript line, whose message may be nested or the line itself."""
+    def read(message: Column) -> Column:
+        return F.struct(F.coalesce(text(field(message, "role")), F.lit("")).alias("role"),
+                        field(message, "content").alias("content"))
+
+    return once(F.coalesce(field(row, "message"), row), read)
+
+
+def typed_blocks(content: Column) -> Column:
+    """Blocks of a content list as ``struct<type, name, text, is_error, body>``; NULL when it is not a list."""
+    def typed(block: Column) -> Column:
+        return F.struct(
+            text(field(block, "type")).alias("type"), text(field(block, "name")).alias("name"),
+            only_text(field(block, "text")).alias("text"),
+            F.coalesce(F.try_variant_get(block, "$.is_error", "boolean"), F.lit(False)).alias("is_error"),
+            field(block, "content").alias("body"))
+
+    return F.transform(items(content), typed)
 
 
 def blocks_of_type(blocks: Column, kind: str) -> Column:
-    return F.filter(blocks, lambda b: _block_type(b) == kind)
+    return F.filter(blocks, lambda b: b.type == kind)
 
 
 def text_parts(blocks: Column) -> Column:
-    texts = F.filter(blocks, lambda b: (_block_type(b) == "text") & is_text(field(b, "text")))
-    return F.transform(texts, lambda b: text(field(b, "text")))
+    """Texts of typed blocks."""
+    return F.transform(F.filter(blocks, lambda b: (b.type == "text") & b.text.isNotNull()), lambda b: b.text)
+
+
+def said_in(content: Column, blocks: Column) -> Column:
+    """Text of a message: its text blocks joined by blanks, or the content itself when that is a string."""
+    return F.when(blocks.isNotNull(), F.array_join(text_parts(blocks), " ")).otherwise(
+        F.coalesce(only_text(content), F.lit("")))
 
 
 def flat_text(content: Column) -> Column:
-    """Text of a message: the string itself or its text blocks joined by blanks."""
-    return (F.when(is_text(content), text(content))
-            .when(is_list(content), F.array_join(text_parts(items(content)), " "))
-            .otherwise(F.lit("")))
+    return once(F.struct(content.alias("content"), typed_blocks(content).alias("blocks")),
+                lambda m: said_in(m.content, m.blocks))
 
 
 def is_injected(message: Column) -> Column:
@@ -90,36 +109,32 @@ def spaced_json(json: Column) -> Column:
                         "")
 
 
-def tool_call_text(block: Column, input_json: Column) -> Column:
-    name = F.coalesce(text(field(block, "name")), F.lit("tool"))
-    return F.concat(F.lit("→ "), name, F.lit("("), spaced_json(F.coalesce(input_json, F.lit("{}"))), F.lit(")"))
-
-
-def result_text(block: Column) -> Column:
-    return flat_text(field(block, "content"))
-
-
-def line_messages(role: Column, content: Column, inputs: Column) -> Column:
+def line_messages(role: Column, blocks: Column, plain: Column, said: Column, inputs: Column) -> Column:
     """The dataset messages of one transcript line, ``array<struct<role,content>>``.
 
     An assistant turn is its texts and its tool calls, one per line; a user turn is each of its tool results, or its
-    text unless a tool put it there. ``inputs`` are the blocks' inputs as JSON texts.
+    text unless a tool put it there. ``plain`` is the content when it is a string, ``inputs`` are the blocks' inputs
+    as JSON texts.
     """
-    blocks = F.coalesce(items(content), F.array().cast("array<variant>"))
-    own = F.when(is_text(content), F.array(text(content))).otherwise(text_parts(blocks))
-    calls = F.filter(F.transform(blocks, lambda b, i: F.when(
-        _block_type(b) == "tool_use", tool_call_text(b, F.try_element_at(inputs, i + 1)))), lambda c: c.isNotNull())
-    reply = strip(F.array_join(F.concat(own, calls), "\n"))
-    results = F.filter(F.transform(blocks_of_type(blocks, "tool_result"), lambda b: strip(result_text(b))),
-                       lambda t: t != "")
-    told = F.transform(results, lambda t: F.concat(
-        F.lit(fixed.TOOL_RESULT_PREFIX), F.substring(t, 1, fixed.TOOL_RESULT_CHARS)))
-    said = strip(flat_text(content))
     none = F.array().cast("array<string>")
-    from_user = (F.when(F.size(blocks_of_type(blocks, "tool_result")) > 0, told)
-                 .when((said != "") & ~is_injected_for_dataset(said), F.array(said)).otherwise(none))
-    contents = (F.when(role == "assistant", F.when(reply != "", F.array(reply)).otherwise(none))
-                .when(role == "user", from_user).otherwise(none))
+    results = blocks_of_type(blocks, "tool_result")
+
+    def call(block: Column, i: Column) -> Column:
+        given = spaced_json(F.coalesce(F.try_element_at(inputs, i + 1), F.lit("{}")))
+        name = F.coalesce(block.getField("name"), F.lit("tool"))
+        return F.when(block.type == "tool_use", F.concat(F.lit("→ "), name, F.lit("("), given, F.lit(")")))
+
+    own = F.when(plain.isNotNull(), F.array(plain)).otherwise(text_parts(blocks))
+    calls = F.filter(F.transform(blocks, call), lambda c: c.isNotNull())
+    reply = once(strip(F.array_join(F.concat(own, calls), "\n")),
+                 lambda t: F.when(t != "", F.array(t)).otherwise(none))
+    told = F.filter(F.transform(results, lambda b: strip(flat_text(b.body))), lambda t: t != "")
+    told = F.transform(told, lambda t: F.concat(
+        F.lit(fixed.TOOL_RESULT_PREFIX), F.substring(t, 1, fixed.TOOL_RESULT_CHARS)))
+    spoken = once(strip(said), lambda t: F.when((t != "") & ~is_injected_for_dataset(t), F.array(t)).otherwise(none))
+    contents = (F.when(role == "assistant", reply)
+                .when((role == "user") & (F.size(results) > 0), told)
+                .when(role == "user", spoken).otherwise(none))
     return F.transform(contents, lambda c: F.struct(role.alias("role"), c.alias("content")))
 
 
@@ -131,10 +146,6 @@ def _raw(role: Column, content: Column) -> Column:
     return F.struct(F.lower(strip(F.coalesce(role, F.lit("")))).alias("role"), content.alias("content"))
 
 
-def _only_text(value: Column) -> Column:
-    return F.when(is_text(value), text(value))
-
-
 def _mapped(role: Column) -> Column:
     name = F.lower(strip(F.coalesce(role, F.lit(""))))
     mapped = None
@@ -152,16 +163,16 @@ def row_messages(row: Column) -> Column:
     more = F.coalesce(text(extra), F.lit(""))
     asked = F.when(more != "", strip(F.concat(asked, F.lit("\n\n"), more))).otherwise(asked)
     return (
-        F.when(is_list(messages), F.transform(items(messages), lambda m: _raw(
-            text(field(m, "role")), _only_text(field(m, "content")))))
-        .when(is_list(conversations), F.transform(items(conversations), lambda m: _raw(
+        F.when(items(messages).isNotNull(), F.transform(items(messages), lambda m: _raw(
+            text(field(m, "role")), only_text(field(m, "content")))))
+        .when(items(conversations).isNotNull(), F.transform(items(conversations), lambda m: _raw(
             _mapped(F.coalesce(text(field(m, "role")), text(field(m, "from")))),
-            _only_text(F.coalesce(field(m, "value"), field(m, "content"))))))
+            only_text(F.coalesce(field(m, "value"), field(m, "content"))))))
         .when(instruction.isNotNull() & output.isNotNull(), F.array(
-            _raw(F.lit("user"), asked), _raw(F.lit("assistant"), _only_text(output))))
+            _raw(F.lit("user"), asked), _raw(F.lit("assistant"), only_text(output))))
         .when(prompt.isNotNull() & (response.isNotNull() | completion.isNotNull()), F.array(
-            _raw(F.lit("user"), _only_text(prompt)),
-            _raw(F.lit("assistant"), _only_text(F.coalesce(response, completion))))))
+            _raw(F.lit("user"), only_text(prompt)),
+            _raw(F.lit("assistant"), only_text(F.coalesce(response, completion))))))
 
 
 def first_error(messages: Column) -> Column:

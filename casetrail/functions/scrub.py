@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casetrail import fixed_values as fixed
+from casetrail.functions.text import once
 
 KINDS = [fixed.CARD_KIND, fixed.PHONE_KIND, *[rule[0] for rule in fixed.CREDENTIAL_RULES]]
 _KEEPS_NAME = "secret-assignment"
@@ -120,14 +121,9 @@ def _protected(text: Column, work) -> Column:
     return work(pieces, kept)
 
 
-def _once(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` evaluated a single time however often ``use`` mentions it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def redact(text: Column) -> Column:
     """Credential rules only."""
-    return _once(text, lambda t: _protected(t, lambda p, kept: _rejoin(_run_text(p, _credential_rules()), kept)))
+    return once(text, lambda t: _protected(t, lambda p, kept: _rejoin(_run_text(p, _credential_rules()), kept)))
 
 
 def scrub(text: Column) -> Column:
@@ -152,11 +148,11 @@ def redact_counted(text: Column) -> Column:
     rules = _credential_rules()
 
     def finish(pieces: Column, kept: Column) -> Column:
-        return _once(_run_counted(pieces, rules), lambda state: F.struct(
+        return once(_run_counted(pieces, rules), lambda state: F.struct(
             _rejoin(F.transform(state, lambda s: s.text), kept).alias("text"),
             _hit_map(_total(state, rules), rules).alias("counts")))
 
-    return _once(text, lambda t: _protected(t, finish))
+    return once(text, lambda t: _protected(t, finish))
 
 
 def scrub_counted(text: Column) -> Column:
@@ -164,11 +160,11 @@ def scrub_counted(text: Column) -> Column:
     rules = _personal_rules()
 
     def finish(first: Column) -> Column:
-        return _once(redact_counted(first.text), lambda second: F.struct(
+        return once(redact_counted(first.text), lambda second: F.struct(
             second.text.alias("text"),
             F.map_concat(_hit_map(first.hits, rules), second.counts).alias("counts")))
 
-    return _once(F.element_at(_run_counted(F.array(text), rules), 1), finish)
+    return once(F.element_at(_run_counted(F.array(text), rules), 1), finish)
 
 
 def scrub_columns(df: DataFrame, columns: list[str]) -> DataFrame:

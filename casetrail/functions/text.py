@@ -2,32 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from casetrail import fixed_values as fixed
 
-SPACE = r"[\s\x1c-\x1f]"
+# what counts as whitespace, and the same as a character class
+BLANKS = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+          "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+BLANK_RUN = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated a single time however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def strip(text: Column) -> Column:
     """Without whitespace of any kind (not only blanks) at both ends."""
-    return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def lstrip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)^{SPACE}+", "")
+    return F.ltrim(text, F.lit(BLANKS))
 
 
 def collapse(text: Column) -> Column:
     """Runs of whitespace as one blank, none at the ends."""
-    return strip(F.regexp_replace(text, rf"(?U){SPACE}+", " "))
+    return F.btrim(F.regexp_replace(text, BLANK_RUN, " "))
 
 
 def truncated(text: Column, n: int) -> Column:
     """Collapsed text of at most ``n`` characters, the last one an ellipsis when something was cut."""
-    flat = collapse(text)
-    return F.when(F.length(flat) <= n, flat).otherwise(F.concat(F.substring(flat, 1, n - 1), F.lit("…")))
+    return once(collapse(text), lambda flat: F.when(F.length(flat) <= n, flat).otherwise(
+        F.concat(F.substring(flat, 1, n - 1), F.lit("…"))))
 
 
 def clamp01(value: Column) -> Column:

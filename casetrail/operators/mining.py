@@ -264,7 +264,7 @@ def log_facts(log: EventLog) -> DataFrame:
         F.lit(TOTAL), F.lit(""), F.lit(""), F.lit(1).cast("long"), (~clean).cast("long"), zero, zero))
     bad = F.when(F.col("leads") & ~clean, row(
         F.lit(BAD_CASE), F.col(CASE), F.lit(""), F.col("case_errors"), zero, zero, zero))
-    rows = per_case.select(F.inline(F.filter(F.array(own, case, bad), lambda r: r.isNotNull())))
+    rows = per_case.select(F.inline(F.array(own, case, bad))).where("kind is not null")
     return rows.groupBy("kind", "src", "dst").agg(
         F.sum("n").alias("n"), F.sum("n_cases").alias("n_cases"), F.sum("n_repeat").alias("n_repeat"),
         F.sum("us").alias("us"))

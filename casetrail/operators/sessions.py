@@ -21,38 +21,48 @@ COUNTS = ["n_events", "n_user_msgs", "n_injected", "n_assistant_msgs", "n_tool_r
           "n_tool_uses", "n_mutations", "n_corrections"]
 
 
+def computed(df: DataFrame, kept: list[str], value: Column) -> DataFrame:
+    """``kept`` and the fields of the struct ``value``, which is evaluated once per row.
+
+    A filter on a plain projection is moved below it, with the whole expression in it, and so everything is computed
+    again. A generator of one row stops that.
+    """
+    return df.select(*kept, F.inline(F.array(value)))
+
+
 def message_lines(transcript: DataFrame) -> DataFrame:
-    """Transcript rows with their message taken apart: ``role``, ``content`` (VARIANT), ``blocks``, ``said``."""
-    row = F.col("row")
-    nested = M.field(row, "message")
-    message = F.when(M.is_object(row), F.coalesce(nested, row))
-    opened = transcript.withColumn("message", F.when(M.is_object(message), message))
-    content = M.field(F.col("message"), "content")
-    opened = opened.withColumns({
-        "role": F.coalesce(M.text(M.field(F.col("message"), "role")), F.lit("")), "content": content})
-    return opened.withColumns({"blocks": M.items(F.col("content")), "said": M.flat_text(F.col("content"))})
+    """Transcript rows with their message taken apart: ``role, content, blocks, plain, said``."""
+    kept = [c for c in transcript.columns if c != "row"]
+    read = computed(transcript, kept, M.opened(F.col("row")))
+    typed = computed(read, [*kept, "role", "content"], F.struct(M.typed_blocks(F.col("content")).alias("blocks")))
+    plain = F.when(F.col("blocks").isNull(), M.only_text(F.col("content")))
+    typed = computed(typed, [*kept, "role", "content", "blocks"], F.struct(plain.alias("plain")))
+    joined = F.array_join(M.text_parts(F.col("blocks")), " ")
+    return computed(typed, [*kept, "role", "content", "blocks", "plain"],
+                    F.struct(F.coalesce("plain", joined, F.lit("")).alias("said")))
 
 
 def _line_facts(transcript: DataFrame) -> DataFrame:
-    lines = message_lines(transcript)
-    blocks = F.coalesce("blocks", F.array().cast("array<variant>"))
-    lines = lines.withColumns({
-        "calls": F.transform(M.blocks_of_type(blocks, "tool_use"),
-                             lambda b: F.coalesce(M.text(M.field(b, "name")), F.lit("?"))),
-        "results": F.transform(M.blocks_of_type(blocks, "tool_result"), lambda b: F.coalesce(
-            F.try_variant_get(M.field(b, "is_error"), "$", "boolean"), F.lit(False))),
-    })
-    from_user = F.col("role") == "user"
-    from_agent = F.col("role") == "assistant"
-    lines = lines.withColumn("spoken", from_user & (F.size("results") == 0) & (strip(F.col("said")) != ""))
-    lines = lines.withColumn("injected", F.col("spoken") & M.is_injected(F.col("said")))
-    lines = lines.withColumn("human", F.col("spoken") & ~F.col("injected"))
+    lines = message_lines(transcript.select(SESSION, "place", "row"))
+    blocks = F.coalesce("blocks", F.expr("array()").cast(lines.schema["blocks"].dataType))
+    from_user, from_agent = F.col("role") == "user", F.col("role") == "assistant"
+    calls = F.transform(M.blocks_of_type(blocks, "tool_use"), lambda b: F.coalesce(b.getField("name"), F.lit("?")))
+    errors = F.transform(M.blocks_of_type(blocks, "tool_result"), lambda b: b.is_error)
+    sorted_out = computed(lines, [SESSION, "place", "said", "role"], F.struct(
+        from_agent.alias("from_agent"),
+        F.when(from_agent, calls).otherwise(F.array().cast("array<string>")).alias("calls"),
+        F.when(from_user, errors).otherwise(F.array().cast("array<boolean>")).alias("results")))
+    spoken = (F.col("role") == "user") & (F.size("results") == 0) & (strip(F.col("said")) != "")
+    kept = [SESSION, "place", "said", "from_agent", "calls", "results"]
+    lines = computed(sorted_out, kept, F.struct(
+        F.when(spoken, M.is_injected(F.col("said"))).alias("injected")))
+    lines = computed(lines, [*kept, "injected"], F.struct(
+        (~F.col("injected") & M.is_correction(F.col("said"))).alias("correction")))
+    no = F.lit(False)
     return lines.select(
-        SESSION, "place", "said", "injected", "human", from_agent.alias("from_agent"),
-        F.when(from_agent, F.col("calls")).otherwise(F.array().cast("array<string>")).alias("calls"),
-        F.when(from_user, F.size("results")).otherwise(0).alias("n_results"),
-        F.when(from_user, F.size(F.filter("results", lambda r: r))).otherwise(0).alias("n_errors"),
-        (F.col("human") & M.is_correction(F.col("said"))).alias("correction"))
+        SESSION, "place", "said", "from_agent", "calls", F.coalesce("injected", no).alias("injected"),
+        F.coalesce(~F.col("injected"), no).alias("human"), F.coalesce("correction", no).alias("correction"),
+        F.size("results").alias("n_results"), F.size(F.filter("results", lambda r: r)).alias("n_errors"))
 
 
 def session_stats(transcript: DataFrame) -> DataFrame:
@@ -222,7 +232,10 @@ def transcript_turns(transcript: DataFrame) -> Grouped:
         flat = F.from_json("line", whole).getField("content")
         spelled = F.coalesce(direct, flat, spelled)
     inputs = F.transform(F.coalesce(spelled, F.array().cast("array<struct<input:string>>")), lambda s: s.input)
-    said = lines.withColumn("told", M.line_messages(F.col("role"), F.col("content"), inputs))
+    blocks = F.coalesce("blocks", F.expr("array()").cast(lines.schema["blocks"].dataType))
+    told = M.line_messages(F.col("role"), blocks, F.col("plain"), F.col("said"), F.col("inputs"))
+    said = computed(computed(lines, ["*"], F.struct(inputs.alias("inputs"))), [SESSION, "place"],
+                    F.struct(told.alias("told")))
     each = said.select(SESSION, "place", F.posexplode("told").alias("at", "m"))
     ordered = Grouped(each.select(F.col(SESSION).alias(CONV), "place", "at", "m.role", F.col("m.content").alias("text")),
                       CONV)

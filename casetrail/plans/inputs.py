@@ -61,8 +61,9 @@ def _event(seq: Column, case: Column, activity: Column, ts: Column, resource: Co
         resource.alias("resource"), system.alias("source_system"), fqn.alias("entity_fqn"))
 
 
-def _present(*events: Column) -> Column:
-    return F.inline(F.filter(F.array(*events), lambda e: e.isNotNull()))
+def _unfolded(rows: DataFrame, *events: Column) -> DataFrame:
+    """One row per event that is not NULL, from one pass over ``rows``."""
+    return rows.select(F.inline(F.array(*events))).where("case_id is not null")
 
 
 def job_log(spark: SparkSession, sf_dir: str) -> EventLog:
@@ -79,7 +80,7 @@ def job_log(spark: SparkSession, sf_dir: str) -> EventLog:
     quote = _event(F.lit(0), case, F.lit("Quote"), F.col("ordered"), _technician(F.col("o_custkey")), fsm, work_item)
     approval = _event(F.lit(1), case, F.lit("QuoteApproved"), F.col("ordered") + F.expr("interval 1 hour"),
                       _technician(F.col("o_orderkey")), fsm, work_item)
-    quotes = orders.select(_present(quote, F.when(F.col("o_orderstatus") != "P", approval)))
+    quotes = _unfolded(orders, quote, F.when(F.col("o_orderstatus") != "P", approval))
 
     key = F.col("l_orderkey").cast("string")
     case, work_item = job(key)
@@ -96,7 +97,7 @@ def job_log(spark: SparkSession, sf_dir: str) -> EventLog:
                      F.lit("RoutineService"), shipped, worker, F.lit("compliance"),
                      F.concat(F.lit("asset."), F.col("l_partkey").cast("string")))
     dated = lines.rows.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "ordered"), "l_orderkey")
-    done = dated.select(_present(work, F.when(F.col("l_quantity") >= 45, service)))
+    done = _unfolded(dated, work, F.when(F.col("l_quantity") >= 45, service))
 
     return EventLog(quotes.unionByName(done), [f"job-{order}" for order in lines.long_keys])
 

@@ -45,6 +45,25 @@ def _card_count(piece: Column) -> Column:
     return F.size(F.filter(matches, _luhn_valid))
 
 
+# cheap tests that every match of a rule passes, for rules that contain no fixed substring
+_TESTS = {
+    fixed.PHONE_KIND: lambda t: t.rlike(r"(?U)\d[\d .()-]{4,}\d"),
+    "authorization": lambda t: F.contains(t, F.lit(":")),
+    "secret-assignment": lambda t: (F.contains(t, F.lit("=")) | F.contains(t, F.lit(":"))) & t.rlike(
+        "(?iU)KEY|TOKEN|SECRET|PASSW|PWD|CREDENTIAL|AUTH"),
+    "high-entropy": lambda t: t.rlike("[A-Za-z0-9_+/-]{32}"),
+}
+
+# the same for all rules together; short texts that fail it are left alone at once
+_SHORT = 200
+_ANY_RULE = (r"(?U)[:=@]|\d[\d .()\t\r\n-]{4,}\d|sk-|-----BEGIN |AKIA|ASIA|gh[pousr]_|github_pat_|xox|AIza|eyJ|"
+             r"/home/|/Users/|(?i:bearer)|[A-Za-z0-9_+/-]{32}")
+
+
+def _plainly_clean(text: Column) -> Column:
+    return (F.length(text) <= _SHORT) & ~text.rlike(_ANY_RULE)
+
+
 class _Rule:
     """One step: when it can apply at all (a cheap test), what it does, how often."""
 
@@ -55,6 +74,8 @@ class _Rule:
         self.shown = f"$1{placeholder(kind)}" if kind == _KEEPS_NAME else placeholder(kind)
 
     def possible(self, piece: Column) -> Column:
+        if self.kind in _TESTS:
+            return _TESTS[self.kind](piece)
         if not self.anchors:
             return F.lit(True)
         test = F.contains(piece, F.lit(self.anchors[0]))
@@ -98,11 +119,17 @@ def _run_text(pieces: Column, rules: list[_Rule]) -> Column:
 
 
 def _run_counted(pieces: Column, rules: list[_Rule]) -> Column:
-    """``array<struct<text, hits array<int>>>``: each rule appends how often it matched."""
+    """``array<struct<text, hits array<int>>>``: each rule appends how often it matched.
+
+    A rule always changes what it matches, so only texts that changed are searched again to count.
+    """
 
     def step(rule: _Rule):
-        return lambda s: F.struct(
-            rule.apply(s.text).alias("text"), F.array_append(s.hits, rule.count(s.text)).alias("hits"))
+        def apply(before: Column) -> Column:
+            return once(rule.apply(before.text), lambda after: F.struct(
+                after.alias("text"), F.array_append(before.hits, F.when(
+                    after == before.text, F.lit(0)).otherwise(rule.count(before.text))).alias("hits")))
+        return apply
 
     state = F.transform(pieces, lambda p: F.struct(p.alias("text"), F.array().cast("array<int>").alias("hits")))
     for rule in rules:
@@ -123,13 +150,14 @@ def _protected(text: Column, work) -> Column:
 
 def redact(text: Column) -> Column:
     """Credential rules only."""
-    return once(text, lambda t: _protected(t, lambda p, kept: _rejoin(_run_text(p, _credential_rules()), kept)))
+    return once(text, lambda t: F.when(_plainly_clean(t), t).otherwise(
+        _protected(t, lambda p, kept: _rejoin(_run_text(p, _credential_rules()), kept))))
 
 
 def scrub(text: Column) -> Column:
     """Cards, phones and credentials."""
-    personal = F.element_at(_run_text(F.array(text), _personal_rules()), 1)
-    return redact(personal)
+    return once(text, lambda t: F.when(_plainly_clean(t), t).otherwise(
+        redact(F.element_at(_run_text(F.array(t), _personal_rules()), 1))))
 
 
 def _hit_map(hits: Column, rules: list[_Rule]) -> Column:

@@ -223,23 +223,20 @@ def _facts_per_case(events: DataFrame, is_long: bool) -> DataFrame:
     nexts = with_next(nexts, CASE, RECORDED_ORDER, {"recorded_then": "activity", "recorded_ts": "ts"}, is_long)
     gap = F.unix_micros("recorded_ts") - F.unix_micros("ts")
 
-    def record(kind: str, dst: Column, us: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), F.col("activity").alias("src"), dst.alias("dst"), us.alias("us"))
+    def record(kind: str, src: Column, dst: Column, us: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), src.alias("src"), dst.alias("dst"), us.alias("us"))
 
-    no_us = F.lit(0).cast("long")
+    no_us, none, own = F.lit(0).cast("long"), F.lit(""), F.col("activity")
     records = F.array(
-        record(ACTIVITY, F.lit(""), no_us),
-        record(STEP, F.col("then"), no_us),
-        record(TIMED, F.col("recorded_then"), gap))
+        record(ACTIVITY, own, none, no_us),
+        record(STEP, own, F.col("then"), no_us),
+        record(TIMED, own, F.col("recorded_then"), gap),
+        # exactly one event of a case has no successor; it also stands for the case
+        F.when(F.col("then").isNull(), record(TOTAL, none, none, no_us)))
     rows = nexts.select(CASE, F.inline(records)).where("dst is not null")
     summed = rows.groupBy(CASE, "kind", "src", "dst").agg(
         F.count(F.lit(1)).alias("n"), F.sum("us").alias("us"), F.count_if(F.col("us") < 0).alias("errors"))
-    # one row of each case also stands for the case itself
-    leader = Window.partitionBy(CASE).orderBy("kind", "src", "dst")
-    return summed.withColumns({
-        "case_errors": F.sum("errors").over(Window.partitionBy(CASE)),
-        "leads": F.row_number().over(leader) == 1,
-    })
+    return summed.withColumn("case_errors", F.sum("errors").over(Window.partitionBy(CASE)))
 
 
 def log_facts(log: EventLog) -> DataFrame:
@@ -257,14 +254,13 @@ def log_facts(log: EventLog) -> DataFrame:
         return F.struct(kind.alias("kind"), src.alias("src"), dst.alias("dst"), n.alias("n"), cases.alias("n_cases"),
                         repeat.alias("n_repeat"), us.alias("us"))
 
+    total = F.col("kind") == TOTAL
     own = F.when((F.col("kind") != TIMED) | clean, row(
-        F.col("kind"), F.col("src"), F.col("dst"), F.col("n"), F.lit(1).cast("long"),
-        (F.col("n") > 1).cast("long"), F.col("us")))
-    case = F.when(F.col("leads"), row(
-        F.lit(TOTAL), F.lit(""), F.lit(""), F.lit(1).cast("long"), (~clean).cast("long"), zero, zero))
-    bad = F.when(F.col("leads") & ~clean, row(
+        F.col("kind"), F.col("src"), F.col("dst"), F.col("n"),
+        F.when(total, (~clean).cast("long")).otherwise(1), (F.col("n") > 1).cast("long"), F.col("us")))
+    bad = F.when(total & ~clean, row(
         F.lit(BAD_CASE), F.col(CASE), F.lit(""), F.col("case_errors"), zero, zero, zero))
-    rows = per_case.select(F.inline(F.array(own, case, bad))).where("kind is not null")
+    rows = per_case.select(F.inline(F.array(own, bad))).where("kind is not null")
     return rows.groupBy("kind", "src", "dst").agg(
         F.sum("n").alias("n"), F.sum("n_cases").alias("n_cases"), F.sum("n_repeat").alias("n_repeat"),
         F.sum("us").alias("us"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from casetrail.functions.text import strip
 from casetrail.operators.ordering import Grouped, long_groups
 from casetrail.plans.inputs import table
+from casetrail.session import spread
 from casetrail.sources.jsonl import tolerant_rows
 
 RAW_STATUS = {"NO": " Dispatched", "NF": "On Site", "AO": "finished", "AF": "BILLED ", "RO": "Fault", "RF": "rectified"}
@@ -57,10 +58,10 @@ def raw_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as session transcripts, with the events of the user of the same number as tool use."""
-    said = table(spark, sf_dir, "conversations").select(
+    said = spread(table(spark, sf_dir, "conversations")).select(
         F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("place"),
         F.to_json(F.struct(F.struct("role", F.col("text").alias("content")).alias("message"))).alias("line"))
-    events = table(spark, sf_dir, "events")
+    events = spread(table(spark, sf_dir, "events"))
     call = F.struct(F.lit("tool_use").alias("type"), choice(F.col("event_type"), TOOL_OF_EVENT).alias("name"),
                     F.struct("props").alias("input"))
     result = F.struct(F.lit("tool_result").alias("type"), F.lit(True).alias("is_error"),
@@ -124,11 +125,11 @@ def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def document_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as dataset entries: identity by trimmed text."""
     text = strip(F.col("text"))
-    return documents(spark, sf_dir).select(
+    return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("entry"), "source", F.sha2(text, 256).alias("fingerprint"), (text == "").alias("bad"))

@@ -61,6 +61,19 @@ def stash(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Spread a small input over all cores before heavy work per row.
+
+    A file of one row group or one unsplittable document is read by one task. Inputs too small to give every core a
+    full read are redistributed; larger ones come in enough pieces and are left where they are.
+    """
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    per_task = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(cores) if size < cores * per_task else rows
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """Mark ``df`` for broadcasting when it has at most ``max_rows`` rows; beyond that leave the join to Spark."""
     fits = df.limit(max_rows + 1).count() <= max_rows

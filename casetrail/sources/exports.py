@@ -12,6 +12,7 @@ from casetrail.functions.parse import canonical_activity, parse_timestamp
 from casetrail.functions.scrub import scrub
 from casetrail.functions.text import strip
 from casetrail.operators.mining import EventLog
+from casetrail.session import spread
 from casetrail.sources.files import BLOCK, FILE, ORIGIN, place_in_file, with_ingest_seq
 
 JSON_DOCUMENT_BYTES = 256 * 1024 * 1024
@@ -108,7 +109,7 @@ def normalise_events(raw: DataFrame, source_system: str, normalise: Callable[[Co
     Scrubbing case ids can make long job numbers indistinguishable; ``case_key='hash'`` keeps the cases apart by a
     salted hash that does not reveal the number.
     """
-    rows = parsed(raw)
+    rows = parsed(spread(raw))
     # filters may be evaluated together with this, so rows that are skipped must not raise here either
     event = (F.col("case_id") != "") & (F.col("activity") != "") & (F.col("raw_ts") != "")
     malformed = F.raise_error(F.concat(F.lit("malformed timestamp: "), "raw_ts")).cast("timestamp")
@@ -119,7 +120,7 @@ def normalise_events(raw: DataFrame, source_system: str, normalise: Callable[[Co
 def quarantined_events(raw: DataFrame, source_system: str, normalise: Callable[[Column], Column] = canonical_activity,
                        case_key: str = "scrubbed", salt: str = "") -> tuple[DataFrame, DataFrame]:
     """As :func:`normalise_events`, but malformed times go to a second table ``source_path, raw, reason``."""
-    rows = parsed(raw)
+    rows = parsed(spread(raw))
     path = F.col(FILE) if FILE in raw.columns else F.lit("")
     bad = rows.where("ts is null").select(
         path.alias("source_path"), scrub(F.to_json(F.struct("case_id", "activity", "raw_ts"))).alias("raw"),

@@ -6,13 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from casetrail import fixed_values as fixed
-from casetrail.functions.text import strip
+from casetrail.functions.text import once, strip
 
 _DIGITS = r"\d(?:_?\d)*"
 _NUMBER = rf"^[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
 _ZONE = r"(Z|[+-]\d{2}(?::?\d{2})?)?"
 _EXTENDED = rf"^(\d{{4}})-(\d{{2}})-(\d{{2}})(?:[^\d](\d{{2}})(?::(\d{{2}})(?::(\d{{2}})(?:[.,](\d+))?)?)?{_ZONE})?$"
 _BASIC = rf"^(\d{{4}})(\d{{2}})(\d{{2}})(?:[^\d](\d{{2}})(?:(\d{{2}})(?:(\d{{2}})(?:[.,](\d+))?)?)?{_ZONE})?$"
+_PLAIN = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?$"
+_PLAIN_ZONED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?(?:Z|[+-]\d{2}:\d{2})$"
 _LAST_SECOND = 253_402_300_799  # end of year 9999
 
 
@@ -32,22 +34,29 @@ def _iso(text: Column, pattern: str) -> Column:
 def parse_timestamp(raw: Column) -> Column:
     """Epoch seconds or ISO 8601 text as a timestamp; without an offset it is UTC. NULL when it is neither.
 
-    Only full, explicit spellings are taken: Spark's own cast would read ``08:30`` as today and ``1d`` as 1.
+    Only full, explicit spellings are taken: Spark's own cast would read ``08:30`` as today and ``1d`` as 1. The
+    common spellings are left to that cast once their form has been checked, the others are put together by part.
     """
-    text = strip(raw)
-    number = F.when(text.rlike(_NUMBER), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
-    in_range = number.between(-62_135_596_800, _LAST_SECOND)
-    epoch = F.when(in_range, F.timestamp_micros(F.round(number * 1_000_000).cast("long")))
-    return (F.when(text.rlike(_NUMBER), epoch)
-            .when(text.rlike(_EXTENDED), _iso(text, _EXTENDED))
-            .when(text.rlike(_BASIC), _iso(text, _BASIC)))
+    def read(text: Column) -> Column:
+        number = F.replace(text, F.lit("_"), F.lit("")).try_cast("double")
+        epoch = once(number, lambda n: F.when(n.between(-62_135_596_800, _LAST_SECOND), F.timestamp_micros(
+            F.round(n * 1_000_000).cast("long"))))
+        return (F.when(text.rlike(_PLAIN), F.concat(text, F.lit("Z")).try_cast("timestamp"))
+                .when(text.rlike(_PLAIN_ZONED), text.try_cast("timestamp"))
+                .when(text.rlike(_NUMBER), epoch)
+                .when(text.rlike(_EXTENDED), _iso(text, _EXTENDED))
+                .when(text.rlike(_BASIC), _iso(text, _BASIC)))
+
+    return once(strip(raw), read)
 
 
 def canonical_activity(raw: Column) -> Column:
     """The field-service activity a raw status stands for; an unknown status stays as it is, without outer blanks."""
-    trimmed = strip(raw)
-    key = F.lower(trimmed)
-    known = None
-    for activity, statuses in fixed.STATUS_SYNONYMS.items():
-        known = (F if known is None else known).when(key.isin(statuses), activity)
-    return known.otherwise(trimmed)
+    def known(trimmed: Column) -> Column:
+        key = F.lower(trimmed)
+        cases = None
+        for activity, statuses in fixed.STATUS_SYNONYMS.items():
+            cases = (F if cases is None else cases).when(key.isin(statuses), activity)
+        return cases.otherwise(trimmed)
+
+    return once(strip(raw), known)

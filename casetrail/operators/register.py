@@ -47,6 +47,11 @@ def event_fqns(events: DataFrame) -> DataFrame:
     return events.select(F.col("entity_fqn").alias("fqn"))
 
 
+def first_entities(events: DataFrame, n: int = fixed.SAMPLE_ENTITIES) -> DataFrame:
+    """The first ``n`` entity names of a log, as examples of what can be cited."""
+    return event_fqns(events).where("fqn <> ''").distinct().orderBy("fqn").limit(n)
+
+
 def with_grounding(rows: DataFrame, *sources: DataFrame) -> DataFrame:
     """``rows`` with ``grounded``: whether ``evidence_fqn`` names an entity, a metric or an event's entity."""
     found = resolved_citations(rows.select(F.col("evidence_fqn").alias("fqn")), *sources)

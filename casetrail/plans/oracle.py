@@ -339,6 +339,7 @@ claims AS (
   UNION ALL SELECT 'orders', 'fsm.job.' || (o_orderkey * 2) FROM orders
   UNION ALL SELECT 'part', 'asset.' || p_partkey FROM part UNION ALL SELECT 'nation', '' FROM nation)
 SELECT kind, count(*) AS n, count(*) FILTER (fqn IN (SELECT fqn FROM citable)) AS n_grounded FROM claims GROUP BY kind"""),
+    "first_entities": jobs("SELECT DISTINCT entity_fqn AS fqn FROM log WHERE entity_fqn <> '' ORDER BY fqn LIMIT 8"),
     "safety_net": detected(f"""
 , accepted AS (
   SELECT kind, key, 'Checked: ' || title AS title, least(1.0, severity + 0.5) AS severity,

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from casetrail import fixed_values as fixed
 from casetrail.functions import messages as M
+from casetrail.functions.rows import computed
 from casetrail.functions.text import strip
 from casetrail.operators.ordering import (
     Grouped,
@@ -224,16 +225,15 @@ def collect_records(rows: DataFrame, eval_fraction: float = fixed.EVAL_FRACTION,
 
     With ``max_total``, reading stops where that many have been written; what follows has no status and is left out.
     """
-    raw = rows.withColumn("raw", M.row_messages(F.col("row"))).withColumn("error", M.first_error(F.col("raw")))
-    bad = raw.where("error is not null").select(
-        "source_order", "entry", "source", "license", "notes", F.lit(None).cast(M.MESSAGE_ARRAY).alias("messages"),
-        F.lit(None).cast("string").alias("fingerprint"), F.lit("bad").alias("status"), "error")
-    good = raw.where("error is null").withColumn("messages", M.tidy(F.col("raw")))
-    good = good.withColumn("fingerprint", M.fingerprint(F.col("messages")))
-    narrow = first_copies(good.select("entry", "fingerprint"), "entry").select("entry", "status")
-    kept = good.join(narrow, "entry").select(
-        "source_order", "entry", "source", "license", "notes", "messages", "fingerprint", "status", "error")
-    records = kept.unionByName(bad).withColumn("split", F.when(
+    kept = ["source_order", "entry", "source", "license", "notes"]
+    raw = computed(rows, kept, F.struct(M.row_messages(F.col("row")).alias("raw")))
+    checked = computed(raw, [*kept, "raw"], F.struct(M.first_error(F.col("raw")).alias("error")))
+    tidied = computed(checked, [*kept, "error"], F.struct(
+        F.when(F.col("error").isNull(), M.tidy(F.col("raw"))).alias("messages")))
+    named = computed(tidied, [*kept, "error", "messages"], F.struct(M.fingerprint(F.col("messages")).alias("fingerprint")))
+    narrow = first_copies(named.where("error is null").select("entry", "fingerprint"), "entry").select("entry", "status")
+    records = named.join(narrow, "entry", "left").withColumn("status", F.coalesce("status", F.lit("bad")))
+    records = records.withColumn("split", F.when(
         F.col("status") == "written", split_of(F.col("fingerprint"), eval_fraction, seed)))
     if max_total is None:
         return records

@@ -12,8 +12,6 @@ from casetrail.operators.mining import CASE, EventLog
 
 FINANCE, FIELD = "finance", "fsm"
 DAY_US = 86_400 * 1_000_000
-DISPATCH = {"kind": "dispatch-bottleneck", "title": "Dispatch bottleneck at ", "metric": "transition_mean_duration",
-            "within": fixed.JOB_FLOW}
 
 
 def case_flags(log: EventLog) -> DataFrame:
@@ -80,66 +78,51 @@ def asset_counts(log: EventLog) -> DataFrame:
     return asset_services(log).agg(F.count(F.lit(1)).alias("assets"), F.count_if(F.col("overdue")).alias("overdue"))
 
 
-def _titled(count: str, text: str) -> Column:
-    return F.concat(F.col(count).cast("string"), F.lit(text))
-
-
-def _share(df: DataFrame, part: str, whole: str, above: float) -> DataFrame:
+def _rate(counts: DataFrame, order: int, kind: str, part: str, whole: str, above: float, evidence: Column | None = None
+          ) -> DataFrame:
+    """A detection when ``part`` exceeds the share ``above`` of ``whole``."""
     rate = F.col(part) / F.nullif(F.col(whole), F.lit(0))
-    return df.withColumn("rate", rate).where(F.col("rate") > above)
+    rows = counts.withColumn("rate", rate).where(F.col("rate") > above)
+    return detections(rows, order, kind, F.col("rate"), F.col(part),
+                      F.struct(whole, part) if evidence is None else evidence, (F.col(part),))
 
 
 def unbilled_completion(counts: DataFrame) -> DataFrame:
-    return detections(_share(counts, "unbilled", "completed", fixed.RATE_FLOOR), 1, "unbilled-completion",
-                      F.lit("JobComplete"), _titled("unbilled", " completed jobs never invoiced"), F.col("rate"),
-                      "unbilled_completed_jobs", F.col("unbilled"), F.struct("completed", "unbilled"))
+    return _rate(counts, 1, "unbilled-completion", "unbilled", "completed", fixed.RATE_FLOOR)
 
 
 def rectification_stall(counts: DataFrame) -> DataFrame:
-    return detections(_share(counts, "stalled", "defects", fixed.RATE_FLOOR), 2, "rectification-stall",
-                      F.lit("DefectRaised"), _titled("stalled", " raised defects never rectified"), F.col("rate"),
-                      "stalled_rectifications", F.col("stalled"), F.struct("defects", "stalled"))
+    return _rate(counts, 2, "rectification-stall", "stalled", "defects", fixed.RATE_FLOOR)
 
 
 def compliance_overdue(assets: DataFrame) -> DataFrame:
     evidence = F.struct(F.col("assets").alias("assets_with_service"), F.col("overdue"),
                         F.lit(fixed.COMPLIANCE_INTERVAL_DAYS).alias("interval_days"))
-    return detections(_share(assets, "overdue", "assets", 0.0), 3, "compliance-overdue", F.lit("RoutineService"),
-                      _titled("overdue", " assets overdue for AS 1851 routine service"), F.col("rate"),
-                      "overdue_compliance_assets", F.col("overdue"), evidence)
+    return _rate(assets, 3, "compliance-overdue", "overdue", "assets", 0.0, evidence)
 
 
 def approval_gap(counts: DataFrame) -> DataFrame:
-    return detections(_share(counts, "no_approval", "invoiced", fixed.RATE_FLOOR), 4, "approval-gap",
-                      F.lit("QuoteApproved"), _titled("no_approval", " jobs invoiced without a recorded approval"),
-                      F.col("rate"), "invoiced_without_approval", F.col("no_approval"),
-                      F.struct("invoiced", "no_approval"))
+    return _rate(counts, 4, "approval-gap", "no_approval", "invoiced", fixed.RATE_FLOOR)
 
 
 def rework_loop(counts: DataFrame) -> DataFrame:
-    title = F.concat(F.lit("Repeat site visits on "), F.col("repeat_visits").cast("string"), F.lit(" jobs"))
-    return detections(_share(counts, "repeat_visits", "n_cases", fixed.RATE_FLOOR), 5, "rework-loop",
-                      F.lit("Attended"), title, F.col("rate"), "repeat_attendance_cases", F.col("repeat_visits"),
-                      F.struct(F.lit("Attended").alias("activity")))
+    return _rate(counts, 5, "rework-loop", "repeat_visits", "n_cases", fixed.RATE_FLOOR,
+                 F.struct(F.lit("Attended").alias("activity")))
 
 
 def dispatch_bottleneck(facts: DataFrame, factor: float = fixed.BOTTLENECK_FACTOR) -> DataFrame:
-    return bottlenecks(facts, factor, order=6, **DISPATCH)
+    return bottlenecks(facts, factor, "dispatch-bottleneck", 6, fixed.JOB_FLOW)
 
 
 def segregation_of_duties(same_person: DataFrame, counts: DataFrame) -> DataFrame:
     """``same_person`` is :func:`same_person_cases`."""
     jobs = same_person.agg(F.count(F.lit(1)).alias("jobs")).scalar()
-    rows = _share(counts.withColumn("jobs", jobs), "jobs", "n_cases", fixed.SMALL_RATE_FLOOR)
-    return detections(rows, 7, "segregation-of-duties", F.lit("Quote/QuoteApproved"),
-                      _titled("jobs", " jobs quoted and approved by the same person"), F.col("rate"),
-                      "self_approved_jobs", F.col("jobs"), F.struct("jobs"))
+    return _rate(counts.withColumn("jobs", jobs), 7, "segregation-of-duties", "jobs", "n_cases",
+                 fixed.SMALL_RATE_FLOOR, F.struct("jobs"))
 
 
 def cross_source_orphan(counts: DataFrame) -> DataFrame:
-    return detections(_share(counts, "orphans", "billed", fixed.SMALL_RATE_FLOOR), 8, "cross-source-orphan",
-                      F.lit("Invoice"), _titled("orphans", " jobs billed in finance with no field-service completion"),
-                      F.col("rate"), "billed_without_delivery", F.col("orphans"), F.struct("billed", "orphans"))
+    return _rate(counts, 8, "cross-source-orphan", "orphans", "billed", fixed.SMALL_RATE_FLOOR)
 
 
 def recording_error(facts: DataFrame) -> DataFrame:

@@ -29,15 +29,19 @@ def metric_fqn(kind: Column, key: Column) -> Column:
     return F.concat_ws(".", F.lit("metric"), kind, key)
 
 
-def detections(df: DataFrame, order: int, kind: str, key: Column, title: Column, frequency: Column, metric: str,
-               value: Column, evidence: Column, severity: Column | None = None) -> DataFrame:
-    """Detections of one kind from rows that already passed the detector's rule. ``evidence`` is a struct."""
+def detections(df: DataFrame, order: int, kind: str, frequency: Column, value: Column, evidence: Column,
+               title: tuple[Column, ...] = (), key: Column | None = None, severity: Column | None = None) -> DataFrame:
+    """Detections of one kind from rows that already passed the detector's rule. ``title`` fills the kind's title,
+    ``evidence`` is a struct."""
     fixed_severity, fixability = fixed.DETECTOR_SCORES[kind]
+    filled = [part.cast("string") for part in title]
     named = df.select(
-        F.lit(order).alias("detector_order"), F.lit(kind).alias("kind"), title.alias("title"), key.alias("key"),
+        F.lit(order).alias("detector_order"), F.lit(kind).alias("kind"),
+        F.format_string(fixed.DETECTOR_TITLES[kind], *filled).alias("title"),
+        (F.lit(fixed.DETECTOR_KEYS[kind]) if key is None else key).alias("key"),
         (F.lit(fixed_severity) if severity is None else F.round(severity, 3)).cast("double").alias("severity"),
         F.round(frequency, 3).alias("frequency"), F.lit(fixability).cast("double").alias("fixability"),
-        F.lit(metric).alias("metric_name"), value.cast("double").alias("metric_value"),
+        F.lit(fixed.METRIC_NAMES[kind]).alias("metric_name"), value.cast("double").alias("metric_value"),
         F.to_json(evidence).alias("evidence_json"))
     return named.withColumns({
         "score": score(F.col("frequency"), F.col("severity"), F.col("fixability")),

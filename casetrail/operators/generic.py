@@ -37,29 +37,28 @@ def slow_steps(facts: DataFrame, factor: float = fixed.BOTTLENECK_FACTOR, within
 
 
 def bottlenecks(facts: DataFrame, factor: float = fixed.BOTTLENECK_FACTOR, kind: str = "bottleneck", order: int = 1,
-                within: list[str] | None = None, title: str = "Bottleneck at ",
-                metric: str = "bottleneck_mean_duration") -> DataFrame:
+                within: list[str] | None = None) -> DataFrame:
     key = F.concat("src", F.lit("->"), "dst")
     return detections(
-        slow_steps(facts, factor, within), order, kind, key, F.concat(F.lit(title), key), F.col("frequency"), metric,
-        F.col("mean_s"), F.struct(key.alias("transition"), F.col("n_steps").alias("n")), severity=F.col("severity"))
+        slow_steps(facts, factor, within), order, kind, F.col("frequency"), F.col("mean_s"),
+        F.struct(key.alias("transition"), F.col("n_steps").alias("n")), (key,), key, F.col("severity"))
 
 
 def rework_findings(facts: DataFrame) -> DataFrame:
     share = F.col("n_repeat") / case_total(facts)
     rows = of_kind(facts, ACTIVITY).withColumn("share", share).where(F.col("share") >= fixed.REWORK_SHARE)
-    return detections(rows.where("n_repeat > 0"), 2, "rework", F.col("src"), F.concat(F.lit("Rework loop on "), "src"),
-                      F.col("share"), "rework_case_count", F.col("n_repeat"), F.struct(F.col("src").alias("activity")))
+    activity = F.col("src")
+    return detections(rows.where("n_repeat > 0"), 2, "rework", F.col("share"), F.col("n_repeat"),
+                      F.struct(activity.alias("activity")), (activity,), activity)
 
 
 def control_gaps(facts: DataFrame) -> DataFrame:
     rows = of_kind(facts, ACTIVITY).withColumn("coverage", F.col("n_cases") / case_total(facts))
     rows = rows.where((F.col("coverage") >= fixed.CONTROL_GAP_LOW) & (F.col("coverage") < fixed.CONTROL_GAP_HIGH))
-    skipped = 1 - F.col("coverage")
-    percent = F.round(skipped * 100, 0).cast("long").cast("string")
-    return detections(rows, 3, "control-gap", F.col("src"),
-                      F.concat("src", F.lit(" skipped in "), percent, F.lit("% of cases")), skipped,
-                      "activity_coverage", F.col("coverage"), F.struct(F.col("src").alias("activity")))
+    activity, skipped = F.col("src"), 1 - F.col("coverage")
+    percent = F.round(skipped * 100, 0).cast("long")
+    return detections(rows, 3, "control-gap", skipped, F.col("coverage"), F.struct(activity.alias("activity")),
+                      (activity, percent), activity)
 
 
 def recording_error_finding(facts: DataFrame, order: int = 4) -> DataFrame:
@@ -67,8 +66,7 @@ def recording_error_finding(facts: DataFrame, order: int = 4) -> DataFrame:
     total = of_kind(facts, TOTAL).where("n_cases > 0")
     first = of_kind(facts, BAD_CASE).select("src").orderBy("src").limit(fixed.EVIDENCE_CASES)
     cases = first.agg(F.array_sort(F.collect_list("src"))).scalar()
-    return detections(total, order, "recording-error", F.lit("log"), F.lit("Out-of-order timestamps in the log"),
-                      F.col("n_cases") / F.col("n"), "cases_with_recording_errors", F.col("n_cases"),
+    return detections(total, order, "recording-error", F.col("n_cases") / F.col("n"), F.col("n_cases"),
                       F.struct(cases.alias("cases")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from casetrail import fixed_values as fixed
 from casetrail.operators.findings import FINDING_COLUMNS, score
 from casetrail.operators.mining import EventLog, directly_follows
 from casetrail.operators.register import normal_key, with_grounding
@@ -13,12 +14,13 @@ from casetrail.operators.register import normal_key, with_grounding
 # --- baselines ------------------------------------------------------------------------------------------------------
 
 
-def _naive(df: DataFrame, kind: str, title: Column, key: Column, frequency: Column, cite: Column) -> DataFrame:
+def _naive(df: DataFrame, kind: str, key: Column, frequency: Column) -> DataFrame:
     half = F.lit(0.5)
     return df.select(
-        F.lit(0).alias("detector_order"), F.lit(kind).alias("kind"), title.alias("title"), key.alias("key"),
+        F.lit(0).alias("detector_order"), F.lit(kind).alias("kind"),
+        F.format_string(fixed.NAIVE_TITLES[kind], key).alias("title"), key.alias("key"),
         half.alias("severity"), frequency.cast("double").alias("frequency"), half.alias("fixability"),
-        score(frequency, half, half).alias("score"), F.coalesce(cite, F.lit("")).alias("evidence_fqn"),
+        score(frequency, half, half).alias("score"), F.coalesce("cite", F.lit("")).alias("evidence_fqn"),
         F.lit(1.0).alias("confidence")).select(*FINDING_COLUMNS)
 
 
@@ -36,11 +38,8 @@ def naive_baseline(log: EventLog) -> DataFrame:
     most = per_activity.orderBy(F.desc("n"), "activity").limit(1)
     first = _first_fqn(log.events.where(F.col("activity") == most.select("activity").scalar()))
     top = most.withColumns({"total": total, "cases": cases, "cite": first})
-    cite = F.col("cite")
-    volume = _naive(top, "bottleneck", F.concat(F.lit("High-volume activity "), "activity"), F.col("activity"),
-                    F.col("n") / F.col("total"), cite)
-    repeats = _naive(top.where("n / cases > 1"), "rework", F.concat(F.lit("Frequent "), "activity"),
-                     F.col("activity"), F.lit(0.5), cite)
+    volume = _naive(top, "bottleneck", F.col("activity"), F.col("n") / F.col("total"))
+    repeats = _naive(top.where("n / cases > 1"), "rework", F.col("activity"), F.lit(0.5))
     return volume.unionByName(repeats)
 
 
@@ -48,9 +47,7 @@ def naive_field_service_baseline(log: EventLog) -> DataFrame:
     """The most frequent step called a dispatch bottleneck."""
     top = directly_follows(log).orderBy(F.desc("n"), "src", "dst").limit(1)
     key = F.concat("src", F.lit("->"), "dst")
-    cited = top.withColumn("cite", _first_fqn(log.events))
-    return _naive(cited, "dispatch-bottleneck", F.concat(F.lit("Frequent transition "), key), key, F.lit(0.5),
-                  F.col("cite"))
+    return _naive(top.withColumn("cite", _first_fqn(log.events)), "dispatch-bottleneck", key, F.lit(0.5))
 
 
 # --- scores ---------------------------------------------------------------------------------------------------------

@@ -115,22 +115,17 @@ def report_lines(rows: DataFrame, title: str) -> DataFrame:
     first = F.lit(0).cast("long")
     heading = lines(count, 0, first, F.lit(fixed.REPORT_TITLE + title), F.lit(""))
     empty = lines(count.where("n = 0"), 1, first, F.lit(fixed.REPORT_EMPTY))
-    intro = lines(some, 1, first,
-                  F.concat(F.col("n").cast("string"),
-                           F.lit(" findings, ordered by impact (frequency x severity x fixability).")),
-                  F.lit(""), F.lit("| # | Priority | Finding | Score |"), F.lit("|---|---|---|---|"))
-    number = F.col("rank").cast("string")
-    cell = report_cell(F.col("title"))
-    entries = lines(ordered, 2, F.col("rank"), F.concat(
-        F.lit("| "), F.concat_ws(" | ", number, "priority", cell, plain_number(F.col("score"))), F.lit(" |")))
+    intro = lines(some, 1, first, F.format_string(fixed.REPORT_INTRO, F.col("n").cast("string")), F.lit(""),
+                  *[F.lit(line) for line in fixed.REPORT_TABLE])
+    number, cell = F.col("rank").cast("string"), report_cell(F.col("title"))
+    named, priority, evidence, advice = fixed.REPORT_SECTION
+    entries = lines(ordered, 2, F.col("rank"), F.format_string(
+        fixed.REPORT_ENTRY, number, "priority", cell, plain_number(F.col("score"))))
     gap = lines(some, 3, first, F.lit(""))
     sections = lines(
-        ordered, 4, F.col("rank"),
-        F.concat(F.lit("### "), number, F.lit(". "), cell),
-        F.concat(F.lit("- Priority: "), "priority", F.lit(" (severity "), plain_number(F.col("severity")),
-                 F.lit(", frequency "), plain_number(F.col("frequency")), F.lit(")")),
-        F.concat(F.lit("- Evidence: `"), "evidence_fqn", F.lit("`")),
-        F.concat(F.lit("- Recommendation: "), "recommendation"), F.lit(""))
+        ordered, 4, F.col("rank"), F.format_string(named, number, cell),
+        F.format_string(priority, "priority", plain_number(F.col("severity")), plain_number(F.col("frequency"))),
+        F.format_string(evidence, "evidence_fqn"), F.format_string(advice, "recommendation"), F.lit(""))
     return reduce(DataFrame.unionByName, [heading, empty, intro, entries, gap, sections])
 
 

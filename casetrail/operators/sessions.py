@@ -11,23 +11,13 @@ from pyspark.sql import functions as F
 
 from casetrail import fixed_values as fixed
 from casetrail.functions import messages as M
+from casetrail.functions.rows import computed
 from casetrail.functions.scrub import hits, redact, redact_counted, scrub_counted
 from casetrail.functions.text import collapse, session_class, strip, truncated
 from casetrail.operators.conversations import CONV, merge_turns, to_records, trim_to_assistant
 from casetrail.operators.ordering import Grouped, with_position
 
 SESSION = "session_id"
-COUNTS = ["n_events", "n_user_msgs", "n_injected", "n_assistant_msgs", "n_tool_results", "n_tool_errors",
-          "n_tool_uses", "n_mutations", "n_corrections"]
-
-
-def computed(df: DataFrame, kept: list[str], value: Column) -> DataFrame:
-    """``kept`` and the fields of the struct ``value``, which is evaluated once per row.
-
-    A filter on a plain projection is moved below it, with the whole expression in it, and so everything is computed
-    again. A generator of one row stops that.
-    """
-    return df.select(*kept, F.inline(F.array(value)))
 
 
 def message_lines(transcript: DataFrame) -> DataFrame:
@@ -43,36 +33,37 @@ def message_lines(transcript: DataFrame) -> DataFrame:
 
 
 def _line_facts(transcript: DataFrame) -> DataFrame:
-    lines = message_lines(transcript.select(SESSION, "place", "row"))
+    readable = F.col("row").isNotNull().alias("readable")
+    lines = message_lines(transcript.select(SESSION, "place", "row", readable))
     blocks = F.coalesce("blocks", F.expr("array()").cast(lines.schema["blocks"].dataType))
     from_user, from_agent = F.col("role") == "user", F.col("role") == "assistant"
     calls = F.transform(M.blocks_of_type(blocks, "tool_use"), lambda b: F.coalesce(b.getField("name"), F.lit("?")))
     errors = F.transform(M.blocks_of_type(blocks, "tool_result"), lambda b: b.is_error)
-    sorted_out = computed(lines, [SESSION, "place", "said", "role"], F.struct(
+    sorted_out = computed(lines, [SESSION, "place", "readable", "said", "role"], F.struct(
         from_agent.alias("from_agent"),
         F.when(from_agent, calls).otherwise(F.array().cast("array<string>")).alias("calls"),
         F.when(from_user, errors).otherwise(F.array().cast("array<boolean>")).alias("results")))
     spoken = (F.col("role") == "user") & (F.size("results") == 0) & (strip(F.col("said")) != "")
-    kept = [SESSION, "place", "said", "from_agent", "calls", "results"]
+    kept = [SESSION, "place", "readable", "said", "from_agent", "calls", "results"]
     lines = computed(sorted_out, kept, F.struct(
         F.when(spoken, M.is_injected(F.col("said"))).alias("injected")))
     lines = computed(lines, [*kept, "injected"], F.struct(
         (~F.col("injected") & M.is_correction(F.col("said"))).alias("correction")))
     no = F.lit(False)
     return lines.select(
-        SESSION, "place", "said", "from_agent", "calls", F.coalesce("injected", no).alias("injected"),
+        SESSION, "place", "readable", "said", "from_agent", "calls", F.coalesce("injected", no).alias("injected"),
         F.coalesce(~F.col("injected"), no).alias("human"), F.coalesce("correction", no).alias("correction"),
         F.size("results").alias("n_results"), F.size(F.filter("results", lambda r: r)).alias("n_errors"))
 
 
 def session_stats(transcript: DataFrame) -> DataFrame:
-    """One row of counts per session."""
+    """One row of counts per session. Rows that could not be read (``row`` is NULL) only make the session known."""
     mutations = F.size(F.filter("calls", lambda c: c.isin(fixed.MUTATION_TOOLS)))
     lines = _line_facts(transcript).select(
-        SESSION, "human", "injected", "from_agent", "n_results", "n_errors", "correction",
+        SESSION, "readable", "human", "injected", "from_agent", "n_results", "n_errors", "correction",
         F.size("calls").alias("uses"), mutations.alias("mutations"))
     return lines.groupBy(SESSION).agg(
-        F.count(F.lit(1)).alias("n_events"), F.count_if("human").alias("n_user_msgs"),
+        F.count_if("readable").alias("n_events"), F.count_if("human").alias("n_user_msgs"),
         F.count_if("injected").alias("n_injected"), F.count_if("from_agent").alias("n_assistant_msgs"),
         F.sum("n_results").alias("n_tool_results"), F.sum("n_errors").alias("n_tool_errors"),
         F.sum("uses").alias("n_tool_uses"), F.sum("mutations").alias("n_mutations"),
@@ -128,18 +119,11 @@ def excerpts(transcript: DataFrame, stats: DataFrame, redacted: bool = True) ->
     cwd = F.col("cwd") if "cwd" in stats.columns else F.lit("")
     place = clean(F.coalesce(F.nullif(cwd, F.lit("")), F.lit("unknown")))
 
-    def count(label: str, column: str) -> Column:
-        return F.concat(F.lit(f" {label}="), F.col(column).cast("string"))
-
-    facts = F.concat(
-        F.lit("repo: "), place, F.lit("\nclass-signals:"), count("events", "n_events"), count("human", "n_user_msgs"),
-        count("assistant", "n_assistant_msgs"), count("tool_uses", "n_tool_uses"), count("mutations", "n_mutations"),
-        count("tool_errors", "n_tool_errors"), count("corrections", "n_corrections"),
-        F.lit("\ntop tools: "), F.coalesce("tools", F.lit("none")))
-    excerpt = F.concat(
-        F.lit("FACTS\n"), facts, F.lit("\n\nHUMAN MESSAGES (sample, redacted)\n"),
-        F.coalesce("messages", F.lit("(none)")), F.lit("\n\nCORRECTION CANDIDATES (redacted)\n"),
-        F.coalesce("corrections", F.lit("(none)")), F.lit("\n"))
+    counts = [F.col(c).cast("string") for c in (
+        "n_events", "n_user_msgs", "n_assistant_msgs", "n_tool_uses", "n_mutations", "n_tool_errors", "n_corrections")]
+    facts = F.format_string(fixed.EXCERPT_FACTS, place, *counts, F.coalesce("tools", F.lit("none")))
+    excerpt = F.format_string(fixed.EXCERPT, facts, F.coalesce("messages", F.lit("(none)")),
+                              F.coalesce("corrections", F.lit("(none)")))
     return sampled.select(SESSION, excerpt.alias("excerpt"))
 
 

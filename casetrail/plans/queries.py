@@ -472,7 +472,7 @@ def stream_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcript files written from the tables, swept twice: the second sweep finds nothing new."""
     root = f"{shared_folder(spark)}/casetrail/{uuid.uuid4().hex}"
     lines = derived.transcripts(spark, sf_dir)
-    stretch = F.floor(F.col("place") / 100_000)
+    stretch = F.floor(F.col("place") / 10_000_000)
     files = lines.repartition("session_id", stretch).sortWithinPartitions("session_id", "place")
     files.select("session_id", F.col("line").alias("value")).write.partitionBy("session_id").text(f"{root}/sessions")
     read = sweep.transcript_stream(spark, f"{root}/sessions", "*.txt", "value string, session_id string")

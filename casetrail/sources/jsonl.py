@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casetrail import fixed_values as fixed
+from casetrail.functions.rows import computed
 from casetrail.functions.text import strip
 from casetrail.sources.files import BLOCK, FILE, ORIGIN, place_in_file
 
@@ -29,12 +30,17 @@ def strict_rows(lines: DataFrame) -> DataFrame:
     # filters may be evaluated together with this, so blank lines are let through here as well
     broken = F.when(F.col("line") != "", F.raise_error(where).cast("variant"))
     checked = F.coalesce(F.try_parse_json("line"), broken)
-    return lines.withColumn("row", checked)
+    return computed(lines, ["*"], F.struct(checked.alias("row")))
+
+
+def parsed_rows(lines: DataFrame) -> DataFrame:
+    """Each line as a VARIANT ``row``, NULL where it is not JSON."""
+    return computed(lines, ["*"], F.struct(F.try_parse_json("line").alias("row")))
 
 
 def tolerant_rows(lines: DataFrame) -> DataFrame:
     """Each line as a VARIANT ``row``; lines that are not JSON are left out."""
-    return lines.withColumn("row", F.try_parse_json("line")).where("row is not null")
+    return parsed_rows(lines).where("row is not null")
 
 
 def with_session(lines: DataFrame) -> DataFrame:

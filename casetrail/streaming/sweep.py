@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from casetrail.operators import sessions as S
 from casetrail.session import stash
 from casetrail.sources.files import ORIGIN
-from casetrail.sources.jsonl import placed_lines, read_index, tolerant_rows, with_session
+from casetrail.sources.jsonl import parsed_rows, placed_lines, read_index, with_session
 
 JOURNAL_SCHEMA = """
     id string, ts string, salience double, session_class string,
@@ -45,10 +45,7 @@ def sweep_batch(lines: DataFrame, journal: str, batch: int, index: DataFrame | N
                 verdicts: DataFrame | None = None) -> None:
     """Triage the sessions of some transcript lines that have no finished record yet, and journal them."""
     spark = lines.sparkSession
-    named = with_session(lines)
-    stats = S.session_stats(tolerant_rows(named))
-    seen = named.select(S.SESSION).distinct().join(stats, S.SESSION, "left").na.fill(0, S.COUNTS)
-    seen = stash(seen)
+    seen = stash(S.session_stats(parsed_rows(with_session(lines))))
     if index is not None:
         seen = S.with_index(seen, index)
     before = read_journal(spark, journal).where(F.col("batch") != batch)

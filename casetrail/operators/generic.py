@@ -44,9 +44,9 @@ def bottlenecks(facts: DataFrame, factor: float = fixed.BOTTLENECK_FACTOR, kind:
         F.struct(key.alias("transition"), F.col("n_steps").alias("n")), (key,), key, F.col("severity"))
 
 
-def rework_findings(facts: DataFrame) -> DataFrame:
+def rework_findings(facts: DataFrame, at_least: float = fixed.REWORK_SHARE) -> DataFrame:
     share = F.col("n_repeat") / case_total(facts)
-    rows = of_kind(facts, ACTIVITY).withColumn("share", share).where(F.col("share") >= fixed.REWORK_SHARE)
+    rows = of_kind(facts, ACTIVITY).withColumn("share", share).where(F.col("share") >= at_least)
     activity = F.col("src")
     return detections(rows.where("n_repeat > 0"), 2, "rework", F.col("share"), F.col("n_repeat"),
                       F.struct(activity.alias("activity")), (activity,), activity)

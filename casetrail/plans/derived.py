@@ -57,22 +57,30 @@ def raw_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as session transcripts, with the events of the user of the same number as tool use."""
+    """Conversations as session transcripts, with the events of the user of the same number as tool use.
+
+    System turns become corrections by the user, the fifth turn of a user a slash command.
+    """
+    system = F.col("role") == "system"
+    command = (F.col("role") == "user") & (F.col("turn") == 4)
+    content = (F.when(system, F.concat(F.lit("Actually, "), "text"))
+               .when(command, F.concat(F.lit("<command-name>"), "text")).otherwise(F.col("text")))
+    message = F.struct(F.when(system, "user").otherwise(F.col("role")).alias("role"), content.alias("content"))
     said = spread(table(spark, sf_dir, "conversations")).select(
         F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("place"),
-        F.to_json(F.struct(F.struct("role", F.col("text").alias("content")).alias("message"))).alias("line"))
+        F.to_json(F.struct(message.alias("message"))).alias("line"))
     events = spread(table(spark, sf_dir, "events"))
     call = F.struct(F.lit("tool_use").alias("type"), choice(F.col("event_type"), TOOL_OF_EVENT).alias("name"),
                     F.struct("props").alias("input"))
     result = F.struct(F.lit("tool_result").alias("type"), F.lit(True).alias("is_error"),
                       F.col("props").alias("content"))
 
-    def message(role: str, block: Column) -> Column:
+    def line(role: str, block: Column) -> Column:
         return F.to_json(F.struct(F.struct(F.lit(role).alias("role"), F.array(block).alias("content")).alias("message")))
 
     used = events.select(
         F.col("user_id").cast("string").alias("session_id"), (F.col("event_id") + 1_000_000).alias("place"),
-        F.when(F.col("event_type") == "error", message("user", result)).otherwise(message("assistant", call))
+        F.when(F.col("event_type") == "error", line("user", result)).otherwise(line("assistant", call))
         .alias("line"))
     return tolerant_rows(said.unionByName(used))
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from casetrail import fixed_values as fixed
-from casetrail.plans.queries import ANSWERS, FACTOR
+from casetrail.plans.queries import ANSWERS, FACTOR, REWORK
 
 # --- logs -----------------------------------------------------------------------------------------------------------
 
@@ -193,7 +193,7 @@ DETECT = {
     "bottlenecks": slow(1, "bottleneck", "Bottleneck at ", "bottleneck_mean_duration", "true"),
     "rework_findings": detection(
         2, "rework", "activity", "'Rework loop on ' || activity", "share", "rework_case_count", "n_repeat", NAMED,
-        f"{ACTIVITY} WHERE share >= {fixed.REWORK_SHARE}"),
+        f"{ACTIVITY} WHERE share >= {REWORK}"),
     "control_gaps": detection(
         3, "control-gap", "activity",
         "activity || ' skipped in ' || round((1 - coverage) * 100, 0)::BIGINT || '% of cases'", "(1 - coverage)",
@@ -229,7 +229,8 @@ DETECT = {
 
 COLUMNS = ("detector_order, kind, title, key, severity, frequency, fixability, score, evidence_fqn, confidence")
 GENERIC = "\nUNION ALL".join(DETECT[n] for n in (
-    "bottlenecks", "rework_findings", "control_gaps", "recording_error_finding"))
+    "bottlenecks", "rework_findings", "control_gaps", "recording_error_finding")).replace(
+    f"share >= {REWORK}", f"share >= {fixed.REWORK_SHARE}")
 FIELD_SERVICE = "\nUNION ALL".join([*[DETECT[n] for n in (
     "unbilled_completion", "rectification_stall", "compliance_overdue", "approval_gap", "rework_loop",
     "dispatch_bottleneck", "segregation_of_duties", "cross_source_orphan")], recording(9)])
@@ -453,7 +454,10 @@ INJECTED = """(regexp_matches(low, '^(base directory for this skill:|stop hook f
 TRANSCRIPT = f"""
 said AS (
   SELECT conv_id::VARCHAR AS session_id, turn AS place, role, text, {FLAT} AS flat,
-         lower(regexp_replace(text, '^{SPACE}+', '')) AS low FROM conversations),
+         lower(regexp_replace(text, '^{SPACE}+', '')) AS low
+  FROM (SELECT conv_id, turn, CASE role WHEN 'system' THEN 'user' ELSE role END AS role,
+          CASE WHEN role = 'system' THEN 'Actually, ' || text WHEN role = 'user' AND turn = 4 THEN '<command-name>' || text
+            ELSE text END AS text FROM conversations)),
 lines AS (
   SELECT session_id, place, role = 'assistant' AS agent, NULL AS tool, false AS failed, flat, text,
          role = 'user' AND {STRIPPED} <> '' AND {INJECTED} AS injected,

@@ -20,8 +20,9 @@ from casetrail.streaming import sweep
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# uniform data hardly has slow steps, so the register queries use a lower factor than the default of 2
+# uniform data hardly has slow steps or repeats, so some queries use lower bounds than the defaults of 2 and 0.1
 FACTOR = 1.05
+REWORK = 0.05
 HOLD_OUT = 0.05
 ALLOWED_HOSTS = ["api.example.com"]
 ANSWERS = [
@@ -155,7 +156,7 @@ def generic_register(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FINDINGS: dict[str, Query] = {
     "bottlenecks": from_facts(lambda f: generic.bottlenecks(f, FACTOR)),
-    "rework_findings": from_facts(generic.rework_findings),
+    "rework_findings": from_facts(lambda f: generic.rework_findings(f, REWORK)),
     "control_gaps": from_facts(generic.control_gaps),
     "recording_error_finding": from_facts(generic.recording_error_finding),
     "generic_register": generic_register,

@@ -11,7 +11,7 @@ from casetrail import fixed_values as fixed
 from casetrail.functions.text import clamp01, plain_number, report_cell, severity_band, strip
 from casetrail.operators.findings import FINDING_COLUMNS, findings, metric_fqn, metrics, register_order, score
 from casetrail.operators.ordering import Grouped, with_position
-from casetrail.session import broadcast_if_small
+from casetrail.session import broadcast_if_small, stash
 
 # --- tables ---------------------------------------------------------------------------------------------------------
 
@@ -75,6 +75,7 @@ def merge_candidates(candidates: DataFrame, detected: DataFrame, *sources: DataF
         *[clamp01(F.col(c)).alias(c) for c in ("severity", "frequency", "fixability")], "evidence_fqn")
     accepted = accepted.withColumn("confidence", F.lit(1.0)).withColumn(
         "score", score(F.col("frequency"), F.col("severity"), F.col("fixability"))).select(*FINDING_COLUMNS)
+    accepted = stash(accepted)
     return accepted.unionByName(safety_net(accepted, findings(detected)))
 
 

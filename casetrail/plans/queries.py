@@ -271,7 +271,7 @@ def report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return register.ranked(findings.findings(field_service_detections(spark, sf_dir))).select(
+    return register.ranked(stash(findings.findings(field_service_detections(spark, sf_dir)))).select(
         "rank", "priority", "kind", text.report_cell(F.col("title")).alias("title"), "score", "recommendation")
 
 

@@ -14,8 +14,8 @@ from casetrail.functions import messages as M
 from casetrail.functions.rows import computed
 from casetrail.functions.scrub import hits, redact, redact_counted, scrub_counted
 from casetrail.functions.text import collapse, session_class, strip, truncated
-from casetrail.operators.conversations import CONV, merge_turns, to_records, trim_to_assistant
-from casetrail.operators.ordering import Grouped, with_position
+from casetrail.operators.conversations import CONV, PIECES_PER_TEXT, merge_turns, to_records, trim_to_assistant
+from casetrail.operators.ordering import Grouped, with_next, with_position
 
 SESSION = "session_id"
 
@@ -227,21 +227,28 @@ def transcript_turns(transcript: DataFrame) -> Grouped:
                    .select(CONV, "turn", "role", "text"), CONV, ordered.long_keys)
 
 
-def convert_transcripts(transcript: DataFrame, source: str, min_turns: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Transcripts as redacted conversation records; also those too long for one row, as turns, and those blocked.
+def convert_transcripts(transcript: DataFrame, source: str, min_turns: int = 4, most: int = PIECES_PER_TEXT
+                        ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Transcripts as redacted conversation records; also those of more than ``most`` turns, as turns, and those blocked.
 
     Runs of one role are merged, what follows the last assistant turn is dropped, every text is redacted. A record
-    whose joined text still trips the redactor is blocked.
+    whose joined text still trips the redactor is blocked, a long conversation if any two neighbouring turns do.
     """
     merged = merge_turns(trim_to_assistant(transcript_turns(transcript)))
     clean = Grouped(merged.rows.withColumn("text", redact(F.col("text"))), CONV, merged.long_keys)
-    records, oversize = to_records(clean, min_turns)
+    records, oversize = to_records(clean, min_turns, most)
     joined = records.withColumn("_joined", F.array_join(F.transform("messages", lambda m: m.content), "\n"))
     passed, blocked = tripwire(joined, "_joined")
     described = passed.select(
         CONV, "messages", F.lit(source).alias("source"), F.lit("internal").alias("license"),
         F.concat(F.lit("redacted trajectory from "), CONV).alias("notes"))
-    return described, oversize, blocked.select(CONV, "residual")
+
+    pairs = Grouped(oversize, CONV, merged.long_keys).each(
+        lambda rows, is_long: with_next(rows, CONV, ["turn", "part"], {"_then": "text"}, is_long))
+    tripped = tripwire(pairs.withColumn("_joined", F.concat_ws("\n", "text", "_then")), "_joined")[1]
+    long_blocked = tripped.groupBy(CONV).agg(F.sum("residual").cast("int").alias("residual"))
+    kept = oversize.join(long_blocked.select(CONV), CONV, "left_anti")
+    return described, kept, blocked.select(CONV, "residual").unionByName(long_blocked)
 
 
 def redaction_audit(documents: DataFrame, column: str) -> DataFrame:

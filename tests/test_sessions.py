@@ -119,6 +119,20 @@ def test_conversion(spark, tmp_path, request, piecewise):
     assert S.convert_transcripts(transcript, "test", min_turns=5)[0].count() == 0
 
 
+def test_residual_secrets_block_a_conversation(spark, tmp_path):
+    # redacted apart, the two texts together read as an assignment
+    leaky = [message("user", "set the API_TOKEN"), message("assistant", "= hunter2hunter2"), message("user", "and"),
+             message("assistant", "done")]
+    write(tmp_path / "t", "2026-01-01-leaky.jsonl", leaky)
+    write(tmp_path / "t", "2026-01-01-fine.jsonl", conversation())
+    transcript = jsonl.read_transcripts(spark, str(tmp_path / "t"))
+    for most in (100, 2):
+        records, oversize, blocked = S.convert_transcripts(transcript, "test", most=most)
+        assert [r.conv_id for r in blocked.collect()] == ["leaky"]
+        whole, long = {r.conv_id for r in records.collect()}, {r.conv_id for r in oversize.collect()}
+        assert (whole, long) == (({"fine"}, set()) if most == 100 else (set(), {"fine"}))
+
+
 def test_sweeps(spark, tmp_path):
     folder, journal, checkpoint = tmp_path / "t", str(tmp_path / "journal"), str(tmp_path / "checkpoint")
     write(folder, "2026-06-04-one.jsonl", LINES)

@@ -80,7 +80,7 @@ def first_rows(rows: DataFrame, key: str, order: list, k: int) -> DataFrame:
     """The first ``k`` rows of every group with their 1-based ``rank``. Spark keeps only ``k`` rows per group before
     it shuffles, so the size of a group does not matter."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+    return rows.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
 def top_tools(counted: DataFrame, k: int = fixed.TOP_TOOLS) -> DataFrame:

@@ -517,7 +517,7 @@ SELECT count(*) FILTER (judged) AS ok, count(*) FILTER (NOT judged) AS pending,
 SELECT event_type || ':' || props AS signal, count(DISTINCT user_id) AS n_sessions FROM events
 GROUP BY 1 HAVING count(DISTINCT user_id) >= 3""",
     "stream_sweep": sessions("""
-SELECT session_id AS id, 'pending' AS status, salience, salience >= 0.5 AS escalated, 0 AS batch FROM scored"""),
+SELECT session_id AS id, 'pending' AS status, salience, salience >= 0.5 AS escalated, 0::BIGINT AS batch FROM scored"""),
 }
 
 # --- conversations --------------------------------------------------------------------------------------------------
@@ -574,7 +574,7 @@ marked AS (
   SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) IS DISTINCT FROM role THEN 1 ELSE 0 END AS starts
   FROM two_sided),
 islands AS (SELECT *, sum(starts) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM marked)
-SELECT conv_id, min(turn) AS turn, 0 AS part, min(role) AS role, count(*) AS n_turns,
+SELECT conv_id, min(turn) AS turn, 0::BIGINT AS part, min(role) AS role, count(*) AS n_turns,
        sha256(string_agg(text, chr(10) ORDER BY turn)) AS digest
 FROM islands GROUP BY conv_id, island""",
     "trim_turns": f"WITH {TRIMMED} SELECT conv_id, turn, role FROM trimmed",

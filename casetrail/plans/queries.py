@@ -341,7 +341,7 @@ def one_rule(kind: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rule = next(r for r in scrub._credential_rules() if r.kind == kind)
         counted = derived.documents(spark, sf_dir).select(
-            "doc_id", rule.count(F.col("text")).alias("n_hits"), F.sha2(rule.apply(F.col("text")), 256).alias("digest"))
+            "doc_id", rule.count(F.col("text")).cast("long").alias("n_hits"), F.sha2(rule.apply(F.col("text")), 256).alias("digest"))
         return counted.where("n_hits > 0")
     return query
 

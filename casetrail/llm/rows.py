@@ -30,20 +30,36 @@ def unpacked(rows: DataFrame) -> DataFrame:
     return rows.select("row.*")
 
 
-def placed(rows: DataFrame, **needed: Column) -> DataFrame:
-    """``packed`` with ``file`` and ``pos``, the file and the row in it: a name for a row that stays the same in later jobs.
+def _straight(rows: DataFrame) -> bool:
+    """Whether every row of ``rows`` is one row of a file: a scan with at most projections and filters above it."""
+    node, names = rows._jdf.queryExecution().analyzed(), set()
+    while node.children().size() == 1:
+        names.add(node.nodeName())
+        node = node.children().apply(0)
+    return names <= {"Project", "Filter", "SubqueryAlias"} and node.children().isEmpty() and bool(rows.inputFiles())
+
 
-    Rows that do not come straight from files are written to the shared folder first.
+def anchored(rows: DataFrame) -> DataFrame:
+    """``rows`` if they come straight from files, else a copy in the shared folder: rows that keep their places.
+
+    Call it once where several ``placed`` tables of one input have to agree.
     """
-    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("pos")]
-    if "_metadata" not in [c.lower() for c in rows.columns]:
+    if _straight(rows) and "_metadata" not in [c.lower() for c in rows.columns]:
         try:
-            return rows.select(F.struct(*[col(c) for c in rows.columns]).alias("row"),
-                               *[value.alias(name) for name, value in needed.items()], *place)
-        except AnalysisException:
+            rows.select("_metadata.row_index")
+            return rows
+        except AnalysisException:  # a source without row numbers
             pass
-    landed = stash(packed(rows, **{f"_{k}": v for k, v in needed.items()}))
-    return landed.select("row", *[F.col(f"_{name}").alias(name) for name in needed], *place)
+    return stash(packed(rows)).select("row.*")
+
+
+def placed(rows: DataFrame, **needed: Column) -> DataFrame:
+    """``packed`` with ``file`` and ``pos``, the file and the row in it: a name for a row that stays the same in later jobs.
+
+    ``rows`` are ``anchored``.
+    """
+    meta = {"file": F.col("_metadata.file_path"), "pos": F.col("_metadata.row_index")}
+    return packed(rows, **needed, **meta)
 
 
 def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:

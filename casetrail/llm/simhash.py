@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casetrail.llm.components import components
-from casetrail.llm.rows import col, join_counted, placed, unpacked, without
+from casetrail.llm.rows import anchored, col, join_counted, placed, unpacked, without
 from casetrail.session import stash
 
 WIDTH = 4
@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     greater than any other; a component of null ids only has a null ``component_id``. Of rows with equal ids the first by
     place stays. An empty table gives no rows. Other columns are not looked at.
     """
-    rows = placed(docs, doc_id=col(doc_id), body=col(text)).select("file", "pos", "doc_id", "body")
+    rows = placed(anchored(docs), doc_id=col(doc_id), body=col(text)).select("file", "pos", "doc_id", "body")
     prints = stash(fingerprints(rows.withColumn("no_id", F.col("doc_id").isNull()), "body", width))
     found = stash(groups(prints, ["no_id", "doc_id", "file", "pos"], distance, **how))
     return join_counted(prints, found, "fp", how="inner").select(
@@ -233,6 +233,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def distinct_documents(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, one of each group of near duplicates: the one with the least id."""
+    docs = anchored(docs)
     found = stash(near_duplicates(docs, **how))
     dropped = found.where("file <> keep_file or pos <> keep_pos")
     return unpacked(without(placed(docs), dropped))

@@ -27,7 +27,8 @@ PER_LANGUAGE = 20_000
 MOST_LANGUAGES = 1_000
 TEMPERATURES = [1.0, 0.5, 0.2, 0.1, 0.05, 0.02, 0.01, 0.005]
 TOLERANCE = 6.0
-"""Standard deviations above the mean cross-entropy of calibration texts of a like length, beyond which a text is rejected."""
+"""A text is rejected when its cross-entropy is more than so many standard deviations above the mean of calibration texts of
+a like length, and nearer to what texts in other languages have under the same model than to what texts in its own have."""
 _BLANK, _BLOCK = 32, 1 << 20
 _ORDERS = (4, 3, 2, 1)
 
@@ -192,6 +193,9 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 def _calibrated(found: Identifier, texts: DataFrame, spark) -> Identifier:
     sent = spark.sparkContext.broadcast(found)
     names = {name: i for i, name in enumerate(found.languages)}
+    losses = [f"t{i}" for i in range(len(TEMPERATURES))]
+    parts = ["n", "e", "ee", "others", "other_e"]
+    values = [*parts, *losses]
 
     def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Sums by language and length class, and the loss at each temperature."""
@@ -201,28 +205,31 @@ def _calibrated(found: Identifier, texts: DataFrame, spark) -> Identifier:
                 n, entropies = sent.value.entropies(text)
                 if n and language in names:
                     right = names[language]
-                    losses = [-np.log(max(1e-12, sent.value.shares(n, entropies, t)[right])) for t in TEMPERATURES]
+                    loss = [-np.log(max(1e-12, sent.value.shares(n, entropies, t)[right])) for t in TEMPERATURES]
                     correct = np.argmin(entropies) == right
                     e = entropies[right]
-                    row = np.array([1.0, e, e * e] if correct else [0.0, 0.0, 0.0])
+                    row = [1.0, e, e * e, 0.0, 0.0] if correct else [0.0] * 5
                     key = (language, length_class(n))
-                    sums[key] = sums.get(key, 0) + np.concatenate([row, losses])
+                    sums[key] = sums.get(key, 0) + np.array([*row, *loss])
+                    for other, model in names.items():
+                        if model != right:
+                            key = (other, length_class(n))
+                            sums[key] = sums.get(key, 0) + np.array([0.0, 0.0, 0.0, 1.0, entropies[model], *[0.0] * len(loss)])
         yield pd.DataFrame([[*key, *map(float, v)] for key, v in sums.items()],
-                           columns=["lang", "size", "n", "e", "ee", *[f"t{i}" for i in range(len(TEMPERATURES))]])
+                           columns=["lang", "size", *values])
 
-    losses = [f"t{i}" for i in range(len(TEMPERATURES))]
-    values = ["n", "e", "ee", *losses]
     sums = (texts.select("lang", "text").mapInPandas(measured, "lang string, size int, " + ", ".join(f"{v} double" for v in values))
             .groupBy("lang", "size").agg(*[F.sum(v).alias(v) for v in values]).toPandas())
     if sums.empty:
         return found
     found.temperature = TEMPERATURES[int(np.argmin(sums[losses].sum().to_numpy()))]
-    every = sums.groupby("lang")[["n", "e", "ee"]].sum().reset_index().assign(size=-1)
-    for row in pd.concat([sums[["lang", "size", "n", "e", "ee"]], every]).to_dict("records"):
+    every = sums.groupby("lang")[parts].sum().reset_index().assign(size=-1)
+    for row in pd.concat([sums[["lang", "size", *parts]], every]).to_dict("records"):
         if row["n"] >= 30:  # fewer say little; the limit for all lengths then holds
             mean = row["e"] / row["n"]
             spread = np.sqrt(max(row["ee"] / row["n"] - mean * mean, 0.0)) + 0.01
-            found.limits[row["lang"], int(row["size"])] = mean + TOLERANCE * spread
+            between = (mean + row["other_e"] / row["others"]) / 2 if row["others"] else mean
+            found.limits[row["lang"], int(row["size"])] = max(mean + TOLERANCE * spread, between)
     return found
 
 

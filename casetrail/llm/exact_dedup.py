@@ -23,8 +23,11 @@ from casetrail.llm.rows import SMALL_ROWS, anchored, col, join_counted, placed,
 from casetrail.session import broadcast_if_small, shared_folder, stash
 
 PLACE = "struct<no_id: boolean, doc_id: long, file: string, pos: long>"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # each of many small stores would set aside megabytes for its log and its list of files
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -65,13 +68,15 @@ class Deduplicator:
         def keep(changed: DataFrame, batch: int) -> None:
             changed.write.mode("overwrite").parquet(f"{self.home}/state/batch={batch}")
 
-        before = self.spark.conf.get(_PROVIDER)
-        self.spark.conf.set(_PROVIDER, ROCKSDB)
+        before = {name: self.spark.conf.get(name, None) for name in STORE}
+        for name, value in STORE.items():
+            self.spark.conf.set(name, value)
         try:
             (held.writeStream.outputMode("update").foreachBatch(keep)
              .option("checkpointLocation", f"{self.home}/checkpoint").trigger(availableNow=True).start().awaitTermination())
         finally:
-            self.spark.conf.set(_PROVIDER, before)
+            for name, value in before.items():
+                self.spark.conf.unset(name) if value is None else self.spark.conf.set(name, value)
 
     def state(self) -> DataFrame:
         """``key``, ``first``, ``n``: the state of each key as the last batch that changed it left it."""

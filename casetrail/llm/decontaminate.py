@@ -36,6 +36,9 @@ LEAST_STEP = 64
 K1, B = 1.2, 0.75
 BLOCK = 16
 """Postings in a block with a bound of its own."""
+WORDS = 100_000
+CELLS = 4_000_000
+"""Passages times items whose scores are held at a time."""
 _MEMO = 300_000
 _NOT_A_WORD, _UNKNOWN = -2, -1
 _INNER = re.compile(r"[\W_]+")
@@ -44,7 +47,8 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=\S)")
 
 def term(chunk: str) -> str:
     """The word in a piece of text without white space: its letters and digits, lower-cased; may be empty."""
-    return _INNER.sub("", chunk.lower())
+    word = chunk.lower()
+    return word if word.isalnum() else _INNER.sub("", word)
 
 
 def question_and_answer(text: str | None) -> tuple[str, str]:
@@ -116,7 +120,6 @@ class Index:
         self.starts = np.concatenate([[0], np.cumsum(lengths)])
         self.item = np.array([i for w in order for i, _ in weights[w]], np.int64)
         self.weight = np.array([x for w in order for _, x in weights[w]])
-        self.keys = np.repeat(np.arange(len(order)), lengths) * max(1, len(items)) + self.item  # sorted
         blocks = -(-lengths // BLOCK)
         self.block_starts = np.concatenate([[0], np.cumsum(blocks)])
         first = np.concatenate([s + np.arange(0, n, BLOCK) for s, n in zip(self.starts, lengths)]) if len(order) else self.starts[:0]
@@ -132,48 +135,49 @@ class Index:
     def step(self) -> int:
         return max(LEAST_STEP, self.longest)
 
+    @property
+    def words_at_once(self) -> int:
+        """Words of texts whose passages are searched at a time, which bounds a task's memory."""
+        return self.step * max(16, min(WORDS // self.step, CELLS // max(1, len(self.items))))
+
     def search(self, passage: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All (passage, item, score) that reach the threshold, given pairs of passage and known term (repeats allowed)."""
         none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if not len(word):
             return none
-        terms = len(self.most)
+        terms, n, least = len(self.most), len(self.items), self.threshold - 1e-9
         pairs = np.unique(passage * terms + word)
         passage, word = np.divmod(pairs, terms)  # by passage, terms of little weight first
         most = self.most[word]
         begins = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
         spans = np.diff(np.concatenate([begins, [len(pairs)]]))
+        group = np.repeat(np.arange(len(begins)), spans)
         running = np.cumsum(most)
-        before = np.repeat(running[begins] - most[begins], spans)
-        bound = np.repeat(running[begins + spans - 1], spans) - before
-        low = running - before < self.threshold - 1e-9  # together with all lighter terms below the threshold
-        aside = np.repeat(np.add.reduceat(np.where(low, most, 0.0), begins), spans)
-        # blocks of the postings of the other terms
-        some = np.flatnonzero(~low & (bound >= self.threshold - 1e-9))
+        before = (running[begins] - most[begins])[group]
+        bound = running[begins + spans - 1][group] - before
+        low = running - before < least  # together with all lighter terms below the threshold
+        aside = np.add.reduceat(np.where(low, most, 0.0), begins)
+        # postings of the other terms, but for blocks that cannot reach the threshold: no hit has a posting there
+        some = np.flatnonzero(~low & (bound >= least))
         blocks = self.block_starts[word[some] + 1] - self.block_starts[word[some]]
         at = np.repeat(some, blocks)
         block = _ranges(self.block_starts[word[some]], blocks)
-        able = self.block_most[block] + bound[at] - most[at] >= self.threshold - 1e-9
+        able = self.block_most[block] + bound[at] - most[at] >= least
         at, block = at[able], block[able]
-        sizes = self.block_end[block] - self.block_first[block]
-        at, posting = np.repeat(at, sizes), _ranges(self.block_first[block], sizes)
-        if not len(at):
-            return none
-        # no hit has a posting in a block passed over, so the sums of hits are whole
-        n = len(self.items)
-        codes, back = np.unique(passage[at] * n + self.item[posting], return_inverse=True)
-        sums = np.bincount(back, self.weight[posting])
-        group = np.searchsorted(passage[begins], codes // n)
-        able = sums + aside[begins[group]] >= self.threshold - 1e-9
-        codes, group = codes[able], group[able]
-        # exact scores of what is left, from all terms of the passage
-        k = np.repeat(np.arange(len(codes)), spans[group])
-        wanted = word[_ranges(begins[group], spans[group])] * n + (codes % n)[k]
-        where = np.searchsorted(self.keys, wanted)
-        where[where == len(self.keys)] = 0
-        score = np.bincount(k, np.where(self.keys[where] == wanted, self.weight[where], 0.0), len(codes))
-        hit = score >= self.threshold - 1e-9
-        return codes[hit] // n, codes[hit] % n, score[hit]
+        sums = self._summed(group[at], self.block_first[block], self.block_end[block], len(begins))
+        able = (sums > 0) & (sums + aside[:, None] >= least)
+        # the terms put aside, where they decide
+        rest = np.flatnonzero(low & able.any(axis=1)[group])
+        sums += self._summed(group[rest], self.starts[word[rest]], self.starts[word[rest] + 1], len(begins))
+        where, item = np.nonzero(able & (sums >= least))
+        return passage[begins[where]], item, sums[where, item]
+
+    def _summed(self, group: np.ndarray, first: np.ndarray, end: np.ndarray, groups: int) -> np.ndarray:
+        """The weights of runs of postings, added up by group and item."""
+        sizes, n = end - first, len(self.items)
+        posting = _ranges(first, sizes)
+        codes = np.repeat(group * n, sizes) + self.item[posting]
+        return np.bincount(codes, self.weight[posting], groups * n).reshape(groups, n)
 
     def verified(self, item: int, ids: np.ndarray) -> tuple[float, float]:
         """The shares of the shingles of an item's question and answer that stand in a passage; 1 for a part without words."""
@@ -185,30 +189,48 @@ class Index:
 
     def matches(self, texts: list[str | None]) -> Iterator[list[tuple[int, float, float, float]]]:
         """For every text its verified items: number, score and the two shares, of the passage that fits best."""
-        ids = [self.words.ids(t) if t else np.zeros(0, np.int32) for t in texts]
+        found: list[dict[int, tuple[float, float, float]]] = [{} for _ in texts]
+        waiting, words = [], 0
+        for doc, text in enumerate(texts):
+            for ids in self._runs(text):
+                waiting.append((found[doc], ids))
+                words += len(ids)
+                if words >= self.words_at_once:
+                    self._look(waiting)
+                    waiting, words = [], 0
+        self._look(waiting)
+        for best in found:
+            yield [(self.items[i], *shares) for i, shares in sorted(best.items())]
+
+    def _runs(self, text: str | None) -> Iterator[np.ndarray]:
+        """A text's words in runs of whole passages, a run for all but very long texts."""
+        ids = self.words.ids(text) if text and self.items else np.zeros(0, np.int32)
+        step, most = self.step, self.words_at_once // self.step
+        passages = max(1, -(-len(ids) // step) - 1)  # the last one ends with the text
+        for at in range(0, passages if len(ids) else 0, most):
+            yield ids[at * step:(min(at + most, passages) + 1) * step]
+
+    def _look(self, runs: list[tuple[dict[int, tuple[float, float, float]], np.ndarray]]) -> None:
+        """Search all passages of some runs at once and put what is verified into their dictionaries."""
         step, starts, passage, word, count = self.step, [], [], [], 0
-        for x in ids:
+        for _, ids in runs:
             starts.append(count)
-            n = max(1, -(-len(x) // step) - 1)  # the last passage ends with the text
-            known = np.flatnonzero(x >= 0)
-            low = known // step
-            for place in (low, low - 1):
+            n = max(1, -(-len(ids) // step) - 1)
+            known = np.flatnonzero(ids >= 0)
+            for place in (known // step, known // step - 1):
                 inside = (place >= 0) & (place < n)
                 passage.append(place[inside] + count)
-                word.append(x[known[inside]].astype(np.int64))
+                word.append(ids[known[inside]].astype(np.int64))
             count += n
-        found: dict[int, dict[int, tuple[float, float, float]]] = {}
-        if ids and len(self.items):
-            starts_ = np.array(starts)
-            for p, i, score in zip(*self.search(np.concatenate(passage), np.concatenate(word))):
-                doc = int(np.searchsorted(starts_, p, "right")) - 1
-                at = (int(p) - starts[doc]) * step
-                question, answer = self.verified(int(i), ids[doc][at:at + 2 * step])
-                if question >= OVERLAP and answer >= OVERLAP:
-                    best = found.setdefault(doc, {})
-                    best[int(i)] = max(best.get(int(i), (0.0, 0.0, 0.0)), (float(score), question, answer))
-        for doc in range(len(texts)):
-            yield [(self.items[i], *best) for i, best in sorted(found.get(doc, {}).items())]
+        if not runs:
+            return
+        for p, i, score in zip(*self.search(np.concatenate(passage), np.concatenate(word))):
+            run = int(np.searchsorted(starts, p, "right")) - 1
+            best, ids = runs[run]
+            at = (int(p) - starts[run]) * step
+            question, answer = self.verified(int(i), ids[at:at + 2 * step])
+            if question >= OVERLAP and answer >= OVERLAP:
+                best[int(i)] = max(best.get(int(i), (0.0, 0.0, 0.0)), (float(score), question, answer))
 
 
 def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:

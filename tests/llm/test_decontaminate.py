@@ -61,7 +61,8 @@ def around(text, before=90, after=70):
     return f"{sentence(before)} {text} {sentence(after)}"
 
 
-def test_copies_are_found_and_the_rest_left_alone(spark):
+@pytest.mark.parametrize("words", [100_000, 100])
+def test_copies_are_found_and_the_rest_left_alone(spark, monkeypatch, words):
     shouted = "  ###\n".join(ITEMS[3][1].upper().split())
     rows = [(1, around(ITEMS[0][1])), (2, ITEMS[1][1]), (3, around(shouted, 7)), (4, around(ITEMS[4][1] + " " + ITEMS[5][1], 500)),
             (5, sentence(400)), (6, None), (7, ""), (8, " \n"), (9, " ".join(reversed(ITEMS[7][1].split()))),
@@ -70,6 +71,7 @@ def test_copies_are_found_and_the_rest_left_alone(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("found", F.lit(1)).withColumn("item_id", F.lit(2))
     benchmark = spark.createDataFrame([*ITEMS, ITEMS[0], (500, None), (501, ""), (502, "...")], "item_id long, text string")
     expected = sorted([(1, 0), (2, 1), (2, 1), (3, 3), (4, 4), (4, 5), (None, 2)], key=str)
+    monkeypatch.setattr(D, "WORDS", words)
     for shard in (20_000, 7):
         found = D.contaminated(docs, benchmark, shard=shard).collect()
         assert sorted([(r.doc_id, r.item_id) for r in found], key=str) == expected

@@ -40,9 +40,9 @@ def test_payloads_are_returned_and_segments_used(spark, tmp_path):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     W.write_archives(pages, str(tmp_path / "w"))
     records = W.read_records(spark, str(tmp_path / "w"))
-    assert records.where("type = 'continuation'").count() >= 6
+    assert records.where("type = 'continuation'").count() >= 3
     back = {r.doc_id: bytes(r.payload).decode() for r in W.captures(records).where("record_type = 'response'").collect()}
-    assert back["6"] == LONG or back["12"] == LONG
+    assert back["12"] == LONG and "6" not in back
     assert back["9"] == PAGES[8][2] and back["3"] == SAME and back["11"] == PAGES[10][2]
 
 
@@ -78,7 +78,7 @@ def test_foreign_archives_and_faults(spark, tmp_path):
     archive = [
         record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<info>")], b"software: x"),
         response("plain", body), response("framed", framed, ("WARC-Payload-Digest", f"sha1:{sha}")),
-        response("wrong digest", framed, ("WARC-Payload-Digest", "sha1:00")), response("cut", framed[:-12]),
+        response("wrong digest", framed, ("WARC-Payload-Digest", "sha1:00")), response("cut", framed[:-25]),
         rest("parts", 3, framed[60:], total), rest("parts", 2, framed[30:60]), response("parts", framed[:30], first),
         rest("parts", 2, framed[30:60]),
         response("gap", framed[:30], first), rest("gap", 3, framed[60:], total),

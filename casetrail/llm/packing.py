@@ -10,6 +10,7 @@ rank, a key that no two pieces share. Ranks come from counts per task, so no len
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -27,8 +28,9 @@ from casetrail.session import broadcast_if_small, stash
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 END = b"\0\0\0\0"
-_MEMO = 300_000
+_MEMO = 600_000
 _STEP = 1 << 14
+_MARKS = re.compile(r"(?:^|(?<=[^\W_]))([!-&(-/:-@\[-^`{-~]+)(?=[^\W_]|$)")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -37,10 +39,13 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder(dict):
-    """Token ids, as little-endian unsigned 32-bit numbers, of pieces of text without ASCII white space.
+class Encoder:
+    """Token ids, as little-endian unsigned 32-bit numbers, of texts.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its pieces in turn.
+    The tokenizer lower-cases, drops white space and never joins across it, nor across the border between letters or
+    digits and a run of ASCII marks (but for apostrophes). So a text's ids are those of its words in turn, a word's those
+    of its parts, and words and parts seen lately are remembered. Texts that may hold a special token, or the one letter
+    whose lower case ends in a mark, are given to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -48,21 +53,44 @@ class Encoder(dict):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, chunks: set[bytes]) -> None:
-        if len(self) + len(chunks) > _MEMO:
-            self.clear()
-        new = list(chunks - self.keys())
-        found = self.tokenizer.encode_batch([c.decode() for c in new], add_special_tokens=False)
-        self.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(new, found))
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _encoded(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn_parts(self, parts: set[str]) -> None:
+        letters = [p for p in parts if p.isalpha()]
+        if letters:  # in one text: each is one word to the tokenizer
+            found = self.tokenizer.encode(" ".join(letters), add_special_tokens=False)
+            ids, cuts = np.array(found.ids, "<u4"), np.flatnonzero(np.diff(np.array(found.word_ids, np.int64))) + 1
+            if len(cuts) + 1 == len(letters):
+                ends = (4 * cuts).tolist()
+                data = ids.tobytes()
+                self.parts.update((p, data[x:y]) for p, x, y in zip(letters, [0, *ends], [*ends, len(data)]))
+        for part in parts.difference(self.parts):
+            self.parts[part] = self._encoded(part)
+
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self.words) + len(words) > _MEMO:
+            self.words.clear()
+        if len(self.parts) > _MEMO:
+            self.parts.clear()
+        new = [(w, _MARKS.sub(" \\1 ", w.decode()).split(" ")) for w in words]
+        self._learn_parts({p for _, parts in new for p in parts}.difference(self.parts))
+        self.words.update((w, b"".join(map(self.parts.__getitem__, parts))) for w, parts in new)
 
     def ids(self, text: bytes | None) -> bytes:
-        chunks = text.split() if text else []
+        if not text:
+            return b""
+        if b"<|" in text or b"\xc4\xb0" in text:
+            return self._encoded(text.decode())
+        words = text.lower().split()  # A-Z and ASCII white space only
         try:
-            return b"".join(map(self.__getitem__, chunks))
+            return b"".join(map(self.words.__getitem__, words))
         except KeyError:
-            self.learn(set(chunks))
-            return b"".join(map(self.__getitem__, chunks))
+            self._learn(set(words).difference(self.words))
+            return b"".join(map(self.words.__getitem__, words))
 
 
 @cache

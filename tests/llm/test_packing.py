@@ -27,6 +27,17 @@ def test_encoding_by_pieces_of_text_is_the_tokenizers(tokenizer):
         assert encoder.ids(text.encode() if text else None) == struct.pack(f"<{len(ids)}I", *ids), text
 
 
+def test_encoding_of_noise_is_the_tokenizers(tokenizer):
+    rng = random.Random(1)
+    alphabet = ["a", "The", "s", "'s", "'", "_", ".", ",", "!", "$", "%%%", " ", " ", "\n", "\x1c", "\xa0", "é", "e\u0301", "\u0301", "É", "İ", "ß", "ñ",
+                "5", "½", "²", "日", "🙂", "-", "<", "|", ">", "<|endoftext|>", "K", "ǅ", "\u200d", "\u00ad", "”", "…", "ΑΣ", "I\u0307"]
+    encoder = P.Encoder(P.tokenizer_path())
+    for _ in range(4000):
+        text = "".join(rng.choices(alphabet, k=rng.randint(1, 25)))
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        assert encoder.ids(text.encode()) == struct.pack(f"<{len(ids)}I", *ids), repr(text)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_is_best_fit_and_gapless(seed):
     rng = random.Random(seed)

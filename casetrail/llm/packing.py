@@ -72,8 +72,6 @@ class Encoder:
             self.parts[part] = self._encoded(part)
 
     def _learn(self, words: set[bytes]) -> None:
-        if len(self.words) + len(words) > _MEMO:
-            self.words.clear()
         if len(self.parts) > _MEMO:
             self.parts.clear()
         new = [(w, _MARKS.sub(" \\1 ", w.decode()).split(" ")) for w in words]
@@ -89,7 +87,10 @@ class Encoder:
         try:
             return b"".join(map(self.words.__getitem__, words))
         except KeyError:
-            self._learn(set(words).difference(self.words))
+            kinds = set(words)
+            if len(self.words) + len(kinds) > _MEMO:
+                self.words.clear()  # words of this text too, so all are learned
+            self._learn(kinds.difference(self.words))
             return b"".join(map(self.words.__getitem__, words))
 
 

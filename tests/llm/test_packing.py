@@ -38,6 +38,17 @@ def test_encoding_of_noise_is_the_tokenizers(tokenizer):
         assert encoder.ids(text.encode()) == struct.pack(f"<{len(ids)}I", *ids), repr(text)
 
 
+def test_what_is_forgotten_is_learned_again(tokenizer, monkeypatch):
+    monkeypatch.setattr(P, "_MEMO", 12)
+    rng = random.Random(2)
+    words = [f"{a}{b}{c}" for a in ("ka", "lo", "mi") for b in ("ter", "ran", "sil") for c in ("", ".", ",", "!")]
+    encoder = P.Encoder(P.tokenizer_path())
+    for _ in range(200):
+        text = " ".join(rng.choices(words, k=rng.randint(1, 20)))
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        assert encoder.ids(text.encode()) == struct.pack(f"<{len(ids)}I", *ids)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_is_best_fit_and_gapless(seed):
     rng = random.Random(seed)

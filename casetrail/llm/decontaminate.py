@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from casetrail.llm.rows import col, packed, unpacked
+from casetrail.llm.rows import col, lean, packed, unpacked
 
 THRESHOLD = 0.5
 OVERLAP = 0.8
@@ -39,7 +39,7 @@ BLOCK = 16
 WORDS = 100_000
 CELLS = 4_000_000
 """Passages times items whose scores are held at a time."""
-_MEMO = 300_000
+_MEMO = 100_000
 _NOT_A_WORD, _UNKNOWN = -2, -1
 _INNER = re.compile(r"[\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=\S)")
@@ -268,7 +268,7 @@ def _matched(rows: DataFrame, index: Index, text: str) -> DataFrame:
             found = [[dict(zip(names, m)) for m in matches] for matches in sent.value.matches(texts)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(found, kind)], [*kept, "found"])
 
-    return rows.mapInArrow(matched, schema)
+    return rows.mapInArrow(lean(matched), schema)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",

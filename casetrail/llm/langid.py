@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casetrail.llm.rows import col, fold, held_out, packed, unpacked
+from casetrail.llm.rows import col, fold, held_out, lean, packed, unpacked
 
 UNKNOWN = "und"
 FOLDS, HELD_OUT, CALIBRATION = 4, 2, 3
@@ -252,7 +252,7 @@ def identify(rows: DataFrame, found: Identifier, text: str = "text") -> DataFram
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *columns],
                                              [*kept, "lang_pred", "score", "rejected"])
 
-    return rows.mapInArrow(judged, schema)
+    return rows.mapInArrow(lean(judged), schema)
 
 
 def languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **how) -> DataFrame:

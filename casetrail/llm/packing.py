@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -22,13 +23,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casetrail.llm.rows import SMALL_ROWS, col
+from casetrail.llm.rows import SMALL_ROWS, col, lean
 from casetrail.session import broadcast_if_small, stash
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 END = b"\0\0\0\0"
-_MEMO = 600_000
+_MEMO = 150_000
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+# byte-level vocabularies write a byte that cannot be seen as a letter from 256 on
+_BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 _STEP = 1 << 14
 _MARKS = re.compile(r"(?:^|(?<=[^\W_]))([!-&(-/:-@\[-^`{-~]+)(?=[^\W_]|$)")
 
@@ -53,45 +57,46 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _encoded(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn_parts(self, parts: set[str]) -> None:
-        letters = [p for p in parts if p.isalpha()]
-        if letters:  # in one text: each is one word to the tokenizer
-            found = self.tokenizer.encode(" ".join(letters), add_special_tokens=False)
-            ids, cuts = np.array(found.ids, "<u4"), np.flatnonzero(np.diff(np.array(found.word_ids, np.int64))) + 1
-            if len(cuts) + 1 == len(letters):
-                ends = (4 * cuts).tolist()
-                data = ids.tobytes()
-                self.parts.update((p, data[x:y]) for p, x, y in zip(letters, [0, *ends], [*ends, len(data)]))
-        for part in parts.difference(self.parts):
-            self.parts[part] = self._encoded(part)
-
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.parts) > _MEMO:
-            self.parts.clear()
-        new = [(w, _MARKS.sub(" \\1 ", w.decode()).split(" ")) for w in words]
-        self._learn_parts({p for _, parts in new for p in parts}.difference(self.parts))
-        self.words.update((w, b"".join(map(self.parts.__getitem__, parts))) for w, parts in new)
+        self.number = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
+        self.known: dict[bytes, bytes] = {}
+        """Ids of words and of parts of words."""
+        self.before: dict[bytes, bytes] = {}
+
+    def _encoded(self, part: bytes) -> bytes:
+        text = part.decode()
+        if text.isalpha() and max(text) <= "\xff":
+            # lower-cased letters that nothing composes with: the model alone gives the same, it has a letter for each byte
+            tokens = self.tokenizer.model.tokenize(text.lower().encode().decode("latin-1").translate(_BYTES))
+            return b"".join([self.number[token.id] for token in tokens])
+        return b"".join([self.number[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+
+    def _learned(self, word: bytes) -> bytes:
+        found = self.known.get(word) or self.before.get(word)
+        if found is None:
+            core = word.rstrip(b".,;:!?")
+            if core and len(core) < len(word) and core.decode().isalnum():
+                parts = [core, word[len(core):]]
+            elif word.isalpha():
+                parts = [word]
+            else:
+                parts = [p.encode() for p in _MARKS.sub(" \\1 ", word.decode()).split(" ") if p]
+            found = self._encoded(word) if len(parts) == 1 else b"".join([self._learned(part) for part in parts])
+        self.known[word] = found
+        return found
 
     def ids(self, text: bytes | None) -> bytes:
         if not text:
             return b""
         if b"<|" in text or b"\xc4\xb0" in text:
-            return self._encoded(text.decode())
+            return b"".join([self.number[i] for i in self.tokenizer.encode(text.decode(), add_special_tokens=False).ids])
         words = text.lower().split()  # A-Z and ASCII white space only
         try:
-            return b"".join(map(self.words.__getitem__, words))
+            return b"".join(map(self.known.__getitem__, words))
         except KeyError:
-            kinds = set(words)
-            if len(self.words) + len(kinds) > _MEMO:
-                self.words.clear()  # words of this text too, so all are learned
-            self._learn(kinds.difference(self.words))
-            return b"".join(map(self.words.__getitem__, words))
+            if len(self.known) > _MEMO:  # what was used lately stays
+                self.known, self.before = {}, self.known
+            known, learned = self.known.get, self._learned
+            return b"".join([known(word) or learned(word) for word in words])
 
 
 @cache
@@ -137,7 +142,7 @@ def pieces(rows: DataFrame, text: str = "text", path: str | None = None, capacit
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in kept], *columns], [*kept, *added])
 
-    return stash(rows.select(*kept, text).mapInArrow(cut, schema))
+    return stash(rows.select(*kept, text).mapInArrow(lean(cut), schema))
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:

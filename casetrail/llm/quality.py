@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casetrail.llm.rows import col, fold
+from casetrail.llm.rows import col, fold, lean
 from casetrail.session import stash
 
 FOLDS, HELD_OUT, CALIBRATION = 4, 2, 3
@@ -93,7 +93,7 @@ def features(rows: DataFrame, text: str = "text") -> DataFrame:
             x = pa.array([statistics(value.as_py()) for value in batch.column(text)], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], x], [*kept, "x"])
 
-    return rows.select(*kept, text).mapInArrow(measured, schema)
+    return rows.select(*kept, text).mapInArrow(lean(measured), schema)
 
 
 @dataclass

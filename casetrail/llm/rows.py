@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,6 +88,18 @@ def join_counted(rows: DataFrame, values: DataFrame, key: str, n: str = "n", how
     return few.unionByName(rest)
 
 
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = 2_000) -> Callable:
+    """``work`` for ``mapInArrow`` on batches of at most ``rows`` rows; a worker that is done gives its buffers back, because it
+    stays for other tasks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batch.slice(at, rows) for batch in batches for at in range(0, batch.num_rows, rows))
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def fold(doc_id: str, parts: int) -> Column:
     """The remainder that assigns a document to training or to held-out rows. A null id is in no fold."""
     return F.crc32(col(doc_id).cast("string")) % parts

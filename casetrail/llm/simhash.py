@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casetrail.llm.components import components
-from casetrail.llm.rows import anchored, col, join_counted, placed, unpacked, without
+from casetrail.llm.rows import anchored, col, join_counted, lean, placed, unpacked, without
 from casetrail.session import stash
 
 WIDTH = 4
@@ -73,7 +73,7 @@ def fingerprints(rows: DataFrame, text: str = "text", width: int = WIDTH) -> Dat
             found = _signed([fingerprint(value.as_py(), width) for value in texts])
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(found)], [*kept, "fp"])
 
-    return rows.select(*kept, text).mapInArrow(hashed, schema)
+    return rows.select(*kept, text).mapInArrow(lean(hashed), schema)
 
 
 class Tree:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casetrail.llm.rows import SMALL_ROWS, anchored, col, join_counted, placed
+from casetrail.llm.rows import SMALL_ROWS, anchored, col, join_counted, lean, placed
 from casetrail.session import broadcast_if_small, shared_folder, stash
 
 VERSION = b"WARC/1.1\r\n"
@@ -38,8 +38,8 @@ RECORD = ("file string, record_id string, type string, doc_id string, url string
 
 
 def chunked(payload: bytes, chunk: int = CHUNK) -> bytes:
-    """Chunked transfer framing. No chunk has a whole version line, so no framed payload has one."""
-    cuts = {m.start() + 4 for m in re.finditer(re.escape(VERSION), payload)}
+    """Chunked transfer framing. No chunk has a whole version mark, so no framed payload has a version line."""
+    cuts = {m.start() + 4 for m in re.finditer(re.escape(VERSION.strip()), payload)}
     cuts = sorted({*cuts, *range(0, len(payload), chunk), len(payload)})
     parts = [payload[a:b] for a, b in zip(cuts, cuts[1:])]
     return b"".join(b"%x\r\n%b\r\n" % (len(p), p) for p in parts) + b"0\r\n\r\n"
@@ -97,11 +97,12 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            own: list[bytes] = []
             for row in batch.to_pylist():
-                own = list(records(row["record_id"], row["page_id"], row["url"], row["payload"], row["digest"], row["refers"], segment, chunk))
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary())], ["record"])
+                own += records(row["record_id"], row["page_id"], row["url"], row["payload"], row["digest"], row["refers"], segment, chunk)
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary())], ["record"])
 
-    found = whole.drop("file", "pos").mapInArrow(written, "record binary")
+    found = whole.drop("file", "pos").mapInArrow(lean(written, 200), "record binary")
     found.select(F.col("record").cast("string").alias("value")).write.option("lineSep", GAP.decode()).text(folder)
 
 
@@ -175,7 +176,7 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
                     rows.append(_row(file.as_py(), *found) if found else {"file": file.as_py(), "type": "broken"})
             yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
-    found = stash(texts.mapInArrow(read, RECORD))
+    found = stash(texts.mapInArrow(lean(read), RECORD))
     broken = found.where("type = 'broken'").select("file").distinct()
     if broken.isEmpty():
         return found
@@ -246,7 +247,7 @@ def captures(found: DataFrame) -> DataFrame:
     read = rows.drop("block").select(*names, "complete", "payload").schema
     right = (F.col("type") == "revisit") | F.coalesce(F.sha1("payload") == F.col("digest"), F.col("payload").isNotNull() & F.col("digest").isNull())
     status = F.when(~F.col("complete"), "incomplete").when(right, "whole").otherwise("damaged")
-    return rows.drop("payload").mapInArrow(decoded, read).select(
+    return rows.drop("payload").mapInArrow(lean(decoded), read).select(
         "record_id", F.col("type").alias("record_type"), "doc_id", "url", "refers", "digest", "payload", status.alias("status"))
 
 

@@ -18,14 +18,15 @@ from casetrail.functions.text import strip
 from casetrail.operators.ordering import (
     Grouped,
     digest_text,
+    numbered,
     order_free_digest,
     with_next,
     with_position,
     with_running_max,
 )
+from casetrail.session import broadcast_if_small, stash
 
 CONV = "conv_id"
-PIECES_PER_TEXT = 10_000
 
 
 def turns_of(turns: DataFrame, long_keys: list | None = None) -> Grouped:
@@ -58,9 +59,10 @@ def contract(turns: DataFrame) -> DataFrame:
                         error.alias("first_error"))
 
 
-def contract_errors(checked: DataFrame, most: int = 20) -> DataFrame:
-    """The first faulty conversations; ``most`` bounds the report, not the check."""
-    return checked.where("first_error is not null").orderBy(CONV).limit(most)
+def contract_errors(checked: DataFrame, most: int | None = None) -> DataFrame:
+    """The faulty conversations, or the first ``most`` of them."""
+    faulty = checked.where("first_error is not null")
+    return faulty if most is None else faulty.orderBy(CONV).limit(most)
 
 
 # --- shaping --------------------------------------------------------------------------------------------------------
@@ -94,14 +96,9 @@ def with_islands(turns: Grouped) -> Grouped:
 
 
 def merge_turns(turns: Grouped) -> Grouped:
-    """Consecutive turns of one role as one, texts joined by line breaks.
-
-    A run of more than ten thousand turns comes back in several rows (``part`` 0, 1, ..) in place of one huge text.
-    """
-    runs = with_islands(turns).rows.withColumn("_at", F.col("turn") - F.col("first_turn"))
-    pieces = runs.withColumn("part", F.floor(F.col("_at") / PIECES_PER_TEXT))
+    """Consecutive turns of one role as one, texts joined by line breaks. A run is one message, whatever its length."""
     text = F.array_sort(F.collect_list(F.struct("turn", "text"))).getField("text")
-    merged = pieces.groupBy(CONV, F.col("first_turn").alias("turn"), "part").agg(
+    merged = with_islands(turns).rows.groupBy(CONV, F.col("first_turn").alias("turn")).agg(
         F.any_value("role").alias("role"), F.array_join(text, "\n").alias("text"),
         F.count(F.lit(1)).alias("n_turns"))
     return Grouped(merged, CONV, turns.long_keys)
@@ -137,12 +134,21 @@ def split_of(fingerprint: Column, eval_fraction: float = fixed.EVAL_FRACTION, se
     return F.when(draw < int(round(eval_fraction * 1_000_000)), "eval").otherwise("train")
 
 
+def with_held_out(train: DataFrame, held_out: DataFrame) -> DataFrame:
+    """Training rows with ``held_out``: whether their fingerprint occurs in the held-out rows.
+
+    A fingerprint that many training rows share is looked up once: the distinct ones meet the held-out ones, and only
+    those that do go back to the rows.
+    """
+    met = train.select("fingerprint").distinct().join(held_out.select("fingerprint").distinct(), "fingerprint", "left_semi")
+    marked = broadcast_if_small(met.withColumn("_met", F.lit(True)))
+    return train.join(marked, "fingerprint", "left").withColumn("held_out", F.coalesce("_met", F.lit(False))).drop("_met")
+
+
 def decontaminate(train: DataFrame, held_out: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Training rows whose fingerprint does not occur in the held-out rows, and the number removed."""
-    known = held_out.select("fingerprint").distinct()
-    kept = train.join(known, "fingerprint", "left_anti")
-    removed = train.join(known, "fingerprint", "left_semi").agg(F.count(F.lit(1)).alias("n_removed"))
-    return kept, removed
+    flagged = with_held_out(train, held_out)
+    return flagged.where("not held_out").drop("held_out"), flagged.agg(F.count_if("held_out").alias("n_removed"))
 
 
 def dataset_card(rows: DataFrame) -> DataFrame:
@@ -162,21 +168,13 @@ def source_stats(rows: DataFrame) -> DataFrame:
 # --- records with all messages --------------------------------------------------------------------------------------
 
 
-def to_records(turns: Grouped, min_turns: int = 1, most: int = PIECES_PER_TEXT) -> tuple[DataFrame, DataFrame]:
-    """Conversations as one row with ``messages``; those of more than ``most`` turns stay rows per turn (second)."""
-    sizes = turns.rows.groupBy(CONV).agg(F.count(F.lit(1)).alias("n_messages")).where(F.col("n_messages") >= min_turns)
-    sized = turns.rows.join(sizes, CONV)
-    message = F.struct("turn", "part", "role", F.col("text").alias("content")) if "part" in turns.rows.columns else (
-        F.struct("turn", "role", F.col("text").alias("content")))
-    ordered = F.array_sort(F.collect_list(message))
-    records = sized.where(F.col("n_messages") <= most).groupBy(CONV).agg(
-        F.count(F.lit(1)).alias("n_messages"), ordered.alias("_ordered"))
+def to_records(turns: Grouped, min_turns: int = 1) -> DataFrame:
+    """Conversations of at least ``min_turns`` turns as one row with ``messages``. A record is one line of a dataset file
+    and one value here, whatever its length."""
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    records = turns.rows.groupBy(CONV).agg(F.count(F.lit(1)).alias("n_messages"), ordered.alias("_ordered"))
     messages = F.transform("_ordered", lambda m: F.struct(m.role.alias("role"), m.content.alias("content")))
-    return (records.select(CONV, "n_messages", messages.alias("messages")),
-            sized.where(F.col("n_messages") > most).drop("n_messages"))
-
-
-SOURCE_BITS = 48
+    return records.where(F.col("n_messages") >= min_turns).select(CONV, "n_messages", messages.alias("messages"))
 
 
 def ready_sources(sources: list[dict]) -> list[dict]:
@@ -187,60 +185,66 @@ def ready_sources(sources: list[dict]) -> list[dict]:
             continue
         license_name = str(source.get("license", "")).strip()
         if not license_name:
-            raise ValueError(f"{source['name']}: missing license")
+            raise ValueError(f"source {source['name']!r} states no license")
         if license_name.startswith("check-"):
-            raise ValueError(f"{source['name']}: license is not verified: {license_name}")
+            raise ValueError(f"source {source['name']!r} has a license nobody has checked yet ({license_name})")
         ready.append({**source, "source_order": order})
     return ready
 
 
 def read_sources(spark, sources: list[dict]) -> DataFrame:
-    """Dataset rows of all ready sources: ``source_order, entry, source, license, notes, row``.
+    """Dataset rows of all ready sources: ``source_order, entry, source, license, notes, file, place, row``.
 
-    ``entry`` is one number that orders rows by source and place. A source's ``limit`` counts its raw rows.
+    ``entry`` (source, then a number that rises by file name and place) names and orders the rows. A source's ``limit``
+    counts its raw rows.
     """
+    from casetrail.sources.files import FILE, file_offsets, with_ingest_seq
     from casetrail.sources.jsonl import read_lines, strict_rows
 
     parts = []
     for source in ready_sources(sources):
         if source.get("type", "local_jsonl") != "local_jsonl":
-            raise ValueError(f"unknown source type: {source['type']}")
-        lines = read_lines(spark, source["path"])
+            raise ValueError(f"source {source['name']!r} is of a kind that cannot be read: {source['type']}")
+        lines = with_ingest_seq(read_lines(spark, source["path"]), F.col("place"), file_offsets(spark, source["path"]), "seq")
         if source.get("limit") is not None:
-            numbered = Grouped(lines.withColumn("_source", F.lit(0)), "_source").each(
-                lambda rows, is_long: with_position(rows, "_source", ["place"], "_number", is_long))
-            lines = numbered.where(F.col("_number") <= int(source["limit"])).drop("_source", "_number")
+            lines = numbered(lines, ["seq"], "_number").where(F.col("_number") <= int(source["limit"])).drop("_number")
         rows = strict_rows(lines)
         parts.append(rows.select(
             F.lit(source["source_order"]).alias("source_order"),
-            (F.lit(source["source_order"] << SOURCE_BITS).cast("long") + F.col("place")).alias("entry"),
+            F.struct(F.lit(source["source_order"]).alias("source_order"), "seq").alias("entry"),
             F.lit(source["name"]).alias("source"), F.lit(source["license"]).alias("license"),
-            F.lit(source.get("notes")).cast("string").alias("notes"), "row"))
+            F.lit(source.get("notes")).cast("string").alias("notes"), F.col(FILE).alias("file"), "place", "row"))
     return reduce(DataFrame.unionByName, parts)
 
 
 def collect_records(rows: DataFrame, eval_fraction: float = fixed.EVAL_FRACTION, seed: int = fixed.SPLIT_SEED,
                     max_total: int | None = None) -> DataFrame:
-    """Checked, de-duplicated and split records with a ``status``: written, bad or duplicate.
+    """Checked, de-duplicated and split records with a ``status``: written, bad or duplicate; ``error`` says why a row is
+    bad, ``file`` and ``place`` where it stands.
 
     With ``max_total``, reading stops where that many have been written; what follows has no status and is left out.
     """
-    kept = ["source_order", "entry", "source", "license", "notes"]
+    kept = [c for c in rows.columns if c != "row"]
     raw = computed(rows, kept, F.struct(M.row_messages(F.col("row")).alias("raw")))
     checked = computed(raw, [*kept, "raw"], F.struct(M.first_error(F.col("raw")).alias("error")))
     tidied = computed(checked, [*kept, "error"], F.struct(
         F.when(F.col("error").isNull(), M.tidy(F.col("raw"))).alias("messages")))
     named = computed(tidied, [*kept, "error", "messages"], F.struct(M.fingerprint(F.col("messages")).alias("fingerprint")))
-    narrow = first_copies(named.where("error is null").select("entry", "fingerprint"), "entry").select("entry", "status")
-    records = named.join(narrow, "entry", "left").withColumn("status", F.coalesce("status", F.lit("bad")))
-    records = records.withColumn("split", F.when(
+    narrow = stash(named.where("error is null").select("entry", "fingerprint"))
+    copies = stash(first_copies(narrow, "entry").where("status = 'duplicate'").select("entry", F.lit(True).alias("_copy")))
+    marked = named.join(broadcast_if_small(copies), "entry", "left")
+    status = F.when(F.col("error").isNotNull(), "bad").when(F.col("_copy"), "duplicate").otherwise("written")
+    records = marked.withColumn("status", status).drop("_copy").withColumn("split", F.when(
         F.col("status") == "written", split_of(F.col("fingerprint"), eval_fraction, seed)))
     if max_total is None:
         return records
-    written = narrow.where("status = 'written'").select("entry").orderBy("entry").limit(max_total)
-    last = written.agg(F.max("entry").alias("last"), F.count(F.lit(1)).alias("n"))
-    end = last.select(F.when(F.col("n") >= max_total, F.col("last"))).scalar()
-    return records.where(end.isNull() | (F.col("entry") <= end))
+    written = narrow.join(broadcast_if_small(copies), "entry", "left_anti").select("entry")
+    end = numbered(written, ["entry"], "_number").where(F.col("_number") == max_total).first()
+    if end is None:
+        return records
+    order, seq = end["entry"]["source_order"], end["entry"]["seq"]
+    return records.where((F.col("entry.source_order") < order) | (
+        (F.col("entry.source_order") == order) & (F.col("entry.seq") <= seq)))
 
 
 def record_lines(records: DataFrame) -> DataFrame:

@@ -27,11 +27,23 @@ def case_flags(log: EventLog) -> DataFrame:
         has(ran("DefectRaised"), "defect"), has(ran("RectifyComplete"), "rectified"),
         F.count_if(ran("Attended")).alias("visits"),
         has(F.col("activity").isin("Invoice", "Paid") & (F.col("source_system") == FINANCE), "billed"),
-        has(ran("JobComplete") & (F.col("source_system") == FIELD), "delivered"))
+        has(ran("JobComplete") & (F.col("source_system") == FIELD), "delivered"),
+        _first_resource("Quote").alias("quoter"), _first_resource("QuoteApproved").alias("approver"),
+        F.max(F.unix_micros("ts")).alias("latest_us"))
+
+
+def _first_resource(activity: str) -> Column:
+    """Who is recorded first with an activity."""
+    return F.min_by(F.when(F.col("activity") == activity, F.col("resource")),
+                    F.when(F.col("activity") == activity, F.col("ingest_seq")))
+
+
+def _same_person() -> Column:
+    return F.coalesce((F.col("quoter") == F.col("approver")) & (F.col("quoter") != ""), F.lit(False))
 
 
 def case_counts(log: EventLog) -> DataFrame:
-    """One row with the numerators and denominators of the case-level detectors."""
+    """One row with the numerators and denominators of the case-level detectors, and the latest time in the log."""
     def both(*conditions: Column) -> Column:
         whole = conditions[0]
         for condition in conditions[1:]:
@@ -45,16 +57,15 @@ def case_counts(log: EventLog) -> DataFrame:
         both(yes["defect"]).alias("defects"), both(yes["defect"], ~yes["rectified"]).alias("stalled"),
         both(yes["invoiced"]).alias("invoiced"), both(yes["invoiced"], ~yes["approved"]).alias("no_approval"),
         F.count_if(F.col("visits") > 1).alias("repeat_visits"),
-        both(yes["billed"]).alias("billed"), both(yes["billed"], ~yes["delivered"]).alias("orphans"))
+        both(yes["billed"]).alias("billed"), both(yes["billed"], ~yes["delivered"]).alias("orphans"),
+        F.count_if(_same_person()).alias("self_approved"), F.max("latest_us").alias("latest_us"))
 
 
 def same_person_cases(log: EventLog) -> DataFrame:
     """Cases whose first quote and first approval were recorded by the same, named resource."""
     first = log.events.where(F.col("activity").isin("Quote", "QuoteApproved")).groupBy(CASE).agg(
-        *[F.min_by(F.when(F.col("activity") == a, F.col("resource")),
-                   F.when(F.col("activity") == a, F.col("ingest_seq"))).alias(name)
-          for a, name in (("Quote", "quoter"), ("QuoteApproved", "approver"))])
-    return first.where("quoter = approver and quoter <> ''")
+        _first_resource("Quote").alias("quoter"), _first_resource("QuoteApproved").alias("approver"))
+    return first.where(_same_person())
 
 
 def cross_source_orphans(log: EventLog) -> DataFrame:
@@ -64,9 +75,10 @@ def cross_source_orphans(log: EventLog) -> DataFrame:
     return billed.select(CASE).distinct().join(done.select(CASE).distinct(), CASE, "left_anti")
 
 
-def asset_services(log: EventLog) -> DataFrame:
-    """Last routine service per asset and whether it is overdue at the latest time in the log."""
-    review = log.events.agg(F.max(F.unix_micros("ts"))).scalar()
+def asset_services(log: EventLog, review: Column | None = None) -> DataFrame:
+    """Last routine service per asset and whether it is overdue at ``review``, the latest time in the log."""
+    if review is None:
+        review = log.events.agg(F.max(F.unix_micros("ts"))).scalar()
     last = F.greatest(F.max(F.unix_micros("ts")), F.lit(0))
     allowed = (fixed.COMPLIANCE_INTERVAL_DAYS + fixed.COMPLIANCE_GRACE_DAYS) * DAY_US
     services = log.events.where("activity = 'RoutineService' and entity_fqn <> ''")
@@ -74,8 +86,8 @@ def asset_services(log: EventLog) -> DataFrame:
             .withColumn("overdue", review - F.col("last_us") > allowed))
 
 
-def asset_counts(log: EventLog) -> DataFrame:
-    return asset_services(log).agg(F.count(F.lit(1)).alias("assets"), F.count_if(F.col("overdue")).alias("overdue"))
+def asset_counts(log: EventLog, review: Column | None = None) -> DataFrame:
+    return asset_services(log, review).agg(F.count(F.lit(1)).alias("assets"), F.count_if(F.col("overdue")).alias("overdue"))
 
 
 def _rate(counts: DataFrame, order: int, kind: str, part: str, whole: str, above: float, evidence: Column | None = None
@@ -114,10 +126,8 @@ def dispatch_bottleneck(facts: DataFrame, factor: float = fixed.BOTTLENECK_FACTO
     return bottlenecks(facts, factor, "dispatch-bottleneck", 6, fixed.JOB_FLOW)
 
 
-def segregation_of_duties(same_person: DataFrame, counts: DataFrame) -> DataFrame:
-    """``same_person`` is :func:`same_person_cases`."""
-    jobs = same_person.agg(F.count(F.lit(1)).alias("jobs")).scalar()
-    return _rate(counts.withColumn("jobs", jobs), 7, "segregation-of-duties", "jobs", "n_cases",
+def segregation_of_duties(counts: DataFrame) -> DataFrame:
+    return _rate(counts.withColumnRenamed("self_approved", "jobs"), 7, "segregation-of-duties", "jobs", "n_cases",
                  fixed.SMALL_RATE_FLOOR, F.struct("jobs"))
 
 
@@ -132,7 +142,8 @@ def recording_error(facts: DataFrame) -> DataFrame:
 def detect(log: EventLog, facts: DataFrame, counts: DataFrame, factor: float = fixed.BOTTLENECK_FACTOR) -> DataFrame:
     """All field-service detections. ``facts`` and ``counts`` (:func:`case_counts`) are best stored with ``stash``."""
     return assemble([
-        unbilled_completion(counts), rectification_stall(counts), compliance_overdue(asset_counts(log)),
+        unbilled_completion(counts), rectification_stall(counts),
+        compliance_overdue(asset_counts(log, counts.select("latest_us").scalar())),
         approval_gap(counts), rework_loop(counts), dispatch_bottleneck(facts, factor),
-        segregation_of_duties(same_person_cases(log), counts), cross_source_orphan(counts), recording_error(facts),
+        segregation_of_duties(counts), cross_source_orphan(counts), recording_error(facts),
     ])

@@ -14,8 +14,9 @@ def case_total(facts: DataFrame) -> Column:
     return F.coalesce(of_kind(facts, TOTAL).select("n").scalar(), F.lit(0))
 
 
-def slow_steps(facts: DataFrame, factor: float = fixed.BOTTLENECK_FACTOR, within: list[str] | None = None) -> DataFrame:
-    """Steps whose mean time is at least ``factor`` times the median of the means, slowest first, at most ten.
+def slow_steps(facts: DataFrame, factor: float = fixed.BOTTLENECK_FACTOR, within: list[str] | None = None,
+               keep: int | None = None) -> DataFrame:
+    """Steps whose mean time is at least ``factor`` times the median of the means; with ``keep`` the slowest of them.
 
     ``within`` restricts the candidates (and the median) to steps between those activities; the frequency is always
     over the steps of all cases.
@@ -28,19 +29,22 @@ def slow_steps(facts: DataFrame, factor: float = fixed.BOTTLENECK_FACTOR, within
     most = F.coalesce(F.nullif(stats.select("most").scalar(), F.lit(0.0)), F.lit(1.0))
     steps = of_kind(facts, STEP).select("src", "dst", F.col("n").alias("n_steps"))
     total = steps.agg(F.sum("n_steps")).scalar()
-    slowest = timed.where(F.col("mean_s") >= factor * median).orderBy(F.desc("mean_s"), "src", "dst")
+    slow = timed.where(F.col("mean_s") >= factor * median)
+    if keep is not None:
+        slow = slow.orderBy(F.desc("mean_s"), "src", "dst").limit(keep)
     return (
-        slowest.limit(fixed.BOTTLENECK_KEEP).join(steps, ["src", "dst"], "left")
+        slow.join(steps, ["src", "dst"], "left")
         .select("src", "dst", "mean_s", (F.col("mean_s") / most).alias("severity"),
                 F.coalesce("n_steps", F.lit(0)).alias("n_steps"))
         .withColumn("frequency", F.col("n_steps") / total))
 
 
 def bottlenecks(facts: DataFrame, factor: float = fixed.BOTTLENECK_FACTOR, kind: str = "bottleneck", order: int = 1,
-                within: list[str] | None = None) -> DataFrame:
+                within: list[str] | None = None, keep: int | None = None) -> DataFrame:
+    """Findings of the slow steps; :data:`casetrail.fixed_values.BOTTLENECK_KEEP` is the usual ``keep`` of a short report."""
     key = F.concat("src", F.lit("->"), "dst")
     return detections(
-        slow_steps(facts, factor, within), order, kind, F.col("frequency"), F.col("mean_s"),
+        slow_steps(facts, factor, within, keep), order, kind, F.col("frequency"), F.col("mean_s"),
         F.struct(key.alias("transition"), F.col("n_steps").alias("n")), (key,), key, F.col("severity"))
 
 
@@ -61,10 +65,10 @@ def control_gaps(facts: DataFrame) -> DataFrame:
                       (activity, percent), activity)
 
 
-def recording_error_finding(facts: DataFrame, order: int = 4) -> DataFrame:
-    """One finding when any case goes back in time; the first cases by name are its evidence."""
+def recording_error_finding(facts: DataFrame, order: int = 4, cases_shown: int = fixed.EVIDENCE_CASES) -> DataFrame:
+    """One finding when any case goes back in time. Its metric counts all cases, its evidence names the first of them."""
     total = of_kind(facts, TOTAL).where("n_cases > 0")
-    first = of_kind(facts, BAD_CASE).select("src").orderBy("src").limit(fixed.EVIDENCE_CASES)
+    first = of_kind(facts, BAD_CASE).select("src").orderBy("src").limit(cases_shown)
     cases = first.agg(F.array_sort(F.collect_list("src"))).scalar()
     return detections(total, order, "recording-error", F.col("n_cases") / F.col("n"), F.col("n_cases"),
                       F.struct(cases.alias("cases")))

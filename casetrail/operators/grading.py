@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,12 +35,12 @@ def _first_fqn(events: DataFrame) -> Column:
 
 def naive_baseline(log: EventLog) -> DataFrame:
     """The most frequent activity called a bottleneck, and rework if it happens more than once per case on average."""
-    per_activity = log.events.groupBy("activity").agg(F.count(F.lit(1)).alias("n"))
-    total = per_activity.agg(F.sum("n")).scalar()
+    named = F.when(F.col("entity_fqn") != "", F.struct("case_id", "ingest_seq"))
+    per_activity = stash(log.events.groupBy("activity").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by("entity_fqn", named).alias("cite")))
     cases = log.events.agg(F.count_distinct("case_id")).scalar()
     most = per_activity.orderBy(F.desc("n"), "activity").limit(1)
-    first = _first_fqn(log.events.where(F.col("activity") == most.select("activity").scalar()))
-    top = most.withColumns({"total": total, "cases": cases, "cite": first})
+    top = most.withColumns({"total": per_activity.agg(F.sum("n")).scalar(), "cases": cases})
     volume = _naive(top, "bottleneck", F.col("activity"), F.col("n") / F.col("total"))
     repeats = _naive(top.where("n / cases > 1"), "rework", F.col("activity"), F.lit(0.5))
     return volume.unionByName(repeats)
@@ -69,12 +71,23 @@ def grade(rows: DataFrame, answers: DataFrame, *sources: DataFrame) -> DataFrame
     """Two rows, ``population`` ungated and gated, with tp, fp, fn, precision, recall, f1, the number of findings and
     the share of findings whose citation does not resolve. The large sources are looked through once; the flagged
     findings, which are few, are stored for the rest."""
-    flagged = stash(with_grounding(rows, *sources))
+    return grade_flagged(stash(with_grounding(rows, *sources)), answers)
+
+
+def grade_systems(systems: dict[str, DataFrame], answers: DataFrame, *sources: DataFrame) -> dict[str, DataFrame]:
+    """:func:`grade` for several registers, which look through the sources together."""
+    named = [rows.withColumn("_system", F.lit(name)) for name, rows in systems.items()]
+    flagged = stash(with_grounding(reduce(DataFrame.unionByName, named), *sources))
+    return {name: grade_flagged(flagged.where(F.col("_system") == name).drop("_system"), answers) for name in systems}
+
+
+def grade_flagged(flagged: DataFrame, answers: DataFrame) -> DataFrame:
+    """:func:`grade` of stored findings with ``grounded``."""
     counts = flagged.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("grounded")).alias("loose"))
     keys = answers.select("kind", normal_key(F.col("key")).alias("_key")).distinct().withColumn("known", F.lit(True))
     total = answers.agg(F.count(F.lit(1))).scalar()
     unique = _deduplicated(flagged, "ungated").unionByName(_deduplicated(flagged.where("grounded"), "gated"))
-    both = rows.sparkSession.createDataFrame([("ungated",), ("gated",)], "population string")
+    both = flagged.sparkSession.createDataFrame([("ungated",), ("gated",)], "population string")
     matched = unique.join(keys, ["kind", "_key"], "left").groupBy("population").agg(
         F.count_if(F.col("known")).alias("tp"), F.count_if(F.col("known").isNull()).alias("fp"))
     table = both.join(matched, "population", "left").select(

@@ -59,13 +59,13 @@ def case_count(log: EventLog) -> DataFrame:
 
 def coverage(log: EventLog) -> DataFrame:
     """Share of cases that contain each activity."""
-    per_case = case_activity(log)
-    total = per_case.select(CASE).distinct().agg(F.count(F.lit(1))).scalar()
-    return (
-        per_case.groupBy("activity").agg(F.count(F.lit(1)).alias("n_cases"))
-        .withColumn("total_cases", total)
-        .withColumn("coverage", F.col("n_cases") / F.col("total_cases"))
-    )
+    # the activities of each case, and once NULL for the case itself: one pass counts both
+    ran = log.events.groupBy(CASE).agg(F.collect_set("activity").alias("ran"))
+    each = ran.select(F.explode(F.concat("ran", F.array(F.lit(None).cast("string")))).alias("activity"))
+    counted = each.groupBy("activity").agg(F.count(F.lit(1)).alias("n_cases"))
+    total = F.max(F.when(F.col("activity").isNull(), F.col("n_cases"))).over(Window.partitionBy())
+    return (counted.withColumn("total_cases", total).where("activity is not null")
+            .withColumn("coverage", F.col("n_cases") / F.col("total_cases")))
 
 
 def throughput(log: EventLog) -> DataFrame:
@@ -139,33 +139,23 @@ def transition_durations(log: EventLog) -> DataFrame:
 # --- variants -------------------------------------------------------------------------------------------------------
 
 
-def _variant_per_case(log: EventLog, text_limit: int) -> DataFrame:
-    """``case_id, length, variant``: the joined activities up to ``text_limit`` events, a digest of them above."""
-    text_limit = min(text_limit, long_group_rows(log.events))
-    digests = order_free_digest(F.col("position"), F.col("activity"), only=~F.col("short"))
-    step = F.when(F.col("short"), F.struct("position", "activity"))
+def _variant_per_case(log: EventLog) -> DataFrame:
+    """``case_id, length, variant``: a digest of the activities and their positions, the same for cases of any length."""
+    digests = order_free_digest(F.col("position"), F.col("activity"))
 
-    def per_branch(events: DataFrame, is_long: bool) -> DataFrame:
-        placed = with_position(events.select(CASE, "activity", *TIME_ORDER), CASE, TIME_ORDER, "position", is_long)
-        size = F.count(F.lit(1)).over(Window.partitionBy(CASE))
-        sized = placed.withColumn("short", F.lit(False) if is_long else size <= text_limit)
-        steps = F.lit(None).cast("array<struct<position:bigint,activity:string>>")
-        per_case = sized.groupBy(CASE).agg(
-            F.count(F.lit(1)).alias("length"), *digests,
-            (F.first(steps) if is_long else F.array_sort(F.collect_list(step))).alias("steps"))
-        named = F.concat(F.lit("digest:"), digest_text(F.col("length")))
-        text = F.array_join("steps.activity", "->")
-        return per_case.select(CASE, "length", F.when(F.size("steps") > 0, text).otherwise(named).alias("variant"))
+    def placed(events: DataFrame, is_long: bool) -> DataFrame:
+        return with_position(events.select(CASE, "activity", *TIME_ORDER), CASE, TIME_ORDER, "position", is_long)
 
-    return log.each(per_branch)
+    per_case = log.each(placed).groupBy(CASE).agg(F.count(F.lit(1)).alias("length"), *digests)
+    return per_case.select(CASE, "length", digest_text(F.col("length")).alias("variant"))
 
 
-def variants(log: EventLog, text_limit: int = 10_000) -> DataFrame:
+def variants(log: EventLog) -> DataFrame:
     """Cases per distinct activity sequence: ``variant, length, n_cases, example_case``.
 
-    Sequences longer than ``text_limit`` events are named by a digest; :func:`variant_steps` spells them out.
+    A variant is named by a digest, so that no sequence has to fit into one value; :func:`variant_steps` spells it out.
     """
-    return _variant_per_case(log, text_limit).groupBy("variant", "length").agg(
+    return _variant_per_case(log).groupBy("variant", "length").agg(
         F.count(F.lit(1)).alias("n_cases"), F.min(CASE).alias("example_case"))
 
 

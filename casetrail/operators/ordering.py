@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from casetrail.session import stash
+
 LONG_GROUP_ROWS = "casetrail.longGroupRows"
 DEFAULT_LONG_GROUP_ROWS = 1_000_000
 MOST_LONG_GROUPS = 50_000
@@ -87,6 +89,22 @@ def _piece_ends(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     return marked.withColumn("_lane", F.when(F.col("_piece_first") | F.col("_piece_last"), F.lit(-1)).otherwise(F.col("_piece")))
 
 
+def numbered(df: DataFrame, order: Sequence[str | Column], new: str) -> DataFrame:
+    """Add the 1-based position of every row in the order of all rows.
+
+    The rows are cut into ranges by sampled boundaries and numbered range by range; a table with a row per range tells
+    how many come before. No task holds more than a range.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = stash(df.repartitionByRange(ranges, *order).withColumn("_piece", F.spark_partition_id()))
+    sizes = pieces.groupBy("_piece").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = sizes.select("_piece", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_earlier"))
+    within = F.row_number().over(Window.partitionBy("_piece").orderBy(*order))
+    return (pieces.withColumn("_at", within).join(F.broadcast(earlier), "_piece")
+            .withColumn(new, F.col("_earlier") + F.col("_at")).drop("_piece", "_at", "_earlier"))
+
+
 def with_next(df: DataFrame, key: str, order: Sequence[str], nexts: dict[str, str], is_long: bool) -> DataFrame:
     """Add the following row's value of some columns: ``nexts`` maps new name -> column."""
     if not is_long:
@@ -132,13 +150,18 @@ def with_running_max(df: DataFrame, key: str, order: Sequence[str | Column], val
         "_piece", "_piece_first", "_piece_last", "_lane", "_inside", "_earlier")
 
 
+def marked(text: Column) -> Column:
+    """A text with its length before it, NULL as ``-``: texts in a row then say where each begins and ends."""
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+
 def order_free_digest(*parts: Column, only: Column | None = None) -> list[Column]:
     """Aggregates that together identify a set of rows, whatever the order they are added in.
 
     Each row's SHA-256 is cut into four 32-bit numbers that are summed, so equal sets of rows get equal values, groups
     combine map-side and no group is ever collected. Include the position for sequences. ``only`` leaves rows out.
     """
-    digest = F.sha2(F.concat_ws("\u0001", *[p.cast("string") for p in parts]), 256)
+    digest = F.sha2(F.concat(*[marked(p.cast("string")) for p in parts]), 256)
     slices = [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long") for i in range(4)]
     return [F.sum(s if only is None else F.when(only, s)).alias(f"_digest{i}") for i, s in enumerate(slices)]
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from casetrail import fixed_values as fixed
 from casetrail.functions.text import clamp01, plain_number, report_cell, severity_band, strip
 from casetrail.operators.findings import FINDING_COLUMNS, findings, metric_fqn, metrics, register_order, score
-from casetrail.operators.ordering import Grouped, with_position
+from casetrail.operators.ordering import numbered
 from casetrail.session import broadcast_if_small, stash
 
 # --- tables ---------------------------------------------------------------------------------------------------------
@@ -38,9 +38,9 @@ def resolved_citations(cited: DataFrame, *sources: DataFrame) -> DataFrame:
 
     The few cited names go to the large sources, not the other way round.
     """
-    names = broadcast_if_small(cited.where("fqn <> ''").distinct())
-    found = [source.select("fqn").join(names, "fqn", "left_semi") for source in sources]
-    return reduce(DataFrame.unionByName, found).distinct()
+    names = broadcast_if_small(stash(cited.where("fqn <> ''").distinct()))
+    known = reduce(DataFrame.unionByName, [source.select("fqn") for source in sources])
+    return known.join(names, "fqn", "left_semi").distinct()
 
 
 def event_fqns(events: DataFrame) -> DataFrame:
@@ -97,10 +97,8 @@ def ranked(rows: DataFrame) -> DataFrame:
     advised = rows.join(F.broadcast(playbook(rows.sparkSession)), "kind", "left").withColumns({
         "priority": severity_band(F.col("severity")),
         "recommendation": F.coalesce("recommendation", F.lit(fixed.PLAYBOOK_DEFAULT)),
-        "_register": F.lit(0),
     })
-    return Grouped(advised, "_register").each(
-        lambda part, is_long: with_position(part, "_register", register_order(), "rank", is_long)).drop("_register")
+    return numbered(advised, register_order(), "rank")
 
 
 def report_lines(rows: DataFrame, title: str) -> DataFrame:
@@ -135,10 +133,11 @@ def report_text(rows: DataFrame, title: str) -> DataFrame:
     return report_lines(rows, title).orderBy("part", "rank", "line_no").select("line")
 
 
-def fact_pack(stored: DataFrame, size: int = fixed.FACT_PACK_SIZE) -> DataFrame:
-    """The first ``size`` metrics by name as one JSON text: ``n_facts, facts``."""
+def fact_pack(stored: DataFrame, size: int | None = None) -> DataFrame:
+    """The metrics by name as one JSON text: ``n_facts, facts``; with ``size`` the first of them."""
     fact = F.struct(F.col("fqn").alias("evidence_fqn"), "name", "value", F.col("evidence_json").alias("detail"))
-    return stored.orderBy("fqn").limit(size).agg(
+    chosen = stored if size is None else stored.orderBy("fqn").limit(size)
+    return chosen.agg(
         F.count(F.lit(1)).alias("n_facts"), F.to_json(F.array_sort(F.collect_list(fact))).alias("facts"))
 
 

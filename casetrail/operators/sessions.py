@@ -14,8 +14,9 @@ from casetrail.functions import messages as M
 from casetrail.functions.rows import computed
 from casetrail.functions.scrub import hits, redact, redact_counted, scrub_counted
 from casetrail.functions.text import collapse, session_class, strip, truncated
-from casetrail.operators.conversations import CONV, PIECES_PER_TEXT, merge_turns, to_records, trim_to_assistant
-from casetrail.operators.ordering import Grouped, with_next, with_position
+from casetrail.operators.conversations import CONV, merge_turns, to_records, trim_to_assistant
+from casetrail.operators.ordering import Grouped, with_position
+from casetrail.session import broadcast_if_small
 
 SESSION = "session_id"
 
@@ -189,10 +190,27 @@ def recurrence(signals: DataFrame, at_least: int = fixed.RECURRENCE_MIN) -> Data
     return counted.where(F.col("n_sessions") >= at_least)
 
 
+def with_recurrence(records: DataFrame, signals: DataFrame) -> DataFrame:
+    """Triage records with ``recurrence``: in how many sessions their most frequent signal occurs; 0 without one.
+
+    ``signals`` (``session_id, signal``) are counted over all sessions. A signal that many sessions share meets its count
+    by key; only signals of at least two sessions are counted as such, the others count 1.
+    """
+    own = signals.select(F.col(SESSION).alias("id"), "signal").distinct()
+    counted = own.groupBy("signal").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    most = own.join(broadcast_if_small(counted), "signal", "left").groupBy("id").agg(
+        F.max(F.coalesce("n", F.lit(1))).alias("recurrence"))
+    return records.join(most, "id", "left").withColumn("recurrence", F.coalesce("recurrence", F.lit(0)))
+
+
+def is_escalated() -> Column:
+    """Whether a record is worth a closer look: salient on its own, or with a signal that recurs in enough sessions."""
+    return (F.col("salience") >= fixed.SALIENCE_THRESHOLD) | (F.col("recurrence") >= fixed.RECURRENCE_MIN)
+
+
 def escalated(records: DataFrame) -> DataFrame:
-    """Records worth a closer look: salient on their own, or with a recurring signal (``recurrence`` column)."""
-    times = F.col("recurrence") if "recurrence" in records.columns else F.lit(0)
-    return records.where((F.col("salience") >= fixed.SALIENCE_THRESHOLD) | (times >= fixed.RECURRENCE_MIN))
+    """The records of :func:`with_recurrence` worth a closer look."""
+    return records.where(is_escalated())
 
 
 def triage_summary(records: DataFrame, done_before: DataFrame) -> DataFrame:
@@ -227,28 +245,21 @@ def transcript_turns(transcript: DataFrame) -> Grouped:
                    .select(CONV, "turn", "role", "text"), CONV, ordered.long_keys)
 
 
-def convert_transcripts(transcript: DataFrame, source: str, min_turns: int = 4, most: int = PIECES_PER_TEXT
-                        ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Transcripts as redacted conversation records; also those of more than ``most`` turns, as turns, and those blocked.
+def convert_transcripts(transcript: DataFrame, source: str, min_turns: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Transcripts as redacted conversation records, and those blocked.
 
     Runs of one role are merged, what follows the last assistant turn is dropped, every text is redacted. A record
-    whose joined text still trips the redactor is blocked, a long conversation if any two neighbouring turns do.
+    whose joined text still trips the redactor is blocked, whatever its length: a secret may lie over any number of turns.
     """
     merged = merge_turns(trim_to_assistant(transcript_turns(transcript)))
     clean = Grouped(merged.rows.withColumn("text", redact(F.col("text"))), CONV, merged.long_keys)
-    records, oversize = to_records(clean, min_turns, most)
+    records = to_records(clean, min_turns)
     joined = records.withColumn("_joined", F.array_join(F.transform("messages", lambda m: m.content), "\n"))
     passed, blocked = tripwire(joined, "_joined")
     described = passed.select(
         CONV, "messages", F.lit(source).alias("source"), F.lit("internal").alias("license"),
         F.concat(F.lit("redacted trajectory from "), CONV).alias("notes"))
-
-    pairs = Grouped(oversize, CONV, merged.long_keys).each(
-        lambda rows, is_long: with_next(rows, CONV, ["turn", "part"], {"_then": "text"}, is_long))
-    tripped = tripwire(pairs.withColumn("_joined", F.concat_ws("\n", "text", "_then")), "_joined")[1]
-    long_blocked = tripped.groupBy(CONV).agg(F.sum("residual").cast("int").alias("residual"))
-    kept = oversize.join(long_blocked.select(CONV), CONV, "left_anti")
-    return described, kept, blocked.select(CONV, "residual").unionByName(long_blocked)
+    return described, blocked.select(CONV, "residual")
 
 
 def redaction_audit(documents: DataFrame, column: str) -> DataFrame:

@@ -41,6 +41,15 @@ log AS (
          '' AS resource, 'web' AS source_system, 'web.user.' || user_id AS entity_fqn
   FROM events)"""
 
+SLICES = " || '-' || ".join(
+    f"lower(to_hex(sum(('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT)::BIGINT))" for i in range(4))
+
+
+def marked(value: str) -> str:
+    """A text with its length before it, NULL as a dash."""
+    return f"coalesce(length({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
 MEASURES = """,
 nexts AS (
   SELECT case_id, activity AS src, lead(activity) OVER (PARTITION BY case_id ORDER BY us, ingest_seq) AS dst FROM log),
@@ -54,13 +63,15 @@ dur AS (
   FROM recorded WHERE dst IS NOT NULL AND case_id NOT IN (SELECT case_id FROM bad) GROUP BY src, dst),
 per_case AS (SELECT case_id, activity, count(*) AS n FROM log GROUP BY case_id, activity),
 cases AS (SELECT count(DISTINCT case_id) AS n FROM log),
+placed AS (
+  SELECT case_id, activity, row_number() OVER (PARTITION BY case_id ORDER BY us, ingest_seq) AS position FROM log),
 sequences AS (
-  SELECT case_id, string_agg(activity, '->' ORDER BY us, ingest_seq) AS variant, count(*) AS length
-  FROM log GROUP BY case_id)"""
+  SELECT case_id, count(*) AS length, count(*) || '-' || %s AS variant
+  FROM (SELECT case_id, sha256(%s || %s) AS h FROM placed) GROUP BY case_id)"""
 
 
 def over(log: str, query: str) -> str:
-    return f"WITH {log}{MEASURES}\n{query}"
+    return f"WITH {log}{MEASURES % (SLICES, marked('position'), marked('activity'))}\n{query}"
 
 
 def jobs(query: str) -> str:
@@ -82,11 +93,8 @@ FROM per_case GROUP BY activity""",
     "variants": """
 SELECT variant, length, count(*) AS n_cases, min(case_id) AS example_case FROM sequences GROUP BY variant, length""",
     "variant_steps": """
-, longest AS (
-  SELECT variant, min(case_id) AS case_id FROM sequences
-  WHERE length = (SELECT max(length) FROM sequences) GROUP BY variant)
-SELECT variant, row_number() OVER (PARTITION BY variant ORDER BY us, ingest_seq) AS position, activity
-FROM log JOIN longest USING (case_id)""",
+, examples AS (SELECT variant, min(case_id) AS case_id FROM sequences GROUP BY variant)
+SELECT variant, position, activity FROM placed JOIN examples USING (case_id)""",
     "dfg_fitness": """
 , known AS (SELECT src, dst FROM dur WHERE total_us < n * 20 * 86400000000),
 shares AS (
@@ -494,12 +502,12 @@ SESSIONS = {
     "tool_topk": sessions("""
 SELECT * FROM (SELECT session_id, tool, count(*) AS n,
     row_number() OVER (PARTITION BY session_id ORDER BY count(*) DESC, tool) AS rank
-  FROM lines WHERE tool IS NOT NULL GROUP BY session_id, tool) WHERE rank <= 2"""),
+  FROM lines WHERE tool IS NOT NULL GROUP BY session_id, tool) WHERE rank <= 6"""),
     "corrections": sessions(f"""
 SELECT session_id, place, {cut(200)} AS correction FROM lines WHERE human AND regexp_matches(text, '{CORRECTION}')"""),
     "first_messages": sessions(f"""
 SELECT * FROM (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY place) AS rank, {cut(300)} AS message
-  FROM lines WHERE human) WHERE rank <= 2"""),
+  FROM lines WHERE human) WHERE rank <= 8"""),
     "session_index": sessions("""
 SELECT s.session_id, n_events, coalesce(cwd, '') AS cwd, coalesce(end_reason, '') AS end_reason
 FROM stats s LEFT JOIN (SELECT user_id::VARCHAR AS session_id, arg_max(props, event_id) AS cwd,
@@ -508,7 +516,13 @@ FROM stats s LEFT JOIN (SELECT user_id::VARCHAR AS session_id, arg_max(props, ev
 SELECT session_id AS id, salience, CASE WHEN judged THEN 'build' ELSE '' END AS session_class,
        CASE WHEN judged THEN 'ok' ELSE 'pending' END AS status, n_tool_errors AS errors,
        CASE WHEN judged THEN 'a note' ELSE '' END AS notes, n_mutations AS mutations FROM scored"""),
-    "escalation": sessions("SELECT session_id AS id, salience FROM scored WHERE salience >= 0.5"),
+    "escalation": sessions("""
+, signals AS (SELECT DISTINCT user_id::VARCHAR AS session_id, event_type || ':' || props AS signal FROM events),
+counted AS (SELECT signal, count(*) AS n FROM signals GROUP BY signal),
+recurring AS (SELECT session_id, max(n) AS recurrence FROM signals JOIN counted USING (signal) GROUP BY session_id)
+SELECT s.session_id AS id, salience, coalesce(recurrence, 0) AS recurrence
+FROM scored s LEFT JOIN recurring r ON s.session_id = r.session_id
+WHERE salience >= 0.5 OR coalesce(recurrence, 0) >= 3"""),
     "pending_sessions": sessions("SELECT session_id, n_events FROM stats WHERE n_tool_errors % 2 = 1"),
     "triage_summary": sessions("""
 SELECT count(*) FILTER (judged) AS ok, count(*) FILTER (NOT judged) AS pending,
@@ -538,14 +552,12 @@ trimmed AS (
   SELECT c.* FROM conversations c JOIN (
     SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'assistant' GROUP BY conv_id) e
   ON c.conv_id = e.conv_id AND c.turn <= e.last)"""
-SLICES = " || '-' || ".join(
-    f"lower(to_hex(sum(('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT)::BIGINT))" for i in range(4))
 VALID = f"""
 WITH {TRIMMED},
 valid AS (SELECT conv_id FROM ({CONTRACT % 'trimmed'}) WHERE first_error IS NULL),
 hashed AS (
-  SELECT conv_id, sha256(row_number() OVER (PARTITION BY conv_id ORDER BY turn) || chr(1) || role || chr(1) || {STRIPPED})
-    AS h FROM trimmed),
+  SELECT conv_id, sha256({marked('position')} || {marked('role')} || {marked('body')}) AS h
+  FROM (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position, {STRIPPED} AS body FROM trimmed)),
 prints AS (
   SELECT conv_id, count(*) AS n_messages, count(*) || '-' || {SLICES} AS fingerprint
   FROM hashed WHERE conv_id IN (SELECT conv_id FROM valid) GROUP BY conv_id)"""
@@ -566,7 +578,7 @@ statuses AS (
 CONVERSATIONS = {
     "conversation_contract": CONTRACT % "conversations",
     "conversation_errors": f"""
-SELECT * FROM ({CONTRACT % 'conversations'}) WHERE first_error IS NOT NULL ORDER BY conv_id LIMIT 20""",
+SELECT * FROM ({CONTRACT % 'conversations'}) WHERE first_error IS NOT NULL""",
     "merge_turns": """
 WITH two_sided AS (
   SELECT conv_id, turn, text, CASE role WHEN 'system' THEN 'user' ELSE role END AS role FROM conversations),
@@ -574,7 +586,7 @@ marked AS (
   SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) IS DISTINCT FROM role THEN 1 ELSE 0 END AS starts
   FROM two_sided),
 islands AS (SELECT *, sum(starts) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM marked)
-SELECT conv_id, min(turn) AS turn, 0::BIGINT AS part, min(role) AS role, count(*) AS n_turns,
+SELECT conv_id, min(turn) AS turn, min(role) AS role, count(*) AS n_turns,
        sha256(string_agg(text, chr(10) ORDER BY turn)) AS digest
 FROM islands GROUP BY conv_id, island""",
     "trim_turns": f"WITH {TRIMMED} SELECT conv_id, turn, role FROM trimmed",

@@ -67,11 +67,9 @@ def coverage(log: EventLog) -> DataFrame:
     return mining.coverage(log).withColumn("coverage", F.round("coverage", 6))
 
 
-def longest_variant_steps(log: EventLog) -> DataFrame:
-    """The sequences of the longest variants (all of the greatest length), one row per step."""
-    found = stash(mining.variants(log))
-    longest = found.where(F.col("length") == found.agg(F.max("length")).scalar())
-    return mining.variant_steps(log, longest)
+def variant_steps(log: EventLog) -> DataFrame:
+    """The sequences of all variants, one row per step."""
+    return mining.variant_steps(log, stash(mining.variants(log)))
 
 
 def fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +105,7 @@ MINING: dict[str, Query] = {
     "coverage": on_jobs(coverage),
     "recording_errors": on_jobs(mining.recording_errors),
     "variants": on_jobs(variants),
-    "variant_steps": on_landed_jobs(longest_variant_steps),
+    "variant_steps": on_landed_jobs(variant_steps),
     "dfg_fitness": fitness,
     "log_summary": log_summary,
     "web_activity_frequency": on_web(mining.activity_frequency),
@@ -132,12 +130,6 @@ def from_counts(detect: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: full(detect(field_service.case_counts(job_log(spark, sf_dir))))
 
 
-def same_person(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = landed_job_log(spark, sf_dir)
-    return full(field_service.segregation_of_duties(field_service.same_person_cases(log),
-                                                    field_service.case_counts(log)))
-
-
 def overdue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full(field_service.compliance_overdue(field_service.asset_counts(landed_job_log(spark, sf_dir))))
 
@@ -160,7 +152,7 @@ FINDINGS: dict[str, Query] = {
     "control_gaps": from_facts(generic.control_gaps),
     "recording_error_finding": from_facts(generic.recording_error_finding),
     "generic_register": generic_register,
-    "case_counts": on_jobs(field_service.case_counts),
+    "case_counts": on_jobs(lambda log: field_service.case_counts(log).drop("self_approved", "latest_us")),
     "unbilled_completion": from_counts(field_service.unbilled_completion),
     "rectification_stall": from_counts(field_service.rectification_stall),
     "compliance_overdue": overdue,
@@ -168,7 +160,7 @@ FINDINGS: dict[str, Query] = {
     "approval_gap": from_counts(field_service.approval_gap),
     "rework_loop": from_counts(field_service.rework_loop),
     "dispatch_bottleneck": from_facts(lambda f: field_service.dispatch_bottleneck(f, FACTOR)),
-    "segregation_of_duties": same_person,
+    "segregation_of_duties": from_counts(field_service.segregation_of_duties),
     "cross_source_orphan": from_counts(field_service.cross_source_orphan),
     "cross_source_orphan_cases": on_landed_jobs(field_service.cross_source_orphans),
     "field_service_register": lambda spark, sf_dir: findings.register(field_service_detections(spark, sf_dir)),
@@ -230,9 +222,10 @@ def grade_register(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rel_error_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = landed_job_log(spark, sf_dir)
     detected = stash(packs.run_field_service(log, FACTOR))
-    ours = graded(spark, findings.findings(detected), log, sf_dir, findings.metrics(detected))
-    naive = graded(spark, grading.naive_field_service_baseline(log), log, sf_dir)
-    return grading.compare(ours, naive)
+    systems = {"ours": findings.findings(detected), "naive": grading.naive_field_service_baseline(log)}
+    both = grading.grade_systems(systems, answers(spark), inputs.entities(spark, sf_dir), register.event_fqns(log.events),
+                                 findings.metrics(detected))
+    return grading.compare(both["ours"], both["naive"])
 
 
 def entity_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -398,7 +391,7 @@ def session_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tool_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.top_tools(S.tool_counts(derived.transcripts(spark, sf_dir)), 2)
+    return S.top_tools(S.tool_counts(derived.transcripts(spark, sf_dir)))
 
 
 def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -408,7 +401,7 @@ def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = S.user_messages(derived.transcripts(spark, sf_dir))
-    return S.first_rows(said, "session_id", ["place"], 2).select("session_id", "rank", "message")
+    return S.first_rows(said, "session_id", ["place"], S.fixed.SAMPLE_MESSAGES).select("session_id", "rank", "message")
 
 
 def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -421,7 +414,7 @@ def index_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = inputs.table(spark, sf_dir, "events")
     return last_entries(events.select(
         F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("place"),
-        F.col("value").cast("string").alias("ts"), F.col("props").alias("cwd"), F.col("event_type").alias("reason")))
+        F.col("value").cast("string").alias("ts"), F.col("props").alias("cwd"), F.col("event_type").alias("reason")), ["place"])
 
 
 def session_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -445,7 +438,9 @@ def salience(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.escalated(triage(spark, sf_dir)).select("id", "salience")
+    """Sessions that are salient, or whose user shares an event payload with at least two others."""
+    records = S.with_recurrence(triage(spark, sf_dir), event_signals(spark, sf_dir))
+    return S.escalated(records).select("id", "salience", "recurrence")
 
 
 def pending_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -462,11 +457,14 @@ def triage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.triage_summary(records, done)
 
 
+def event_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("session_id"), F.concat_ws(":", "event_type", "props").alias("signal"))
+
+
 def recurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event payloads that several users share."""
-    signals = inputs.table(spark, sf_dir, "events").select(
-        F.col("user_id").cast("string").alias("session_id"), F.concat_ws(":", "event_type", "props").alias("signal"))
-    return S.recurrence(signals)
+    return S.recurrence(event_signals(spark, sf_dir))
 
 
 def stream_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -509,7 +507,7 @@ def contract_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merge_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.merge_turns(derived.two_sided_turns(spark, sf_dir)).rows.select(
-        "conv_id", "turn", "part", "role", "n_turns", F.sha2("text", 256).alias("digest"))
+        "conv_id", "turn", "role", "n_turns", F.sha2("text", 256).alias("digest"))
 
 
 def trim_turns(spark: SparkSession, sf_dir: str) -> DataFrame:

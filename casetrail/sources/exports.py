@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +14,9 @@ from casetrail.functions.scrub import scrub
 from casetrail.functions.text import strip
 from casetrail.operators.mining import EventLog
 from casetrail.session import spread
-from casetrail.sources.files import BLOCK, FILE, ORIGIN, place_in_file, with_ingest_seq
+from casetrail.sources.files import BLOCK, FILE, ORIGIN, file_offsets, place_in_file, with_ingest_seq
 
-JSON_DOCUMENT_BYTES = 256 * 1024 * 1024
+MOST_NAMED_FILES = 10_000
 
 
 @dataclass(frozen=True)
@@ -41,30 +42,40 @@ XES = ColumnMap("case:concept:name", "concept:name", "time:timestamp", "org:reso
 def read_csv(spark: SparkSession, path: str, columns: ColumnMap, multiline: bool | None = None) -> DataFrame:
     """Raw text cells ``case_id, activity, ts, resource, entity_fqn, ingest_seq`` of CSV exports with a header.
 
-    Files can only be split among tasks when no quoted cell spans lines. ``multiline=None`` finds out with one
-    splittable pass over the text: a cell that spans lines leaves lines with an odd number of quotes.
+    A file can only be split among tasks when no quoted cell in it spans lines. ``multiline=None`` finds out with one
+    splittable pass over the text: a cell that spans lines leaves lines with an odd number of quotes. Files that have
+    such lines are read whole, the others in blocks. Beyond ten thousand files of that kind all are read whole.
     """
-    if multiline is None:
-        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-        multiline = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    offsets = file_offsets(spark, path)
+    if multiline is not None:
+        return _complete(with_ingest_seq(_csv_cells(spark, path, columns, multiline), F.col("_place_in"), offsets))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    origin = F.col("_metadata.file_path").alias(FILE)
+    odd = spark.read.text(path).select("value", origin).where(quotes % 2 == 1).select(FILE).distinct()
+    spanning = [r[0] for r in odd.limit(MOST_NAMED_FILES + 1).collect()]
+    if not spanning or len(spanning) > MOST_NAMED_FILES:
+        return read_csv(spark, path, columns, bool(spanning))
+    whole = _csv_cells(spark, [unquote(name) for name in spanning], columns, True)
+    split = _csv_cells(spark, path, columns, False).where(~F.col(FILE).isin(spanning))
+    return _complete(with_ingest_seq(whole.unionByName(split), F.col("_place_in"), offsets))
+
+
+def _csv_cells(spark: SparkSession, path: str | list[str], columns: ColumnMap, multiline: bool) -> DataFrame:
     read = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", multiline)
             .option("escape", '"').csv(path))
     present = set(read.columns)
     cells = [F.coalesce(F.col(f"`{column}`"), F.lit("")).alias(field) if column in present
              else F.lit("").alias(field) for field, column in columns.named().items()]
     rows = read.select(*cells, *[F.expr(e) for e in ORIGIN])
-    return _complete(with_ingest_seq(rows, place_in_file(), read.inputFiles()))
+    return rows.withColumn("_place_in", place_in_file())
 
 
 def read_json(spark: SparkSession, path: str, columns: ColumnMap) -> DataFrame:
     """The same cells from JSON documents: a list of rows, or an object with a ``rows`` list.
 
-    A document is one value and cannot be split, so its size is bounded as in a single read; anything but a list of
-    rows is an error, list entries that are not objects are skipped.
+    A document is one value, which a task reads whole: exports of any size are many documents, or CSV. Anything but a
+    list of rows is an error, list entries that are not objects are skipped.
     """
-    largest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
-    if largest > JSON_DOCUMENT_BYTES:
-        raise ValueError(f"a JSON export of {largest} bytes is too large for one document; split it or use CSV")
     read = spark.read.option("wholetext", True).text(path)
     text = F.regexp_replace("value", "^﻿", "")
     listed = F.from_json(text, "array<variant>")
@@ -77,7 +88,7 @@ def read_json(spark: SparkSession, path: str, columns: ColumnMap) -> DataFrame:
     cells = [F.coalesce(F.try_variant_get("_row", f"$[{_quoted(column)}]", "string"), F.lit("")).alias(field)
              for field, column in columns.named().items()]
     found = objects.select(*cells, "_at", FILE, BLOCK)
-    return _complete(with_ingest_seq(found, F.col("_at"), read.inputFiles())).drop("_at")
+    return _complete(with_ingest_seq(found, F.col("_at"), file_offsets(spark, path))).drop("_at")
 
 
 def _quoted(name: str) -> str:
@@ -92,7 +103,7 @@ def _complete(rows: DataFrame) -> DataFrame:
     for optional in ("resource", "entity_fqn"):
         if optional not in rows.columns:
             rows = rows.withColumn(optional, F.lit(""))
-    return rows.drop(BLOCK)
+    return rows.drop(BLOCK, "_place_in")
 
 
 def parsed(raw: DataFrame) -> DataFrame:

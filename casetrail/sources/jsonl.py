@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from casetrail import fixed_values as fixed
 from casetrail.functions.rows import computed
 from casetrail.functions.text import strip
+from casetrail.session import broadcast_if_small, stash
 from casetrail.sources.files import BLOCK, FILE, ORIGIN, place_in_file
 
 
@@ -55,11 +56,26 @@ def with_session(lines: DataFrame) -> DataFrame:
 
 
 def read_transcripts(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """Transcript lines as ``session_id, date, place, row``; broken lines are left out."""
+    """Transcript lines as ``session_id, date, place, row``; broken lines are left out.
+
+    A file is a session. Files of equal names in different folders have their folder before the name in the
+    ``session_id``.
+    """
     pattern = "*.jsonl"
     read = (spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern).text(path)
             .select("value", *[F.expr(e) for e in ORIGIN]))
-    return tolerant_rows(with_session(placed_lines(read)))
+    lines = with_session(placed_lines(read))
+    return tolerant_rows(_told_apart(lines))
+
+
+def _told_apart(lines: DataFrame) -> DataFrame:
+    """Lines with session ids that no two files share: ids that several files have are put behind the file's folder."""
+    files = stash(lines.select(FILE, "session_id").distinct())
+    shared = files.groupBy("session_id").agg(F.count(F.lit(1)).alias("_files")).where("_files > 1").drop("_files")
+    folder = F.regexp_replace(F.regexp_replace(FILE, "/[^/]*$", ""), "^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")
+    long = files.join(shared, "session_id").select(FILE, F.concat(folder, F.lit("/"), "session_id").alias("_long"))
+    named = lines.join(broadcast_if_small(long), FILE, "left")
+    return named.withColumn("session_id", F.coalesce("_long", "session_id")).drop("_long")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -67,13 +83,14 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     rows = tolerant_rows(read_lines(spark, path))
     fields = {name: F.coalesce(F.try_variant_get("row", f"$.{name}", "string"), F.lit(""))
               for name in ("session_id", "ts", "cwd", "reason")}
-    known = rows.select("place", *[c.alias(name) for name, c in fields.items()]).where("session_id <> ''")
-    return last_entries(known)
+    known = rows.select(FILE, "place", *[c.alias(name) for name, c in fields.items()]).where("session_id <> ''")
+    return last_entries(known, [FILE, "place"])
 
 
-def last_entries(index: DataFrame) -> DataFrame:
+def last_entries(index: DataFrame, order: list[str]) -> DataFrame:
+    """The entry of every session that is last in ``order``; no two entries of a session may be equal in it."""
     return index.groupBy("session_id").agg(
-        F.max_by(F.struct("ts", "cwd", "reason"), "place").alias("_last")).select("session_id", "_last.*")
+        F.max_by(F.struct("ts", "cwd", "reason"), F.struct(*order)).alias("_last")).select("session_id", "_last.*")
 
 
 def write_dataset(rows: DataFrame, path: str) -> None:

@@ -42,7 +42,7 @@ def read_summaries(spark: SparkSession, journal: str) -> DataFrame:
 
 
 def sweep_batch(lines: DataFrame, journal: str, batch: int, index: DataFrame | None = None,
-                verdicts: DataFrame | None = None) -> None:
+                verdicts: DataFrame | None = None, signals: DataFrame | None = None) -> None:
     """Triage the sessions of some transcript lines that have no finished record yet, and journal them."""
     spark = lines.sparkSession
     seen = stash(S.session_stats(parsed_rows(with_session(lines))))
@@ -50,9 +50,13 @@ def sweep_batch(lines: DataFrame, journal: str, batch: int, index: DataFrame | N
         seen = S.with_index(seen, index)
     before = read_journal(spark, journal).where(F.col("batch") != batch)
     records = S.triage_records(S.untriaged(seen, before), verdicts)
-    worth = (F.col("salience") >= S.fixed.SALIENCE_THRESHOLD).alias("escalated")
+    if signals is None:
+        records = records.withColumn("recurrence", F.lit(0).cast("long"))
+    else:
+        records = S.with_recurrence(records, signals)
+    worth = S.is_escalated().alias("escalated")
     here = f"{journal}/records/batch={batch}"
-    records.select("*", worth).write.mode("overwrite").parquet(here)
+    records.select("*", worth).drop("recurrence").write.mode("overwrite").parquet(here)
 
     written = spark.read.parquet(here)
     scanned = seen.agg(F.count(F.lit(1))).scalar()
@@ -71,12 +75,16 @@ def transcript_stream(spark: SparkSession, transcripts: str, names: str = "*.jso
 
 
 def start(lines: DataFrame, journal: str, checkpoint: str, index_path: str | None = None,
-          verdicts: DataFrame | None = None, every: str | None = None) -> StreamingQuery:
-    """Process the new files: once, or again and again with ``every`` (such as '60 seconds')."""
+          verdicts: DataFrame | None = None, every: str | None = None,
+          signals: DataFrame | None = None) -> StreamingQuery:
+    """Process the new files: once, or again and again with ``every`` (such as '60 seconds').
+
+    ``verdicts`` and ``signals`` are judgements made elsewhere, of any session (see :mod:`casetrail.operators.sessions`).
+    """
 
     def process(batch: DataFrame, number: int) -> None:
         index = read_index(batch.sparkSession, index_path) if index_path else None
-        sweep_batch(placed_lines(batch), journal, number, index, verdicts)
+        sweep_batch(placed_lines(batch), journal, number, index, verdicts, signals)
 
     writer = lines.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)

@@ -4,25 +4,41 @@ from collections import Counter, defaultdict
 import pytest
 
 from casetrail.operators import mining as M
-from logs import TINY, event_log
+from logs import PARCELS, event_log
 
 
 def rows(df, *columns):
     return sorted(tuple(r[c] for c in (columns or df.columns)) for r in df.collect())
 
 
-def test_tiny_log(spark):
-    log = event_log(spark, TINY)
+def test_parcels(spark):
+    log = event_log(spark, PARCELS)
     dfg = {(r.src, r.dst): r.n for r in M.directly_follows(log).collect()}
-    assert dfg == {("a", "b"): 2, ("b", "c"): 2, ("b", "b"): 1, ("b", "a"): 1, ("a", "c"): 1}
-    assert rows(M.rework(log)) == [("b", 1)]
-    assert rows(M.selfloops(log)) == [("b", 1)]
-    assert rows(M.recording_errors(log)) == [("C", 1)]
-    assert {r.activity: r.coverage for r in M.coverage(log).collect()} == {"a": 1.0, "b": 1.0, "c": 1.0}
-    assert rows(M.throughput(log)) == [("A", 20_000_000), ("B", 30_000_000), ("C", 70_000_000)]
+    assert dfg == {("pick", "pack"): 3, ("pack", "ship"): 2, ("pack", "pack"): 1, ("ship", "pick"): 1}
+    assert rows(M.rework(log)) == [("pack", 1)]
+    assert rows(M.selfloops(log)) == [("pack", 1)]
+    assert rows(M.recording_errors(log)) == [("p3", 1)]
+    assert {r.activity: r.coverage for r in M.coverage(log).collect()} == {"pick": 1.0, "pack": 1.0, "ship": 1.0}
+    assert rows(M.throughput(log)) == [("p1", 18_000_000), ("p2", 29_000_000), ("p3", 30_000_000)]
     assert rows(M.transition_durations(log), "src", "dst", "n", "mean_s") == [
-        ("a", "b", 2, 10.0), ("b", "b", 1, 5.0), ("b", "c", 2, 12.5)]
-    assert rows(M.variants(log), "variant", "n_cases") == [("a->b->b->c", 1), ("a->b->c", 1), ("b->a->c", 1)]
+        ("pack", "pack", 1, 7.0), ("pack", "ship", 2, 16.0), ("pick", "pack", 2, 4.0)]
+    found = M.variants(log)
+    spelled = defaultdict(list)
+    for r in M.variant_steps(log, found).orderBy("variant", "position").collect():
+        spelled[r.variant].append(r.activity)
+    assert sorted(spelled.values()) == [["pick", "pack", "pack", "ship"], ["pick", "pack", "ship"], ["ship", "pick", "pack"]]
+    assert sorted(r.n_cases for r in found.collect()) == [1, 1, 1]
+
+
+def test_variants_are_named_alike_whatever_the_length(spark, request):
+    events = [(f"c{n}", "xyz"[i % (2 + n % 2)], i) for n in range(6) for i in range(5 + n % 2)] + [
+        (f"long{n}", "abcde"[i * i % 5], i) for n in range(2) for i in range(12_000)]
+    log = event_log(spark, events)
+    plain = rows(M.variants(log))
+    assert sorted(r[1:3] for r in plain) == [(5, 3), (6, 3), (12_000, 2)]
+    request.getfixturevalue("tiny_groups")
+    again = event_log(spark, events)
+    assert again.long_keys and rows(M.variants(again)) == plain
 
 
 def test_equal_times_keep_the_recorded_order_and_are_no_error(spark):
@@ -32,10 +48,10 @@ def test_equal_times_keep_the_recorded_order_and_are_no_error(spark):
 
 
 def test_fitness(spark):
-    log = event_log(spark, [("A", "a", 1), ("A", "b", 2), ("A", "c", 3)])
+    log = event_log(spark, [("n", "load", 2), ("n", "drive", 7), ("n", "drop", 8), ("n", "drive", 9)])
     assert M.dfg_fitness(log, M.directly_follows(log)).first().fitness == 1.0
-    other = event_log(spark, [("A", "a", 1), ("A", "b", 2), ("A", "x", 3), ("B", "q", 1)])
-    assert M.dfg_fitness(other, M.directly_follows(log)).first().fitness == pytest.approx(0.75)
+    other = event_log(spark, [("m", "load", 1), ("m", "drive", 2), ("m", "park", 3), ("m", "drive", 4), ("k", "load", 1)])
+    assert M.dfg_fitness(other, M.directly_follows(log)).first().fitness == pytest.approx((1 / 3 + 1) / 2)
     empty = event_log(spark, [])
     assert M.dfg_fitness(empty, M.directly_follows(log)).first().fitness == 1.0
 

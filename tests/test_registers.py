@@ -10,7 +10,7 @@ from casetrail.operators import findings, grading, packs, register
 from casetrail.operators.mining import EventLog
 from casetrail.session import stash
 from casetrail.sources.store import Store
-from logs import FIELD_SERVICE_KEY, QUOTE_TO_CASH_KEY, event_log, field_service, quote_to_cash
+from logs import CLAIMS_KEY, DEFECTS, FIELD_SERVICE_KEY, GOOD, HELD_OUT, claims, event_log, field_service, jobs
 
 
 def keys(df):
@@ -26,19 +26,19 @@ def scores(spark, detected, log, key, naive):
             {r.population: r for r in grading.compare(ours, theirs).collect()})
 
 
-def test_quote_to_cash(spark):
-    log = event_log(spark, quote_to_cash())
+def test_claims(spark):
+    log = event_log(spark, claims())
     detected = stash(packs.run_pack("quote-to-cash", log))
-    assert keys(detected) == set(QUOTE_TO_CASH_KEY)
-    ours, naive, compared = scores(spark, detected, log, QUOTE_TO_CASH_KEY, grading.naive_baseline(log))
+    assert keys(detected) == set(CLAIMS_KEY)
+    ours, naive, compared = scores(spark, detected, log, CLAIMS_KEY, grading.naive_baseline(log))
     assert ours["gated"].f1 == 1.0 and ours["gated"].hallucination_rate == 0.0
-    assert naive["gated"].f1 < 0.3
+    assert naive["gated"].f1 < 0.5
     assert compared["gated"].rel_error_reduction == 1.0
 
 
 def test_secret_does_not_survive_loading(spark):
-    secret = "sk-ant-api03-" + "P" * 36
-    log = event_log(spark, quote_to_cash(secret=secret))
+    secret = "sk-ant-api03-" + "Qx7" * 12
+    log = event_log(spark, claims(note=secret))
     clean = scrub_columns(log.events, ["resource"])
     leaks = {r.column_name: r.n_leaks for r in grading.leak_check(clean, [secret]).collect()}
     assert leaks == {c: 0 for c in ("case_id", "activity", "resource", "source_system", "entity_fqn")}
@@ -48,9 +48,8 @@ def test_secret_does_not_survive_loading(spark):
 def test_field_service(spark):
     log = event_log(spark, field_service())
     detected = stash(packs.run_pack("field-service", log))
-    found = keys(detected)
-    assert found == set(FIELD_SERVICE_KEY) - {("duplicate-invoice", "Invoice/duplicate")}
-    ours, naive, _ = scores(spark, detected, log, FIELD_SERVICE_KEY, grading.naive_field_service_baseline(log))
+    assert keys(detected) == set(FIELD_SERVICE_KEY)
+    ours, naive, _ = scores(spark, detected, log, [*FIELD_SERVICE_KEY, HELD_OUT], grading.naive_field_service_baseline(log))
     gated = ours["gated"]
     assert (gated.precision, gated.recall, gated.f1, gated.hallucination_rate) == (1.0, 0.9, 0.9474, 0.0)
     assert naive["gated"].f1 == 0.0
@@ -58,31 +57,26 @@ def test_field_service(spark):
     assert best.score == detected.agg(F.max("score")).first()[0]
 
 
-def test_clean_job_is_quiet(spark):
-    flow = ["Lead", "Quote", "QuoteApproved", "Scheduled", "Attended", "JobComplete", "Invoice", "Paid"]
-    who = {"Quote": "tech-1", "QuoteApproved": "mgr-1"}
-    events = [("job-1", a, 1_700_000_000 + 3_600 * (i + 1), who.get(a, "tech-2"),
-               "finance" if a in ("Invoice", "Paid") else "fsm", "fsm.job.1") for i, a in enumerate(flow)]
-    assert packs.run_pack("field-service", event_log(spark, events)).count() == 0
+@pytest.mark.parametrize("kind", sorted(DEFECTS))
+def test_each_defect_alone(spark, kind):
+    key, events = DEFECTS[kind]
+    assert keys(packs.run_pack("field-service", event_log(spark, GOOD + events))) == {(kind, key)}
 
 
-def ten_jobs():
-    events = []
-    for i in range(10):
-        t = 1_700_000_000 + i * 86_400
-        events += [(f"job-{i}", a, t, "t", "fsm", f"fsm.job.{i}")
-                   for a in ("Quote", "QuoteApproved", "Scheduled", "Attended", "JobComplete")]
-        if i >= 2:
-            events.append((f"job-{i}", "Invoice", t + 500, "t", "finance", f"finance.invoice.{i}"))
-    return events
+def test_good_jobs_are_quiet(spark):
+    assert packs.run_pack("field-service", event_log(spark, GOOD)).count() == 0
 
 
-@pytest.mark.parametrize("cite, severity", [("fsm.job.0", 0.85), ("metric.unbilled-completion.JobComplete", 0.99)])
+def unbilled_jobs():
+    return jobs("paid", 9) + DEFECTS["unbilled-completion"][1]
+
+
+@pytest.mark.parametrize("cite, severity", [("fsm.job.unbilled/0", 0.85), ("metric.unbilled-completion.JobComplete", 0.91)])
 def test_candidates_must_cite_their_metric(spark, cite, severity):
-    log = event_log(spark, ten_jobs())
+    log = event_log(spark, unbilled_jobs())
     detected = stash(packs.run_pack("field-service", log))
     candidates = spark.createDataFrame(
-        [("unbilled-completion", "t", "JobComplete", "0.99", "0.5", "0.5", cite)],
+        [("unbilled-completion", "a claim", "JobComplete", "0.91", "0.3", "0.2", cite)],
         "kind string, title string, key string, severity string, frequency string, fixability string, evidence_fqn string")
     merged = register.merge_candidates(candidates, detected, register.event_fqns(log.events))
     own = merged.where("kind = 'unbilled-completion'").collect()
@@ -96,47 +90,47 @@ def finding(kind, key, fqn="e", score=0.1, order=1, severity=0.5, title="t"):
 
 
 def test_duplicates_count_once(spark):
-    rows = spark.createDataFrame([finding("bottleneck", "K"), finding("Bottleneck", " k ")], schema.FINDINGS)
-    answers = spark.createDataFrame([("rework", "Q")], "kind string, key string")
+    rows = spark.createDataFrame([finding("control-gap", "Weigh"), finding("Control-Gap ", " weigh"), finding("control-gap", "WEIGH")], schema.FINDINGS)
+    answers = spark.createDataFrame([("rework", "Seal")], "kind string, key string")
     nothing = spark.createDataFrame([], "fqn string")
     graded = {r.population: r for r in grading.grade(rows, answers, nothing).collect()}
     assert (graded["ungated"].fp, graded["gated"].fp, graded["gated"].f1) == (1, 0, 0.0)
-    assert graded["ungated"].hallucination_rate == 1.0 and graded["ungated"].n_findings == 2
+    assert graded["ungated"].hallucination_rate == 1.0 and graded["ungated"].n_findings == 3
 
 
-@pytest.mark.parametrize("ours, base, expected", [(1.0, 0.0, 1.0), (0.6, 0.2, 0.5), (0.5, 1.0, 0.0)])
+@pytest.mark.parametrize("ours, base, expected", [(1.0, 0.4, 1.0), (0.7, 0.4, 0.5), (0.25, 0.0, 0.25), (0.9, 1.0, 0.0)])
 def test_relative_error_reduction(spark, ours, base, expected):
     row = spark.range(1).select(grading.relative_error_reduction(F.lit(ours), F.lit(base)).alias("r")).first()
     assert row.r == expected
 
 
 def test_citations(spark):
-    rows = spark.createDataFrame([("crm.deal.1",), ("metric.x",), ("none",), ("",)], "evidence_fqn string")
-    sources = [spark.createDataFrame([(n,)], "fqn string") for n in ("crm.deal.1", "metric.x")]
-    flagged = {r.evidence_fqn: r.grounded for r in register.with_grounding(rows, *sources).collect()}
-    assert flagged == {"crm.deal.1": True, "metric.x": True, "none": False, "": False}
+    rows = spark.createDataFrame([("dock.gate.7",), ("metric.wait",), ("metric.wai",), ("",), ("dock.gate.7",)], "evidence_fqn string")
+    sources = [spark.createDataFrame([(n,), (n,)], "fqn string") for n in ("dock.gate.7", "metric.wait")]
+    flagged = sorted((r.evidence_fqn, r.grounded) for r in register.with_grounding(rows, *sources).collect())
+    assert flagged == [("", False), ("dock.gate.7", True), ("dock.gate.7", True), ("metric.wai", False), ("metric.wait", True)]
 
 
 def test_report(spark):
     rows = spark.createDataFrame([
-        finding("compliance-overdue", "RoutineService", "metric.a", 0.3, 3, 0.95, "3 assets overdue for AS 1851"),
-        finding("unknown", "x", "metric.b", 0.00005, 1, 0.45, "=cmd|danger")], schema.FINDINGS)
+        finding("compliance-overdue", "RoutineService", "metric.a", 0.3, 3, 0.95, "7 lifts past their inspection"),
+        finding("unknown", "x", "metric.b", 0.00005, 1, 0.45, "+sum|A1")], schema.FINDINGS)
     lines = [r.line for r in register.report_text(rows, "trades").collect()]
     assert lines[0] == "# Discovery pain register, trades"
     assert lines[2].startswith("2 findings, ordered by impact")
-    assert "| 1 | Critical | 3 assets overdue for AS 1851 | 0.3 |" in lines
-    assert "| 2 | Medium | '=cmd\\|danger | 0.00005 |" in lines
+    assert "| 1 | Critical | 7 lifts past their inspection | 0.3 |" in lines
+    assert "| 2 | Medium | '+sum\\|A1 | 0.00005 |" in lines
     assert "- Recommendation: Review with the operator and agree a remediation." in lines
-    assert lines.index("### 1. 3 assets overdue for AS 1851") < lines.index("### 2. '=cmd\\|danger")
+    assert lines.index("### 1. 7 lifts past their inspection") < lines.index("### 2. '+sum\\|A1")
     empty = [r.line for r in register.report_text(rows.limit(0), "trades").collect()]
     assert empty == ["# Discovery pain register, trades", "", "No material findings on the data reviewed."]
 
 
 def test_clamp_and_bands(spark):
-    values = spark.createDataFrame([(v,) for v in ("nan", "inf", "5", "-2", "not a number", None, " .25 ", "0.5d")],
+    values = spark.createDataFrame([(v,) for v in ("NaN", "-Infinity", "17", "-0.3", "half", None, " .75 ", "1e-1", "0x1", "7f")],
                                    "v string")
     assert [r[0] for r in values.select(text.clamp01(F.col("v"))).collect()] == [
-        0.5, 0.5, 1.0, 0.0, 0.5, 0.5, 0.25, 0.5]
+        0.5, 0.5, 1.0, 0.0, 0.5, 0.5, 0.75, 0.1, 0.5, 0.5]
     bands = spark.createDataFrame([(v,) for v in (0.8, 0.79, 0.6, 0.4, 0.39)], "v double")
     assert [r[0] for r in bands.select(text.severity_band(F.col("v"))).collect()] == [
         "Critical", "High", "High", "Medium", "Low"]
@@ -164,10 +158,11 @@ def test_artifacts_and_proposals(spark):
 
 def test_fact_pack(spark):
     stored = spark.createDataFrame([(f"metric.{i:03d}", "n", float(i), "{}") for i in range(250)], schema.METRICS)
-    pack = register.fact_pack(stored).first()
-    listed = json.loads(pack.facts)
-    assert pack.n_facts == len(listed) == 200
-    assert [f["evidence_fqn"] for f in listed] == [f"metric.{i:03d}" for i in range(200)]
+    for size in (None, 40):
+        pack = register.fact_pack(stored, size).first()
+        listed = json.loads(pack.facts)
+        assert pack.n_facts == len(listed) == (size or 250)
+        assert [f["evidence_fqn"] for f in listed] == [f"metric.{i:03d}" for i in range(size or 250)]
 
 
 def test_store_keeps_the_last_write(spark, tmp_path):
@@ -177,7 +172,7 @@ def test_store_keeps_the_last_write(spark, tmp_path):
     store.upsert("entities", first)
     store.upsert("entities", first.where("fqn = 'e.1'").withColumn("name", F.lit("new")))
     assert {r.fqn: r.name for r in store.read("entities").collect()} == {"e.1": "new", "e.2": "two"}
-    detected = stash(packs.run_pack("field-service", event_log(spark, ten_jobs())))
+    detected = stash(packs.run_pack("field-service", event_log(spark, unbilled_jobs())))
     store.keep(detected)
     store.keep(detected)
     n = detected.count()
@@ -187,6 +182,6 @@ def test_store_keeps_the_last_write(spark, tmp_path):
 def test_custom_pack(spark):
     packs.add_pack("mine", lambda log: log.events.select("case_id"))
     try:
-        assert packs.run_pack("mine", EventLog(event_log(spark, ten_jobs()).events)).count() == 58
+        assert packs.run_pack("mine", EventLog(event_log(spark, unbilled_jobs()).events)).count() == len(unbilled_jobs())
     finally:
         del packs.PACKS["mine"]

@@ -141,20 +141,31 @@ def disclosing(near: DataFrame, found: DataFrame, texts: DataFrame, contexts: in
     pairs = counts.groupBy("entity", "term").agg(F.sum("n").alias("near"), F.count(F.lit(1)).alias("contexts"))
     pairs = stash(pairs.where(F.col("contexts") >= contexts))
     schema = "pair struct<entity: string, term: string>, n long, disclosed double, action string"
+    nothing = near.sparkSession.createDataFrame([], schema)
     if pairs.isEmpty():
-        return near.sparkSession.createDataFrame([], schema)
-    # documents with each entity and with each term in question
+        return nothing
+    # documents with each entity in question
     with_entity = found.join(broadcast_if_small(pairs.select("entity").distinct(), MOST_TERMS), "entity", "left_semi")
     with_entity = with_entity.select("entity", "file", "pos").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("documents"))
+    total = texts.count()
+    content = -F.log(F.col("documents") / F.lit(float(total)))
+
+    def disclosed(having: Column) -> Column:
+        return 1 + F.log(F.least(F.lit(1.0), F.col("near") / F.greatest(having, F.col("near")))) / content
+
+    # a term is in no fewer documents than those in which it is near any entity, and then discloses no more than this says
+    some = broadcast_if_small(pairs.select("term").distinct(), MOST_TERMS)
+    least = (near.join(some, "term", "left_semi").select("term", "file", "pos").distinct()
+             .groupBy("term").agg(F.count(F.lit(1)).alias("least")))
+    pairs = pairs.join(with_entity.where(F.col("documents") < total), "entity").join(least, "term")
+    pairs = stash(pairs.where(disclosed(F.col("least")) >= generalise))
+    if pairs.isEmpty():
+        return nothing
     asked = broadcast_if_small(pairs.select("term").distinct(), MOST_TERMS)
     words = F.split(F.lower("body"), f"{_EDGE}*{_SPACE}+{_EDGE}*|^{_EDGE}+|{_EDGE}+$")
     with_term = (texts.select(F.explode(F.array_distinct(words)).alias("term")).join(asked, "term", "left_semi")
                  .groupBy("term").agg(F.count(F.lit(1)).alias("having")))
-    total = texts.count()
-    content = -F.log(F.col("documents") / F.lit(float(total)))
-    share = F.log(F.least(F.lit(1.0), F.col("near") / F.greatest("having", "near"))) / content
-    judged = pairs.join(with_entity, "entity").join(with_term, "term").where(F.col("documents") < total)
-    judged = judged.withColumn("disclosed", 1 + share)
+    judged = pairs.join(with_term, "term").withColumn("disclosed", disclosed(F.col("having")))
     action = F.when(F.col("disclosed") >= remove, "remove").otherwise("generalise")
     return judged.where(F.col("disclosed") >= generalise).select(
         F.struct("entity", "term").alias("pair"), F.col("near").alias("n"), "disclosed", action.alias("action"))

@@ -1,7 +1,7 @@
 """WARC archives: writing with segments, chunked framing and revisits, and reading with reassembly of segments.
 
-Archives are plain WARC/1.1 text of records, written and read by Spark's text source, so large files are split among
-tasks and need no reader of whole files. The record separator of the reader is the version line. The writer ends a chunk
+Archives are WARC/1.1 records, written and read by Spark's text source, gzipped as archives usually are: a task writes a
+file and a task reads it as a stream; plain archives are split among tasks. The record separator of the reader is the version line. The writer ends a chunk
 inside any such line in a payload, so its archives never break; in foreign archives a record whose length does not match
 sends its file to a second, sequential reader.
 
@@ -12,6 +12,7 @@ taken off and the payload's digest compared.
 
 from __future__ import annotations
 
+import gzip
 import re
 import uuid
 from collections.abc import Iterator
@@ -103,7 +104,8 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary())], ["record"])
 
     found = whole.drop("file", "pos").mapInArrow(lean(written, 200), "record binary")
-    found.select(F.col("record").cast("string").alias("value")).write.option("lineSep", GAP.decode()).text(folder)
+    records_ = found.select(F.col("record").cast("string").alias("value"))
+    records_.write.option("lineSep", GAP.decode()).option("compression", "gzip").text(folder)
 
 
 # --- reading --------------------------------------------------------------------------------------------------------
@@ -185,7 +187,8 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column("file"), batch.column("content")):
-                for fields, block in _sequential(content.as_py()):
+                whole = content.as_py()
+                for fields, block in _sequential(gzip.decompress(whole) if whole[:2] == b"\x1f\x8b" else whole):
                     yield pa.RecordBatch.from_pylist([_row(file.as_py(), fields, block)], _ARROW)
 
     return stash(found.join(broken, "file", "left_anti").unionByName(files.mapInArrow(again, RECORD)))

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 
 import pytest
@@ -90,9 +91,11 @@ def test_foreign_archives_and_faults(spark, tmp_path):
     folder = tmp_path / "w"
     folder.mkdir()
     (folder / "a.warc").write_bytes(b"".join(archive))
+    (folder / "c.warc.gz").write_bytes(gzip.compress(response("packed", body)) + gzip.compress(response("packed too", framed)))
     (folder / "b.warc").write_bytes(response("other file", framed) + b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 99\r\n\r\ntruncated")
     found = {r.record_id: (r.status, bytes(r.payload) if r.payload is not None else None) for r in W.read_archives(spark, str(folder)).collect()}
     assert found == {
         "plain": ("whole", plain), "framed": ("whole", b"hello world"), "wrong digest": ("damaged", b"hello world"), "cut": ("damaged", None),
         "parts": ("whole", b"hello world"), "gap": ("incomplete", None), "short": ("incomplete", None), "open": ("incomplete", None),
-        "orphan": ("incomplete", None), "again": ("whole", None), "other file": ("whole", b"hello world")}
+        "orphan": ("incomplete", None), "again": ("whole", None), "other file": ("whole", b"hello world"),
+        "packed": ("whole", plain), "packed too": ("whole", b"hello world")}

@@ -161,14 +161,14 @@ SELECT {order} AS detector_order, '{kind}' AS kind, {title} AS title, {key} AS k
 FROM {source}"""
 
 
-def slow(order: int, kind: str, title: str, metric: str, where: str) -> str:
+def slow(order: int, kind: str, title: str, metric: str, where: str, keep: str = "") -> str:
     source = f"""(
   SELECT d.src || '->' || d.dst AS step, d.mean_s, d.mean_s / (SELECT max(mean_s) FROM dur WHERE {where}) AS severity,
          f.n AS n_steps, f.n / (SELECT sum(n) FROM dfg) AS frequency
   FROM dur d JOIN dfg f ON d.src = f.src AND d.dst = f.dst
   WHERE {where.replace('src', 'd.src').replace('dst', 'd.dst')}
     AND d.mean_s >= {FACTOR} * (SELECT median(mean_s) FROM dur WHERE {where})
-  ORDER BY d.mean_s DESC, d.src, d.dst LIMIT {fixed.BOTTLENECK_KEEP})"""
+  {keep})"""
     evidence = """'{"transition":"' || step || '","n":' || n_steps || '}'"""
     return detection(order, kind, "step", f"'{title}' || step", "frequency", metric, "mean_s", evidence, source,
                      severity="severity")
@@ -199,6 +199,8 @@ def recording(order: int) -> str:
 
 DETECT = {
     "bottlenecks": slow(1, "bottleneck", "Bottleneck at ", "bottleneck_mean_duration", "true"),
+    "slowest_ten": slow(1, "bottleneck", "Bottleneck at ", "bottleneck_mean_duration", "true",
+                        f"ORDER BY d.mean_s DESC, d.src, d.dst LIMIT {fixed.BOTTLENECK_KEEP}"),
     "rework_findings": detection(
         2, "rework", "activity", "'Rework loop on ' || activity", "share", "rework_case_count", "n_repeat", NAMED,
         f"{ACTIVITY} WHERE share >= {REWORK}"),
@@ -449,6 +451,43 @@ FROM orders""",
     "scrub_private_ip": text_rule(sql_pattern("private-ip"), "[REDACTED:private-ip]"),
 }
 
+EVENT_LINES = "SELECT event_id, event_type, props, user_id::VARCHAR AS user_id FROM events"
+MESSAGES = """
+WITH entries AS (
+  SELECT doc_id % 2 AS side, {body} AS body, lang FROM documents),
+firsts AS (SELECT DISTINCT body, lang FROM entries WHERE side = 0 AND body <> ''),
+counted AS (
+  SELECT CASE side WHEN 0 THEN 'even' ELSE 'odd' END AS source, body = '' AS bad, body, lang, count(*) AS n,
+         side = 1 AND EXISTS (FROM firsts f WHERE f.body = e.body AND f.lang = e.lang) AS seen
+  FROM entries e GROUP BY side, body, lang),
+statuses AS (
+  SELECT source, CASE WHEN bad THEN n ELSE 0 END AS bad, CASE WHEN bad OR seen THEN 0 ELSE 1 END AS written,
+         CASE WHEN bad THEN 0 WHEN seen THEN n ELSE n - 1 END AS duplicate FROM counted)
+SELECT source, status, sum(n)::BIGINT AS n FROM (
+  UNPIVOT statuses ON bad, written, duplicate INTO NAME status VALUE n) GROUP BY source, status HAVING sum(n) > 0"""
+EXPORTED = """
+SELECT sha256('pepper' || 'J' || o_orderkey) AS case_id,
+       CASE o_orderstatus WHEN 'O' THEN 'QuoteApproved' WHEN 'F' THEN 'Paid' WHEN 'P' THEN 'on hold' END AS activity,
+       epoch_us(o_orderdate) AS us, 'desk' || CASE WHEN %s THEN chr(10) ELSE ' ' END || o_orderpriority AS resource,
+       'fsm.job.' || sha256('pepper' || 'J' || o_orderkey) AS entity_fqn
+FROM orders"""
+READERS = {
+    "csv_export": EXPORTED % "o_orderstatus = 'F'",
+    "json_export": EXPORTED % "false",
+    "jsonl_rows": "SELECT doc_id, sha256(text) AS digest FROM documents",
+    "xes_log": """
+SELECT src, dst, count(*) AS n FROM (
+  SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events)
+WHERE dst IS NOT NULL GROUP BY src, dst""",
+    "event_normalise_scrubbed": """
+SELECT o_orderkey AS ingest_seq, 'J' || o_orderkey AS case_id,
+       CASE o_orderstatus WHEN 'O' THEN 'QuoteApproved' WHEN 'F' THEN 'Paid' WHEN 'P' THEN 'on hold' END AS activity
+FROM orders""",
+    "session_index_files": f"""
+SELECT user_id AS session_id, arg_max(props, event_id) AS cwd, arg_max(event_type, event_id) AS reason
+FROM ({EVENT_LINES}) GROUP BY user_id""",
+}
+
 # --- sessions -------------------------------------------------------------------------------------------------------
 
 SPACE = r"[\s\x1c-\x1f\x0b]"
@@ -645,7 +684,9 @@ SELECT tool, decision, reason, count(*) AS n FROM (
 GROUP BY tool, decision, reason""",
 }
 
+READERS["dataset_collect"] = MESSAGES.format(body=STRIPPED)
+
 ORACLE: dict[str, str] = {
-    **{name: jobs(sql) for name, sql in MINING.items()}, **WEB, **FINDINGS, **REGISTER, **LOADING, **SESSIONS,
+    **READERS, **{name: jobs(sql) for name, sql in MINING.items()}, **WEB, **FINDINGS, **REGISTER, **LOADING, **SESSIONS,
     **CONVERSATIONS, **AUDITS,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casetrail.functions import parse, scrub, text
@@ -14,6 +14,7 @@ from casetrail.operators import sessions as S
 from casetrail.operators.mining import EventLog
 from casetrail.plans import derived, inputs
 from casetrail.session import shared_folder, stash
+from casetrail.sources import exports, jsonl
 from casetrail.sources.exports import normalise_events
 from casetrail.sources.jsonl import last_entries
 from casetrail.streaming import sweep
@@ -148,6 +149,7 @@ def generic_register(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FINDINGS: dict[str, Query] = {
     "bottlenecks": from_facts(lambda f: generic.bottlenecks(f, FACTOR)),
+    "slowest_ten": from_facts(lambda f: generic.bottlenecks(f, FACTOR, keep=generic.fixed.BOTTLENECK_KEEP)),
     "rework_findings": from_facts(lambda f: generic.rework_findings(f, REWORK)),
     "control_gaps": from_facts(generic.control_gaps),
     "recording_error_finding": from_facts(generic.recording_error_finding),
@@ -383,6 +385,118 @@ LOADING: dict[str, Query] = {
     "leak_check": leak_check,
 }
 
+# --- readers: the given tables written out as text, and read back ---------------------------------------------------
+
+
+def scratch(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/casetrail/{uuid.uuid4().hex}"
+
+
+def exported(spark: SparkSession, sf_dir: str, spanning: bool) -> DataFrame:
+    """Orders as rows of an export: ``job, status, when, note``. With ``spanning`` some notes have two lines."""
+    cells = derived.raw_cells(spark, sf_dir)
+    note = F.col("resource")
+    if spanning:
+        note = F.when(F.col("activity") == "Settled", F.regexp_replace("resource", "^desk ", "desk\n")).otherwise(note)
+    return cells.select(F.col("case_id").alias("job"), F.col("activity").alias("status"), F.col("ts").alias("when"),
+                        note.alias("note"), (F.col("ingest_seq") / 4_000).cast("long").alias("part"))
+
+
+def loaded(spark: SparkSession, path: str) -> DataFrame:
+    raw = exports.read_export(spark, path, exports.ColumnMap("job", "status", "when", resource="note"))
+    events = normalise_events(raw, "fsm", case_key="hash", salt="pepper")
+    return events.select("case_id", "activity", F.unix_micros("ts").alias("us"), "resource", "entity_fqn")
+
+
+def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several CSV files; in some of them cells span lines."""
+    root = scratch(spark)
+    rows = exported(spark, sf_dir, spanning=True).drop("part")
+    rows.repartitionByRange(4, "status").write.option("header", True).option("escape", '"').csv(f"{root}/export")
+    return loaded(spark, f"{root}/export")
+
+
+def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON document for every four thousand order numbers, in the two shapes in turn."""
+    root = scratch(spark)
+    listed = exported(spark, sf_dir, spanning=False).groupBy("part").agg(
+        F.collect_list(F.struct("job", "status", "when", "note")).alias("rows"))
+    whole = F.when(F.col("part") % 2 == 0, F.to_json("rows")).otherwise(F.to_json(F.struct("rows")))
+    listed.repartition("part").select("part", whole.alias("value")).write.partitionBy("part").text(f"{root}/export.json")
+    return loaded(spark, f"{root}/export.json")
+
+
+def jsonl_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch(spark)
+    inputs.table(spark, sf_dir, "documents").select("doc_id", "text").repartition(4).write.json(root)
+    rows = jsonl.strict_rows(jsonl.read_lines(spark, root))
+    return rows.select(F.variant_get("row", "$.doc_id", "long").alias("doc_id"),
+                       F.sha2(F.variant_get("row", "$.text", "string"), 256).alias("digest"))
+
+
+def xes_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The directly-follows graph of the events, read from CSV files with the usual names of event logs."""
+    root = scratch(spark)
+    events = inputs.table(spark, sf_dir, "events")
+    named = events.select(
+        F.col("user_id").alias("case:concept:name"), F.col("event_type").alias("concept:name"),
+        F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("time:timestamp"),
+        F.col("props").alias("org:resource"), "event_id")
+    (named.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").drop("event_id")
+     .write.option("header", True).option("escape", '"').csv(f"{root}/xes"))
+    raw = exports.read_csv(spark, f"{root}/xes", exports.XES)
+    return mining.directly_follows(EventLog(normalise_events(raw, "real", text.strip, case_key="hash", salt="x")))
+
+
+def scrubbed_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = normalise_events(derived.raw_cells(spark, sf_dir), "fsm")
+    return events.select("ingest_seq", "case_id", "activity")
+
+
+def index_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last entry of every user in index files that follow each other by name."""
+    root = scratch(spark)
+    events = inputs.table(spark, sf_dir, "events")
+    lines = F.to_json(F.struct(F.col("user_id").cast("string").alias("session_id"), F.col("props").alias("cwd"),
+                               F.col("event_type").alias("reason")))
+    (events.repartitionByRange(3, "event_id").sortWithinPartitions("event_id").select(lines.alias("value"))
+     .write.text(f"{root}/index"))
+    return jsonl.read_index(spark, f"{root}/index").select("session_id", "cwd", "reason")
+
+
+def dataset_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sources of several files with rows of four shapes, checked and de-duplicated across both."""
+    root = scratch(spark)
+    documents = inputs.table(spark, sf_dir, "documents")
+    body, reply = F.col("text"), F.col("lang")
+
+    def turn(who: str, said: Column, role: str = "role", content: str = "content") -> Column:
+        return F.struct(F.lit(who).alias(role), said.alias(content))
+
+    shapes = [
+        F.to_json(F.struct(F.array(turn("user", body), turn("assistant", reply)).alias("messages"))),
+        F.to_json(F.struct(F.array(turn("human", body, "from", "value"), turn("gpt", reply, "from", "value")).alias("conversations"))),
+        F.to_json(F.struct(body.alias("instruction"), reply.alias("output"))),
+        F.to_json(F.struct(body.alias("prompt"), reply.alias("response")))]
+    line = F.get(F.array(*shapes), (F.col("doc_id") % 8 / 2).cast("int"))
+    sources = []
+    for side, name in enumerate(("even", "odd")):
+        path = f"{root}/{name}"
+        documents.where(F.col("doc_id") % 2 == side).repartition(3).select(line.alias("value")).write.text(path)
+        sources.append({"name": name, "path": path, "license": "internal"})
+    return conversations.source_stats(conversations.collect_records(conversations.read_sources(spark, sources)))
+
+
+READERS: dict[str, Query] = {
+    "csv_export": csv_export,
+    "json_export": json_export,
+    "jsonl_rows": jsonl_rows,
+    "xes_log": xes_log,
+    "event_normalise_scrubbed": scrubbed_cases,
+    "session_index_files": index_files,
+    "dataset_collect": dataset_collect,
+}
+
 # --- sessions -------------------------------------------------------------------------------------------------------
 
 
@@ -602,5 +716,5 @@ def tool_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 AUDITS: dict[str, Query] = {"sql_audit": sql_audit, "egress_audit": egress_audit, "tool_audit": tool_audit}
 
 QUERIES: dict[str, Query] = {
-    **MINING, **FINDINGS, **REGISTER, **LOADING, **SESSIONS, **CONVERSATIONS, **AUDITS, "stream_sweep": stream_sweep,
+    **MINING, **FINDINGS, **REGISTER, **LOADING, **READERS, **SESSIONS, **CONVERSATIONS, **AUDITS, "stream_sweep": stream_sweep,
 }

@@ -149,5 +149,10 @@ def proposal_index(proposals: DataFrame) -> DataFrame:
     return proposals.dropDuplicates(["id"]).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def pending_proposals(proposals: DataFrame) -> DataFrame:
+    """The proposals that wait for a decision, each once: ``id, type, title``."""
+    return proposals.where("status = 'pending'").dropDuplicates(["id"]).select("id", "type", "title")
+
+
 def normal_key(key: Column) -> Column:
     return F.lower(strip(key))

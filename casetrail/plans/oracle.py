@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from casetrail import fixed_values as fixed
+from casetrail.plans.derived import PLANTED
 from casetrail.plans.queries import ANSWERS, FACTOR, REWORK
 
 # --- logs -----------------------------------------------------------------------------------------------------------
@@ -264,6 +265,9 @@ FINDINGS |= {
     "field_service_register": detected(f"SELECT {COLUMNS} FROM found"),
     "field_service_metrics": detected(
         "SELECT evidence_fqn AS fqn, metric_name AS name, metric_value AS value, evidence_json FROM found"),
+    "detect_and_store": detected(
+        "SELECT evidence_fqn AS fqn, any_value(metric_name) AS name, any_value(metric_value) AS value, 2 * count(*) AS n_findings "
+        "FROM found GROUP BY evidence_fqn"),
 }
 
 # --- registers ------------------------------------------------------------------------------------------------------
@@ -410,16 +414,17 @@ REGISTER |= {
     "proposal_index": f"""
 SELECT CASE route WHEN 'queue' THEN 'pending' ELSE 'written' END AS status, count(DISTINCT id) AS n
 FROM ({PROPOSALS}) GROUP BY 1""",
+    "pending_proposals": f"SELECT DISTINCT id, type, title FROM ({PROPOSALS}) WHERE route = 'queue'",
 }
 
 # --- loading and scrubbing ------------------------------------------------------------------------------------------
 
 
-def text_rule(pattern: str, shown: str) -> str:
+def text_rule(pattern: str, shown: str, table: str = "documents") -> str:
     return f"""
 SELECT doc_id, len(regexp_extract_all(text, {pattern})) AS n_hits,
        sha256(regexp_replace(text, {pattern}, '{shown}', 'g')) AS digest
-FROM documents WHERE regexp_matches(text, {pattern})"""
+FROM {table} WHERE regexp_matches(text, {pattern})"""
 
 
 def sql_pattern(kind: str) -> str:
@@ -448,7 +453,12 @@ SELECT o_orderkey AS ingest_seq, sha256('pepper' || 'J' || o_orderkey) AS case_i
 FROM orders""",
     "scrub_email": text_rule(sql_pattern("email"), "[REDACTED:email]"),
     "scrub_assignment": text_rule(sql_pattern("secret-assignment"), "\\1[REDACTED:secret-assignment]"),
-    "scrub_private_ip": text_rule(sql_pattern("private-ip"), "[REDACTED:private-ip]"),
+    "scrub_private_ip": text_rule(sql_pattern("private-ip"), "[REDACTED:private-ip]", """(
+  SELECT doc_id, text || ' from 10.' || (doc_id % 200) || '.3.4 or 172.20.1.' || (doc_id % 90) AS text FROM documents)"""),
+    "scrub_rules": "SELECT doc_id, kind, 'seen: ' || left_over || ' - noted' AS text, '{\"' || kind || '\":1}' AS counts FROM (" +
+    "SELECT doc_id, CASE doc_id % {0} {1} END AS kind, CASE doc_id % {0} {2} END AS left_over FROM documents)".format(
+        len(PLANTED), " ".join(f"WHEN {i} THEN '{kind}'" for i, kind in enumerate(PLANTED)),
+        " ".join(f"WHEN {i} THEN {left}" for i, (_, left) in enumerate(PLANTED.values()))),
 }
 
 EVENT_LINES = "SELECT event_id, event_type, props, user_id::VARCHAR AS user_id FROM events"

@@ -17,6 +17,7 @@ from casetrail.session import shared_folder, stash
 from casetrail.sources import exports, jsonl
 from casetrail.sources.exports import normalise_events
 from casetrail.sources.jsonl import last_entries
+from casetrail.sources.store import Store
 from casetrail.streaming import sweep
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -287,10 +288,28 @@ def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
         text.proposal_route(F.col("type")).alias("route"))
 
 
+def drafts_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drafts = proposals(spark, sf_dir).withColumn("status", F.when(F.col("route") == "queue", "pending").otherwise("written"))
+    return drafts.unionByName(drafts)
+
+
 def proposal_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proposals per status; a draft that comes twice counts once."""
-    drafts = proposals(spark, sf_dir).withColumn("status", F.when(F.col("route") == "queue", "pending").otherwise("written"))
-    return register.proposal_index(drafts.unionByName(drafts))
+    return register.proposal_index(drafts_twice(spark, sf_dir))
+
+
+def pending_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return register.pending_proposals(drafts_twice(spark, sf_dir))
+
+
+def detect_and_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of the field-service register as a store has them after two runs, the second one on scaled values."""
+    store = Store(spark, f"{shared_folder(spark)}/casetrail/{uuid.uuid4().hex}")
+    detected = stash(field_service_detections(spark, sf_dir))
+    store.keep(detected.withColumn("metric_value", F.lit(-1.0)))
+    store.keep(detected)
+    seen = store.read("findings").groupBy(F.col("evidence_fqn").alias("fqn")).agg(F.count(F.lit(1)).alias("n_findings"))
+    return store.read("metrics").join(seen, "fqn").select("fqn", "name", F.round("value", 3).alias("value"), "n_findings")
 
 
 REGISTER: dict[str, Query] = {
@@ -308,6 +327,8 @@ REGISTER: dict[str, Query] = {
     "fact_pack": fact_pack,
     "proposal_ids": proposals,
     "proposal_index": proposal_index,
+    "pending_proposals": pending_proposals,
+    "detect_and_store": detect_and_store,
 }
 
 # --- loading and scrubbing ------------------------------------------------------------------------------------------
@@ -331,11 +352,17 @@ def event_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "source_system", "entity_fqn")
 
 
-def one_rule(kind: str) -> Query:
+def scrub_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every kind of thing to scrub, planted in texts of which it is known what should be left."""
+    scrubbed = derived.planted(spark, sf_dir).withColumn("s", scrub.scrub_counted(F.col("text")))
+    return scrubbed.select("doc_id", "kind", F.col("s.text").alias("text"), F.to_json("s.counts").alias("counts"))
+
+
+def one_rule(kind: str, texts: Query = derived.documents) -> Query:
     """Documents a single credential rule changes."""
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rule = next(r for r in scrub._credential_rules() if r.kind == kind)
-        counted = derived.documents(spark, sf_dir).select(
+        counted = texts(spark, sf_dir).select(
             "doc_id", rule.count(F.col("text")).cast("long").alias("n_hits"), F.sha2(rule.apply(F.col("text")), 256).alias("digest"))
         return counted.where("n_hits > 0")
     return query
@@ -377,7 +404,8 @@ LOADING: dict[str, Query] = {
     "event_normalise": event_normalise,
     "scrub_email": one_rule("email"),
     "scrub_assignment": one_rule("secret-assignment"),
-    "scrub_private_ip": one_rule("private-ip"),
+    "scrub_private_ip": one_rule("private-ip", derived.with_addresses),
+    "scrub_rules": scrub_rules,
     "scrub_documents": scrub_documents,
     "scrub_counts": scrub_counts,
     "redaction_audit": redaction_audit,

@@ -2,44 +2,42 @@
 
 from __future__ import annotations
 
-import uuid
+import time
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casetrail import schema
 from casetrail.operators.findings import findings, metrics
-from casetrail.operators.register import upsert
+from casetrail.operators.register import latest
 
 APPENDED = {"findings": schema.FINDINGS, "audit": schema.AUDIT}
 REPLACED = {"entities": schema.ENTITIES, "metrics": schema.METRICS}
 
 
 class Store:
-    """Appended tables: findings, audit, journal. Keyed tables, last write wins: entities, metrics.
+    """Tables that are only ever appended to. Of the keyed ones, entities and metrics, a reader sees the last row of a key.
 
-    A keyed table is a series of versions: a new one is written beside the current one and becomes current with a
-    marker file, so a job that dies half way leaves the old version in place.
+    Two writers at a time both add their rows, so neither can undo the other; :meth:`compact` drops rows nobody sees.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def _versions(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        done = files.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/*/_SUCCESS"))
-        return sorted(status.getPath().getParent().toString() for status in (done or []))
+    def _rows(self, name: str) -> DataFrame:
+        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in REPLACED[name].fields)
+        try:
+            return self.spark.read.schema(f"{columns}, stored_at bigint, load_seq bigint").parquet(f"{self.root}/{name}")
+        except AnalysisException:  # nothing was written yet
+            return self.spark.createDataFrame([], f"{columns}, stored_at bigint, load_seq bigint")
 
     def read(self, name: str) -> DataFrame:
-        if name in REPLACED:
-            versions = self._versions(name)
-            table = REPLACED[name]
-            if not versions:
-                return self.spark.createDataFrame([], table)
-            return self.spark.read.schema(table).parquet(versions[-1])
-        return self.spark.read.parquet(f"{self.root}/{name}")
+        if name not in REPLACED:
+            return self.spark.read.parquet(f"{self.root}/{name}")
+        ordered = self._rows(name).withColumn("_order", F.struct("stored_at", "load_seq")).drop("stored_at", "load_seq")
+        return latest(ordered, "fqn", "_order").select(*REPLACED[name].fieldNames())
 
     def append(self, name: str, rows: DataFrame) -> None:
         if name in APPENDED:
@@ -47,10 +45,15 @@ class Store:
         rows.write.mode("append").parquet(f"{self.root}/{name}")
 
     def upsert(self, name: str, rows: DataFrame) -> None:
-        columns = REPLACED[name].fieldNames()
-        merged = upsert(self.read(name), rows).select(*columns)
-        version = f"{len(self._versions(name)):09d}-{uuid.uuid4().hex[:8]}"
-        merged.write.parquet(f"{self.root}/{name}/{version}")
+        """Add or replace rows by key. ``rows`` may carry ``load_seq``; the last of a key wins."""
+        seq = F.col("load_seq") if "load_seq" in rows.columns else F.lit(0)
+        stamped = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in REPLACED[name].fields],
+                              F.lit(time.time_ns()).cast("long").alias("stored_at"), seq.cast("long").alias("load_seq"))
+        stamped.write.mode("append").parquet(f"{self.root}/{name}")
+
+    def compact(self, name: str, target: "Store") -> None:
+        """Write what a reader sees into another store."""
+        target.upsert(name, self.read(name))
 
     def keep(self, detected: DataFrame) -> None:
         """Store a detector run: its metrics replace earlier ones, its findings are appended."""

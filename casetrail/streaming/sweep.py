@@ -7,6 +7,7 @@ replaces what it wrote before.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -26,15 +27,11 @@ JOURNAL_SCHEMA = """
 SUMMARY_SCHEMA = "scanned bigint, processed bigint, escalated bigint, pending bigint, batch bigint"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
-
-
 def read_journal(spark: SparkSession, journal: str) -> DataFrame:
-    if not _exists(spark, f"{journal}/records"):
+    try:
+        return spark.read.schema(JOURNAL_SCHEMA).parquet(f"{journal}/records")
+    except AnalysisException:  # no batch has written yet
         return spark.createDataFrame([], JOURNAL_SCHEMA)
-    return spark.read.schema(JOURNAL_SCHEMA).parquet(f"{journal}/records")
 
 
 def read_summaries(spark: SparkSession, journal: str) -> DataFrame:

@@ -28,7 +28,9 @@ MOST_LANGUAGES = 1_000
 TEMPERATURES = [1.0, 0.5, 0.2, 0.1, 0.05, 0.02, 0.01, 0.005]
 TOLERANCE = 6.0
 """A text is rejected when its cross-entropy is more than so many standard deviations above the mean of calibration texts of
-a like length, and nearer to what texts in other languages have under the same model than to what texts in its own have."""
+a like length, and most of the way (``FAR``) to what texts in other languages have under the same model. Texts of two known
+languages lie about half way and stay."""
+FAR = 0.8
 _BLANK, _BLOCK = 32, 1 << 20
 _ORDERS = (4, 3, 2, 1)
 
@@ -228,7 +230,7 @@ def _calibrated(found: Identifier, texts: DataFrame, spark) -> Identifier:
         if row["n"] >= 30:  # fewer say little; the limit for all lengths then holds
             mean = row["e"] / row["n"]
             spread = np.sqrt(max(row["ee"] / row["n"] - mean * mean, 0.0)) + 0.01
-            between = (mean + row["other_e"] / row["others"]) / 2 if row["others"] else mean
+            between = mean + FAR * (row["other_e"] / row["others"] - mean) if row["others"] else mean
             found.limits[row["lang"], int(row["size"])] = max(mean + TOLERANCE * spread, between)
     return found
 

@@ -55,7 +55,8 @@ def canonical_activity(raw: Column) -> Column:
     def known(trimmed: Column) -> Column:
         key = F.lower(trimmed)
         cases = None
-        for activity, statuses in fixed.STATUS_SYNONYMS.items():
+        for activity in dict.fromkeys(fixed.STATUS_SYNONYMS.values()):
+            statuses = [status for status, meant in fixed.STATUS_SYNONYMS.items() if meant == activity]
             cases = (F if cases is None else cases).when(key.isin(statuses), activity)
         return cases.otherwise(trimmed)
 

@@ -163,9 +163,10 @@ def disclosing(near: DataFrame, found: DataFrame, texts: DataFrame, contexts: in
         return nothing
     asked = broadcast_if_small(pairs.select("term").distinct(), MOST_TERMS)
     words = F.split(F.lower("body"), f"{_EDGE}*{_SPACE}+{_EDGE}*|^{_EDGE}+|{_EDGE}+$")
-    # counted before the join, map-side: occurrences of common terms never become rows of a join
+    # counted before the join, map-side: occurrences of common terms never become rows of a join. The terms asked for are
+    # distinct, so the join is a plain one; a semi join would be moved below the count
     with_term = (texts.select(F.explode(F.array_distinct(words)).alias("term"))
-                 .groupBy("term").agg(F.count(F.lit(1)).alias("having")).join(asked, "term", "left_semi"))
+                 .groupBy("term").agg(F.count(F.lit(1)).alias("having")).join(asked, "term"))
     judged = pairs.join(with_term, "term").withColumn("disclosed", disclosed(F.col("having")))
     action = F.when(F.col("disclosed") >= remove, "remove").otherwise("generalise")
     return judged.where(F.col("disclosed") >= generalise).select(

@@ -10,7 +10,8 @@ bring up no item; of the other terms' postings, a block whose greatest weight ca
 passed over; what is left is summed, and completed by the terms put aside only where the sum can still reach the threshold.
 
 A retrieved item is then verified: of the five-word shingles of its question, and of its answer, at least 0.8 must stand
-in the passage.
+in the passage. Where the table gives no answer, the last sentence counts as one, and it is enough as well that 0.8 of the
+shingles of the whole item stand there: a word changed in a short sentence does not hide a copy.
 
 The index goes to the tasks; documents are not shuffled. An index holds at most ``shard`` items; more items are indexed
 in several shards, each with a pass of its own.
@@ -93,9 +94,9 @@ class Words(dict):
 class Index:
     """An inverted index of items. Terms are numbered in order of their greatest weight in any item."""
 
-    def __init__(self, items: list[tuple[int, str, str]], threshold: float = THRESHOLD):
-        """``items``: number, question and answer."""
-        texts = [[term(c) for c in f"{q} {a}".split()] for _, q, a in items]
+    def __init__(self, items: list[tuple[int, str, str | None]], threshold: float = THRESHOLD):
+        """``items``: number, question and answer; number, text and None where no answer is given."""
+        texts = [[term(c) for c in f"{q} {a or ''}".split()] for _, q, a in items]
         texts = [[w for w in words if w] for words in texts]
         items, texts = zip(*[(i, t) for i, t in zip(items, texts) if t]) if any(texts) else ((), ())
         self.items, self.threshold = [i for i, _, _ in items], threshold
@@ -127,8 +128,9 @@ class Index:
         self.block_end = np.minimum(self.block_first + BLOCK, np.repeat(self.starts[1:], blocks))
         self.block_most = np.maximum.reduceat(self.weight, self.block_first) if len(first) else self.weight[:0]
         self.parts = []
+        self.given = [a is not None for _, _, a in items]
         for _, q, a in items:
-            ids = [self.words.ids(x) for x in (q, a)]
+            ids = [self.words.ids(x) for x in (*((q, a) if a is not None else question_and_answer(q)), f"{q} {a or ''}")]
             self.parts.append([(min(WIDTH, len(x)), np.unique(_shingles(x, min(WIDTH, len(x))))) for x in ids])
 
     @property
@@ -179,17 +181,17 @@ class Index:
         codes = np.repeat(group * n, sizes) + self.item[posting]
         return np.bincount(codes, self.weight[posting], groups * n).reshape(groups, n)
 
-    def verified(self, item: int, ids: np.ndarray) -> tuple[float, float]:
-        """The shares of the shingles of an item's question and answer that stand in a passage; 1 for a part without words."""
+    def verified(self, item: int, ids: np.ndarray) -> tuple[float, float, float]:
+        """The shares of the shingles of an item's question, answer and whole that stand in a passage; 1 for a part without words."""
         shares = []
         for width, own in self.parts[item]:
             there = np.isin(own, _shingles(ids, width)).sum() if width else 1
             shares.append(float(there / max(1, len(own))))
-        return shares[0], shares[1]
+        return shares[0], shares[1], shares[2]
 
-    def matches(self, texts: list[str | None]) -> Iterator[list[tuple[int, float, float, float]]]:
-        """For every text its verified items: number, score and the two shares, of the passage that fits best."""
-        found: list[dict[int, tuple[float, float, float]]] = [{} for _ in texts]
+    def matches(self, texts: list[str | None]) -> Iterator[list[tuple[int, float, float, float, float]]]:
+        """For every text its verified items: number, score and the three shares, of the passage that fits best."""
+        found: list[dict[int, tuple[float, float, float, float]]] = [{} for _ in texts]
         waiting, words = [], 0
         for doc, text in enumerate(texts):
             for ids in self._runs(text):
@@ -210,7 +212,7 @@ class Index:
         for at in range(0, passages if len(ids) else 0, most):
             yield ids[at * step:(min(at + most, passages) + 1) * step]
 
-    def _look(self, runs: list[tuple[dict[int, tuple[float, float, float]], np.ndarray]]) -> None:
+    def _look(self, runs: list[tuple[dict[int, tuple[float, float, float, float]], np.ndarray]]) -> None:
         """Search all passages of some runs at once and put what is verified into their dictionaries."""
         step, starts, passage, word, count = self.step, [], [], [], 0
         for _, ids in runs:
@@ -228,9 +230,9 @@ class Index:
             run = int(np.searchsorted(starts, p, "right")) - 1
             best, ids = runs[run]
             at = (int(p) - starts[run]) * step
-            question, answer = self.verified(int(i), ids[at:at + 2 * step])
-            if question >= OVERLAP and answer >= OVERLAP:
-                best[int(i)] = max(best.get(int(i), (0.0, 0.0, 0.0)), (float(score), question, answer))
+            question, answer, whole = self.verified(int(i), ids[at:at + 2 * step])
+            if min(question, answer) >= OVERLAP or whole >= OVERLAP and not self.given[int(i)]:
+                best[int(i)] = max(best.get(int(i), (0.0, 0.0, 0.0, 0.0)), (float(score), question, answer, whole))
 
 
 def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -239,7 +241,7 @@ def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes) + np.repeat(first, sizes)
 
 
-def _items(benchmark: DataFrame, item_id: str, text: str, answer: str | None, shard: int) -> Iterator[list[tuple[int, str, str]]]:
+def _items(benchmark: DataFrame, item_id: str, text: str, answer: str | None, shard: int) -> Iterator[list[tuple[int, str, str | None]]]:
     """The items in shards of about ``shard``, each small enough for one index."""
     given = [col(item_id).alias("item_id"), col(text).cast("string").alias("text")]
     given.append((col(answer) if answer else F.lit(None)).cast("string").alias("answer"))
@@ -248,10 +250,10 @@ def _items(benchmark: DataFrame, item_id: str, text: str, answer: str | None, sh
     part: Column = F.pmod(F.xxhash64("text"), F.lit(shards))
     for k in range(shards):
         rows: list[Row] = items.where(part == k).distinct().collect()
-        yield [(r.item_id, *((r.text or "", r.answer) if r.answer is not None else question_and_answer(r.text))) for r in rows]
+        yield [(r.item_id, r.text or "", r.answer) for r in rows]
 
 
-MATCHES = "array<struct<item_id: long, score: double, question_overlap: double, answer_overlap: double>>"
+MATCHES = "array<struct<item_id: long, score: double, question_overlap: double, answer_overlap: double, overlap: double>>"
 
 
 def _matched(rows: DataFrame, index: Index, text: str) -> DataFrame:
@@ -259,7 +261,7 @@ def _matched(rows: DataFrame, index: Index, text: str) -> DataFrame:
     kept = [c for c in rows.columns if c != text]
     schema = rows.select(*kept, F.lit(None).cast(MATCHES).alias("found")).schema
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()),
-                               ("answer_overlap", pa.float64())]))
+                               ("answer_overlap", pa.float64()), ("overlap", pa.float64())]))
     names = [f.name for f in kind.value_type]
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,8 +276,8 @@ def _matched(rows: DataFrame, index: Index, text: str) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
                  item_text: str = "text", item_answer: str | None = None, threshold: float = THRESHOLD,
                  shard: int = SHARD) -> DataFrame:
-    """``doc_id``, ``item_id``, ``score``, ``question_overlap``, ``answer_overlap``: one row for every document row and item
-    that stands in it, of the passage that fits best.
+    """``doc_id``, ``item_id``, ``score``, ``question_overlap``, ``answer_overlap``, ``overlap`` (of the whole item): one row for
+    every document row and item that stands in it, of the passage that fits best.
 
     Null and empty texts and items have no words and match nothing; rows that are repeated are each looked at. Equal
     items of one number count once. Without documents or items there are no rows. Other columns are not looked at.

@@ -88,3 +88,34 @@ def test_given_answers_and_empty_tables(spark):
     assert D.contaminated(docs, asked.where("false")).count() == 0
     assert D.contaminated(docs.where("false"), asked).count() == 0
     assert D.clean(docs, asked.where("false")).count() == 1
+
+
+def shingles(text):
+    words = [D.term(c) for c in text.split() if D.term(c)]
+    n = min(D.WIDTH, len(words))
+    return {tuple(words[i:i + n]) for i in range(len(words) - n + 1)} if n else set()
+
+
+def test_one_word_edits_in_any_sentence(spark):
+    items = [*ITEMS[:12], (500, f"{sentence(30)} Aye."), (501, f"So. {sentence(30)}")]  # a short last or first sentence
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows, expected, hidden = [], set(), 0
+    for i, text in items:
+        words = text.split()
+        for k in range(len(words)):
+            doc = f"{sentence(20)} {' '.join([*words[:k], f'new{k}' + '.' * words[k].endswith('.'), *words[k + 1:]])} {sentence(20)}"
+            rows.append((len(rows), doc))
+            there = shingles(doc)
+            score = bm25({D.term(c) for c in doc.split()}, [(j, *D.question_and_answer(t)) for j, t in items])
+            for j, (item, t) in enumerate(items):
+                shares = [len(x & there) / len(x) if x else 1 for x in map(shingles, (*D.question_and_answer(t), t))]
+                if score[j] >= D.THRESHOLD and (min(shares[:2]) >= D.OVERLAP or shares[2] >= D.OVERLAP):
+                    expected.add((len(rows) - 1, item))
+                    hidden += min(shares[:2]) < D.OVERLAP
+    assert hidden > 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = D.contaminated(docs, benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == expected
+    asked = spark.createDataFrame([(500, *D.question_and_answer(items[-2][1]))], "item_id long, text string, answer string")
+    last = [k for k, (_, t) in enumerate(rows) if "new30" in t]  # a given answer must be there itself
+    assert not {r.doc_id for r in D.contaminated(docs, asked, item_answer="answer").collect()} & set(last)

@@ -4,11 +4,14 @@ A text becomes its lower-cased letters with one blank between words. Models of o
 sample of labelled documents, bounded by ``per_language`` documents of each language, so tables are bounded too. Every
 text is scored whole; the language with the least cross-entropy per character wins. A calibration part of the training
 documents gives the temperature of the probability and, by language and length, the cross-entropy beyond which a text is
-rejected as being in none of the languages.
+rejected as being in none of the languages. That is measured piece by piece, each by the model that fits it best, so a text
+in several known languages is as near as one in a single language; what a text in an unknown language has is learned from
+calibration texts scored without the model of their own language.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
@@ -27,10 +30,15 @@ PER_LANGUAGE = 20_000
 MOST_LANGUAGES = 1_000
 TEMPERATURES = [1.0, 0.5, 0.2, 0.1, 0.05, 0.02, 0.01, 0.005]
 TOLERANCE = 6.0
-"""A text is rejected when its cross-entropy is more than so many standard deviations above the mean of calibration texts of
-a like length, and most of the way (``FAR``) to what texts in other languages have under the same model. Texts of two known
-languages lie about half way and stay."""
-FAR = 0.8
+"""Without enough texts of other languages a limit lies so many standard deviations above the mean of a language's own texts."""
+LOST = 10.0
+"""A limit parts a language's own texts from those of left-out languages: one lost of the former weighs as much as so many
+passed of the latter."""
+ENOUGH = 30
+PIECE = 32
+"""Symbols of a piece that is in one language."""
+BIN = 0.01
+ANY = ""
 _BLANK, _BLOCK = 32, 1 << 20
 _ORDERS = (4, 3, 2, 1)
 
@@ -115,7 +123,8 @@ class Identifier:
     models: list[Model] = field(default_factory=list)
     temperature: float = 1.0
     limits: dict[tuple[str, int], float] = field(default_factory=dict)
-    """By language and length class the greatest cross-entropy that is not rejected; class -1 is for all lengths."""
+    """By language and length class the greatest cross-entropy of a text's pieces that is not rejected; class -1 is for all
+    lengths, ``ANY`` for languages without calibration texts."""
 
     def entropies(self, text: str | None) -> tuple[int, np.ndarray]:
         """Number of symbols and cross-entropy per symbol for each language."""
@@ -126,6 +135,21 @@ class Identifier:
             total -= [float(counts @ model.log10(kinds)) for model in self.models]
         return n, total / max(n, 1)
 
+    def pieces(self, text: str | None) -> np.ndarray:
+        """Of every piece of a text the summed cross-entropy under each model (models by pieces)."""
+        found = [np.zeros((len(self.models), 0))]
+        for keys in grams(text):
+            kinds, which = np.unique(keys, return_inverse=True)
+            starts = np.arange(0, len(keys), PIECE)
+            found.append(np.array([-np.add.reduceat(model.log10(kinds)[which], starts) for model in self.models]))
+        return np.concatenate(found, axis=1)
+
+    def limit(self, language: str, n: int) -> float:
+        for key in ((language, length_class(n)), (language, -1), (ANY, length_class(n)), (ANY, -1)):
+            if key in self.limits:
+                return self.limits[key]
+        return np.inf
+
     def shares(self, n: int, entropies: np.ndarray, temperature: float) -> np.ndarray:
         less = (entropies - entropies.min()) * n * temperature * np.log(10)
         share = np.exp(-np.minimum(less, 700))
@@ -138,8 +162,10 @@ class Identifier:
             return UNKNOWN, 0.0, True
         best = int(np.argmin(entropies))
         language = self.languages[best]
-        limit = self.limits.get((language, length_class(n)), self.limits.get((language, -1), np.inf))
-        return language, float(self.shares(n, entropies, self.temperature)[best]), bool(entropies[best] > limit)
+        limit = self.limit(language, n)
+        # piece by piece it is never more than by one model for the whole text
+        rejected = entropies[best] > limit and self.pieces(text).min(axis=0).sum() / n > limit
+        return language, float(self.shares(n, entropies, self.temperature)[best]), bool(rejected)
 
 
 def length_class(n: int) -> int:
@@ -192,49 +218,86 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return _calibrated(found, chosen.where("calibration"), spark)
 
 
+_OWN, _OTHER, _LOSS = 0, 1, 2
+
+
 def _calibrated(found: Identifier, texts: DataFrame, spark) -> Identifier:
     sent = spark.sparkContext.broadcast(found)
     names = {name: i for i, name in enumerate(found.languages)}
-    losses = [f"t{i}" for i in range(len(TEMPERATURES))]
-    parts = ["n", "e", "ee", "others", "other_e"]
-    values = [*parts, *losses]
 
     def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Sums by language and length class, and the loss at each temperature."""
-        sums: dict[tuple[str, int], np.ndarray] = {}
+        """How many texts of a language and length class have a cross-entropy: own ones, and others whose own model is left
+        out, at the language that is nearest then; and the loss at each temperature."""
+        sums: Counter = Counter()
         for frame in frames:
             for language, text in zip(frame["lang"], frame["text"]):
                 n, entropies = sent.value.entropies(text)
                 if n and language in names:
-                    right = names[language]
-                    loss = [-np.log(max(1e-12, sent.value.shares(n, entropies, t)[right])) for t in TEMPERATURES]
-                    correct = np.argmin(entropies) == right
-                    e = entropies[right]
-                    row = [1.0, e, e * e, 0.0, 0.0] if correct else [0.0] * 5
-                    key = (language, length_class(n))
-                    sums[key] = sums.get(key, 0) + np.array([*row, *loss])
-                    for other, model in names.items():
-                        if model != right:
-                            key = (other, length_class(n))
-                            sums[key] = sums.get(key, 0) + np.array([0.0, 0.0, 0.0, 1.0, entropies[model], *[0.0] * len(loss)])
-        yield pd.DataFrame([[*key, *map(float, v)] for key, v in sums.items()],
-                           columns=["lang", "size", *values])
-
-    sums = (texts.select("lang", "text").mapInPandas(measured, "lang string, size int, " + ", ".join(f"{v} double" for v in values))
-            .groupBy("lang", "size").agg(*[F.sum(v).alias(v) for v in values]).toPandas())
+                    right, size = names[language], length_class(n)
+                    for i, t in enumerate(TEMPERATURES):
+                        sums[ANY, 0, _LOSS, i] += -np.log(max(1e-12, sent.value.shares(n, entropies, t)[right]))
+                    pieces = sent.value.pieces(text)
+                    if np.argmin(entropies) == right:
+                        sums[language, size, _OWN, int(pieces.min(axis=0).sum() / n / BIN)] += 1.0
+                    if len(names) > 1:
+                        entropies[right] = np.inf
+                        e = np.delete(pieces, right, axis=0).min(axis=0).sum() / n
+                        sums[sent.value.languages[int(np.argmin(entropies))], size, _OTHER, int(e / BIN)] += 1.0
+        yield pd.DataFrame([[*key, float(v)] for key, v in sums.items()], columns=["lang", "size", "kind", "bin", "n"])
+
+    sums = (texts.select("lang", "text").mapInPandas(measured, "lang string, size int, kind int, bin int, n double")
+            .groupBy("lang", "size", "kind", "bin").agg(F.sum("n").alias("n")).toPandas())
     if sums.empty:
         return found
-    found.temperature = TEMPERATURES[int(np.argmin(sums[losses].sum().to_numpy()))]
-    every = sums.groupby("lang")[parts].sum().reset_index().assign(size=-1)
-    for row in pd.concat([sums[["lang", "size", *parts]], every]).to_dict("records"):
-        if row["n"] >= 30:  # fewer say little; the limit for all lengths then holds
-            mean = row["e"] / row["n"]
-            spread = np.sqrt(max(row["ee"] / row["n"] - mean * mean, 0.0)) + 0.01
-            between = mean + FAR * (row["other_e"] / row["others"] - mean) if row["others"] else mean
-            found.limits[row["lang"], int(row["size"])] = max(mean + TOLERANCE * spread, between)
+    losses = sums[sums["kind"] == _LOSS].sort_values("bin")["n"].to_numpy()
+    found.temperature = TEMPERATURES[int(np.argmin(losses))]
+    found.limits = _limits(sums[sums["kind"] != _LOSS])
     return found
 
 
+def _parting(own: pd.DataFrame, other: pd.DataFrame) -> float:
+    """The value above which least of ``own`` and most of ``other`` lie (``e``, ``n``); the middle of those that part equally well."""
+    edges = np.unique(np.concatenate([own["e"], other["e"]]))
+    above, below = ([f.loc[(f["e"] > edge) == more, "n"].sum() / f["n"].sum() for edge in edges] for f, more in ((own, True), (other, False)))
+    cost = LOST * np.array(above) + np.array(below)
+    best = int(np.argmin(cost))
+    return float(edges[best] + edges[best + 1]) / 2 if best + 1 < len(edges) else float(edges[best])
+
+
+def _limits(sums: pd.DataFrame) -> dict[tuple[str, int], float]:
+    """Limits by language and length class from the numbers of texts by cross-entropy (see ``measured``).
+
+    Where a language has few texts or few others come near it, the limit lies as far above the mean of its own texts as it
+    does for the texts of all languages together."""
+    sums = sums.assign(e=(sums["bin"] + 0.5) * BIN)
+    sums = pd.concat([sums, sums.assign(size=-1)])
+    groups, excess = {}, {}
+    for key, rows in sums.groupby(["lang", "size"]):
+        own, other = rows[rows["kind"] == _OWN], rows[rows["kind"] == _OTHER]
+        if len(own):
+            mean = float(np.average(own["e"], weights=own["n"]))
+            spread = float(np.sqrt(np.average((own["e"] - mean) ** 2, weights=own["n"]))) + BIN
+            groups[key] = own, other, mean, spread
+            excess.setdefault(key[1], []).append(rows.assign(e=rows["e"] - mean))
+    pooled = {}
+    for size, rows in excess.items():
+        rows = pd.concat(rows)
+        own, other = rows[rows["kind"] == _OWN], rows[rows["kind"] == _OTHER]
+        if min(own["n"].sum(), other["n"].sum()) >= ENOUGH:
+            pooled[size] = _parting(own, other)
+    limits: dict[tuple[str, int], float] = {}
+    for (language, size), (own, other, mean, spread) in groups.items():
+        many = own["n"].sum() >= ENOUGH
+        if many and other["n"].sum() >= ENOUGH:
+            limits[language, int(size)] = _parting(own, other)
+        elif many or size == -1:  # fewer of a length say little; the limit for all lengths then holds
+            far = pooled.get(size, pooled.get(-1, 0.0))
+            limits[language, int(size)] = mean + max(TOLERANCE * spread, far)
+    for (_, size), limit in list(limits.items()):
+        limits[ANY, size] = max(limits.get((ANY, size), 0.0), limit)
+    return limits
+
+
 def identify(rows: DataFrame, found: Identifier, text: str = "text") -> DataFrame:
     """``rows`` without ``text`` and with ``lang_pred``, ``score`` and ``rejected``.
 

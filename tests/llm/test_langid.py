@@ -104,3 +104,32 @@ def test_nothing_to_learn_from(spark):
     assert [(r.lang_pred, r.score, r.rejected) for r in L.languages(docs).collect()] == [("und", 0.0, True)] * 2
     assert L.languages(docs.where("false")).count() == 0
     assert L.in_known_languages(docs.where("false")).count() == 0
+
+
+MORE = {**SYLLABLES, "nl": ["de", "sch", "een", "ing", "ij"], "es": ["que", "el", "os", "ción", "ar"]}
+
+
+def words(rng, lang, n):
+    return " ".join("".join(rng.choices(MORE[lang], k=rng.randint(1, 3))) for _ in range(n))
+
+
+def test_a_language_without_a_model_is_rejected_and_mixed_texts_stay(spark):
+    rng = random.Random(5)
+    known = ["en", "de", "fr", "es"]
+    rows = [(i, words(rng, known[i % 4], rng.randint(15, 60)), known[i % 4]) for i in range(1600)]
+    rows += [(5000 + i, words(rng, "nl", rng.randint(15, 60)), None) for i in range(200)]
+    rows += [(6000 + i, " ".join(words(rng, x, 25) for x in rng.sample(known, 2)), None) for i in range(200)]
+    found = {r.doc_id: r for r in L.languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert sum(found[i].rejected for i in range(5000, 5200)) >= 190
+    assert not any(found[i].rejected for i in range(6000, 6200))
+    assert sum(found[i].rejected for i in range(1600)) <= 8
+
+
+def test_languages_with_few_texts_have_a_limit(spark):
+    rng = random.Random(6)
+    rows = [(i, words(rng, ("en", "fr")[i % 2], rng.randint(15, 60)), ("en", "fr")[i % 2]) for i in range(800)]
+    rows += [(2000 + i, words(rng, "de", rng.randint(15, 60)), "de") for i in range(40)]
+    found = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert np.isfinite(found.limit("de", 200))
+    assert not any(found.judge(words(rng, "de", 40))[2] for _ in range(50))
+    assert found.judge(" ".join(["pfzq", "schw", "kkwv", "ungx"] * 10))[2]

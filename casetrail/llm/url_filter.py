@@ -20,7 +20,7 @@ from casetrail.session import stash
 
 ALLOW, BLOCK = "allow", "block"
 MOST_RULES = 2_000
-"""Rules become part of the plan, which no join is needed for; more are refused."""
+"""So many rules become part of the plan, which no join is needed for; more are joined."""
 TRACKING = r"(?:utm_[^=&]*|ref|fbclid|gclid)"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -49,8 +49,6 @@ def path_of(url: Column) -> Column:
 def deciding(rules: list[Rule], host: Column, path: Column) -> Column:
     """The longest rule that fits, as a struct of ``rule`` and ``verdict``; null if none does. Of rules of equal length the
     one with the longer host decides, of equal rules the one that allows."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
     found = F.lit(None).cast("struct<rule: string, verdict: string>")
     for r in sorted(rules, key=lambda r: (len(r.text), len(r.host), r.text, r.verdict == ALLOW)):
         fits = ((host == r.host) | F.endswith(host, F.lit("." + r.host))) & F.startswith(path, F.lit(r.path))
@@ -58,6 +56,29 @@ def deciding(rules: list[Rule], host: Column, path: Column) -> Column:
     return found
 
 
+def decided(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``rows`` with ``found``, what ``deciding`` says of ``host`` and ``path``, for any number of rules.
+
+    The rules are sent to the distinct addresses and looked up by each suffix of the host and by the begins of the path
+    that are as long as a path the suffix has rules for.
+    """
+    rows = stash(rows.withColumn("address", F.struct("host", "path")))
+    given = rows.sparkSession.createDataFrame([(r.host, r.path, r.verdict) for r in rules], "on string, begin string, verdict string")
+    given = given.withColumn("size", F.length("begin"))
+    sizes = given.groupBy("on").agg(F.collect_set("size").alias("sizes"))
+    each = rows.groupBy("address").agg(F.count(F.lit(1)).alias("n"))
+    parts = F.split("address.host", "[.]", -1)
+    suffixes = F.transform(parts, lambda _, i: F.array_join(F.slice(parts, i + 1, F.size(parts)), "."))
+    asked = each.select("address", "n", F.explode(suffixes).alias("on")).join(F.broadcast(sizes), "on")
+    asked = asked.select("address", "n", "on", F.explode("sizes").alias("size")).where(F.col("size") <= F.length("address.path"))
+    fits = asked.withColumn("begin", F.left("address.path", F.col("size"))).join(F.broadcast(given), ["on", "begin", "size"])
+    text = F.concat("on", "begin")
+    order = F.struct(F.length(text), F.length("on"), text.alias("rule"), (F.col("verdict") == ALLOW).alias("allowed"), "verdict")
+    best = fits.groupBy("address").agg(F.max(order).alias("best"), F.first("n").alias("n"))
+    values = stash(best.select("address", "n", F.struct("best.rule", "best.verdict").alias("found")))
+    return join_counted(rows, values, "address").drop("address", "n")
+
+
 def name_of(url: Column) -> Column:
     """What tells urls apart as pages: host, path and query. Scheme and fragment do not."""
     query = F.coalesce(F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1), F.lit(""))
@@ -72,9 +93,12 @@ def tidied(name: Column) -> Column:
 
 def declared(html: Column) -> Column:
     """The targets that a page declares in canonical links and refreshes, as they are written."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?i)<(?:link|meta)\b[^>]{0,4096}+>"), F.lit(0))
-    canonical = F.filter(tags, lambda t: t.rlike(r"(?i)^<link\b.*\brel\s*=\s*[\"']?canonical\b"))
-    refresh = F.filter(tags, lambda t: t.rlike(r"(?i)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b"))
+    # up to the last end of a tag, so every tag that begins has an end and none is looked for twice
+    closed = F.left(html, F.length(html) - F.length(F.substring_index(html, ">", -1)))
+    tags = F.regexp_extract_all(closed, F.lit(r"(?i)<(?:link|meta)\b[^>]*+>"), F.lit(0))
+    rel = r"(?is)^<link\b.*?\brel\s*=\s*(?:canonical(?![^\s>/])|\"(?:[^\"]*\s)?canonical[\s\"]|'(?:[^']*\s)?canonical[\s'])"
+    canonical = F.filter(tags, lambda t: t.rlike(rel))
+    refresh = F.filter(tags, lambda t: t.rlike(r"(?is)^<meta\b.*?\bhttp-equiv\s*=\s*[\"']?refresh\b"))
     links = F.transform(canonical, lambda t: F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
     jumps = F.transform(refresh, lambda t: F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1))
     return F.transform(F.filter(F.concat(links, jumps), lambda t: t != ""), lambda t: F.replace(t, F.lit("&amp;"), F.lit("&")))
@@ -112,12 +136,15 @@ def judged(pages: DataFrame, rules: list[Rule], page_id: str = "page_id", url: s
     """
     pages = anchored(pages)
 
-    def facts(address: Column) -> list[Column]:
-        host, path = host_of(address), path_of(address)
-        return [host.alias("host"), path.alias("path"), deciding(rules, host, path).alias("found"), name_of(address).alias("name")]
+    def facts(rows: DataFrame, address: str, *kept: str) -> DataFrame:
+        host, path = host_of(F.col(address)), path_of(F.col(address))
+        given = [*kept, host.alias("host"), path.alias("path"), name_of(F.col(address)).alias("name")]
+        if len(rules) > MOST_RULES:
+            return decided(rows.select(*given), rules)
+        return rows.select(*given, deciding(rules, host, path).alias("found"))
 
     rows = placed(pages, page_id=col(page_id), address=col(url).cast("string"))
-    narrow = stash(rows.select("page_id", *facts(F.col("address"))).withColumn("node", F.xxhash64("name")))
+    narrow = stash(facts(rows, "address", "page_id").withColumn("node", F.xxhash64("name")))
     sources = []
     if html:
         links = pages.select(col(url).cast("string").alias("source"), F.explode(declared(col(html).cast("string"))).alias("target"))
@@ -129,7 +156,7 @@ def judged(pages: DataFrame, rules: list[Rule], page_id: str = "page_id", url: s
     for links in sources:
         links = stash(links)
         for end in ("source", "target"):
-            own = links.select(*facts(F.col(end))[2:])
+            own = facts(links, end)
             named.append(own.select("name", F.xxhash64("name").alias("node"), F.col("found.verdict").alias("verdict")))
         edges.append(links.select(F.xxhash64(name_of(F.col("source"))).alias("u"), F.xxhash64(name_of(F.col("target"))).alias("v")))
     every = named[0]

@@ -93,3 +93,34 @@ def test_components_against_brute_force(spark):
 
 def test_no_pages(spark):
     assert U.judged(spark.createDataFrame([], "page_id long, url string, html string"), RULES).count() == 0
+
+
+def test_tags_of_any_form(spark):
+    target = 'href="http://c.net/es/z"'
+    tags = [f'<link\n  rel="canonical"\n  {target}\n/>', f"<link {target}\r\n rel='canonical'>", f'<link rel="alternate canonical" {target}>',
+            f"<link rel='canonical\tnext' {target}>", f"<link rel=canonical {target}>", f'<link data-x="{"y" * 9000}" rel=canonical {target}>',
+            '<meta\n content="0;\n url=http://c.net/es/z"\n http-equiv="refresh">']
+    others = [f'<link rel="canonical-x" {target}>', f'<link rel="xcanonical" {target}>', f"<link rel=canonicals {target}>", f'<link rel="next" {target}>',
+              "<link " * 40000, f'<link rel="canonical" {target}']
+    rows = [(i, f"http://p{i}.org/", f"<html>{t}") for i, t in enumerate(tags + others)]
+    found = U.judged(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).collect()
+    assert {r.page_id for r in found if r.verdict == BLOCK} == set(range(len(tags)))
+
+
+def test_more_rules_than_fit_a_plan(spark):
+    more = [Rule(f"h{i}.edu", f"/{'d' * (i % 7)}", (ALLOW, BLOCK)[i % 2]) for i in range(U.MOST_RULES)]
+    more += [Rule("net", "/es/", ALLOW), Rule("", "/q", BLOCK)]
+    urls = [*URLS, "http://a.h7.edu/d", "http://h7.edu/", "http://h9.edu/dd/x", "http://h10.edu/ddd", "http://end./q", "http:///q", *["http://x.net/fr/"] * 50]
+    docs = spark.createDataFrame([(i, u, link("http://c.net/es/z") if i % 2 else None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+
+    def fitting(url):
+        host, path = split(url)
+        fits = [r for r in RULES + more if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        return max(fits, key=lambda r: (len(r.text), len(r.host), r.text, r.verdict == ALLOW), default=None)
+
+    found = U.judged(docs, RULES + more).collect()
+    assert len(found) == len(urls)
+    for r in found:
+        rule = fitting(urls[r.page_id])
+        assert (r.host, r.path, r.rule) == (*split(urls[r.page_id]), rule.text if rule else None), urls[r.page_id]
+        assert rule is None or r.verdict == rule.verdict

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casetrail.llm import class_lm, decontaminate, exact_dedup, langid, packing, pii, quality, simhash, url_filter, warc
+from casetrail.llm import (alignment, class_lm, decontaminate, embedding_lsh, exact_dedup, langid, packing, pii, quality, simhash, url_filter,
+                           warc, whitening)
 from casetrail.llm.url_filter import ALLOW, BLOCK, Rule
 
 
@@ -96,6 +97,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id", "copies")
 
 
+def op11_embedding_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_lsh.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_quality": op2_quality,
@@ -107,6 +120,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_class_lm": op8_class_lm,
     "op9_language_id": op9_language_id,
     "op10_simhash": op10_simhash,
+    "op11_embedding_lsh": op11_embedding_lsh,
+    "op12_alignment": op12_alignment,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE: dict[str, str] = {

@@ -9,13 +9,14 @@ from casetrail.llm.queries import ORACLE, QUERIES
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 FULL = {"op1_url_filter": "pages", "op2_quality": "documents", "op5_warc": "pages", "op6_exact_dedup": "documents", "op7_personal_data": "documents",
-        "op8_class_lm": "documents", "op9_language_id": "documents", "op10_simhash": "documents"}
+        "op8_class_lm": "documents", "op9_language_id": "documents", "op10_simhash": "documents",
+        "op11_embedding_lsh": "embeddings", "op12_alignment": "documents"}
 
 
 @pytest.fixture(scope="module")
 def tables():
     connection = duckdb.connect()
-    for name in ("documents", "pages", "benchmark", "labels"):
+    for name in ("documents", "pages", "benchmark", "labels", "embeddings"):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{DATA}/{name}.parquet')")
     return connection
 

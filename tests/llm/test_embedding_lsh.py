@@ -7,7 +7,7 @@ SCHEMA = "vec_id long, embedding array<float>, label int, point string, key int,
 
 
 def rows(spark, found):
-    return spark.createDataFrame([(i, None if v is None else list(map(float, v)) if None not in list(v) else list(v), label, "x", 1, 2)
+    return spark.createDataFrame([(i, None if v is None else [None if x is None else float(x) for x in v], label, "x", 1, 2)
                                   for i, v, label in found], SCHEMA)
 
 

@@ -56,8 +56,8 @@ def raw_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("entity_fqn"))
 
 
-def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as session transcripts, with the events of the user of the same number as tool use.
+def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as lines of session transcripts, with the events of the user of the same number as tool use.
 
     System turns become corrections by the user, the fifth turn of a user a slash command.
     """
@@ -82,7 +82,31 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").cast("string").alias("session_id"), (F.col("event_id") + 1_000_000).alias("place"),
         F.when(F.col("event_type") == "error", line("user", result)).otherwise(line("assistant", call))
         .alias("line"))
-    return tolerant_rows(said.unionByName(used))
+    return said.unionByName(used)
+
+
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tolerant_rows(transcript_lines(spark, sf_dir))
+
+
+def broken_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that are not JSON: some in sessions with other lines, some in sessions of their own."""
+    turns = table(spark, sf_dir, "conversations").where("turn < 2")
+    name = F.concat(F.when(F.col("turn") == 0, "broken-").otherwise(""), F.col("conv_id").cast("string"))
+    return turns.select(name.alias("session_id"), F.lit(1).cast("long").alias("place"), F.concat(F.lit("{ "), "text").alias("line"))
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an analysis said of the sessions: nothing of some, no JSON of others, else a finding with three artifacts, the second not
+    an object."""
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    name = F.col("user_id").cast("string")
+    answer = F.concat(
+        F.lit('Here: ```json {"root_cause": " cause '), name, F.lit(' ", "confidence": '), (F.col("user_id") % 150 / 100).cast("string"),
+        F.lit(', "artifacts": [{"type": " Script ", "title": "fix '), name,
+        F.lit('", "rationale": "r", "body": "b"}, "loose", {"type": "lesson", "title": " learn "}, {"type": "skill", "title": "fourth"}]}``` so far'))
+    return users.where("user_id % 5 <> 0").select(
+        name.alias("session_id"), F.when(F.col("user_id") % 5 == 1, "nothing to say").otherwise(answer).alias("reply"))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> Grouped:

@@ -579,8 +579,72 @@ SELECT count(*) FILTER (judged) AS ok, count(*) FILTER (NOT judged) AS pending,
     "recurrence": """
 SELECT event_type || ':' || props AS signal, count(DISTINCT user_id) AS n_sessions FROM events
 GROUP BY 1 HAVING count(DISTINCT user_id) >= 3""",
-    "stream_sweep": sessions("""
-SELECT session_id AS id, 'pending' AS status, salience, salience >= 0.5 AS escalated, 0::BIGINT AS batch FROM scored"""),
+}
+
+# --- the sweep over lines at even places, then the others -----------------------------------------------------------
+
+# salience of the lines of the first sweep, and of all
+def swept(query: str) -> str:
+    return f"""WITH {TRANSCRIPT.replace("scored AS (", "scored_all AS (")},
+per_half AS (
+  SELECT session_id, half, count(*) FILTER (place % 2 <= half) AS n_events, count(*) FILTER (human) AS n_human,
+         count(tool) AS n_tools, count(*) FILTER (agent) AS n_agent, count(*) FILTER (failed) AS n_failed,
+         count(*) FILTER (tool IN ('Edit', 'Write')) AS n_mutations,
+         count(*) FILTER (human AND regexp_matches(text, '{CORRECTION}')) AS n_corrections
+  FROM lines, (SELECT unnest([0, 1]) AS half) WHERE place % 2 <= half GROUP BY session_id, half),
+known AS (
+  SELECT session_id, half, n_events, n_human, n_tools, least(1.0, least(0.5, 0.25 * n_corrections) + least(0.3, 0.08 * n_failed)
+    + least(0.15, 0.01 * n_mutations) + CASE WHEN n_human = 0 AND n_agent > 20 THEN 0.1 ELSE 0.0 END) AS points
+  FROM per_half
+  UNION ALL
+  SELECT 'broken-' || conv_id, 1, 0, 0, 0, 0.0 FROM conversations WHERE turn = 0),
+changed AS (
+  SELECT k.*, round(points, 2)::DOUBLE AS salience, round(points, 2) >= 0.5 AS escalated,
+         k.session_id IN (SELECT conv_id::VARCHAR FROM conversations WHERE role = 'system') AS judged,
+         CASE WHEN n_events = 0 THEN 'no readable line' ELSE '' END AS error
+  FROM known k
+  WHERE k.half = 0 OR k.n_events = 0 OR k.session_id IN (SELECT session_id FROM lines WHERE place % 2 = 1)
+    OR k.session_id IN (SELECT conv_id::VARCHAR FROM conversations WHERE turn = 1)),
+journal AS (
+  SELECT * FROM (
+    SELECT *, CASE WHEN judged THEN 'ok' ELSE 'pending' END AS status FROM changed c
+    -- a broken line alone does not reopen a finished session
+    WHERE half = 0 OR NOT judged OR n_events > coalesce((SELECT max(n_events) FROM changed d
+      WHERE d.session_id = c.session_id AND d.half = 0), -1))),
+current AS (SELECT * FROM journal QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY half DESC) = 1),
+answered AS (
+  SELECT session_id AS id, half, CASE WHEN n IS NULL THEN 'no reply' WHEN n % 5 = 0 THEN 'no reply'
+           WHEN n % 5 = 1 THEN 'the reply holds no JSON object' ELSE '' END AS reason, n
+  FROM journal LEFT JOIN (SELECT DISTINCT user_id AS n FROM events) u ON session_id = n::VARCHAR WHERE escalated),
+findings AS (SELECT a.* FROM answered a JOIN current c ON a.id = c.session_id AND a.half = c.half),
+drafts AS (
+  SELECT id AS finding_id, half, unnest([{{'type': 'script', 'title': 'fix ' || id, 'body': 'b', 'status': 'pending'}},
+    {{'type': 'lesson', 'title': 'learn', 'body': '', 'status': 'written'}}], recursive := true) FROM answered WHERE reason = '')
+{query}"""
+
+
+SWEEPS = {
+    "stream_sweep": swept("""
+SELECT session_id AS id, status, salience, n_events AS events, n_human AS human, n_tools AS tool_uses, escalated, error, half AS batch
+FROM current"""),
+    "stream_quarantine": swept("""
+SELECT session_id AS id, 'reading' AS stage, error FROM current WHERE error <> ''
+UNION ALL SELECT id, 'reply', reason FROM findings WHERE reason <> ''"""),
+    "stream_findings": swept("""
+SELECT id, CASE WHEN reason = '' THEN 'ok' ELSE 'pending' END AS status, CASE WHEN reason = '' THEN 'cause ' || id ELSE '' END AS root_cause,
+       CASE WHEN reason = '' THEN round(least(1.0, n % 150 / 100.0), 2)::DOUBLE ELSE 0.0::DOUBLE END AS confidence,
+       CASE WHEN reason = '' THEN 2 ELSE 0 END::BIGINT AS n_artifacts FROM findings"""),
+    "stream_artifacts": swept("""
+SELECT d.finding_id, left(sha256(d.finding_id || '|' || type || '|' || title || '|' || body), 12) AS id, type, title, d.status
+FROM drafts d JOIN current c ON d.finding_id = c.session_id AND d.half = c.half"""),
+    "stream_summary": swept("""
+SELECT count(DISTINCT k.session_id) AS scanned, count(DISTINCT j.session_id) AS processed,
+       count(DISTINCT j.session_id) FILTER (j.escalated) AS escalated,
+       count(DISTINCT j.session_id) FILTER (j.status = 'pending') AS pending,
+       any_value((SELECT count(*) FROM drafts d WHERE d.half = k.half)) AS artifacts,
+       count(DISTINCT j.session_id) FILTER (j.error <> '') + any_value((SELECT count(*) FROM answered a
+         WHERE a.half = k.half AND reason <> '')) AS failed, k.half AS batch
+FROM changed k LEFT JOIN journal j ON j.session_id = k.session_id AND j.half = k.half GROUP BY k.half"""),
 }
 
 # --- conversations --------------------------------------------------------------------------------------------------
@@ -698,5 +762,5 @@ READERS["dataset_collect"] = MESSAGES.format(body=STRIPPED)
 
 ORACLE: dict[str, str] = {
     **READERS, **{name: jobs(sql) for name, sql in MINING.items()}, **WEB, **FINDINGS, **REGISTER, **LOADING, **SESSIONS,
-    **CONVERSATIONS, **AUDITS,
+    **SWEEPS, **CONVERSATIONS, **AUDITS,
 }

@@ -564,13 +564,17 @@ def session_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select("session_id", "n_events", "cwd", "end_reason")
 
 
-def triage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Triage records; sessions with a system turn have a verdict."""
-    verdicts = inputs.table(spark, sf_dir, "conversations").where("role = 'system'").groupBy(
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for sessions with a system turn."""
+    return inputs.table(spark, sf_dir, "conversations").where("role = 'system'").groupBy(
         F.col("conv_id").cast("string").alias("session_id")).agg(
         F.lit(" Build").alias("session_class"), F.lit(True).alias("rule_drift"),
         F.lit("  a   note ").alias("notes"))
-    return S.triage_records(session_stats(spark, sf_dir), verdicts)
+
+
+def triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triage records; sessions with a system turn have a verdict."""
+    return S.triage_records(session_stats(spark, sf_dir), verdicts(spark, sf_dir))
 
 
 def salience(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -609,17 +613,45 @@ def recurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.recurrence(event_signals(spark, sf_dir))
 
 
+def swept(spark: SparkSession, sf_dir: str) -> str:
+    """The journal of three sweeps: over the lines at even places, over the others, and over nothing new.
+
+    Sessions have lines in both, some lines are broken, and verdicts and replies come from elsewhere.
+    """
+    root = scratch(spark)
+    lines = stash(derived.transcript_lines(spark, sf_dir).unionByName(derived.broken_lines(spark, sf_dir)))
+    replies = stash(derived.replies(spark, sf_dir))
+    for half in ("place % 2 = 0", "place % 2 = 1", None):
+        if half:
+            lines.where(half).select("session_id", F.col("line").alias("value")).write.mode("append").parquet(f"{root}/lines")
+        read = sweep.line_stream(spark, f"{root}/lines")
+        sweep.start(read, f"{root}/journal", f"{root}/checkpoint", verdicts=verdicts(spark, sf_dir), analyse=replies).awaitTermination()
+    return f"{root}/journal"
+
+
 def stream_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transcript files written from the tables, swept twice: the second sweep finds nothing new."""
-    root = f"{shared_folder(spark)}/casetrail/{uuid.uuid4().hex}"
-    lines = derived.transcripts(spark, sf_dir)
-    stretch = F.floor(F.col("place") / 10_000_000)
-    files = lines.repartition("session_id", stretch).sortWithinPartitions("session_id", "place")
-    files.select("session_id", F.col("line").alias("value")).write.partitionBy("session_id").text(f"{root}/sessions")
-    read = sweep.transcript_stream(spark, f"{root}/sessions", "*.txt", "value string, session_id string")
-    for _ in range(2):
-        sweep.start(read, f"{root}/journal", f"{root}/checkpoint").awaitTermination()
-    return sweep.read_journal(spark, f"{root}/journal").select("id", "status", "salience", "escalated", "batch")
+    """The current record of every session: counts added up over batches."""
+    return sweep.read_journal(spark, swept(spark, sf_dir)).select(
+        "id", "status", "salience", "facts.events", "facts.human", "facts.tool_uses", "escalated", "error", "batch")
+
+
+def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that could not be read, and replies that could not be used, while the others were finished."""
+    return sweep.read_quarantine(spark, swept(spark, sf_dir)).select("id", "stage", "error")
+
+
+def stream_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sweep.read_findings(spark, swept(spark, sf_dir))
+    return found.select("id", "status", "root_cause", F.round("confidence", 2).alias("confidence"), F.size("artifacts").cast("long").alias("n_artifacts"))
+
+
+def stream_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sweep.read_artifacts(spark, swept(spark, sf_dir)).select("finding_id", "id", "type", "title", "status")
+
+
+def stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each batch of the sweeps did."""
+    return sweep.read_summaries(spark, swept(spark, sf_dir)).drop("run")
 
 
 SESSIONS: dict[str, Query] = {
@@ -743,6 +775,14 @@ def tool_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 AUDITS: dict[str, Query] = {"sql_audit": sql_audit, "egress_audit": egress_audit, "tool_audit": tool_audit}
 
+STREAMS: dict[str, Query] = {
+    "stream_sweep": stream_sweep,
+    "stream_quarantine": stream_quarantine,
+    "stream_findings": stream_findings,
+    "stream_artifacts": stream_artifacts,
+    "stream_summary": stream_summary,
+}
+
 QUERIES: dict[str, Query] = {
-    **MINING, **FINDINGS, **REGISTER, **LOADING, **READERS, **SESSIONS, **CONVERSATIONS, **AUDITS, "stream_sweep": stream_sweep,
+    **MINING, **FINDINGS, **REGISTER, **LOADING, **READERS, **SESSIONS, **CONVERSATIONS, **AUDITS, **STREAMS,
 }

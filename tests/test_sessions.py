@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from casetrail.operators import sessions as S
+from casetrail.operators.replies import read_replies
 from casetrail.sources import jsonl
 from casetrail.streaming import sweep
+from casetrail.streaming.isolation import isolated
 
 KEY = "sk-ant-api05-" + "Harbour88" * 4
 
@@ -181,7 +183,74 @@ def test_sweeps(spark, tmp_path):
 
 def test_a_repeated_batch_replaces_itself(spark, tmp_path):
     write(tmp_path / "t", "2031-03-09-one.jsonl", LINES)
-    lines = jsonl.read_lines(spark, str(tmp_path / "t"))
+    lines, journal = jsonl.read_lines(spark, str(tmp_path / "t")), str(tmp_path / "journal")
+    replies = spark.createDataFrame([("one", REPLY)], "session_id string, reply string")
     for _ in range(2):
-        sweep.sweep_batch(lines, str(tmp_path / "journal"), 0)
-    assert sweep.read_journal(spark, str(tmp_path / "journal")).count() == 1
+        sweep.sweep_batch(lines, journal, 0, signals=RECURRING(spark), analyse=replies)
+    assert sweep.all_records(spark, journal).count() == 1
+    assert [(r.finding_id, r.type, r.status) for r in sweep.read_artifacts(spark, journal).collect()] == [("one", "script", "pending")]
+    assert [tuple(r)[:6] for r in sweep.read_summaries(spark, journal).collect()] == [(1, 1, 1, 1, 1, 0)]
+
+
+REPLY = 'so: {"root_cause": "tides", "confidence": 3, "artifacts": [{"type": "Script", "title": "t", "body": "b"}]}'
+
+
+def RECURRING(spark):
+    """A signal that makes every session worth a closer look."""
+    return spark.createDataFrame([(s, "late") for s in ("one", "two", "three", "four", "x", "y")], "session_id string, signal string")
+
+
+def test_sessions_add_up_over_batches(spark, tmp_path):
+    folder, journal, checkpoint = str(tmp_path / "lines"), str(tmp_path / "journal"), str(tmp_path / "checkpoint")
+    rows = [("one", json.dumps(line)) for line in LINES] + [("two", "{ broken")]
+    done = spark.createDataFrame([("one", "debug", False, "n")],
+                                 "session_id string, session_class string, rule_drift boolean, notes string")
+    for part in (rows[:2], rows[2:], [("one", "{ broken")]):
+        spark.createDataFrame(part, "session_id string, value string").coalesce(1).write.mode("append").parquet(folder)
+        sweep.start(sweep.line_stream(spark, folder), journal, checkpoint, verdicts=done).awaitTermination()
+    whole = S.session_stats(jsonl.parsed_rows(spark.createDataFrame(rows, "session_id string, line string").selectExpr("*", "0 as place")))
+    expected = {r.session_id: (r.n_events, r.n_user_msgs, r.n_tool_uses, r.n_tool_errors) for r in whole.collect()}
+    found = {r.id: r for r in sweep.read_journal(spark, journal).collect()}
+    assert {i: (r.facts.events, r.facts.human, r.facts.tool_uses, r.facts.tool_errors) for i, r in found.items()} == expected
+    # two readable lines, then four more; a broken line does not reopen a finished session
+    assert [(r.facts.events, r.batch) for r in sweep.all_records(spark, journal).where("id = 'one'").orderBy("batch").collect()] == [(2, 0), (6, 1)]
+    assert found["two"].error == sweep.UNREADABLE and found["one"].error == ""
+    assert [tuple(r)[:3] for r in sweep.read_quarantine(spark, journal).collect()] == [("two", "reading", sweep.UNREADABLE)]
+
+
+def test_a_failing_session_does_not_stop_the_others(spark, tmp_path):
+    folder, journal = tmp_path / "t", str(tmp_path / "journal")
+    for name in ("one", "two", "three", "four"):
+        write(folder, f"2031-03-09-{name}.jsonl", LINES)
+
+    def analyse(records):
+        failing = F.when(F.col("id").isin("two", "four"), F.raise_error(F.concat(F.lit("cannot read "), "id"))).otherwise(REPLY)
+        return records.select(F.col("id").alias("session_id"), failing.cast("string").alias("reply"))
+
+    sweep.sweep_once(spark, str(folder), journal, str(tmp_path / "checkpoint"), signals=RECURRING(spark), analyse=analyse)
+    assert {(r.id, r.status) for r in sweep.read_findings(spark, journal).collect()} == {
+        ("one", "ok"), ("two", "pending"), ("three", "ok"), ("four", "pending")}
+    failed = {r.id: r for r in sweep.read_quarantine(spark, journal).collect()}
+    assert {*failed} == {"two", "four"} and all(r.stage == "analysis" and f"cannot read {i}" in r.error for i, r in failed.items())
+    assert [tuple(r)[:6] for r in sweep.read_summaries(spark, journal).collect()] == [(4, 4, 4, 4, 2, 2)]
+
+
+def test_work_that_always_fails_is_raised(spark, tmp_path):
+    items = spark.createDataFrame([(str(i),) for i in range(40)], "id string")
+    with pytest.raises(Exception, match="broken"):
+        isolated(items, "id", lambda rows: rows.select(F.raise_error(F.lit("broken")).cast("string").alias("x")), str(tmp_path / "p"), "s", most=3)
+
+
+def test_replies(spark):
+    said = {
+        "fence": 'x ```json\n{"root_cause": " why ", "confidence": "0.4"}\n``` y', "words": 'so {"confidence": -1, "artifacts": "none"} there',
+        "list": "[1, 2]", "none": None, "broken": '{"root_cause": ', "nan": '{"confidence": "NaN"}',
+        "cap": json.dumps({"artifacts": [1, {"type": "memo"}, {"type": "LESSON ", "title": "x" * 200, "body": {"a": 1}}, {"type": "skill"}]})}
+    rows = spark.createDataFrame([*said.items()], "session_id string, reply string")
+    found = {r.id: r for r in read_replies(rows).collect()}
+    assert {i: (r.status, r.confidence, r.root_cause) for i, r in found.items()} == {
+        "fence": ("ok", 0.4, "why"), "words": ("ok", 0.0, ""), "list": ("pending", 0.0, ""), "none": ("pending", 0.0, ""),
+        "broken": ("pending", 0.0, ""), "nan": ("ok", 0.0, ""), "cap": ("ok", 0.0, "")}
+    assert found["none"].reason == "no reply" and found["list"].reason == found["broken"].reason == "the reply holds no JSON object"
+    assert [(a.type, len(a.title), a.body) for a in found["cap"].artifacts] == [("lesson", 120, '{"a":1}')]
+    assert all(not r.artifacts for i, r in found.items() if i != "cap")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +13,8 @@ from casetrail.functions.scrub import scrub
 from casetrail.functions.text import strip
 from casetrail.operators.mining import EventLog
 from casetrail.session import spread
-from casetrail.sources.files import BLOCK, FILE, ORIGIN, file_offsets, place_in_file, with_ingest_seq
-
-MOST_NAMED_FILES = 10_000
+from casetrail.sources import quoted
+from casetrail.sources.files import BLOCK, FILE, ORIGIN, file_offsets, with_ingest_seq
 
 
 @dataclass(frozen=True)
@@ -39,35 +37,17 @@ class ColumnMap:
 XES = ColumnMap("case:concept:name", "concept:name", "time:timestamp", "org:resource", source_system="real")
 
 
-def read_csv(spark: SparkSession, path: str, columns: ColumnMap, multiline: bool | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, columns: ColumnMap) -> DataFrame:
     """Raw text cells ``case_id, activity, ts, resource, entity_fqn, ingest_seq`` of CSV exports with a header.
 
-    A file can only be split among tasks when no quoted cell in it spans lines. ``multiline=None`` finds out with one
-    splittable pass over the text: a cell that spans lines leaves lines with an odd number of quotes. Files that have
-    such lines are read whole, the others in blocks. Beyond ten thousand files of that kind all are read whole.
+    Files are read in blocks, also where quoted cells span lines (see :mod:`casetrail.sources.quoted`).
     """
-    offsets = file_offsets(spark, path)
-    if multiline is not None:
-        return _complete(with_ingest_seq(_csv_cells(spark, path, columns, multiline), F.col("_place_in"), offsets))
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    origin = F.col("_metadata.file_path").alias(FILE)
-    odd = spark.read.text(path).select("value", origin).where(quotes % 2 == 1).select(FILE).distinct()
-    spanning = [r[0] for r in odd.limit(MOST_NAMED_FILES + 1).collect()]
-    if not spanning or len(spanning) > MOST_NAMED_FILES:
-        return read_csv(spark, path, columns, bool(spanning))
-    whole = _csv_cells(spark, [unquote(name) for name in spanning], columns, True)
-    split = _csv_cells(spark, path, columns, False).where(~F.col(FILE).isin(spanning))
-    return _complete(with_ingest_seq(whole.unionByName(split), F.col("_place_in"), offsets))
-
-
-def _csv_cells(spark: SparkSession, path: str | list[str], columns: ColumnMap, multiline: bool) -> DataFrame:
-    read = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", multiline)
-            .option("escape", '"').csv(path))
-    present = set(read.columns)
-    cells = [F.coalesce(F.col(f"`{column}`"), F.lit("")).alias(field) if column in present
-             else F.lit("").alias(field) for field, column in columns.named().items()]
-    rows = read.select(*cells, *[F.expr(e) for e in ORIGIN])
-    return rows.withColumn("_place_in", place_in_file())
+    read = quoted.read_cells(spark, path)
+    present = set(read.schema["cells"].dataType.names)
+    cells = [F.coalesce(F.col("cells")[column], F.lit("")).alias(field) if column in present else F.lit("").alias(field)
+             for field, column in columns.named().items()]
+    rows = read.select(*cells, FILE, BLOCK, quoted.PLACE)
+    return _complete(with_ingest_seq(rows, F.col(quoted.PLACE), file_offsets(spark, path)))
 
 
 def read_json(spark: SparkSession, path: str, columns: ColumnMap) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from casetrail import fixed_values as fixed
 from casetrail.operators.findings import assemble, detections
 from casetrail.operators.mining import ACTIVITY, BAD_CASE, STEP, TOTAL, durations, of_kind
+from casetrail.operators.quantiles import median
 
 
 def case_total(facts: DataFrame) -> Column:
@@ -24,12 +25,11 @@ def slow_steps(facts: DataFrame, factor: float = fixed.BOTTLENECK_FACTOR, within
     timed = durations(facts)
     if within is not None:
         timed = timed.where(F.col("src").isin(within) & F.col("dst").isin(within))
-    stats = timed.agg(F.median("mean_s").alias("median"), F.max("mean_s").alias("most"))
-    median = F.coalesce(F.nullif(stats.select("median").scalar(), F.lit(0.0)), F.lit(1.0))
-    most = F.coalesce(F.nullif(stats.select("most").scalar(), F.lit(0.0)), F.lit(1.0))
+    middle = median(timed, "mean_s") or 1.0
+    most = F.coalesce(F.nullif(timed.agg(F.max("mean_s")).scalar(), F.lit(0.0)), F.lit(1.0))
     steps = of_kind(facts, STEP).select("src", "dst", F.col("n").alias("n_steps"))
     total = steps.agg(F.sum("n_steps")).scalar()
-    slow = timed.where(F.col("mean_s") >= factor * median)
+    slow = timed.where(F.col("mean_s") >= factor * middle)
     if keep is not None:
         slow = slow.orderBy(F.desc("mean_s"), "src", "dst").limit(keep)
     return (

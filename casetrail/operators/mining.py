@@ -207,53 +207,90 @@ def dfg_fitness(log: EventLog, reference: DataFrame) -> DataFrame:
 TOTAL, BAD_CASE, ACTIVITY, STEP, TIMED = "total", "bad_case", "activity", "step", "timed"
 
 
-def _facts_per_case(events: DataFrame, is_long: bool) -> DataFrame:
-    narrow = events.select(CASE, "activity", "ts", "ingest_seq")
+class CaseMeasures:
+    """What a pack of detectors wants to know of each case beside the order of its events, for :func:`log_facts`.
+
+    ``columns`` are the event columns it reads. ``of_event`` and ``of_case`` give arrays of records (see :func:`record`) of an event and of a
+    case; the latter from the aggregates in ``flags``, which are named and run over all events of the case.
+    """
+
+    columns: list[str] = []
+    flags: dict[str, Column] = {}
+
+    def of_event(self) -> list[Column]:
+        return []
+
+    def of_case(self) -> list[Column]:
+        return []
+
+
+def record(kind: str, src: Column, dst: Column | None = None, us: Column | None = None, at_us: Column | None = None) -> Column:
+    """One measurement: those of the same kind, ``src`` and ``dst`` are counted, ``us`` is summed, the largest ``at_us`` is kept."""
+    return F.struct(F.lit(kind).alias("kind"), src.alias("src"), (F.lit("") if dst is None else dst).alias("dst"),
+                    (F.lit(0) if us is None else us).cast("long").alias("us"),
+                    (F.lit(None) if at_us is None else at_us).cast("long").alias("at_us"))
+
+
+def _facts_per_case(events: DataFrame, is_long: bool, more: CaseMeasures) -> DataFrame:
+    columns = dict.fromkeys([CASE, "activity", "ts", "ingest_seq", *more.columns])
+    narrow = events.select(*columns)
     nexts = with_next(narrow, CASE, TIME_ORDER, {"then": "activity"}, is_long)
     nexts = with_next(nexts, CASE, RECORDED_ORDER, {"recorded_then": "activity", "recorded_ts": "ts"}, is_long)
     gap = F.unix_micros("recorded_ts") - F.unix_micros("ts")
-
-    def record(kind: str, src: Column, dst: Column, us: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), src.alias("src"), dst.alias("dst"), us.alias("us"))
-
-    no_us, none, own = F.lit(0).cast("long"), F.lit(""), F.col("activity")
+    of_case = None
+    if more.flags and not is_long:
+        # the last recorded event has seen the whole case
+        so_far = Window.partitionBy(CASE).orderBy(*RECORDED_ORDER).rowsBetween(Window.unboundedPreceding, 0)
+        nexts = nexts.withColumns({name: flag.over(so_far) for name, flag in more.flags.items()})
+        of_case = F.when(F.col("recorded_then").isNull(), F.array(*more.of_case()))
+
+    own = F.col("activity")
     records = F.array(
-        record(ACTIVITY, own, none, no_us),
-        record(STEP, own, F.col("then"), no_us),
+        record(ACTIVITY, own),
+        record(STEP, own, F.col("then")),
         record(TIMED, own, F.col("recorded_then"), gap),
         # exactly one event of a case has no successor; it also stands for the case
-        F.when(F.col("then").isNull(), record(TOTAL, none, none, no_us)))
+        F.when(F.col("then").isNull(), record(TOTAL, F.lit(""))), *more.of_event())
+    if of_case is not None:
+        records = F.when(of_case.isNull(), records).otherwise(F.concat(records, of_case))
     rows = nexts.select(CASE, F.inline(records)).where("dst is not null")
+    if more.flags and is_long:
+        # a long case is added up in pieces
+        flags = events.groupBy(CASE).agg(*[flag.alias(name) for name, flag in more.flags.items()])
+        rows = rows.unionByName(flags.select(CASE, F.inline(F.array(*more.of_case()))).where("dst is not null"))
+    backwards = (F.col("kind") == TIMED) & (F.col("us") < 0)
     summed = rows.groupBy(CASE, "kind", "src", "dst").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("us").alias("us"), F.count_if(F.col("us") < 0).alias("errors"))
+        F.count(F.lit(1)).alias("n"), F.sum("us").alias("us"), F.max("at_us").alias("at_us"),
+        F.count_if(backwards).alias("errors"))
     return summed.withColumn("case_errors", F.sum("errors").over(Window.partitionBy(CASE)))
 
 
-def log_facts(log: EventLog) -> DataFrame:
+def log_facts(log: EventLog, more: CaseMeasures | None = None) -> DataFrame:
     """All measurements the registers need, from one pass and one shuffle of the log by case.
 
-    Columns ``kind, src, dst, n, n_cases, n_repeat, us``. Kinds: ``activity`` (events, cases, cases with repeats),
+    Columns ``kind, src, dst, n, n_cases, n_repeat, us, at_us``. Kinds: ``activity`` (events, cases, cases with repeats),
     ``step`` (time order, all cases), ``timed`` (recorded order, cases without errors, summed gap), ``bad_case``
-    (``src`` is the case, ``n`` its errors) and ``total`` (``n`` cases, ``n_cases`` cases with errors).
+    (``src`` is the case, ``n`` its errors), ``total`` (``n`` cases, ``n_cases`` cases with errors) and those of ``more``.
     """
-    per_case = log.each(_facts_per_case)
+    more = more or CaseMeasures()
+    per_case = log.each(lambda events, is_long: _facts_per_case(events, is_long, more))
     zero = F.lit(0).cast("long")
     clean = F.col("case_errors") == 0
 
-    def row(kind: Column, src: Column, dst: Column, n: Column, cases: Column, repeat: Column, us: Column) -> Column:
+    def row(kind: Column, src: Column, dst: Column, n: Column, cases: Column, repeat: Column, us: Column, at: Column) -> Column:
         return F.struct(kind.alias("kind"), src.alias("src"), dst.alias("dst"), n.alias("n"), cases.alias("n_cases"),
-                        repeat.alias("n_repeat"), us.alias("us"))
+                        repeat.alias("n_repeat"), us.alias("us"), at.alias("at_us"))
 
     total = F.col("kind") == TOTAL
     own = F.when((F.col("kind") != TIMED) | clean, row(
         F.col("kind"), F.col("src"), F.col("dst"), F.col("n"),
-        F.when(total, (~clean).cast("long")).otherwise(1), (F.col("n") > 1).cast("long"), F.col("us")))
+        F.when(total, (~clean).cast("long")).otherwise(1), (F.col("n") > 1).cast("long"), F.col("us"), F.col("at_us")))
     bad = F.when(total & ~clean, row(
-        F.lit(BAD_CASE), F.col(CASE), F.lit(""), F.col("case_errors"), zero, zero, zero))
+        F.lit(BAD_CASE), F.col(CASE), F.lit(""), F.col("case_errors"), zero, zero, zero, F.lit(None).cast("long")))
     rows = per_case.select(F.inline(F.array(own, bad))).where("kind is not null")
     return rows.groupBy("kind", "src", "dst").agg(
         F.sum("n").alias("n"), F.sum("n_cases").alias("n_cases"), F.sum("n_repeat").alias("n_repeat"),
-        F.sum("us").alias("us"))
+        F.sum("us").alias("us"), F.max("at_us").alias("at_us"))
 
 
 def of_kind(facts: DataFrame, kind: str) -> DataFrame:

@@ -17,7 +17,7 @@ def run_generic(log: EventLog, factor: float = fixed.BOTTLENECK_FACTOR) -> DataF
 
 
 def run_field_service(log: EventLog, factor: float = fixed.BOTTLENECK_FACTOR) -> DataFrame:
-    return field_service.detect(log, stash(log_facts(log), ["kind"]), stash(field_service.case_counts(log)), factor)
+    return field_service.detect(stash(log_facts(log, field_service.JobMeasures()), ["kind"]), factor)
 
 
 PACKS: dict[str, Callable[..., DataFrame]] = {"quote-to-cash": run_generic, "field-service": run_field_service}

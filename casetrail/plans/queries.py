@@ -133,7 +133,8 @@ def from_counts(detect: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def overdue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return full(field_service.compliance_overdue(field_service.asset_counts(landed_job_log(spark, sf_dir))))
+    return full(field_service.compliance_overdue(field_service.asset_counts(
+        field_service.asset_services(landed_job_log(spark, sf_dir)))))
 
 
 def asset_services(log: EventLog) -> DataFrame:
@@ -141,7 +142,7 @@ def asset_services(log: EventLog) -> DataFrame:
 
 
 def field_service_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packs.run_field_service(landed_job_log(spark, sf_dir), FACTOR)
+    return packs.run_field_service(job_log(spark, sf_dir), FACTOR)
 
 
 def generic_register(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +196,7 @@ def citation_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merged_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates made of the detections: odd detectors cite a job, scores are out of range or not numbers."""
-    log = landed_job_log(spark, sf_dir)
+    log = job_log(spark, sf_dir)
     detected = stash(packs.run_field_service(log, FACTOR))
     candidates = detected.select(
         "kind", F.concat(F.lit("Checked: "), "title").alias("title"), "key",
@@ -212,7 +213,7 @@ def graded(spark: SparkSession, rows: DataFrame, log: EventLog, sf_dir: str, *mo
 
 def grade_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The register, a copy of every finding in other letters and a claim nothing supports, graded together."""
-    log = landed_job_log(spark, sf_dir)
+    log = job_log(spark, sf_dir)
     detected = stash(packs.run_field_service(log, FACTOR))
     own = findings.findings(detected)
     copies = own.withColumns({"key": F.upper("key"), "detector_order": F.col("detector_order") + 100})
@@ -223,7 +224,7 @@ def grade_register(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rel_error_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = landed_job_log(spark, sf_dir)
+    log = job_log(spark, sf_dir)
     detected = stash(packs.run_field_service(log, FACTOR))
     systems = {"ours": findings.findings(detected), "naive": grading.naive_field_service_baseline(log)}
     both = grading.grade_systems(systems, answers(spark), inputs.entities(spark, sf_dir), register.event_fqns(log.events),

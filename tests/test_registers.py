@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from casetrail import schema
 from casetrail.functions import text
 from casetrail.functions.scrub import scrub_columns
+from casetrail.operators import field_service as field_service_pack
 from casetrail.operators import findings, grading, packs, register
-from casetrail.operators.mining import EventLog
+from casetrail.operators.mining import EventLog, log_facts
 from casetrail.session import stash
 from casetrail.sources.store import Store
 from logs import CLAIMS_KEY, DEFECTS, FIELD_SERVICE_KEY, GOOD, HELD_OUT, claims, event_log, field_service, jobs
@@ -185,3 +186,30 @@ def test_custom_pack(spark):
         assert packs.run_pack("mine", EventLog(event_log(spark, unbilled_jobs()).events)).count() == len(unbilled_jobs())
     finally:
         del packs.PACKS["mine"]
+
+
+def test_one_pass_gives_the_counts_of_the_separate_ones(spark, tiny_groups):
+    log = event_log(spark, field_service())
+    for cases in ([], [r[0] for r in log.events.select("case_id").distinct().limit(5).collect()]):
+        own = EventLog(log.events, cases)
+        facts = stash(log_facts(own, field_service_pack.JobMeasures()), ["kind"])
+        counts = field_service_pack.counts_of(facts)
+        assert counts.first().asDict() == field_service_pack.case_counts(own).first().asDict()
+        review = counts.select("latest_us").scalar()
+        one, other = (sorted(map(tuple, df.select("entity_fqn", "last_us", "overdue").collect())) for df in (
+            field_service_pack.services_of(facts, review), field_service_pack.asset_services(own)))
+        assert one == other and one
+
+
+def test_the_register_scans_and_shuffles_the_log_once(spark):
+    events = event_log(spark, field_service()).events
+    log = EventLog(stash(events), [])
+    plan = log_facts(log, field_service_pack.JobMeasures())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    # one exchange by case, one for the sums over all cases
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_an_empty_log_has_no_findings(spark):
+    log = EventLog(event_log(spark, GOOD).events.limit(0))
+    assert packs.run_pack("field-service", log).count() == 0 and packs.run_pack("quote-to-cash", log).count() == 0

@@ -95,13 +95,36 @@ def with_islands(turns: Grouped) -> Grouped:
     return Grouped(turns.each(work), CONV, turns.long_keys)
 
 
+def run_pieces(turns: Grouped) -> Grouped:
+    """Runs of one role, kept as their turns: ``conv_id, turn`` (the run's first), ``role, at`` (the piece's own turn), ``text``.
+
+    A run of any length is that many rows; nothing is gathered.
+    """
+    pieces = with_islands(turns).rows.select(CONV, F.col("first_turn").alias("turn"), "role", F.col("turn").alias("at"), "text")
+    return Grouped(pieces, CONV, turns.long_keys)
+
+
+def runs(pieces: Grouped) -> DataFrame:
+    """What a run is once its pieces are joined by line breaks: ``conv_id, turn, role, n_turns, n_chars`` and a ``digest`` that is equal
+    for equal pieces at equal turns. Sums that combine before the shuffle."""
+    digests = order_free_digest(F.col("at"), F.col("text"))
+    summed = pieces.rows.groupBy(CONV, "turn", "role").agg(
+        F.count(F.lit(1)).alias("n_turns"), F.sum(F.length("text")).alias("_chars"), *digests)
+    return summed.select(CONV, "turn", "role", "n_turns", (F.col("_chars") + F.col("n_turns") - 1).alias("n_chars"),
+                         digest_text(F.col("n_turns")).alias("digest"))
+
+
+def joined_runs(pieces: Grouped) -> Grouped:
+    """Runs with their text in one value, as a dataset record has them: ``conv_id, turn, role, text, n_turns``."""
+    text = F.array_sort(F.collect_list(F.struct("at", "text"))).getField("text")
+    joined = pieces.rows.groupBy(CONV, "turn").agg(
+        F.any_value("role").alias("role"), F.array_join(text, "\n").alias("text"), F.count(F.lit(1)).alias("n_turns"))
+    return Grouped(joined, CONV, pieces.long_keys)
+
+
 def merge_turns(turns: Grouped) -> Grouped:
-    """Consecutive turns of one role as one, texts joined by line breaks. A run is one message, whatever its length."""
-    text = F.array_sort(F.collect_list(F.struct("turn", "text"))).getField("text")
-    merged = with_islands(turns).rows.groupBy(CONV, F.col("first_turn").alias("turn")).agg(
-        F.any_value("role").alias("role"), F.array_join(text, "\n").alias("text"),
-        F.count(F.lit(1)).alias("n_turns"))
-    return Grouped(merged, CONV, turns.long_keys)
+    """Consecutive turns of one role as one, texts joined by line breaks. For writing records; :func:`runs` needs no joined text."""
+    return joined_runs(run_pieces(turns))
 
 
 # --- identity, duplicates, splits -----------------------------------------------------------------------------------

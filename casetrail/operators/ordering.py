@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casetrail.session import stash
+from casetrail.session import broadcast_if_small, stash
 
 LONG_GROUP_ROWS = "casetrail.longGroupRows"
 DEFAULT_LONG_GROUP_ROWS = 1_000_000
@@ -150,6 +150,22 @@ def with_running_max(df: DataFrame, key: str, order: Sequence[str | Column], val
         "_piece", "_piece_first", "_piece_last", "_lane", "_inside", "_earlier")
 
 
+def with_running_sum(df: DataFrame, key: str, order: Sequence[str | Column], value: str, new: str, is_long: bool) -> DataFrame:
+    """Add the sum of ``value`` over the rows before each row of its group, 0 for the first."""
+    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    if not is_long:
+        return df.withColumn(new, F.coalesce(F.sum(value).over(before), F.lit(0)))
+    within = Window.partitionBy(key, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    pieces = _pieces(df, key, order).withColumn("_inside", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    pieces = stash(pieces)
+    sums = pieces.groupBy(key, "_piece").agg(F.sum(value).alias("_sum"))
+    past = Window.partitionBy(key).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each piece of each long group
+    earlier = sums.select(key, "_piece", F.coalesce(F.sum("_sum").over(past), F.lit(0)).alias("_earlier"))
+    joined = pieces.join(broadcast_if_small(earlier), [key, "_piece"])
+    return joined.withColumn(new, F.col("_earlier") + F.col("_inside")).drop("_piece", "_inside", "_earlier")
+
+
 def marked(text: Column) -> Column:
     """A text with its length before it, NULL as ``-``: texts in a row then say where each begins and ends."""
     return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))

@@ -133,11 +133,19 @@ def report_text(rows: DataFrame, title: str) -> DataFrame:
     return report_lines(rows, title).orderBy("part", "rank", "line_no").select("line")
 
 
-def fact_pack(stored: DataFrame, size: int | None = None) -> DataFrame:
-    """The metrics by name as one JSON text: ``n_facts, facts``; with ``size`` the first of them."""
+def fact_rows(stored: DataFrame, size: int | None = None) -> DataFrame:
+    """The metrics by name as numbered JSON objects, one row each: ``rank, fact``; with ``size`` the first of them. The rows in
+    order, in brackets and with commas between, are the fact pack as a document."""
+    fact = F.to_json(F.struct(F.col("fqn").alias("evidence_fqn"), "name", "value", F.col("evidence_json").alias("detail")))
+    if size is not None:
+        stored = stored.orderBy("fqn").limit(size)
+    return numbered(stored.select("fqn", fact.alias("fact")), ["fqn"], "rank").select("rank", "fact")
+
+
+def fact_pack(stored: DataFrame, size: int = fixed.MOST_FACTS) -> DataFrame:
+    """The first ``size`` metrics by name as one JSON text, ``n_facts, facts``, as a prompt takes them. :func:`fact_rows` has all."""
     fact = F.struct(F.col("fqn").alias("evidence_fqn"), "name", "value", F.col("evidence_json").alias("detail"))
-    chosen = stored if size is None else stored.orderBy("fqn").limit(size)
-    return chosen.agg(
+    return stored.orderBy("fqn").limit(size).agg(
         F.count(F.lit(1)).alias("n_facts"), F.to_json(F.array_sort(F.collect_list(fact))).alias("facts"))
 
 

@@ -15,8 +15,8 @@ from casetrail.functions.rows import computed
 from casetrail.functions.scrub import hits, redact, redact_counted, scrub_counted
 from casetrail.functions.text import collapse, session_class, strip, truncated
 from casetrail.operators.conversations import CONV, merge_turns, to_records, trim_to_assistant
-from casetrail.operators.ordering import Grouped, with_position
-from casetrail.session import broadcast_if_small
+from casetrail.operators.ordering import Grouped, with_position, with_running_sum
+from casetrail.session import broadcast_if_small, stash
 
 SESSION = "session_id"
 
@@ -134,6 +134,55 @@ def tripwire(rows: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     return scanned.where("residual = 0").drop("residual"), scanned.where("residual > 0")
 
 
+WINDOW_CHARS = 1 << 16
+OVERLAP_CHARS = 1 << 12
+"""Characters of the text before a window that are scanned with it: no secret but a private key is longer."""
+KEY_BEGIN, KEY_END = (rf"-----{word} [A-Z ]*PRIVATE KEY-----" for word in ("BEGIN", "END"))
+_CUT_START, _CUT_END = r"\A\S{0,1024}[\d\s().+-]*", r"[\d\s().+-]*\S{0,1024}\z"
+
+
+def secret_windows(texts: Grouped, order: str, column: str, size: int = WINDOW_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
+    """Groups whose texts, joined by line breaks in ``order``, hold something sensitive: the key and ``residual``, the number of windows
+    with a hit, without joining them.
+
+    Every text knows where it begins in the joined one. Windows of ``size`` characters, and ``overlap`` before them, are put together from
+    the pieces of the texts that lie in them, so a task holds a window, whatever the length of a group. A word or a number that a
+    window cuts is left to the next one. A private key may be longer than a window: one is there when a begin mark
+    stands before an end mark.
+    """
+    key = texts.key
+
+    def placed(rows: DataFrame, is_long: bool) -> DataFrame:
+        sized = rows.select(key, order, F.col(column).alias("_text"), (F.length(column) + 1).cast("long").alias("_size"))
+        return with_running_sum(sized, key, [order], "_size", "_start", is_long)
+
+    rows = texts.each(placed).withColumn("_end", F.col("_start") + F.col("_size") - 1)
+    # a window w is the text from w * size - overlap to (w + 1) * size
+    last = F.floor((F.greatest("_end", F.col("_start") + 1) - 1 + overlap) / size)
+    rows = rows.withColumn("_window", F.explode(F.sequence(F.floor(F.col("_start") / size), last)))
+    opens = F.greatest(F.col("_window") * size - overlap, "_start")
+    closes = F.least((F.col("_window") + 1) * size, F.col("_end"))
+    part = F.substr("_text", (opens - F.col("_start") + 1).cast("int"), F.greatest(closes - opens, F.lit(0)).cast("int"))
+    rows = rows.where(opens <= closes).select(
+        key, "_window", F.struct(F.col("_start").alias("at"), part.alias("text")).alias("_part"),
+        (F.col("_start") < F.col("_window") * size - overlap).alias("_cut_start"), (F.col("_end") > (F.col("_window") + 1) * size).alias("_cut_end"))
+    windows = rows.groupBy(key, "_window").agg(
+        F.array_join(F.array_sort(F.collect_list("_part")).getField("text"), "\n").alias("_text"),
+        F.max("_cut_start").alias("_cut_start"), F.max("_cut_end").alias("_cut_end"))
+    text = F.when(F.col("_cut_start"), F.regexp_replace("_text", _CUT_START, "")).otherwise(F.col("_text"))
+    text = F.when(F.col("_cut_end"), F.regexp_replace(text, _CUT_END, "")).otherwise(text)
+    offset = F.greatest(F.col("_window") * size - overlap, F.lit(0))
+    begin, end = (F.regexp_instr("_text", F.lit(mark)) for mark in (KEY_BEGIN, KEY_END))
+    last_end = F.length("_text") - F.instr(F.reverse("_text"), "-----YEK ETAVIRP")
+    scanned = computed(windows, [key], F.struct(
+        (hits(redact_counted(text).counts) > 0).alias("hit"), F.when(begin > 0, offset + begin).alias("begin"),
+        F.when(end > 0, offset + last_end).alias("end")))
+    found = scanned.groupBy(key).agg(F.count_if("hit").alias("_hits"), F.min("begin").alias("_begin"), F.max("end").alias("_end"))
+    whole_key = F.coalesce(F.col("_begin") < F.col("_end"), F.lit(False))
+    residual = F.when(F.col("_hits") > 0, F.col("_hits")).when(whole_key, 1).otherwise(0)
+    return found.select(key, residual.cast("long").alias("residual")).where("residual > 0")
+
+
 # --- triage ---------------------------------------------------------------------------------------------------------
 
 
@@ -252,14 +301,14 @@ def convert_transcripts(transcript: DataFrame, source: str, min_turns: int = 4)
     whose joined text still trips the redactor is blocked, whatever its length: a secret may lie over any number of turns.
     """
     merged = merge_turns(trim_to_assistant(transcript_turns(transcript)))
-    clean = Grouped(merged.rows.withColumn("text", redact(F.col("text"))), CONV, merged.long_keys)
+    clean = Grouped(stash(merged.rows.withColumn("text", redact(F.col("text")))), CONV, merged.long_keys)
     records = to_records(clean, min_turns)
-    joined = records.withColumn("_joined", F.array_join(F.transform("messages", lambda m: m.content), "\n"))
-    passed, blocked = tripwire(joined, "_joined")
+    caught = secret_windows(clean, "turn", "text")
+    passed = records.join(caught.select(CONV), CONV, "left_anti")
     described = passed.select(
         CONV, "messages", F.lit(source).alias("source"), F.lit("internal").alias("license"),
         F.concat(F.lit("redacted trajectory from "), CONV).alias("notes"))
-    return described, blocked.select(CONV, "residual")
+    return described, records.select(CONV).join(caught, CONV)
 
 
 def redaction_audit(documents: DataFrame, column: str) -> DataFrame:

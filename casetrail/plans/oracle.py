@@ -542,6 +542,13 @@ def sessions(query: str) -> str:
     return f"WITH {TRANSCRIPT}\n{query}"
 
 
+def digest(*parts: str) -> str:
+    """The order-free digest of the rows of a group, with the number of rows before it."""
+    marked = " || ".join(f"coalesce(length({p}::VARCHAR) || ':' || {p}, '-')" for p in parts)
+    sums = [f"printf('%x', sum(('0x' || substr(sha256({marked}), {1 + 8 * i}, 8))::BIGINT)::BIGINT)" for i in range(4)]
+    return f"concat_ws('-', count(*)::VARCHAR, {', '.join(sums)})"
+
+
 def cut(n: int) -> str:
     return f"CASE WHEN length(flat) <= {n} THEN flat ELSE left(flat, {n - 1}) || '…' END"
 
@@ -699,9 +706,11 @@ marked AS (
   SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) IS DISTINCT FROM role THEN 1 ELSE 0 END AS starts
   FROM two_sided),
 islands AS (SELECT *, sum(starts) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM marked)
-SELECT conv_id, min(turn) AS turn, min(role) AS role, count(*) AS n_turns,
-       sha256(string_agg(text, chr(10) ORDER BY turn)) AS digest
+SELECT conv_id, min(turn) AS turn, min(role) AS role, count(*) AS n_turns, length(string_agg(text, chr(10))) AS n_chars,
+       """ + digest("turn", "text") + """ AS digest
 FROM islands GROUP BY conv_id, island""",
+    "residual_secrets": """
+SELECT conv_id FROM conversations WHERE conv_id % 6 = 0 AND turn < 2 GROUP BY conv_id HAVING count(*) = 2""",
     "trim_turns": f"WITH {TRIMMED} SELECT conv_id, turn, role FROM trimmed",
     "fingerprint_dedup": f"""{VALID}
 SELECT conv_id, n_messages, fingerprint,
@@ -760,6 +769,9 @@ GROUP BY tool, decision, reason""",
 
 READERS["dataset_collect"] = MESSAGES.format(body=STRIPPED)
 
+REGISTER["fact_rows"] = f"""
+SELECT row_number() OVER (ORDER BY fqn) AS rank, fqn AS evidence_fqn, name, value, evidence_json AS detail FROM ({REGISTER["metric_upsert"]})"""
+
 ORACLE: dict[str, str] = {
     **READERS, **{name: jobs(sql) for name, sql in MINING.items()}, **WEB, **FINDINGS, **REGISTER, **LOADING, **SESSIONS,
     **SWEEPS, **CONVERSATIONS, **AUDITS,

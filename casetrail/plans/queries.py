@@ -12,6 +12,7 @@ from casetrail.functions import parse, scrub, text
 from casetrail.operators import audit, conversations, field_service, findings, generic, grading, mining, packs, register
 from casetrail.operators import sessions as S
 from casetrail.operators.mining import EventLog
+from casetrail.operators.ordering import Grouped
 from casetrail.plans import derived, inputs
 from casetrail.session import shared_folder, stash
 from casetrail.sources import exports, jsonl
@@ -272,6 +273,13 @@ def report_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
         "rank", "priority", "kind", text.report_cell(F.col("title")).alias("title"), "score", "recommendation")
 
 
+def fact_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics that a store holds, as facts in order; their values come from orders per customer."""
+    facts = register.fact_rows(metric_upsert(spark, sf_dir).drop("load_seq"))
+    return facts.select("rank", *[F.get_json_object("fact", f"$.{name}").alias(name) for name in ("evidence_fqn", "name", "detail")],
+                        F.get_json_object("fact", "$.value").cast("double").alias("value"))
+
+
 def fact_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return register.fact_pack(findings.metrics(field_service_detections(spark, sf_dir)))
 
@@ -326,6 +334,7 @@ REGISTER: dict[str, Query] = {
     "report_ranked": report_ranked,
     "report_lines": report,
     "fact_pack": fact_pack,
+    "fact_rows": fact_rows,
     "proposal_ids": proposals,
     "proposal_index": proposal_index,
     "pending_proposals": pending_proposals,
@@ -681,8 +690,17 @@ def contract_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conversations.merge_turns(derived.two_sided_turns(spark, sf_dir)).rows.select(
-        "conv_id", "turn", "role", "n_turns", F.sha2("text", 256).alias("digest"))
+    return conversations.runs(conversations.run_pieces(derived.two_sided_turns(spark, sf_dir)))
+
+
+def residual_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations that hold an assignment once their turns are read one after the other; no turn holds one alone."""
+    plain = F.regexp_replace("text", r"[^\p{L}\s]", "")
+    ending = F.when(F.col("conv_id") % 3 == 0, " set the API_TOKEN").otherwise(" all done")
+    beginning = F.when(F.col("conv_id") % 2 == 0, "= winterharbour99 ").otherwise("")
+    text = (F.when(F.col("turn") == 0, F.concat(plain, ending)).when(F.col("turn") == 1, F.concat(beginning, plain)).otherwise(plain))
+    turns = inputs.table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("text"))
+    return S.secret_windows(Grouped(turns, "conv_id"), "turn", "text", 400, 100).select("conv_id")
 
 
 def trim_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -745,6 +763,7 @@ CONVERSATIONS: dict[str, Query] = {
     "conversation_contract": contract,
     "conversation_errors": contract_errors,
     "merge_turns": merge_turns,
+    "residual_secrets": residual_secrets,
     "trim_turns": trim_turns,
     "fingerprint_dedup": fingerprint_dedup,
     "conversation_split": conversation_split,

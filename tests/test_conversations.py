@@ -183,3 +183,13 @@ def test_answers(spark):
     rows = [("Use [::-1] here", ["[::-1]"]), ("X-Frame-Options", ["x-frame-options"]), ("no", ["yes"]), ("any", None), ("a", [])]
     scored = C.score_answers(spark.createDataFrame(rows, "output string, expect array<string>")).first()
     assert (scored.passed, scored.total) == (4, 5)
+
+
+def test_a_run_of_any_length_is_rows(spark):
+    turns = spark.range(300_000).selectExpr("1L as conv_id", "id as turn", "'user' as role", "'said' as text").unionByName(
+        spark.createDataFrame([(2, 0, "user", "a"), (2, 1, "user", None), (2, 2, "assistant", "b"), (3, 0, "user", "a")],
+                              "conv_id long, turn long, role string, text string"))
+    found = {(r.conv_id, r.turn): r for r in C.runs(C.run_pieces(C.turns_of(turns))).collect()}
+    assert found[1, 0].n_turns == 300_000 and found[1, 0].n_chars == 5 * 300_000 - 1
+    assert {k: (r.role, r.n_turns) for k, r in found.items() if k[0] > 1} == {(2, 0): ("user", 2), (2, 2): ("assistant", 1), (3, 0): ("user", 1)}
+    assert found[3, 0].digest != found[2, 0].digest

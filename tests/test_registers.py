@@ -159,11 +159,14 @@ def test_artifacts_and_proposals(spark):
 
 def test_fact_pack(spark):
     stored = spark.createDataFrame([(f"metric.{i:03d}", "n", float(i), "{}") for i in range(250)], schema.METRICS)
-    for size in (None, 40):
+    for size in (250, 40):
         pack = register.fact_pack(stored, size).first()
         listed = json.loads(pack.facts)
-        assert pack.n_facts == len(listed) == (size or 250)
-        assert [f["evidence_fqn"] for f in listed] == [f"metric.{i:03d}" for i in range(size or 250)]
+        assert pack.n_facts == len(listed) == size
+        assert [f["evidence_fqn"] for f in listed] == [f"metric.{i:03d}" for i in range(size)]
+    rows = register.fact_rows(stored).orderBy("rank").collect()
+    assert [json.loads(r.fact)["evidence_fqn"] for r in rows] == [f"metric.{i:03d}" for i in range(250)]
+    assert register.fact_rows(stored, 7).count() == 7 and rows[0].rank == 1
 
 
 def test_store_keeps_the_last_write(spark, tmp_path):

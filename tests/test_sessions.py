@@ -1,9 +1,11 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from casetrail.operators import sessions as S
+from casetrail.operators.ordering import Grouped
 from casetrail.operators.replies import read_replies
 from casetrail.sources import jsonl
 from casetrail.streaming import sweep
@@ -254,3 +256,34 @@ def test_replies(spark):
     assert found["none"].reason == "no reply" and found["list"].reason == found["broken"].reason == "the reply holds no JSON object"
     assert [(a.type, len(a.title), a.body) for a in found["cap"].artifacts] == [("lesson", 120, '{"a":1}')]
     assert all(not r.artifacts for i, r in found.items() if i != "cap")
+
+
+SECRETS = ["set the API_TOKEN", "= winterharbour99", "Bearer", "abcdefghijklmnop0123", "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----",
+           "10.1.2.3", "clerk@harbour.example", "Authorization:", "sk-" + "a1" * 12]
+
+
+@pytest.mark.parametrize("size,overlap", [(120, 60), (400, 100), (1 << 16, 1 << 12)])
+def test_windows_find_what_the_joined_text_holds(spark, size, overlap):
+    draw = random.Random(size)
+    rows = []
+    for conv in range(80):
+        for turn in range(draw.randint(1, 12)):
+            words = [draw.choice(["tide", "and", "harbour", "log"]) for _ in range(draw.randint(0, 25))]
+            if conv % 2 and draw.random() < 0.2:
+                words.insert(draw.choice([0, len(words)]), draw.choice(SECRETS))
+            rows.append((conv, turn, " ".join(words)))
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    joined = {c: "\n".join(t for k, _, t in rows if k == c) for c in {r[0] for r in rows}}
+    whole = spark.createDataFrame([*joined.items()], "conv_id long, text string")
+    expected = {r.conv_id for r in S.tripwire(whole, "text")[1].collect()}
+    assert 5 < len(expected) < 40
+    for long in ([], [1, 3, 5]):
+        found = S.secret_windows(Grouped(turns, "conv_id", long), "turn", "text", size, overlap).collect()
+        assert {r.conv_id for r in found} == expected
+
+
+def test_windows_of_empty_null_and_huge_texts(spark):
+    rows = [(1, 0, None), (1, 1, ""), (2, 0, ""), (3, 0, "tide " * 100_000 + "10.1.2.3"), (4, 0, "x" * 50_000), (5, 0, "tide " * 50_000)]
+    turns = Grouped(spark.createDataFrame(rows, "conv_id long, turn long, text string"), "conv_id")
+    assert [r.conv_id for r in S.secret_windows(turns, "turn", "text", 1_000, 200).collect()] == [3]
+    assert S.secret_windows(Grouped(turns.rows.limit(0), "conv_id"), "turn", "text").count() == 0

@@ -172,11 +172,11 @@ def secret_windows(texts: Grouped, order: str, column: str, size: int = WINDOW_C
     text = F.when(F.col("_cut_start"), F.regexp_replace("_text", _CUT_START, "")).otherwise(F.col("_text"))
     text = F.when(F.col("_cut_end"), F.regexp_replace(text, _CUT_END, "")).otherwise(text)
     offset = F.greatest(F.col("_window") * size - overlap, F.lit(0))
-    begin, end = (F.regexp_instr("_text", F.lit(mark)) for mark in (KEY_BEGIN, KEY_END))
-    last_end = F.length("_text") - F.instr(F.reverse("_text"), "-----YEK ETAVIRP")
+    begin = F.regexp_instr("_text", F.lit(KEY_BEGIN))
+    end = F.length(F.regexp_extract("_text", rf"(?s)\A(.*{KEY_END})", 1))
     scanned = computed(windows, [key], F.struct(
         (hits(redact_counted(text).counts) > 0).alias("hit"), F.when(begin > 0, offset + begin).alias("begin"),
-        F.when(end > 0, offset + last_end).alias("end")))
+        F.when(end > 0, offset + end).alias("end")))
     found = scanned.groupBy(key).agg(F.count_if("hit").alias("_hits"), F.min("begin").alias("_begin"), F.max("end").alias("_end"))
     whole_key = F.coalesce(F.col("_begin") < F.col("_end"), F.lit(False))
     residual = F.when(F.col("_hits") > 0, F.col("_hits")).when(whole_key, 1).otherwise(0)

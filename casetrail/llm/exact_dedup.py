@@ -2,7 +2,8 @@
 
 The stream's state lives in RocksDB on the executors' disks and in the checkpoint in the shared folder. It keeps, per digest of a
 normalised text, the stable identifier of the document that stays, the locator of its content (file and row) and the
-number of documents seen. More documents can be ingested at any time, also by a later session: the state goes on.
+number of documents seen. More documents can be ingested at any time, also by a later session: the state goes on, and the texts
+of a call with a ``home`` stay there, so that a later one can compare bytes with them.
 
 Digests alone do not decide. Of every digest that more than one document has, the bytes of all its texts are compared: the
 least and the greatest text of a digest must be one. The two combine before the shuffle, so a group of a third of all
@@ -16,6 +17,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +63,7 @@ class Deduplicator:
     def ingest(self, narrow: DataFrame) -> None:
         """Take ``digests`` into the state. A batch that runs again after a failure replaces what it wrote."""
         inbox = f"{self.home}/inbox"
+        self.kind = narrow.schema["key"].dataType.simpleString()
         narrow.select("key", "first").write.mode("append").parquet(inbox)
         arrived = self.spark.readStream.schema(narrow.select("key", "first").schema).parquet(inbox)
         held = arrived.groupBy("key").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n"))
@@ -84,6 +87,42 @@ class Deduplicator:
         rows = self.spark.read.option("basePath", f"{self.home}/state").parquet(f"{self.home}/state")
         return rows.groupBy("key").agg(last).select("key", "last.first", "last.n")
 
+    def texts(self) -> DataFrame:
+        """``key, body, first, n`` of the texts of earlier calls: each text once per call."""
+        schema = f"key {self.kind}, body string, first {PLACE}, n long"
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.home}/texts")
+        except AnalysisException:  # the first call
+            return self.spark.createDataFrame([], schema)
+
+    def remember(self, now: DataFrame) -> None:
+        """Keep a call's texts for later ones."""
+        now.select("key", "body", "first", "n").write.mode("append").parquet(f"{self.home}/texts")
+
+
+def _by_text(mixed: DataFrame) -> DataFrame:
+    """``key, body, first, n``: the documents of each text. They combine before the shuffle."""
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "pos").cast(PLACE)
+    return mixed.groupBy("key", "body").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"))
+
+
+def _over_sessions(held: Deduplicator, rows: DataFrame, state: DataFrame, texts: DataFrame) -> DataFrame:
+    """``rows`` with ``first`` and ``n`` of their text, this call's documents and those of earlier ones counted.
+
+    The state says which keys have been seen before. Their texts are read where the locator says, in the texts that earlier calls
+    left under ``home``, and compared as a whole; a key alone decides nothing.
+    """
+    whole_rows = stash(rows.join(texts, ["file", "pos"]))
+    now = stash(_by_text(whole_rows))
+    seen = state.where("n > 1").select("key")
+    before = held.texts().join(seen, "key", "left_semi").groupBy("key", "body").agg(
+        F.min("first").alias("_first"), F.sum("n").alias("_n"))
+    both = now.join(before, ["key", "body"], "left").select(
+        "key", "body", F.least("first", "_first").alias("first"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"))
+    found = stash(whole_rows.join(both, ["key", "body"]).select(*rows.columns, "first", "n"))
+    held.remember(now)
+    return found
+
 
 def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", home: str | None = None,
                      key: Callable[[Column], Column] = whole) -> DataFrame:
@@ -105,18 +144,19 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     shared = join_counted(rows, state.where("n > 1").select("key", "n"), "key", how="inner")
     members = broadcast_if_small(stash(shared.select("key", "file", "pos")), SMALL_ROWS)
     texts = placed(docs, body=normalised(col(text))).select("file", "pos", "body")
-    texts = texts.join(members, ["file", "pos"])
-    clashes = stash(texts.groupBy("key").agg(F.min("body").alias("least"), F.max("body").alias("most"))
-                    .where("least <> most").select("key"))
-
-    met = join_counted(rows, state, "key", how="inner")
-    if not clashes.isEmpty():
-        # told apart by the text itself
-        mixed = rows.join(texts.join(clashes, "key", "left_semi").drop("key"), ["file", "pos"])
-        first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "pos").cast(PLACE)
-        by_text = mixed.groupBy("key", "body").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"))
-        met = (met.join(clashes, "key", "left_anti")
-               .unionByName(mixed.join(by_text, ["key", "body"]).select(*met.columns)))
+    if home is not None:
+        met = _over_sessions(held, rows, state, texts)
+    else:
+        texts = texts.join(members, ["file", "pos"])
+        clashes = stash(texts.groupBy("key").agg(F.min("body").alias("least"), F.max("body").alias("most"))
+                        .where("least <> most").select("key"))
+
+        met = join_counted(rows, state, "key", how="inner")
+        if not clashes.isEmpty():
+            # told apart by the text itself
+            mixed = rows.join(texts.join(clashes, "key", "left_semi").drop("key"), ["file", "pos"])
+            met = (met.join(clashes, "key", "left_anti")
+                   .unionByName(mixed.join(_by_text(mixed), ["key", "body"]).select(*met.columns)))
     return met.select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), F.col("n").alias("group_size"),
         ((F.col("first.file") == F.col("file")) & (F.col("first.pos") == F.col("pos"))).alias("kept"),

@@ -53,3 +53,22 @@ def test_state_goes_on(spark, tmp_path):
     found = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in
              exact_dedup.exact_duplicates(later, home=str(tmp_path)).collect()}
     assert found == {4: (4, 2, True), 7: (6, 2, False), 8: (8, 1, True)}
+
+
+@pytest.mark.parametrize("key", [exact_dedup.whole, lambda sha: F.substring(F.hex(sha), 1, 1)])
+def test_a_short_key_loses_nothing_over_sessions(spark, tmp_path, key):
+    sessions = [[(i, f"text {i % 90}") for i in range(100)], [(1_000 + i, f"new {i}") for i in range(300)],
+                [(50, "text 7"), (2_000, " text  7"), (2_001, "new 3"), (2_002, "last"), (None, "last")]]
+    seen = []
+    for rows in sessions:
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        found = exact_dedup.exact_duplicates(docs, home=str(tmp_path), key=key).collect()
+        seen += rows
+        every = {}
+        for i, k, n, sha in expected(seen):
+            every.setdefault(sha, (k, n))
+        # of equal texts the row with the smallest id stays, whichever session it came in
+        assert sorted((str(r.doc_id), r.keep_id, r.group_size) for r in found) == sorted(
+            (str(i), *every[hashlib.sha256(body(t).encode()).hexdigest()]) for i, t in rows)
+        if rows is sessions[1]:
+            assert sum(r.kept for r in found) == 300

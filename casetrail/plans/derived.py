@@ -188,6 +188,10 @@ PLANTED = {
 }
 
 
+LEAKS = ["AKIA", "ghp_", "xoxb-", "BEGIN RSA", "AIza", "sk-ant-"]
+"""Parts of planted things that no scrubbed text may hold."""
+
+
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text for every document that holds one thing to scrub, each kind in turn: ``doc_id, kind, text``."""
     kinds = list(PLANTED)

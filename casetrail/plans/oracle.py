@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from casetrail import fixed_values as fixed
-from casetrail.plans.derived import PLANTED
+from casetrail.plans.derived import LEAKS, LETTERS, PLANTED
 from casetrail.plans.queries import ANSWERS, FACTOR, REWORK
 
 # --- logs -----------------------------------------------------------------------------------------------------------
@@ -769,6 +769,54 @@ GROUP BY tool, decision, reason""",
 
 READERS["dataset_collect"] = MESSAGES.format(body=STRIPPED)
 
+PERSONAL = "('payment-card', 'phone')"
+PLANTED_TEXTS = "SELECT doc_id, kind, 'seen: ' || found || ' - noted' AS text FROM (SELECT doc_id, CASE doc_id % {0} {1} END AS kind, CASE doc_id % {0} {2} END AS found FROM documents)".format(
+    len(PLANTED), " ".join(f"WHEN {i} THEN '{kind}'" for i, kind in enumerate(PLANTED)),
+    " ".join(f"WHEN {i} THEN {found.format(LETTERS)}" for i, (found, _) in enumerate(PLANTED.values())))
+LEAKING = " OR ".join(f"contains(text, '{part}')" for part in LEAKS)
+LOADING |= {
+    "planted_counts": f"SELECT kind, count(*) AS n_hits, count(*) AS n_documents FROM ({PLANTED_TEXTS}) GROUP BY kind",
+    "planted_audit": f"""
+SELECT count(*) AS n_documents, count(*) FILTER (kind NOT IN {PERSONAL}) AS held_secrets, 0::BIGINT AS leaks FROM ({PLANTED_TEXTS})""",
+    "planted_tripwire": f"""
+SELECT kind, count(*) FILTER (kind NOT IN {PERSONAL}) AS blocked_raw, 0::BIGINT AS blocked_redacted FROM ({PLANTED_TEXTS}) GROUP BY kind""",
+    "planted_leaks": f"""
+SELECT 'text' AS column_name, count(*) AS n_rows, count(*) FILTER ({LEAKING}) AS n_leaks FROM ({PLANTED_TEXTS})
+UNION ALL SELECT 'clean_text', count(*), 0 FROM documents""",
+}
+READERS |= {
+    "dataset_limits": f"""
+WITH taken AS (
+  SELECT * FROM (
+    SELECT doc_id, doc_id % 2 AS side, {STRIPPED} AS body, lang, row_number() OVER (PARTITION BY doc_id % 2 ORDER BY doc_id) AS nth FROM documents)
+  WHERE nth <= CASE side WHEN 0 THEN 60 ELSE 90 END),
+judged AS (
+  SELECT *, CASE WHEN body = '' THEN 'bad'
+    WHEN row_number() OVER (PARTITION BY body, lang ORDER BY side, doc_id) > 1 THEN 'duplicate' ELSE 'written' END AS status FROM taken),
+counted AS (SELECT *, count(*) FILTER (status = 'written') OVER (ORDER BY side, doc_id) AS n_written FROM judged)
+SELECT CASE side WHEN 0 THEN 'even' ELSE 'odd' END AS source, status, count(*) AS n FROM counted
+WHERE n_written < 120 OR (n_written = 120 AND status = 'written') GROUP BY 1, 2""",
+    "dataset_files": f"""
+SELECT source, count(*) AS n, sum(length(body))::BIGINT AS n_chars, count(*) AS n_in_splits FROM (
+  SELECT body, lang, CASE min(doc_id % 2) WHEN 0 THEN 'even' ELSE 'odd' END AS source
+  FROM (SELECT *, {STRIPPED} AS body FROM documents) WHERE body <> '' GROUP BY body, lang) GROUP BY source""",
+    "stored_log": f"""
+SELECT row_number() OVER (ORDER BY o_orderkey) AS rank, e.case_id, e.activity, e.us
+FROM orders JOIN ({LOADING["event_normalise"]}) e ON e.ingest_seq = o_orderkey""",
+    "audit_sink": AUDITS["sql_audit"],
+    "reply_parsing": """
+SELECT n::VARCHAR AS id, CASE WHEN n % 5 = 1 THEN 'pending' ELSE 'ok' END AS status,
+       CASE WHEN n % 5 = 1 THEN 'the reply holds no JSON object' ELSE '' END AS reason, CASE WHEN n % 5 = 1 THEN '' ELSE 'cause ' || n END AS root_cause,
+       CASE WHEN n % 5 = 1 THEN 0.0 ELSE round(least(1.0, n % 150 / 100.0), 2) END::DOUBLE AS confidence, CASE WHEN n % 5 = 1 THEN 0 ELSE 2 END::BIGINT AS n_artifacts
+FROM (SELECT DISTINCT user_id AS n FROM events) WHERE n % 5 <> 0""",
+}
+CONVERSATIONS["minimum_turns"] = """
+WITH marked AS (
+  SELECT conv_id, turn, CASE role WHEN 'system' THEN 'user' ELSE role END AS role FROM conversations),
+starts AS (
+  SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) IS DISTINCT FROM role THEN 1 ELSE 0 END AS starts FROM marked)
+SELECT conv_id, sum(starts)::BIGINT AS n_messages, arg_max(role, turn) AS last_role FROM starts GROUP BY conv_id HAVING sum(starts) >= 4"""
+
 REGISTER["fact_rows"] = f"""
 SELECT row_number() OVER (ORDER BY fqn) AS rank, fqn AS evidence_fqn, name, value, evidence_json AS detail FROM ({REGISTER["metric_upsert"]})"""
 

@@ -12,7 +12,8 @@ from casetrail.functions import parse, scrub, text
 from casetrail.operators import audit, conversations, field_service, findings, generic, grading, mining, packs, register
 from casetrail.operators import sessions as S
 from casetrail.operators.mining import EventLog
-from casetrail.operators.ordering import Grouped
+from casetrail.operators.ordering import Grouped, numbered
+from casetrail.operators.replies import read_replies
 from casetrail.plans import derived, inputs
 from casetrail.session import shared_folder, stash
 from casetrail.sources import exports, jsonl
@@ -408,7 +409,38 @@ def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grading.leak_check(cleaned, ["@example.com", "@example.org", "password=", "@"])
 
 
+def planted_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits per kind over texts in which one thing each is planted."""
+    return S.redaction_counts(derived.planted(spark, sf_dir), "text")
+
+
+def planted_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that held a credential, and those that still do after one redaction."""
+    return S.redaction_audit(derived.planted(spark, sf_dir), "text")
+
+
+def planted_tripwire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per kind, how many texts are blocked as they are, and once redacted."""
+    texts = derived.planted(spark, sf_dir)
+    blocked = S.tripwire(texts, "text")[1].select("kind", F.lit(1).alias("raw"), F.lit(0).alias("redacted"))
+    again = S.tripwire(texts.withColumn("text", scrub.redact(F.col("text"))), "text")[1].select(
+        "kind", F.lit(0).alias("raw"), F.lit(1).alias("redacted"))
+    every = texts.select("kind", F.lit(0).alias("raw"), F.lit(0).alias("redacted"))
+    return every.unionByName(blocked).unionByName(again).groupBy("kind").agg(
+        F.sum("raw").alias("blocked_raw"), F.sum("redacted").alias("blocked_redacted"))
+
+
+def planted_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planted strings left in the texts and in the scrubbed texts."""
+    texts = derived.planted(spark, sf_dir).select("text", scrub.scrub(F.col("text")).alias("clean_text"))
+    return grading.leak_check(texts, derived.LEAKS)
+
+
 LOADING: dict[str, Query] = {
+    "planted_counts": planted_counts,
+    "planted_audit": planted_audit,
+    "planted_tripwire": planted_tripwire,
+    "planted_leaks": planted_leaks,
     "canonical_status": canonical_status,
     "parse_timestamps": parse_timestamps,
     "event_normalise": event_normalise,
@@ -502,9 +534,8 @@ def index_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jsonl.read_index(spark, f"{root}/index").select("session_id", "cwd", "reason")
 
 
-def dataset_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two sources of several files with rows of four shapes, checked and de-duplicated across both."""
-    root = scratch(spark)
+def dataset_sources(spark: SparkSession, sf_dir: str, root: str, limits: dict[str, int]) -> list[dict]:
+    """Two sources of several files with rows of four shapes, in the order of their documents."""
     documents = inputs.table(spark, sf_dir, "documents")
     body, reply = F.col("text"), F.col("lang")
 
@@ -520,11 +551,69 @@ def dataset_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = []
     for side, name in enumerate(("even", "odd")):
         path = f"{root}/{name}"
-        documents.where(F.col("doc_id") % 2 == side).repartition(3).select(line.alias("value")).write.text(path)
-        sources.append({"name": name, "path": path, "license": "internal"})
+        own = documents.where(F.col("doc_id") % 2 == side).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+        own.select(line.alias("value")).write.text(path)
+        sources.append({"name": name, "path": path, "license": "internal", "limit": limits.get(name)})
+    return sources
+
+
+def dataset_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sources, checked and de-duplicated across both."""
+    sources = dataset_sources(spark, sf_dir, scratch(spark), {})
     return conversations.source_stats(conversations.collect_records(conversations.read_sources(spark, sources)))
 
 
+DATASET_LIMITS = {"even": 60, "odd": 90}
+DATASET_TOTAL = 120
+
+
+def dataset_limits(spark: SparkSession, sf_dir: str, limits: dict[str, int] = DATASET_LIMITS, total: int = DATASET_TOTAL) -> DataFrame:
+    """Two sources of which only the first ``limits`` rows are taken, until ``total`` are written."""
+    sources = dataset_sources(spark, sf_dir, scratch(spark), limits)
+    rows = conversations.read_sources(spark, sources)
+    return conversations.source_stats(conversations.collect_records(rows, max_total=total))
+
+
+def dataset_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written records as JSON lines, one folder per split, and read back."""
+    root = scratch(spark)
+    records = conversations.collect_records(conversations.read_sources(spark, dataset_sources(spark, sf_dir, f"{root}/in", {})))
+    jsonl.write_dataset(conversations.record_lines(records), f"{root}/out")
+    rows = jsonl.strict_rows(jsonl.read_lines(spark, f"{root}/out", recursive=True))
+    said = F.variant_get("row", "$.messages[0].content", "string")
+    return rows.groupBy(F.variant_get("row", "$.source", "string").alias("source")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length(said)).alias("n_chars"),
+        F.count_if(F.col("_file").contains("/split=")).alias("n_in_splits"))
+
+
+def stored_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An export loaded into a stored log: events in the order of the files."""
+    root = scratch(spark)
+    rows = exported(spark, sf_dir, spanning=False).drop("part").withColumn("key", F.substring("job", 3, 99).cast("long"))
+    rows = rows.repartitionByRange("key").sortWithinPartitions("key").drop("key")
+    rows.write.option("header", True).csv(f"{root}/export")
+    columns = exports.ColumnMap("job", "status", "when", resource="note")
+    log = exports.load_export(spark, f"{root}/export", columns, f"{root}/log", case_key="hash", salt="pepper")
+    return numbered(log.events, ["ingest_seq"], "rank").select("rank", "case_id", "activity", F.unix_micros("ts").alias("us"))
+
+
+def audit_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judged statements appended to the audit table in two goes, and read back."""
+    store = Store(spark, scratch(spark))
+    judged = audit.sql_audit(derived.statements(spark, sf_dir))
+    for odd in (0, 1):
+        part = judged.where(F.col("o_orderkey") % 2 == odd)
+        store.append("audit", audit.audit_rows(part, F.lit(0).cast("timestamp"), F.lit("agent"), F.lit("sql"),
+                                               F.col("o_orderkey").cast("string"), F.lit("run")))
+    return per_verdict(store.read("audit"))
+
+
+def reply_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings from replies that hold JSON in a fenced block, or none."""
+    return read_replies(derived.replies(spark, sf_dir)).select(
+        "id", "status", "reason", "root_cause", F.round("confidence", 2).alias("confidence"), F.size("artifacts").cast("long").alias("n_artifacts"))
+
+
 READERS: dict[str, Query] = {
     "csv_export": csv_export,
     "json_export": json_export,
@@ -533,6 +622,11 @@ READERS: dict[str, Query] = {
     "event_normalise_scrubbed": scrubbed_cases,
     "session_index_files": index_files,
     "dataset_collect": dataset_collect,
+    "dataset_limits": dataset_limits,
+    "dataset_files": dataset_files,
+    "stored_log": stored_log,
+    "audit_sink": audit_sink,
+    "reply_parsing": reply_parsing,
 }
 
 # --- sessions -------------------------------------------------------------------------------------------------------
@@ -693,6 +787,12 @@ def merge_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.runs(conversations.run_pieces(derived.two_sided_turns(spark, sf_dir)))
 
 
+def minimum_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the conversations with at least four messages."""
+    merged = conversations.merge_turns(derived.two_sided_turns(spark, sf_dir))
+    return conversations.to_records(merged, 4).select("conv_id", "n_messages", F.element_at("messages", -1)["role"].alias("last_role"))
+
+
 def residual_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations that hold an assignment once their turns are read one after the other; no turn holds one alone."""
     plain = F.regexp_replace("text", r"[^\p{L}\s]", "")
@@ -764,6 +864,7 @@ CONVERSATIONS: dict[str, Query] = {
     "conversation_errors": contract_errors,
     "merge_turns": merge_turns,
     "residual_secrets": residual_secrets,
+    "minimum_turns": minimum_turns,
     "trim_turns": trim_turns,
     "fingerprint_dedup": fingerprint_dedup,
     "conversation_split": conversation_split,

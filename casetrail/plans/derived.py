@@ -89,6 +89,22 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tolerant_rows(transcript_lines(spark, sf_dir))
 
 
+def plain_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations without marks and digits as transcripts, each with a reminder that nobody said and a tool call at its end."""
+    said = table(spark, sf_dir, "conversations").select(
+        "conv_id", F.col("turn").alias("place"), "role", strip(F.regexp_replace("text", r"[^\p{L}\s]", "")).alias("content"))
+    message = F.struct("role", "content").alias("message")
+    lines = said.where("content <> ''").select("conv_id", "place", F.to_json(F.struct(message)).alias("line"))
+    ids = said.select("conv_id").distinct()
+    reminder = '{"message": {"role": "user", "content": "<system-reminder> keep it short</system-reminder>"}}'
+    call = ('{"message": {"role": "assistant", "content": [{"type": "text", "text": "Looking."}, '
+            '{"type": "tool_use", "name": "Read", "input": {"note": "all, of it", "at": [1, 2]}}]}}')
+    for place, line in ((500_000, reminder), (1_000_000, call)):
+        lines = lines.unionByName(ids.select("conv_id", F.lit(place).cast("long").alias("place"), F.lit(line).alias("line")))
+    named = lines.select(F.col("conv_id").cast("string").alias("session_id"), F.col("place").cast("long").alias("place"), "line")
+    return tolerant_rows(named)
+
+
 def broken_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that are not JSON: some in sessions with other lines, some in sessions of their own."""
     turns = table(spark, sf_dir, "conversations").where("turn < 2")

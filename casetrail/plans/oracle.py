@@ -820,6 +820,21 @@ SELECT conv_id, sum(starts)::BIGINT AS n_messages, arg_max(role, turn) AS last_r
 REGISTER["fact_rows"] = f"""
 SELECT row_number() OVER (ORDER BY fqn) AS rank, fqn AS evidence_fqn, name, value, evidence_json AS detail FROM ({REGISTER["metric_upsert"]})"""
 
+CONVERSATIONS["convert_transcripts"] = f"""
+WITH said AS (
+  SELECT conv_id, turn, role, {STRIPPED} AS text
+  FROM (SELECT conv_id, turn, role, regexp_replace(text, '[^\\p{{L}}\\s]', '', 'g') AS text FROM conversations) WHERE {STRIPPED} <> ''),
+turns AS (
+  SELECT * FROM said WHERE role IN ('user', 'assistant')
+  UNION ALL SELECT DISTINCT conv_id, 1000000, 'assistant', 'Looking.' || chr(10) || '→ Read({{"note": "all, of it", "at": [1, 2]}})' FROM conversations),
+marked AS (
+  SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) IS DISTINCT FROM role THEN 1 ELSE 0 END AS starts FROM turns),
+islands AS (SELECT *, sum(starts) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM marked),
+runs AS (SELECT conv_id, island, string_agg(text, chr(10) ORDER BY turn) AS text FROM islands GROUP BY conv_id, island)
+SELECT conv_id::VARCHAR AS conv_id, count(*) AS n_messages, sum(length(text))::BIGINT AS n_chars, arg_max(text, island) AS last,
+       'own' AS source, 'redacted trajectory from ' || conv_id AS notes
+FROM runs GROUP BY conv_id HAVING count(*) >= 4"""
+
 ORACLE: dict[str, str] = {
     **READERS, **{name: jobs(sql) for name, sql in MINING.items()}, **WEB, **FINDINGS, **REGISTER, **LOADING, **SESSIONS,
     **SWEEPS, **CONVERSATIONS, **AUDITS,

@@ -787,6 +787,14 @@ def merge_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.runs(conversations.run_pieces(derived.two_sided_turns(spark, sf_dir)))
 
 
+def converted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts as records of at least four messages: runs merged, the end without a reply dropped, tool calls spelled out."""
+    records, _ = S.convert_transcripts(derived.plain_transcripts(spark, sf_dir), "own", min_turns=4)
+    lengths = F.aggregate("messages", F.lit(0).cast("long"), lambda n, m: n + F.length(m["content"]))
+    return records.select("conv_id", F.size("messages").cast("long").alias("n_messages"), lengths.alias("n_chars"),
+                          F.element_at("messages", -1)["content"].alias("last"), "source", "notes")
+
+
 def minimum_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of the conversations with at least four messages."""
     merged = conversations.merge_turns(derived.two_sided_turns(spark, sf_dir))
@@ -865,6 +873,7 @@ CONVERSATIONS: dict[str, Query] = {
     "merge_turns": merge_turns,
     "residual_secrets": residual_secrets,
     "minimum_turns": minimum_turns,
+    "convert_transcripts": converted,
     "trim_turns": trim_turns,
     "fingerprint_dedup": fingerprint_dedup,
     "conversation_split": conversation_split,

@@ -11,7 +11,7 @@ from casetrail import fixed_values as fixed
 from casetrail.functions.text import clamp01, plain_number, report_cell, severity_band, strip
 from casetrail.operators.findings import FINDING_COLUMNS, findings, metric_fqn, metrics, register_order, score
 from casetrail.operators.ordering import numbered
-from casetrail.session import broadcast_if_small, stash
+from casetrail.session import stash
 
 # --- tables ---------------------------------------------------------------------------------------------------------
 
@@ -33,14 +33,47 @@ def upsert(stored: DataFrame, arriving: DataFrame, key: str = "fqn") -> DataFram
 # --- citations ------------------------------------------------------------------------------------------------------
 
 
-def resolved_citations(cited: DataFrame, *sources: DataFrame) -> DataFrame:
+FEW_NAMES = 200_000
+"""Cited names that are sent to the sources as they are."""
+MOST_WORDS = 4_000_000
+"""Words of 64 bits that a filter of names has at most; of more names it lets more strangers pass, never fewer names."""
+
+
+def _word(words: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(0), "fqn"), F.lit(words))
+
+
+def _mask() -> Column:
+    """Four of the 64 bits of a name's word."""
+    places = [F.pmod(F.xxhash64(F.lit(seed), "fqn"), F.lit(64)).cast("int") for seed in (1, 2, 3, 4)]
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), place) for place in places]
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+
+
+def name_filter(names: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """A Bloom filter of ``n`` names (``fqn``) as a table of words ``word, bits``, and how many words it is made for.
+
+    All bits of a name are in one word, so a row is tested by one lookup. Two words for a name, up to ``MOST_WORDS``.
+    """
+    words = max(1, min(2 * n, MOST_WORDS))
+    return names.groupBy(_word(words).alias("word")).agg(F.bit_or(_mask()).alias("bits")), words
+
+
+def resolved_citations(cited: DataFrame, *sources: DataFrame, few: int = FEW_NAMES) -> DataFrame:
     """Which of the names in ``cited`` (one column, ``fqn``) occur in the ``fqn`` column of a source.
 
-    The few cited names go to the large sources, not the other way round.
+    The few cited names go to the large sources, not the other way round. More than ``few`` go there as a Bloom filter, and what
+    passes it is joined with the names; the sources themselves are not shuffled.
     """
-    names = broadcast_if_small(stash(cited.where("fqn <> ''").distinct()))
+    names = stash(cited.where("fqn <> ''").distinct())
     known = reduce(DataFrame.unionByName, [source.select("fqn") for source in sources])
-    return known.join(names, "fqn", "left_semi").distinct()
+    n = names.count()
+    if n <= few:
+        return known.join(F.broadcast(names), "fqn", "left_semi").distinct()
+    words, size = name_filter(names, n)
+    tested = known.select("fqn", _word(size).alias("word"), _mask().alias("mask")).join(F.broadcast(stash(words)), "word")
+    passed = tested.where(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask")).select("fqn").distinct()
+    return passed.join(names, "fqn", "left_semi")
 
 
 def event_fqns(events: DataFrame) -> DataFrame:
@@ -52,9 +85,9 @@ def first_entities(events: DataFrame, n: int = fixed.SAMPLE_ENTITIES) -> DataFra
     return event_fqns(events).where("fqn <> ''").distinct().orderBy("fqn").limit(n)
 
 
-def with_grounding(rows: DataFrame, *sources: DataFrame) -> DataFrame:
+def with_grounding(rows: DataFrame, *sources: DataFrame, few: int = FEW_NAMES) -> DataFrame:
     """``rows`` with ``grounded``: whether ``evidence_fqn`` names an entity, a metric or an event's entity."""
-    found = resolved_citations(rows.select(F.col("evidence_fqn").alias("fqn")), *sources)
+    found = resolved_citations(rows.select(F.col("evidence_fqn").alias("fqn")), *sources, few=few)
     hits = found.select(F.col("fqn").alias("evidence_fqn"), F.lit(True).alias("grounded"))
     return rows.join(hits, "evidence_fqn", "left").withColumn("grounded", F.coalesce("grounded", F.lit(False)))
 

@@ -817,6 +817,7 @@ starts AS (
   SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) IS DISTINCT FROM role THEN 1 ELSE 0 END AS starts FROM marked)
 SELECT conv_id, sum(starts)::BIGINT AS n_messages, arg_max(role, turn) AS last_role FROM starts GROUP BY conv_id HAVING sum(starts) >= 4"""
 
+REGISTER["citation_filter"] = REGISTER["citation_gate"]
 REGISTER["fact_rows"] = f"""
 SELECT row_number() OVER (ORDER BY fqn) AS rank, fqn AS evidence_fqn, name, value, evidence_json AS detail FROM ({REGISTER["metric_upsert"]})"""
 

@@ -189,13 +189,18 @@ def cited_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
             .unionByName(claims("part", "p_partkey", "asset.", 1)).unionByName(empty))
 
 
-def citation_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+def citation_gate(spark: SparkSession, sf_dir: str, few: int = register.FEW_NAMES) -> DataFrame:
     log = job_log(spark, sf_dir)
     flagged = register.with_grounding(cited_candidates(spark, sf_dir), inputs.entities(spark, sf_dir),
-                                      register.event_fqns(log.events))
+                                      register.event_fqns(log.events), few=few)
     return flagged.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if("grounded").alias("n_grounded"))
 
 
+def citation_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a Bloom filter, as for very many names."""
+    return citation_gate(spark, sf_dir, few=0)
+
+
 def merged_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates made of the detections: odd detectors cite a job, scores are out of range or not numbers."""
     log = job_log(spark, sf_dir)
@@ -326,6 +331,7 @@ REGISTER: dict[str, Query] = {
     "naive_baseline": on_landed_jobs(grading.naive_baseline),
     "naive_field_service_baseline": on_landed_jobs(grading.naive_field_service_baseline),
     "citation_gate": citation_gate,
+    "citation_filter": citation_filter,
     "first_entities": on_jobs(lambda log: register.first_entities(log.events)),
     "safety_net": merged_candidates,
     "grade_register": grade_register,

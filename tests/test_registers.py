@@ -216,3 +216,26 @@ def test_the_register_scans_and_shuffles_the_log_once(spark):
 def test_an_empty_log_has_no_findings(spark):
     log = EventLog(event_log(spark, GOOD).events.limit(0))
     assert packs.run_pack("field-service", log).count() == 0 and packs.run_pack("quote-to-cash", log).count() == 0
+
+
+def test_many_citations_go_through_a_filter(spark):
+    cited = spark.createDataFrame([(f"e.{i}",) for i in range(0, 4_000, 2)] + [("",), (None,), ("e.0",)], "fqn string")
+    source = stash(spark.range(3_000).selectExpr("concat('e.', id % 1500) as fqn").unionByName(spark.sql("select cast(null as string) as fqn")))
+    expected = {f"e.{i}" for i in range(0, 1_500, 2)}
+    for few in (10_000, 0):
+        found = register.resolved_citations(cited, source, few=few)
+        assert sorted(r.fqn for r in found.collect()) == sorted(expected)
+    words, size = register.name_filter(cited.where("fqn <> ''").distinct(), 2_000)
+    bits = {r.word: r.bits for r in words.collect()}
+    strangers = spark.range(20_000).selectExpr("concat('x.', id) as fqn").select(register._word(size).alias("w"), register._mask().alias("m"))
+    assert sum(bits.get(r.w, 0) & r.m == r.m for r in strangers.collect()) < 600
+    # the source meets the filter where it is read; only what passes is exchanged
+    plan = register.resolved_citations(cited, source, few=0)._jdf.queryExecution().executedPlan().toString()
+    below_the_filter = plan[plan.rindex("BroadcastHashJoin"):].split("BroadcastExchange")[0]
+    assert "FileScan parquet" in below_the_filter and "Exchange hashpartitioning" not in below_the_filter
+
+
+def test_no_citations_and_no_sources(spark):
+    none = spark.createDataFrame([], "fqn string")
+    some = spark.createDataFrame([("a",)], "fqn string")
+    assert register.resolved_citations(none, some).count() == 0 and register.resolved_citations(some, none, few=0).count() == 0

@@ -1,7 +1,7 @@
 """WARC archives: writing with segments, chunked framing and revisits, and reading with reassembly of segments.
 
-Archives are WARC/1.1 records, written and read by Spark's text source, gzipped as archives usually are: a task writes a
-file and a task reads it as a stream; plain archives are split among tasks. The record separator of the reader is the version line. The writer ends a chunk
+Archives are WARC/1.1 records (1.x is read), written and read by Spark's text source, gzipped as archives usually are: a task writes a
+file and a task reads it as a stream; plain archives are split among tasks. The record separator of the reader is the beginning of the version line. The writer ends a chunk
 inside any such line in a payload, so its archives never break; in foreign archives a record whose length does not match
 sends its file to a second, sequential reader.
 
@@ -25,6 +25,9 @@ from casetrail.llm.rows import SMALL_ROWS, anchored, col, join_counted, lean, pl
 from casetrail.session import broadcast_if_small, shared_folder, stash
 
 VERSION = b"WARC/1.1\r\n"
+FAMILY = b"WARC/1."
+"""What every version line begins with; the digit of the minor version and a line break follow."""
+_VERSION_LINE = re.compile(rb"WARC/1\.[0-9]\r\n")
 GAP = b"\r\n\r\n"
 SEGMENT = 32 * 1024
 CHUNK = 8 * 1024
@@ -40,7 +43,7 @@ RECORD = ("file string, record_id string, type string, doc_id string, url string
 
 def chunked(payload: bytes, chunk: int = CHUNK) -> bytes:
     """Chunked transfer framing. No chunk has a whole version mark, so no framed payload has a version line."""
-    cuts = {m.start() + 4 for m in re.finditer(re.escape(VERSION.strip()), payload)}
+    cuts = {m.start() + 4 for m in re.finditer(re.escape(FAMILY), payload)}
     cuts = sorted({*cuts, *range(0, len(payload), chunk), len(payload)})
     parts = [payload[a:b] for a, b in zip(cuts, cuts[1:])]
     return b"".join(b"%x\r\n%b\r\n" % (len(p), p) for p in parts) + b"0\r\n\r\n"
@@ -126,8 +129,10 @@ def _number(value: str | None) -> int | None:
 
 
 def record_of(text: bytes) -> tuple[dict[str, str], bytes] | None:
-    """Fields and block of what follows a version line; None if its length is not as stated."""
-    head, gap, rest = text.partition(GAP)
+    """Fields and block of what follows ``FAMILY``; None if that is no version line or the length is not as stated."""
+    if not re.match(rb"[0-9]\r\n", text):
+        return None
+    head, gap, rest = text[3:].partition(GAP)
     fields = parsed(head)
     size = _number(fields.get("content-length"))
     if not gap or size is None or rest[size:] not in (GAP, b"") or len(rest) < size:
@@ -145,17 +150,17 @@ def _row(file: str, fields: dict[str, str], block: bytes) -> dict:
 
 def _sequential(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Records of a whole archive by their lengths; what cannot be read up to the next version line is passed over."""
-    at = content.find(VERSION)
-    while at >= 0:
-        start = at + len(VERSION)
+    line = _VERSION_LINE.search(content)
+    while line:
+        start = line.end()
         gap = content.find(GAP, start)
         fields = parsed(content[start:gap]) if gap >= 0 else {}
         size = _number(fields.get("content-length"))
         if size is None or gap + 4 + size > len(content):
-            at = content.find(VERSION, start)
+            line = _VERSION_LINE.search(content, start)
             continue
         yield fields, content[gap + 4:gap + 4 + size]
-        at = content.find(VERSION, gap + 4 + size)
+        line = _VERSION_LINE.search(content, gap + 4 + size)
 
 
 _ARROW = pa.schema([("file", pa.string()), ("record_id", pa.string()), ("type", pa.string()), ("doc_id", pa.string()),
@@ -164,8 +169,11 @@ _ARROW = pa.schema([("file", pa.string()), ("record_id", pa.string()), ("type",
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    """All records of the archives in a folder (see ``RECORD``), landed."""
-    texts = spark.read.option("lineSep", VERSION.decode()).text(folder).select(
+    """All records of the archives of WARC 1.x in a folder (see ``RECORD``), landed.
+
+    A file in which no record can be read is one row of type ``broken``.
+    """
+    texts = spark.read.option("lineSep", FAMILY.decode()).text(folder).select(
         F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,9 +195,12 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column("file"), batch.column("content")):
-                whole = content.as_py()
+                whole, none = content.as_py(), True
                 for fields, block in _sequential(gzip.decompress(whole) if whole[:2] == b"\x1f\x8b" else whole):
+                    none = False
                     yield pa.RecordBatch.from_pylist([_row(file.as_py(), fields, block)], _ARROW)
+                if none:
+                    yield pa.RecordBatch.from_pylist([{"file": file.as_py(), "type": "broken"}], _ARROW)
 
     return stash(found.join(broken, "file", "left_anti").unionByName(files.mapInArrow(again, RECORD)))
 
@@ -223,12 +234,14 @@ def captures(found: DataFrame) -> DataFrame:
     """One row per response and revisit in ``found`` (records, landed): ``record_id``, ``record_type``, ``doc_id``, ``url``,
     ``refers`` (record id of the response that a revisit stands for), ``digest`` (as stated), ``payload`` (null for revisits)
     and ``status``: ``whole``; ``incomplete`` when segments are missing, differ or do not have the stated total length;
-    ``damaged`` when framing or digest are wrong. Repeated records count once where they are equal.
+    ``damaged`` when framing or digest are wrong. Repeated records count once where they are equal. A continuation record that
+    names no origin is incomplete by itself, under its own id.
     """
     names = ["record_id", "type", "doc_id", "url", "refers", "digest"]
     alone = found.where("type in ('response', 'revisit') and segment is null").select(*names, "block", F.lit(True).alias("complete"))
     parts = found.where("segment is not null and type in ('response', 'continuation')").groupBy(
-        F.when(F.col("type") == "response", F.col("record_id")).otherwise(F.col("origin")).alias("record_id")).agg(
+        F.coalesce(F.when(F.col("type") == "response", F.col("record_id")).otherwise(F.col("origin")), "record_id",
+                   F.concat_ws("#", F.col("file"), F.xxhash64("block").cast("string"))).alias("record_id")).agg(
         F.array_sort(F.collect_set(F.struct("segment", "total", "block"))).alias("parts"),
         *[F.max(F.when(F.col("type") == "response", F.col(c))).alias(c) for c in names[1:]])
     numbers = F.transform("parts", lambda p: p["segment"])

@@ -99,3 +99,43 @@ def test_foreign_archives_and_faults(spark, tmp_path):
         "parts": ("whole", b"hello world"), "gap": ("incomplete", None), "short": ("incomplete", None), "open": ("incomplete", None),
         "orphan": ("incomplete", None), "again": ("whole", None), "other file": ("whole", b"hello world"),
         "packed": ("whole", plain), "packed too": ("whole", b"hello world")}
+
+
+def foreign(version, fields, block=b""):
+    head = b"".join(f"{k}: {v}\r\n".encode() for k, v in [*fields, ("Content-Length", len(block))])
+    return b"WARC/" + version + b"\r\n" + head + b"\r\n" + block + b"\r\n\r\n"
+
+
+def response(version, i, payload):
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + payload
+    return foreign(version, [("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:r{i}>"), ("WARC-Target-URI", "http://a.example/")], block)
+
+
+@pytest.mark.parametrize("zipped", [False, True])
+def test_other_minor_versions_and_marks_in_payloads(spark, tmp_path, zipped):
+    content = b"".join(response(v, i, p) for i, (v, p) in enumerate([
+        (b"1.0", b"one"), (b"1.0", b"says WARC/1.0 in between"), (b"1.1", b"three"), (b"1.0", b"")]))
+    name = "a.warc.gz" if zipped else "a.warc"
+    (tmp_path / name).write_bytes(gzip.compress(content) if zipped else content)
+    plain = b"".join(response(b"1.0", 10 + i, b"p%d" % i) for i in range(3))
+    (tmp_path / "b.warc").write_bytes(plain)
+    found = {r.record_id: (r.status, bytes(r.payload)) for r in W.read_archives(spark, str(tmp_path)).collect()}
+    assert found == {"urn:r0": ("whole", b"one"), "urn:r1": ("whole", b"says WARC/1.0 in between"), "urn:r2": ("whole", b"three"),
+                     "urn:r3": ("whole", b""), **{f"urn:r{10 + i}": ("whole", b"p%d" % i) for i in range(3)}}
+
+
+def test_a_file_without_a_record_is_reported(spark, tmp_path):
+    (tmp_path / "a.warc").write_bytes(b"nothing of the kind")
+    (tmp_path / "b.warc").write_bytes(response(b"1.0", 1, b"x"))
+    found = W.read_records(spark, str(tmp_path)).collect()
+    assert sorted((r.file.rsplit("/", 1)[1], r.type) for r in found) == [("a.warc", "broken"), ("b.warc", "response")]
+
+
+def test_continuations_without_an_origin_stay_apart(spark, tmp_path):
+    parts = b"".join(foreign(b"1.1", [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:c{i}>"), ("WARC-Segment-Number", 2)], b"part")
+                     for i in range(5))
+    parts += foreign(b"1.1", [("WARC-Type", "continuation"), ("WARC-Segment-Number", 3)], b"nameless")
+    (tmp_path / "a.warc").write_bytes(parts)
+    found = W.read_archives(spark, str(tmp_path)).collect()
+    assert len(found) == 6 and {r.status for r in found} == {"incomplete"}
+    assert {r.record_id for r in found} >= {f"urn:c{i}" for i in range(5)}

@@ -1,8 +1,11 @@
+import functools
 import hashlib
+import math
 import random
 import re
+from collections import defaultdict
 
-import pytest
+import regex
 from pyspark.sql import functions as F
 
 from casetrail.llm import pii
@@ -29,6 +32,7 @@ def good(kind, text):
             "card": lambda: 14 <= len(digits) <= 19 and luhn(digits), "phone": lambda: 10 <= len(digits) <= 15}[kind]()
 
 
+@functools.cache
 def base(text):
     found = [(m.start(), k, m.end(), kind) for k, kind in enumerate(pii.KINDS) for m in PLAIN[kind].finditer(text or "") if good(kind, m[0])]
     return [(kind, start, end) for start, _, end, kind in sorted(found)]
@@ -50,17 +54,123 @@ def noise(rng):
     return "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 60)))
 
 
-def test_base_spans_are_those_of_the_plain_patterns(spark):
+WORDS = regex.compile(pii.WORD)
+
+
+def value(kind, text):
+    return f"{kind}:{text.lower() if kind == 'email' else text if kind == 'ip' else re.sub('[^0-9]', '', text)}"
+
+
+def class_of(entity):
+    kind, rest = entity.split(":", 1)
+    return {"email": lambda: f"email:@{rest.split('@')[-1]}", "ip": lambda: f"ip:{'.'.join(rest.split('.')[:3])}."}.get(
+        kind, lambda: f"{kind}:{rest[:6]}")()
+
+
+def added(texts, doubt=1.0, generalise=0.6, remove=0.85):
+    """The added spans of each text, by comparing every entity with every term of its text."""
+    texts = [t or "" for t in texts]
+    ents = [{value(kind, t[s:e]) for kind, s, e in base(t)} for t in texts]
+    words = [[(m.start(), m.end(), m[0].lower()) for m in WORDS.finditer(t)] for t in texts]
+    having, keyed, both = defaultdict(set), defaultdict(set), defaultdict(set)
+    for i in range(len(texts)):
+        terms = {w for _, _, w in words[i] if len(w) >= 2}
+        for w in terms:
+            having[w].add(i)
+        for k in ents[i] | {class_of(e) for e in ents[i]}:
+            keyed[k].add(i)
+            for w in terms:
+                both[k, w].add(i)
+
+    def share(key, w):
+        others = len({texts[i] for i in both[key, w]}) - 1
+        return len(both[key, w]) / len(having[w]) * others / (others + doubt)
+
+    out = []
+    for i in range(len(texts)):
+        taken, found = base(texts[i]), []
+        for s, e, w in words[i]:
+            best = -math.inf
+            for x in ents[i]:
+                content = math.log(len(texts) / len(keyed[x]))
+                p = max(share(x, w), share(class_of(x), w) * len(keyed[x]) / len(keyed[class_of(x)])) if len(w) >= 2 else 0
+                if p and content:
+                    best = max(best, 1 + math.log(p) / content)
+            if best >= generalise - 1e-9 and all(e <= a or b <= s for _, a, b in taken):
+                found.append(("remove" if best >= remove - 1e-9 else "generalise", s, e))
+        out.append(found)
+    return out
+
+
+def whole(texts, **how):
+    kinds = pii.KINDS + pii.ADDED
+    return [listed(sorted([*base(t), *more], key=lambda s: (s[1], kinds.index(s[0]), s[2]))) for t, more in zip(texts, added(texts, **how))]
+
+
+def test_spans_are_those_of_the_plain_patterns_and_of_counting_every_pair(spark):
     rng = random.Random(11)
     texts = FIXED + [noise(rng) for _ in range(600)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("kind", F.lit("x")).withColumn("file", F.lit(1)).repartition(5)
-    found = pii.personal_data(docs, contexts=10 ** 6).collect()
+    found = pii.personal_data(docs).collect()
     assert len(found) == len(texts)
+    expected = whole(texts)
+    assert sum("remove" in e or "generalise" in e for e in expected) > 0
     for r in found:
-        expected = base(texts[r.doc_id])
-        assert r.spans == listed(expected), repr(texts[r.doc_id][:80])
-        assert r.base_sha256 == hashlib.sha256(listed(expected).encode()).hexdigest()
-        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, _, _ in expected) for kind in pii.KINDS]
+        assert r.spans == expected[r.doc_id], repr((texts[r.doc_id] or "")[:80])
+        own = base(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(listed(own).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, _, _ in own) for kind in pii.KINDS]
+
+
+def mixed(rng):
+    """Texts in which people, firms and networks share words, some copied, some with a word far from its entity."""
+    common = [f"word{i}" for i in range(60)]
+    names = [f"Name{i}" for i in range(25)]
+    texts = []
+    for _ in range(300):
+        body = rng.sample(common, rng.randint(3, 8))
+        if rng.random() < 0.4:
+            who = rng.randrange(25)
+            body.insert(rng.randint(0, len(body)), rng.choice([f"p{who}@firm{who % 4}.example", f"10.0.{who % 5}.{who}", f"+44 20 7946 {1000 + who}"]))
+            body += ["filler"] * rng.choice([0, 40]) + rng.choice([[names[who] + ",", "again", names[who]], [f"Firm{who % 4}"], []])
+        texts.append(" ".join(body))
+    return texts + [rng.choice(texts) for _ in range(60)]
+
+
+def test_added_spans_are_those_of_counting_every_pair(spark):
+    texts = mixed(random.Random(3))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for how in ({}, {"doubt": 3.0, "generalise": 0.4, "remove": 0.7}):
+        expected = whole(texts, **how)
+        assert sum("remove" in e or "generalise" in e for e in expected) > 10
+        assert {r.doc_id: r.spans for r in pii.personal_data(docs, **how).collect()} == dict(enumerate(expected))
+
+
+def test_hot_keys_and_long_lists_give_the_same_spans(spark, monkeypatch):
+    """Joins by key instead of broadcast lists, and a third of all rows with one entity."""
+    monkeypatch.setattr(pii, "MOST_TERMS", 0)
+    texts = mixed(random.Random(4)) + [f"mail hot@busy.example, ask Hotname {i % 40}" for i in range(170)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.spans for r in pii.personal_data(docs).collect()} == dict(enumerate(whole(texts)))
+
+
+def test_a_word_far_off_is_marked_at_every_place(spark):
+    rng = random.Random(2)
+    filler = " ".join(["plain"] * 60)
+    texts = [f"me@x.example {filler} Zebulon wrote {i} {filler} ZEBULON." for i in range(10)] + [f"plain wrote {i}" for i in range(300)]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.sanitised(docs).collect():
+        assert "zebulon" not in r.text.lower()
+        assert r.text.count("[REMOVED]") == (2 if "[EMAIL]" in r.text else 0)
+
+
+def test_an_entity_met_once_is_told_by_its_class(spark):
+    texts = [f"p{i}@corp.example works at Corpname on {i}" for i in range(6)] + [f"works at home on {i}" for i in range(5000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.personal_data(docs).collect()}
+    assert found == dict(enumerate(whole(texts)))
+    assert found[0].split(",")[1].startswith("generalise")
 
 
 def corpus():
@@ -98,21 +208,11 @@ def test_disclosing_terms_are_added_where_they_stand(spark):
 def test_disclosure_is_the_share_of_information(spark):
     texts = corpus() + ["Zebulon alone here"] * 3
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    import math
-
-    from casetrail.llm.rows import anchored, placed
-    from casetrail.session import stash
-
-    docs = anchored(docs)
-    rows = placed(docs, body=F.col("text")).select("file", "pos", "body")
-    found = stash(pii.entities(stash(pii.matches(rows))))
-    near = stash(pii.surroundings(found))
-    told = {(r.pair.entity, r.pair.term): r for r in pii.disclosing(near, found, rows.select("body"), 3, -9.0, 2.0).collect()}
-    with_e, with_t = 10, 13
-    expected = 1 + math.log(10 / with_t) / -math.log(with_e / len(texts))
-    assert abs(told["email:boss@corp.example", "zebulon"].disclosed - expected) < 1e-9
-    writes = told["email:boss@corp.example", "writes"]
-    assert abs(writes.disclosed - (1 + math.log(10 / 200) / -math.log(10 / len(texts)))) < 1e-9
+    # ten of thirteen documents with the name hold the address, in ten different texts
+    expected = 1 + math.log(10 / 13 * 9 / 10) / -math.log(10 / len(texts))
+    for limit, kind in ((expected - 0.001, "remove"), (expected + 0.001, "generalise")):
+        spans = pii.personal_data(docs.where("true"), generalise=0.5, remove=limit).where("doc_id = 0").first().spans
+        assert spans.split(",")[0].startswith(kind + ":")
 
 
 def test_copies_prove_nothing(spark):

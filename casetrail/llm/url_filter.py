@@ -80,9 +80,10 @@ def decided(rows: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def name_of(url: Column) -> Column:
-    """What tells urls apart as pages: host, path and query. Scheme and fragment do not."""
+    """What tells urls apart as pages: host, path and query. Scheme, its own port and fragment do not."""
     query = F.coalesce(F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1), F.lit(""))
-    return F.concat(host_of(url), path_of(url), query)
+    port = F.when(url.rlike("(?i)^http://"), ":(?:80)?$").when(url.rlike("(?i)^https://"), ":(?:443)?$").otherwise(":$")
+    return F.concat(F.regexp_replace(host_of(url), port, F.lit("")), path_of(url), query)
 
 
 def tidied(name: Column) -> Column:
@@ -91,27 +92,63 @@ def tidied(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(rest, r"[?&]+$", ""), r"(?<=[^/])/$", "")
 
 
+_PLAIN_TEXT = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|template|noscript)\b.*?(?:</\1\b|\z)"
+
+
+def _tags(html: Column, names: str) -> Column:
+    # what comments and scripts hold is no tag; one that does not end goes to the end of the page
+    open_ = F.when(html.rlike(rf"(?i)<(?:{names})\b"), F.regexp_replace(html, _PLAIN_TEXT, "")).otherwise("")
+    # up to the last end of a tag, so every tag that begins has an end and none is looked for twice
+    closed = F.left(open_, F.length(open_) - F.length(F.substring_index(open_, ">", -1)))
+    return F.regexp_extract_all(closed, F.lit(rf"(?i)<(?:{names})\b[^>]*+>"), F.lit(0))
+
+
+def _href(tag: Column) -> Column:
+    return F.replace(F.regexp_extract(tag, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1), F.lit("&amp;"), F.lit("&"))
+
+
 def declared(html: Column) -> Column:
     """The targets that a page declares in canonical links and refreshes, as they are written."""
-    # up to the last end of a tag, so every tag that begins has an end and none is looked for twice
-    closed = F.left(html, F.length(html) - F.length(F.substring_index(html, ">", -1)))
-    tags = F.regexp_extract_all(closed, F.lit(r"(?i)<(?:link|meta)\b[^>]*+>"), F.lit(0))
+    tags = _tags(html, "link|meta")
     rel = r"(?is)^<link\b.*?\brel\s*=\s*(?:canonical(?![^\s>/])|\"(?:[^\"]*\s)?canonical[\s\"]|'(?:[^']*\s)?canonical[\s'])"
     canonical = F.filter(tags, lambda t: t.rlike(rel))
     refresh = F.filter(tags, lambda t: t.rlike(r"(?is)^<meta\b.*?\bhttp-equiv\s*=\s*[\"']?refresh\b"))
-    links = F.transform(canonical, lambda t: F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    jumps = F.transform(refresh, lambda t: F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1))
-    return F.transform(F.filter(F.concat(links, jumps), lambda t: t != ""), lambda t: F.replace(t, F.lit("&amp;"), F.lit("&")))
+    links = F.transform(canonical, _href)
+    jumps = F.transform(refresh, lambda t: F.replace(F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1), F.lit("&amp;"), F.lit("&")))
+    return F.filter(F.concat(links, jumps), lambda t: t != "")
+
+
+def base_of(html: Column) -> Column:
+    """The address that a page's first ``base`` tag with one gives for its links; null without."""
+    return F.get(F.filter(F.transform(_tags(html, "base"), _href), lambda t: t != ""), F.lit(0))
+
+
+def without_dots(path: Column) -> Column:
+    """A path that begins with ``/`` without its steps ``.`` and ``..``, which never lead above the root."""
+    steps = F.split(F.regexp_replace(path, r"/(\.\.?)$", "/$1/"), "/", -1)
+
+    def walk(done: Column, step: Column) -> Column:
+        return F.when(step == ".", done).when(step == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(
+            F.concat(done, F.array(step)))
+
+    walked = F.aggregate(F.slice(steps, F.lit(2), F.size(steps)), F.array(F.lit("")), walk)
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), F.array_join(walked, "/")).otherwise(path)
 
 
 def resolved(base: Column, target: Column) -> Column:
-    """A target as an url, seen from the page it stands in."""
+    """A target as an url, seen from an absolute url; null for other schemes such as ``mailto:``."""
     site = F.concat(F.lit("http://"), host_of(base))
-    folder = F.regexp_replace(path_of(base), "[^/]*$", "")
+    own = F.when(path_of(base) == "", "/").otherwise(path_of(base))
+    path = F.regexp_extract(target, r"(?s)^[^?#]*", 0)
+    rest = F.substring(target, F.length(path) + 1, F.length(target))
+    folder = F.regexp_replace(own, "[^/]*$", "")
     return (F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+            .when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
             .when(F.startswith(target, F.lit("//")), F.concat(F.lit("http:"), target))
-            .when(F.startswith(target, F.lit("/")), F.concat(site, target))
-            .otherwise(F.concat(site, F.when(folder == "", "/").otherwise(folder), target)))
+            .when(F.startswith(target, F.lit("/")), F.concat(site, without_dots(path), rest))
+            .when(F.startswith(target, F.lit("?")), F.concat(site, path_of(base), target))
+            .when(F.startswith(target, F.lit("#")), base)
+            .otherwise(F.concat(site, without_dots(F.concat(folder, path)), rest)))
 
 
 def _blocked_names(named: DataFrame, edges: DataFrame) -> DataFrame:
@@ -147,8 +184,10 @@ def judged(pages: DataFrame, rules: list[Rule], page_id: str = "page_id", url: s
     narrow = stash(facts(rows, "address", "page_id").withColumn("node", F.xxhash64("name")))
     sources = []
     if html:
-        links = pages.select(col(url).cast("string").alias("source"), F.explode(declared(col(html).cast("string"))).alias("target"))
-        sources.append(links.where("source is not null").select("source", resolved(F.col("source"), F.col("target")).alias("target")))
+        page = pages.select(col(url).cast("string").alias("source"), col(html).cast("string").alias("html")).where("source is not null")
+        links = page.select("source", base_of(F.col("html")).alias("base"), F.explode(declared(F.col("html"))).alias("target"))
+        seen_from = F.coalesce(F.when(F.col("base").isNotNull(), resolved(F.col("source"), F.col("base"))), F.col("source"))
+        sources.append(links.select("source", resolved(seen_from, F.col("target")).alias("target")).where("target is not null"))
     if redirects is not None:
         sources.append(redirects.select(F.col("source").cast("string"), F.col("target").cast("string")).where("source is not null and target is not null"))
     named = [narrow.select("name", "node", F.col("found.verdict").alias("verdict"))]

@@ -91,6 +91,30 @@ def test_components_against_brute_force(spark):
         assert r.verdict == expected, url
 
 
+def test_targets_are_joined_like_a_browser_does(spark):
+    from urllib.parse import urljoin
+
+    pages = ["http://a.org/d/p", "http://a.org/d/e/?q=1", "http://a.org", "http://a.org/d/p?x#f"]
+    targets = ["?y=2", "../q", "./q", "q", "../../../q", "/x/../y/./z", "/x/..", "..", ".", "q/../../r?u=/../v", "//b.org/z", "http://b.org/z", "/", "q#f", "a.b/..c/.d",
+               "../" * 300 + "q"]
+    rows = [(p, t) for p in pages for t in targets]
+    found = spark.createDataFrame(rows, "base string, target string").select("base", "target", U.resolved(F.col("base"), F.col("target")).alias("url")).collect()
+    for r in found:
+        assert r.url == urljoin(r.base, r.target), (r.base, r.target)
+    others = spark.createDataFrame([("http://a.org/d?q", "#top"), ("http://a.org/d", "mailto:x@y.z"), ("http://a.org/d", "javascript:go()")], "base string, target string")
+    assert [r[0] for r in others.select(U.resolved(F.col("base"), F.col("target"))).collect()] == ["http://a.org/d?q", None, None]
+
+
+def test_comments_scripts_base_and_ports(spark):
+    tag = link("http://c.net/es/z")
+    rows = [(1, "http://a.org/1", f"<!-- {tag} -->"), (2, "http://a.org/2", f"<script>x = '{tag}'</script>"), (3, "http://a.org/3", f"<!-- never ends {tag}"),
+            (4, "http://a.org/4", f"<!-- a -->{tag}<!-- b -->"), (5, "http://a.org/5", "<base href='//c.net/es/'>" + link("z")), (6, "http://b.org:80/6", None),
+            (7, "http://b.org/6", tag), (8, "https://d.org:443/x", tag), (9, "https://d.org/x", None), (10, "http://d.org:8080/x", None),
+            (11, "http://a.org/11", "<!--" * 40000), (12, "http://a.org/12", "<script>" * 20000 + tag), (13, "http://a.org/13", "<script>1</script>" + tag)]
+    found = U.judged(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).collect()
+    assert {r.page_id for r in found if r.verdict == BLOCK} == {4, 5, 6, 7, 8, 9, 13}
+
+
 def test_no_pages(spark):
     assert U.judged(spark.createDataFrame([], "page_id long, url string, html string"), RULES).count() == 0
 

@@ -95,11 +95,14 @@ def tidied(name: Column) -> Column:
 _PLAIN_TEXT = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|template|noscript)\b.*?(?:</\1\b|\z)"
 
 
+def markup(html: Column) -> Column:
+    """A page without comments and scripts, which hold no tags; one that does not end goes to the end of the page."""
+    return F.when(html.rlike(r"(?i)<(?:link|meta)\b"), F.regexp_replace(html, _PLAIN_TEXT, "")).otherwise("")
+
+
 def _tags(html: Column, names: str) -> Column:
-    # what comments and scripts hold is no tag; one that does not end goes to the end of the page
-    open_ = F.when(html.rlike(rf"(?i)<(?:{names})\b"), F.regexp_replace(html, _PLAIN_TEXT, "")).otherwise("")
     # up to the last end of a tag, so every tag that begins has an end and none is looked for twice
-    closed = F.left(open_, F.length(open_) - F.length(F.substring_index(open_, ">", -1)))
+    closed = F.left(html, F.length(html) - F.length(F.substring_index(html, ">", -1)))
     return F.regexp_extract_all(closed, F.lit(rf"(?i)<(?:{names})\b[^>]*+>"), F.lit(0))
 
 
@@ -108,7 +111,7 @@ def _href(tag: Column) -> Column:
 
 
 def declared(html: Column) -> Column:
-    """The targets that a page declares in canonical links and refreshes, as they are written."""
+    """The targets that the ``markup`` of a page declares in canonical links and refreshes, as they are written."""
     tags = _tags(html, "link|meta")
     rel = r"(?is)^<link\b.*?\brel\s*=\s*(?:canonical(?![^\s>/])|\"(?:[^\"]*\s)?canonical[\s\"]|'(?:[^']*\s)?canonical[\s'])"
     canonical = F.filter(tags, lambda t: t.rlike(rel))
@@ -185,6 +188,8 @@ def judged(pages: DataFrame, rules: list[Rule], page_id: str = "page_id", url: s
     sources = []
     if html:
         page = pages.select(col(url).cast("string").alias("source"), col(html).cast("string").alias("html")).where("source is not null")
+        # the generator of one row has the markup computed once and not once for each use
+        page = page.select("source", F.explode(F.array(markup(F.col("html")))).alias("html"))
         links = page.select("source", base_of(F.col("html")).alias("base"), F.explode(declared(F.col("html"))).alias("target"))
         seen_from = F.coalesce(F.when(F.col("base").isNotNull(), resolved(F.col("source"), F.col("base"))), F.col("source"))
         sources.append(links.select("source", resolved(seen_from, F.col("target")).alias("target")).where("target is not null"))

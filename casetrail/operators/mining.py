@@ -118,21 +118,34 @@ def _clean_case_steps(events: DataFrame, is_long: bool) -> DataFrame:
     """
     per_case = _recorded_steps(events, is_long).groupBy(CASE, "src", "dst").agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum("gap_us").alias("total_us"),
+        *micros_summed("gap_us"),
         F.count_if(F.col("gap_us") < 0).alias("errors"),
     )
     flagged = per_case.withColumn("case_errors", F.sum("errors").over(Window.partitionBy(CASE)))
-    return flagged.where("case_errors = 0").select("src", "dst", "n", "total_us")
+    return flagged.where("case_errors = 0").select("src", "dst", "n", "_s", "_us")
+
+
+def micros_summed(us: str) -> list[Column]:
+    """Aggregates ``_s`` and ``_us``: the whole seconds and the rests of microseconds, summed apart.
+
+    Microseconds of some ten million steps add up to more than a long holds; seconds and rests do not.
+    """
+    return [F.sum(F.expr(f"{us} div 1000000")).alias("_s"), F.sum(F.col(us) % 1_000_000).alias("_us")]
+
+
+def micros_of_sums() -> Column:
+    """Sum of ``_s`` and ``_us`` (see :func:`micros_summed`) over rows, in microseconds as an exact decimal."""
+    return F.sum("_s").cast("decimal(20,0)") * F.lit(1_000_000) + F.sum("_us")
 
 
 def mean_seconds(total_us: Column, n: Column) -> Column:
-    return total_us / n / F.lit(1_000_000)
+    return total_us.cast("double") / n / F.lit(1_000_000)
 
 
 def transition_durations(log: EventLog) -> DataFrame:
-    """Mean gap per step over cases without recording errors: ``src, dst, n, total_us, mean_s``."""
+    """Mean gap per step over cases without recording errors: ``src, dst, n, total_us`` (decimal), ``mean_s``."""
     summed = log.each(_clean_case_steps).groupBy("src", "dst").agg(
-        F.sum("n").alias("n"), F.sum("total_us").alias("total_us"))
+        F.sum("n").alias("n"), micros_of_sums().alias("total_us"))
     return summed.withColumn("mean_s", mean_seconds(F.col("total_us"), F.col("n")))
 
 
@@ -260,7 +273,7 @@ def _facts_per_case(events: DataFrame, is_long: bool, more: CaseMeasures) -> Dat
         rows = rows.unionByName(flags.select(CASE, F.inline(F.array(*more.of_case()))).where("dst is not null"))
     backwards = (F.col("kind") == TIMED) & (F.col("us") < 0)
     summed = rows.groupBy(CASE, "kind", "src", "dst").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("us").alias("us"), F.max("at_us").alias("at_us"),
+        F.count(F.lit(1)).alias("n"), *micros_summed("us"), F.max("at_us").alias("at_us"),
         F.count_if(backwards).alias("errors"))
     return summed.withColumn("case_errors", F.sum("errors").over(Window.partitionBy(CASE)))
 
@@ -268,7 +281,7 @@ def _facts_per_case(events: DataFrame, is_long: bool, more: CaseMeasures) -> Dat
 def log_facts(log: EventLog, more: CaseMeasures | None = None) -> DataFrame:
     """All measurements the registers need, from one pass and one shuffle of the log by case.
 
-    Columns ``kind, src, dst, n, n_cases, n_repeat, us, at_us``. Kinds: ``activity`` (events, cases, cases with repeats),
+    Columns ``kind, src, dst, n, n_cases, n_repeat, us`` (decimal), ``at_us``. Kinds: ``activity`` (events, cases, cases with repeats),
     ``step`` (time order, all cases), ``timed`` (recorded order, cases without errors, summed gap), ``bad_case``
     (``src`` is the case, ``n`` its errors), ``total`` (``n`` cases, ``n_cases`` cases with errors) and those of ``more``.
     """
@@ -277,20 +290,20 @@ def log_facts(log: EventLog, more: CaseMeasures | None = None) -> DataFrame:
     zero = F.lit(0).cast("long")
     clean = F.col("case_errors") == 0
 
-    def row(kind: Column, src: Column, dst: Column, n: Column, cases: Column, repeat: Column, us: Column, at: Column) -> Column:
+    def row(kind: Column, src: Column, dst: Column, n: Column, cases: Column, repeat: Column, s: Column, us: Column, at: Column) -> Column:
         return F.struct(kind.alias("kind"), src.alias("src"), dst.alias("dst"), n.alias("n"), cases.alias("n_cases"),
-                        repeat.alias("n_repeat"), us.alias("us"), at.alias("at_us"))
+                        repeat.alias("n_repeat"), s.alias("_s"), us.alias("_us"), at.alias("at_us"))
 
     total = F.col("kind") == TOTAL
     own = F.when((F.col("kind") != TIMED) | clean, row(
         F.col("kind"), F.col("src"), F.col("dst"), F.col("n"),
-        F.when(total, (~clean).cast("long")).otherwise(1), (F.col("n") > 1).cast("long"), F.col("us"), F.col("at_us")))
+        F.when(total, (~clean).cast("long")).otherwise(1), (F.col("n") > 1).cast("long"), F.col("_s"), F.col("_us"), F.col("at_us")))
     bad = F.when(total & ~clean, row(
-        F.lit(BAD_CASE), F.col(CASE), F.lit(""), F.col("case_errors"), zero, zero, zero, F.lit(None).cast("long")))
+        F.lit(BAD_CASE), F.col(CASE), F.lit(""), F.col("case_errors"), zero, zero, zero, zero, F.lit(None).cast("long")))
     rows = per_case.select(F.inline(F.array(own, bad))).where("kind is not null")
     return rows.groupBy("kind", "src", "dst").agg(
         F.sum("n").alias("n"), F.sum("n_cases").alias("n_cases"), F.sum("n_repeat").alias("n_repeat"),
-        F.sum("us").alias("us"), F.max("at_us").alias("at_us"))
+        micros_of_sums().alias("us"), F.max("at_us").alias("at_us"))
 
 
 def of_kind(facts: DataFrame, kind: str) -> DataFrame:

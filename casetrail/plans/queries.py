@@ -64,7 +64,10 @@ def variants(log: EventLog) -> DataFrame:
 
 
 def durations(log: EventLog) -> DataFrame:
-    return mining.transition_durations(log).withColumn("mean_s", F.round("mean_s", 3))
+    """The total is a long, as in the SQL twin, unless one of them needs more room: then all are decimals."""
+    timed = stash(mining.transition_durations(log).withColumn("mean_s", F.round("mean_s", 3)))
+    fits = timed.where("abs(total_us) > 9223372036854775807").isEmpty()
+    return timed.withColumn("total_us", F.col("total_us").cast("long")) if fits else timed
 
 
 def coverage(log: EventLog) -> DataFrame:
@@ -79,7 +82,7 @@ def variant_steps(log: EventLog) -> DataFrame:
 def fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of the steps of a case that take less than twenty days on average in jobs recorded without an error."""
     log = landed_job_log(spark, sf_dir)
-    known = mining.transition_durations(log).where("total_us < n * 20 * 86400000000")
+    known = mining.transition_durations(log).where("total_us < cast(n as decimal(20,0)) * 1728000000000")
     return mining.dfg_fitness(log, known).withColumn("fitness", F.round("fitness", 6))
 
 

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from casetrail.operators import mining as M
+from casetrail.plans.queries import durations
 from logs import PARCELS, event_log
 
 
@@ -129,6 +130,21 @@ def test_against_brute_force(spark, request, piecewise):
         assert activity[a] == (sum(per_case), sum(n > 0 for n in per_case), sum(n > 1 for n in per_case))
 
 
+def test_sums_beyond_a_long(spark):
+    """Forty steps of eight thousand years: about 10^19 microseconds. The long case has gaps that add up to as much, and goes back."""
+    far = 250_000_000_000
+    events = [e for n in range(40) for e in ((f"c{n}", "x", n), (f"c{n}", "y", far))]
+    events += [("back", "xy"[i % 2], far * (i % 2)) for i in range(80)]
+    log = event_log(spark, events)
+    total = sum(far - n for n in range(40)) * 1_000_000
+    assert total > 1 << 63
+    wanted = [("x", "y", 40, total, pytest.approx(total / 40 / 1_000_000))]
+    for found in (M.transition_durations(log), M.durations(M.log_facts(log))):
+        assert [tuple(r) for r in found.select("src", "dst", "n", "total_us", "mean_s").collect()] == wanted
+    assert [(r.n, r.total_us) for r in durations(log).collect()] == [(40, total)]
+    assert dict(durations(event_log(spark, PARCELS)).dtypes)["total_us"] == "bigint"
+
+
 def test_only_the_hot_case_is_cut(spark):
     spark.conf.set("casetrail.longGroupRows", "50")
     try:

@@ -143,9 +143,10 @@ def journal_batch(stats: DataFrame, journal: str, batch: int, run: str = "alone"
 
     unread = written.where("error <> ''").select("id", F.lit("reading").alias("stage"), "error")
     unusable = found.where("status = 'pending'").select("id", F.lit("reply").alias("stage"), F.col("reason").alias("error"))
-    unusable = unusable.join(failures.select("id"), "id", "left_anti")
+    # the failures are few, see isolated; the sessions may be many, so no task writes them all
+    unusable = unusable.join(F.broadcast(failures.select("id")), "id", "left_anti")
     sink = f"{journal}/quarantine/{here}"
-    unread.unionByName(unusable).unionByName(failures).coalesce(1).write.mode("overwrite").parquet(sink)
+    unread.unionByName(unusable).unionByName(failures).write.mode("overwrite").parquet(sink)
 
     scanned = stats.agg(F.count(F.lit(1))).scalar()
     n_artifacts = spark.read.parquet(f"{journal}/artifacts/{here}").agg(F.count(F.lit(1))).scalar()

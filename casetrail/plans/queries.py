@@ -15,7 +15,7 @@ from casetrail.operators.mining import EventLog
 from casetrail.operators.ordering import Grouped, numbered
 from casetrail.operators.replies import read_replies
 from casetrail.plans import derived, inputs
-from casetrail.session import shared_folder, stash
+from casetrail.session import shared_folder, spread, stash
 from casetrail.sources import exports, jsonl
 from casetrail.sources.exports import normalise_events
 from casetrail.sources.jsonl import last_entries
@@ -507,7 +507,7 @@ def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def jsonl_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch(spark)
-    inputs.table(spark, sf_dir, "documents").select("doc_id", "text").repartition(4).write.json(root)
+    spread(inputs.table(spark, sf_dir, "documents").select("doc_id", "text")).write.json(root)
     rows = jsonl.strict_rows(jsonl.read_lines(spark, root))
     return rows.select(F.variant_get("row", "$.doc_id", "long").alias("doc_id"),
                        F.sha2(F.variant_get("row", "$.text", "string"), 256).alias("digest"))

@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from casetrail.functions.parse import canonical_activity, parse_timestamp
 from casetrail.operators import mining as M
+from casetrail.plans.queries import jsonl_rows
 from casetrail.sources import exports as X
 
 COLUMNS = X.ColumnMap("job", "status", "when", resource="note")
@@ -124,3 +126,11 @@ def test_xes_names_and_stored_log(spark, tmp_path):
     log = X.load_export(spark, path, X.XES, str(tmp_path / "log"), normalise=strip)
     assert [tuple(r) for r in M.directly_follows(log).collect()] == [("Check", "Send", 1)]
     assert log.events.first().source_system == "real"
+
+
+def test_rows_are_written_as_json_by_all_cores(spark, tmp_path):
+    texts = [(i, f"line {i}\n\"quoted\"") for i in range(64)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    read = jsonl_rows(spark, str(tmp_path))
+    assert len(read.inputFiles()) > 4
+    assert {tuple(r) for r in read.collect()} == {(i, hashlib.sha256(t.encode()).hexdigest()) for i, t in texts}

@@ -6,10 +6,14 @@ and a conversation is identified by an order-free digest of its positioned messa
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casetrail import fixed_values as fixed
 from casetrail.functions import messages as M
@@ -114,6 +118,47 @@ def runs(pieces: Grouped) -> DataFrame:
                          digest_text(F.col("n_turns")).alias("digest"))
 
 
+def _joined_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The digest of each run's joined text, from pieces in order."""
+    key, digest = None, None
+
+    def found(runs: list) -> pa.RecordBatch:
+        conv, turn, role, text = zip(*runs)
+        return pa.RecordBatch.from_arrays([pa.array(conv, types[0]), pa.array(turn, types[1]), pa.array(role, pa.string()),
+                                           pa.array(text, pa.string())], [CONV, "turn", "role", "digest"])
+
+    for batch in batches:
+        done, types = [], (batch.schema.field(CONV).type, batch.schema.field("turn").type)
+        columns = [batch.column(c).to_pylist() for c in (CONV, "turn", "role", "text")]
+        for *own, text in zip(*columns):
+            if own != key:
+                if key is not None:
+                    done.append((*key, digest and digest.hexdigest()))
+                key, digest = own, None
+            if text is not None:
+                if digest is None:
+                    digest = hashlib.sha256()
+                else:
+                    digest.update(b"\n")
+                digest.update(text.encode())
+        if done:
+            yield found(done)
+    if key is not None:
+        yield found([(*key, digest and digest.hexdigest())])
+
+
+def digested_runs(pieces: Grouped) -> DataFrame:
+    """:func:`runs` with the digest of the joined text (SHA-256, see :func:`joined_runs`; none without a text) as ``digest`` and that of
+    the pieces as ``pieces``. The text is read piece after piece in its order, so a run of any length is never one value."""
+    run = [CONV, "turn", "role"]
+    ordered = pieces.rows.select(*run, "at", "text").repartition(*run).sortWithinPartitions(*run, "at", F.asc_nulls_last("text"))
+    schema = pieces.rows.select(*run, F.lit("").alias("digest")).schema
+    digests = ordered.mapInArrow(_joined_digests, T.StructType([T.StructField(f.name, f.dataType) for f in schema]))
+    counted = runs(pieces).withColumnRenamed("digest", "pieces")
+    same = reduce(lambda a, b: a & b, [counted[c].eqNullSafe(digests[c]) for c in run])
+    return counted.join(digests, same).select(*[counted[c] for c in counted.columns], digests["digest"])
+
+
 def joined_runs(pieces: Grouped) -> Grouped:
     """Runs with their text in one value, as a dataset record has them: ``conv_id, turn, role, text, n_turns``."""
     text = F.array_sort(F.collect_list(F.struct("at", "text"))).getField("text")

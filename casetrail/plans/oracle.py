@@ -707,7 +707,7 @@ marked AS (
   FROM two_sided),
 islands AS (SELECT *, sum(starts) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM marked)
 SELECT conv_id, min(turn) AS turn, min(role) AS role, count(*) AS n_turns, length(string_agg(text, chr(10))) AS n_chars,
-       """ + digest("turn", "text") + """ AS digest
+       """ + digest("turn", "text") + """ AS pieces, sha256(string_agg(text, chr(10) ORDER BY turn)) AS digest
 FROM islands GROUP BY conv_id, island""",
     "residual_secrets": """
 SELECT conv_id FROM conversations WHERE conv_id % 6 = 0 AND turn < 2 GROUP BY conv_id HAVING count(*) = 2""",

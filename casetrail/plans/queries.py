@@ -793,7 +793,9 @@ def contract_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conversations.runs(conversations.run_pieces(derived.two_sided_turns(spark, sf_dir)))
+    """Runs of one side as one turn: the digest of their joined text, beside the counts and the digest of their pieces."""
+    pieces = conversations.run_pieces(derived.two_sided_turns(spark, sf_dir))
+    return conversations.digested_runs(pieces)
 
 
 def converted(spark: SparkSession, sf_dir: str) -> DataFrame:

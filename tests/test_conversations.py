@@ -193,3 +193,15 @@ def test_a_run_of_any_length_is_rows(spark):
     assert found[1, 0].n_turns == 300_000 and found[1, 0].n_chars == 5 * 300_000 - 1
     assert {k: (r.role, r.n_turns) for k, r in found.items() if k[0] > 1} == {(2, 0): ("user", 2), (2, 2): ("assistant", 1), (3, 0): ("user", 1)}
     assert found[3, 0].digest != found[2, 0].digest
+
+
+def test_the_digest_of_a_run_is_that_of_its_joined_text(spark):
+    """Pieces of one text over two turns differ from those in one; texts that are null are left out; ends of batches are no ends of runs."""
+    rows = [(1, t, "user", str(t)) for t in range(25_000)] + [
+        (2, 0, "user", "a"), (2, 1, "user", None), (2, 2, "user", "é"), (2, 3, "assistant", ""), (2, 4, "user", None), (None, 0, "user", "a\né")]
+    turns = C.turns_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5))
+    found = {(r.conv_id, r.turn): r for r in C.digested_runs(C.run_pieces(turns)).collect()}
+    sha = {k: None if t is None else hashlib.sha256(t.encode()).hexdigest() for k, t in {
+        (1, 0): "\n".join(map(str, range(25_000))), (2, 0): "a\né", (2, 3): "", (2, 4): None, (None, 0): "a\né"}.items()}
+    assert {k: r.digest for k, r in found.items()} == sha
+    assert found[2, 0].pieces != found[None, 0].pieces and found[1, 0].n_turns == 25_000

@@ -3,8 +3,10 @@
 Words are what ASCII white space parts, with A-Z lower-cased; every text ends with an end token. Counts of all words are
 taken over all training documents. Words that make up at least ``CLUSTERED`` of all tokens (so at most 1 / CLUSTERED of
 them) get their class by exchange: starting from classes by frequency, every word moves to the class that raises the
-likelihood of the class bigrams most, shard by shard with own copies of the class counts, again and again. A rarer word has
-a class by its last bytes, which holds for words never seen too, and its own emission probability from its own count.
+likelihood of the class bigrams most, shard by shard with own copies of the class counts, again and again. All rarer words
+start in open classes by their last bytes and move among these by the same exchange, once, as a table sharded by a hash, with as many
+shards as their number asks for; the moves stay if they raise the objective. A rarer word has its own emission probability from its own
+count. A word never seen has the open class of its last bytes.
 
     P(text) = product of P(class | class before) * P(word | class)
 
@@ -47,6 +49,10 @@ END = b""
 _HELD = 400_000
 _PAIRS = 4_000_000
 _MEMO = 300_000
+_SHARD_ROWS = 400_000
+"""Occurrences of rarer words in one shard, on average."""
+_AT_ONCE = 512
+"""Rarer words that are compared with the same class counts, at most; in small shards a 64th of the words, lest all run to one class."""
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -241,6 +247,138 @@ def exchange(pairs: DataFrame, words: int, start: np.ndarray, classes: int = CLA
     return best[1]
 
 
+def rare_places(texts: DataFrame, words: list[bytes], of: np.ndarray) -> DataFrame:
+    """Every place of a word that is none of ``words``: its ``hash``, its open class ``was``, the classes ``before`` and ``after`` it (-1: the
+    word itself), and the hash of the word after it if that is a rarer one too (``peer``)."""
+    sent = texts.sparkSession.sparkContext.broadcast((Symbols({w: i for i, w in enumerate(words)}), of, len(words), words.index(END)))
+    names = ["hash", "was", "before", "after", "peer"]
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, classes, size, end = sent.value
+        for batch in batches:
+            out = {c: [np.zeros(0, np.int64)] for c in [*names, "alone"]}
+            for text in _texts(batch):
+                own = tokens(text)
+                ids = np.fromiter(map(numbers.__getitem__, own), np.int64, len(own))
+                rare = np.flatnonzero(ids < 0)
+                if not len(rare):
+                    continue
+                ids = np.where(ids < 0, size - 1 - ids, ids)
+                path = classes[np.concatenate([[end], ids])].astype(np.int64)
+                hashes = np.zeros(len(own) + 1, np.int64)
+                hashes[rare + 1] = [hashed(own[i]) for i in rare.tolist()]
+                is_rare = np.concatenate([[False], ids >= size])
+                # the end token is last, so every rare word has a next one
+                me, last, following = hashes[rare + 1], hashes[rare], hashes[rare + 2]
+                out["hash"].append(me)
+                out["was"].append(ids[rare] - size)
+                out["before"].append(np.where(is_rare[rare] & (last == me), -1, path[rare]))
+                out["after"].append(np.where(is_rare[rare + 2] & (following == me), -1, path[rare + 2]))
+                out["peer"].append(following)
+                out["alone"].append((~is_rare[rare + 2]).astype(np.int64))
+            whole = {c: np.concatenate(v) for c, v in out.items()}
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(whole["hash"]), *[pa.array(whole[c].astype(np.int16)) for c in names[1:4]],
+                 pa.array(whole["peer"], mask=whole["alone"] == 1)], names)
+
+    return texts.select("text").mapInArrow(lean(found), "hash long, was short, before short, after short, peer long")
+
+
+def rare_gains(n: np.ndarray, was: np.ndarray, own: np.ndarray, before: tuple, after: tuple, first: int) -> np.ndarray:
+    """:func:`gains` for many words with few neighbours: words by open classes (from ``first`` on), all against the same ``n``, which holds
+    them in their classes ``was``. ``before`` and ``after``: neighbours as word, class and count, sorted by word."""
+    k, size = len(n), len(was)
+    to = np.arange(first, k)
+    dense = []
+    for word, c, m in (before, after):
+        d = np.zeros((size, k))
+        d[word, c] = m
+        dense.append(d)
+    left, right = dense
+    here = to == was[:, None]
+    gain = np.zeros((size, len(to)))
+    for counts, (word, c, m), other in ((n, after, left), (n.T, before, right)):
+        if len(word):
+            cell = counts[first:, c].T - here[word] * m[:, None]
+            inside = np.flatnonzero(c == was[word])
+            cell[inside] -= other[word[inside]][:, first:] + here[word[inside]] * own[word[inside]][:, None]
+            cell = np.maximum(cell, 0)
+            some, starts = np.unique(word, return_index=True)
+            gain[some] += np.add.reduceat(_xlogx(cell + m[:, None]) - _xlogx(cell), starts, axis=0)
+    for margin, weight in ((n.sum(axis=1), right.sum(axis=1) + own), (n.sum(axis=0), left.sum(axis=1) + own)):
+        rest = np.maximum(margin[first:] - here * weight[:, None], 0)
+        gain -= _xlogx(rest + weight[:, None]) - _xlogx(rest)
+    near, far = left[:, first:], right[:, first:]
+    both = np.flatnonzero((own > 0) | ((near > 0) & (far > 0)).any(axis=1))
+    if len(both):
+        near, far, mine = near[both], far[both], own[both, None]
+        corner = np.maximum(n[to, to] - here[both] * (near + far + mine), 0)
+        gain[both] += _xlogx(corner + near + far + mine) - _xlogx(corner + far) - _xlogx(corner + near) + _xlogx(corner)
+    return gain
+
+
+def _rare_moved(bigrams: np.ndarray, first: int):
+    """The rarer words of one shard move among the open classes, some at once, in a copy of the class bigrams. Gives ``hash, class``, and the
+    bigrams of these words with frequent ones as ``code, n``."""
+    k = len(bigrams)
+
+    def moved(frame: pd.DataFrame) -> pd.DataFrame:
+        n, cells = bigrams.copy(), np.zeros((k, k), np.int64)
+        hashes, sample, at = np.unique(frame["hash"].to_numpy(), return_index=True, return_inverse=True)
+        was, now = frame["was"].to_numpy()[sample].astype(np.int64) + first, np.zeros(len(hashes), np.int64)
+        own = np.bincount(at[frame["after"].to_numpy() < 0], minlength=len(hashes)).astype(np.float64)
+        sides = []
+        for side in ("before", "after"):
+            c = frame[side].to_numpy().astype(np.int64)
+            code, m = np.unique(at[c >= 0] * k + c[c >= 0], return_counts=True)
+            sides.append((code // k, code % k, m.astype(np.float64)))
+        at_once = min(_AT_ONCE, 1 + len(hashes) // 64)
+        for low in range(0, len(hashes), at_once):
+            high = min(low + at_once, len(hashes))
+            old, mine, part = was[low:high], own[low:high], []
+            for word, c, m in sides:
+                here = slice(*np.searchsorted(word, [low, high]))
+                part.append((word[here] - low, c[here], m[here]))
+            gain = rare_gains(n, old, mine, *part, first)
+            to, rows = np.argmax(gain, axis=1), np.arange(high - low)
+            to = np.where(gain[rows, to] > gain[rows, old - first] + 1e-9, to + first, old)
+            now[low:high] = to
+            (bw, bc, bm), (aw, ac, am) = part
+            for sign, where in ((-1, old), (1, to)):
+                np.add.at(n, (where[aw], ac), sign * am)
+                np.add.at(n, (bc, where[bw]), sign * bm)
+                np.add.at(n, (where, where), sign * mine)
+            np.maximum(n, 0, out=n)  # neighbours may have moved meanwhile
+            np.add.at(cells, (to[aw[ac < first]], ac[ac < first]), am[ac < first].astype(np.int64))
+            np.add.at(cells, (bc[bc < first], to[bw[bc < first]]), bm[bc < first].astype(np.int64))
+        code = np.flatnonzero(cells)
+        words = pd.DataFrame({"hash": hashes, "class": (now - first).astype(np.int32), "code": np.int32(-1), "n": np.int64(0)})
+        sums = pd.DataFrame({"hash": np.int64(0), "class": np.int32(-1), "code": code.astype(np.int32), "n": cells.ravel()[code]})
+        return pd.concat([words, sums])
+
+    return moved
+
+
+def rare_exchange(texts: DataFrame, words: list[bytes], of: np.ndarray, n: np.ndarray, classes: int, places: int) -> tuple[DataFrame, np.ndarray] | None:
+    """Open classes of all rarer words by exchange (``hash, class``, landed) and the class bigrams with them; None if they are no better than
+    ``n``, those with classes by last bytes. ``places``: how many tokens are rarer words."""
+    first, k = classes + 1, len(n)
+    around = rare_places(texts, words, of)
+    shard = F.pmod("hash", F.lit(1 + places // _SHARD_ROWS)).alias("shard")
+    found = stash(around.drop("peer").groupBy(shard).applyInPandas(_rare_moved(n, first), "hash long, class int, code int, n long"))
+    best = n.copy()
+    best[first:] = 0
+    best[:, first:] = 0
+    for r in found.where("code >= 0").groupBy("code").agg(F.sum("n").alias("n")).collect():
+        best[r.code // k, r.code % k] += r.n
+    moved = found.where("code < 0").select("hash", "class")
+    a, b = (moved.select(F.col("hash").alias(key), F.col("class").alias(name)) for key, name in (("hash", "a"), ("peer", "b")))
+    neighbours = around.where("peer is not null").select("hash", "peer").join(a, "hash").join(b, "peer")
+    for r in neighbours.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).collect():
+        best[first + r.a, first + r.b] += r.n
+    return (moved, best) if objective(best) > objective(n) else None
+
+
 @dataclass
 class Model:
     tokens: int
@@ -260,8 +398,11 @@ class Model:
     end: int
 
 
-def train(texts: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[Model, DataFrame] | None:
-    """The model, and the counts of all words (landed); None without training texts."""
+def train(texts: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS, rare: bool = False) -> tuple[Model, DataFrame] | None:
+    """The model, and the counts of all words (landed); None without training texts. With ``rare`` rarer words take part in the exchange.
+
+    Counts: ``word`` (only of words in the model), ``hash``, ``n``, ``class`` (the open class, of rarer words).
+    """
     counts = stash(word_counts(texts))
     total, kinds = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     if not total:
@@ -289,36 +430,45 @@ def train(texts: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> tup
     n = np.zeros((k, k))
     for r in pairs.mapInPandas(by_class, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
         n[r.a, r.b] = r.n
+    counts, places = _with_open_classes(counts, words, SENT * total), total - sum(r.n for r in often)
+    better = rare_exchange(texts, words, of, n, classes, places) if rare and places else None
+    if better:
+        moved, n = better
+        counts = counts.withColumnRenamed("class", "was").join(moved, "hash", "left").select(
+            "word", "hash", "n", F.when(F.col("was").isNotNull(), F.coalesce("class", "was")).alias("class"))
+    counts = stash(counts)
     return _model(counts, total, kinds, words, of, n, classes), counts
 
 
-def _model(counts: DataFrame, total: int, kinds: int, words: list[bytes], of: np.ndarray, n: np.ndarray, classes: int) -> Model:
-    clustered = dict(zip(words, of))
+def _with_open_classes(counts: DataFrame, words: list[bytes], sent: float) -> DataFrame:
+    """Counts with the ``hash`` of each word and, of those not in ``words``, the open ``class`` by last bytes; words below ``sent`` are left out."""
     names = counts.sparkSession.sparkContext.broadcast(frozenset(words))
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums, sizes = np.zeros(OPEN, np.int64), np.zeros(OPEN, np.int64)
-            for word, c in zip(batch.column("word"), batch.column("n").to_pylist()):
-                word = word.as_py()
-                if word not in names.value:
-                    sums[open_class(word)] += c
-                    sizes[open_class(word)] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(OPEN, dtype=np.int32)), pa.array(sums), pa.array(sizes)], ["c", "n", "kinds"])
-
-    totals = (counts.mapInArrow(lean(rare), "c int, n long, kinds long").groupBy("c")
-              .agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).collect())
+            own, n = batch.column("word").to_pylist(), batch.column("n")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([w if c >= sent or w == END else None for w, c in zip(own, n.to_pylist())], pa.binary()),
+                 pa.array(list(map(hashed, own)), pa.int64()), n,
+                 pa.array([None if w in names.value else open_class(w) for w in own], pa.int32())], ["word", "hash", "n", "class"])
+
+    return counts.select("word", "n").mapInArrow(lean(classed), "word binary, hash long, n long, class int")
+
+
+def _model(counts: DataFrame, total: int, kinds: int, words: list[bytes], of: np.ndarray, n: np.ndarray, classes: int) -> Model:
+    clustered = dict(zip(words, of))
+    totals = counts.where("class is not null").groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect()
     open_n, open_kinds = np.zeros(OPEN), np.zeros(OPEN)
     for r in totals:
-        open_n[r.c], open_kinds[r.c] = r.n, r.kinds
+        open_n[r["class"]], open_kinds[r["class"]] = r.n, r.kinds
     first = classes + 1
     # an open class without words still has room for an unseen one
     open_total = np.where(open_n > 0, open_n, 1.0)
     unseen = np.where(open_n > 0, DISCOUNT * open_kinds / open_total, 1.0)
-    sent = counts.where((F.col("n") >= SENT * total) | (F.col("word") == END)).collect()
+    sent = counts.where("word is not null").collect()
     symbols = Symbols({bytes(r.word): i for i, r in enumerate(sent)})
     count = np.array([r.n for r in sent], np.float64)
-    word_class = np.array([clustered.get(bytes(r.word), first + open_class(bytes(r.word))) for r in sent])
+    word_class = np.array([clustered[bytes(r.word)] if r["class"] is None else first + r["class"] for r in sent])
     closed_total = np.bincount(word_class, count, first + OPEN)
     emission = np.where(word_class < first, count / closed_total[word_class],
                         (count - DISCOUNT) / open_total[np.maximum(word_class - first, 0)])
@@ -337,7 +487,7 @@ def score(rows: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     kept = [c for c in rows.columns if c != "text"]
     sent = rows.sparkSession.sparkContext.broadcast(model)
     more = {"key": "long", "n_tokens": "long", "n_known": "long", "base": "double", "own": "double", "rare": "array<long>",
-            "times": "array<int>", "kind": "array<int>"}
+            "times": "array<int>", "kind": "array<int>", "path": "array<int>"}
     schema = rows.select(*kept, *[F.lit(None).cast(t).alias(c) for c, t in more.items()]).schema
     bottom = float(np.log10(model.tokens + model.kinds + 1))
 
@@ -351,41 +501,58 @@ def score(rows: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 ids = np.fromiter(map(m.symbols.__getitem__, words), np.int64, len(words))
                 known = ids >= 0
                 seen = ids[known]
-                kinds = np.where(known, m.word_class[np.maximum(ids, 0)], m.open_first - 1 - ids)
-                path = np.concatenate([[m.word_class[m.end]], kinds])
-                own = m.transition[path[:-1], path[1:]].sum() + m.emission[seen].sum()
-                times = Counter(words[i] for i in np.flatnonzero(~known).tolist())
+                rare = np.flatnonzero(~known).tolist()
+                times = Counter(words[i] for i in rare)
+                nth_rare = {w: -1 - i for i, w in enumerate(times)}
+                # classes, or -1 - the place in the list of rare words
+                path = m.word_class[np.maximum(ids, 0)].astype(np.int32)
+                path[rare] = [nth_rare[words[i]] for i in rare]
                 out["key"].append(nth)
                 out["n_tokens"].append(len(words))
                 out["n_known"].append(len(seen))
                 out["base"].append(float(base[seen].sum()) - bottom * (len(words) - len(seen)))
-                out["own"].append(float(own))
+                out["own"].append(float(m.emission[seen].sum()))
+                out["path"].append(path)
                 out["rare"].append([hashed(w) for w in times])
                 out["times"].append(list(times.values()))
                 out["kind"].append([open_class(w) for w in times])
                 nth += 1
             types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()),
-                     pa.list_(pa.int32())]
+                     pa.list_(pa.int32()), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *[pa.array(out[c], t) for c, t in zip(more, types)]],
                                              [*kept, *more])
 
     landed = stash(rows.select(*kept, "text").mapInArrow(lean(scored), schema))
-    few = counts.where((F.col("n") < SENT * model.tokens) & (F.col("word") != END))
-    few = few.groupBy(F.xxhash64("word").alias("hash")).agg(F.sum("n").alias("n"))
-    each = landed.select("key", F.explode(F.arrays_zip("rare", "times", "kind")).alias("w"))
-    each = each.select("key", F.col("w.rare").alias("hash"), F.col("w.times").alias("times"), F.col("w.kind").alias("kind"))
+    few = counts.where("word is null").groupBy("hash").agg(F.sum("n").alias("n"), F.min("class").alias("class"))
+    each = landed.select("key", F.posexplode(F.arrays_zip("rare", "times", "kind")).alias("place", "w"))
+    each = each.select("key", "place", F.col("w.rare").alias("hash"), F.col("w.times").alias("times"), F.col("w.kind").alias("kind"))
     totals, unseen = (F.array(*[F.lit(float(x)) for x in values]) for values in (np.log10(model.open_total), model.open_unseen))
-    seen = F.col("n").isNotNull()
-    emitted = F.when(seen, F.log10(F.col("n") - DISCOUNT) - F.get(totals, F.col("kind"))).otherwise(F.get(unseen, F.col("kind")))
+    seen, kind = F.col("n").isNotNull(), F.coalesce("class", "kind")
+    emitted = F.when(seen, F.log10(F.col("n") - DISCOUNT) - F.get(totals, kind)).otherwise(F.get(unseen, kind))
     sums = each.join(few, "hash", "left").groupBy("key").agg(
         F.sum(F.when(seen, F.col("times")).otherwise(0)).alias("more_known"),
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("more_base"),
-        F.sum(F.col("times") * emitted).alias("more_own"))
+        F.sum(F.col("times") * emitted).alias("more_own"),
+        F.array_sort(F.collect_list(F.struct("place", kind.alias("kind")))).getField("kind").alias("classes"))
     zero = F.lit(0.0)
-    return landed.drop("rare", "times", "kind").join(sums, "key", "left").select(
+    joined = landed.drop("rare", "times", "kind").join(sums, "key", "left").select(
         *kept, "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"),
-        (F.col("own") + F.coalesce("more_own", zero)).alias("score"))
+        (F.col("own") + F.coalesce("more_own", zero)).alias("score"), "path", "classes")
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for batch in batches:
+            score = batch.column("score").to_numpy(zero_copy_only=False).copy()
+            for i, (path, classes) in enumerate(zip(batch.column("path"), batch.column("classes"))):
+                path = path.values.to_numpy(zero_copy_only=False)
+                if classes.is_valid:
+                    own = classes.values.to_numpy(zero_copy_only=False) + m.open_first
+                    path = np.where(path < 0, own[np.maximum(-1 - path, 0)], path)
+                score[i] += m.transition[np.concatenate([[m.word_class[m.end]], path[:-1]]), path].sum()
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in batch.schema.names[:-3]], pa.array(score)], batch.schema.names[:-2])
+
+    return joined.mapInArrow(lean(walked), joined.drop("path", "classes").schema)
 
 
 def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -399,7 +566,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -
     part = fold(doc_id, FOLDS)
     rows = docs.select(col(doc_id).alias("doc_id"), held_out(doc_id, FOLDS, HELD_OUT).alias("held_out"),
                        col(text).cast("string").alias("text"))
-    found = train(docs.where(part != HELD_OUT).select(col(text).cast("string").alias("text")), **how)
+    found = train(docs.where(part != HELD_OUT).select(col(text).cast("string").alias("text")), **{"rare": True, **how})
     if found is None:
         counted = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")) + 1
         return rows.select("doc_id", "held_out", counted.cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_known"),

@@ -131,3 +131,94 @@ def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string")
     assert sorted((r.n_tokens, r.train_tokens, r.score) for r in C.scores(docs).collect()) == [(1, 0, None), (3, 0, None)]
     assert C.scores(docs.where("false")).count() == 0
+
+
+def test_gains_of_rare_words_are_differences_of_the_objective():
+    rng = np.random.default_rng(6)
+    k, first, size = 9, 4, 12
+    n = rng.integers(60, 120, (k, k)).astype(float)
+    was, own = rng.integers(first, k, size), rng.integers(0, 3, size).astype(float)
+    sides = rng.integers(0, 3, (2, size, k)).astype(float)
+    entries = [(*np.nonzero(side), side[np.nonzero(side)]) for side in sides]
+    gain = C.rare_gains(n, was, own, *entries, first)
+    for w in range(size):
+        left, right = sides[0][w], sides[1][w]
+        without = n.copy()
+        without[was[w]] -= right
+        without[:, was[w]] -= left
+        without[was[w], was[w]] -= own[w]
+        values = []
+        for b in range(first, k):
+            m = without.copy()
+            m[b] += right
+            m[:, b] += left
+            m[b, b] += own[w]
+            values.append(C.objective(m))
+        assert np.allclose(np.diff(gain[w]), np.diff(values))
+
+
+def two_kinds():
+    """Rare words of two kinds, told apart by the words around them and not by their last bytes."""
+    rng = random.Random(3)
+    rows = [f"the n{i:03d} runs" if rng.random() < 0.5 else f"they v{i:03d} home" for i in (rng.randint(0, 149) for _ in range(800))]
+    return [*rows, "the n001 n001 n001 n002 runs", None, "v003 n004 n004", ""]
+
+
+def test_rare_words_take_part_in_the_exchange(spark, monkeypatch):
+    monkeypatch.setattr(C, "CLUSTERED", 2e-2)
+    docs = spark.createDataFrame(list(enumerate(two_kinds())), "doc_id long, text string")
+    fit, classes = [], []
+    for rare in (False, True):
+        model, counts = C.train(docs.select("text"), classes=4, rounds=2, rare=rare)
+        rows = counts.where("class is not null").collect()
+        assert len(rows) > 200 and model.open_total[model.open_unseen < 0].sum() == sum(r.n for r in rows)
+        assert np.allclose((10 ** model.transition).sum(axis=1), 1)
+        classes.append({bytes(r.word): r["class"] for r in rows})
+        fit.append(sum(r.score for r in C.score(docs, model, counts).collect()))
+    assert classes[0].keys() == classes[1].keys() and all(c == C.open_class(w) for w, c in classes[0].items())
+    assert classes[0] != classes[1] and fit[1] > fit[0]
+    kinds = [{c for w, c in classes[1].items() if w.startswith(kind)} for kind in (b"n", b"v")]
+    assert len(kinds[0] & kinds[1]) < min(map(len, kinds))
+    # the query's scores are those of that exchange
+    monkeypatch.setattr(C, "fold", lambda *_: F.lit(0))
+    assert sum(r.score for r in C.scores(docs, classes=4, rounds=2).collect()) == pytest.approx(fit[1])
+
+
+@pytest.mark.parametrize("sent", [C.SENT, 1e-2])
+def test_bigrams_after_the_moves_of_rare_words(spark, monkeypatch, sent):
+    monkeypatch.setattr(C, "CLUSTERED", 2e-2)
+    monkeypatch.setattr(C, "SENT", sent)
+    made, calls = C.rare_exchange, []
+
+    def kept(*given):
+        calls.append((given, made(*given)))
+        return calls[-1][1]
+
+    monkeypatch.setattr(C, "rare_exchange", kept)
+    rows = two_kinds()
+    texts = spark.createDataFrame([(t,) for t in rows], "text string")
+    model, counts = C.train(texts, classes=3, rounds=1, rare=True)
+    (_, words, of, before, classes, places), (moved, after) = calls[0]
+    kinds = {r["hash"]: r["class"] for r in moved.collect()}
+    core = {w.decode(): int(of[i]) for i, w in enumerate(words)}
+
+    def path_of(t):
+        return [core[w] if w in core else classes + 1 + kinds[C.hashed(w.encode())] for w in ["", *words_of(t)]]
+
+    expected, rare = np.zeros_like(before), 0
+    for t in rows:
+        path = path_of(t)
+        rare += sum(c > classes for c in path)
+        for a, b in zip(path, path[1:]):
+            expected[a, b] += 1
+    assert places == rare > 0 and np.array_equal(after, expected) and C.objective(after) > C.objective(before)
+    # scores walk through these classes
+    n, size, sizes = Counter(w for t in rows for w in words_of(t)), Counter(), Counter()
+    for w, c in n.items():
+        size[path_of(w)[1]] += c
+        sizes[path_of(w)[1]] += 1
+    found = {r.doc_id: r.score for r in C.score(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), model, counts).collect()}
+    for i, t in enumerate(rows):
+        path = path_of(t)
+        emitted = sum(math.log10((n[w] - (C.DISCOUNT if c > classes else 0)) / size[c]) for w, c in zip(words_of(t), path[1:]))
+        assert found[i] == pytest.approx(sum(model.transition[a, b] for a, b in zip(path, path[1:])) + emitted)

@@ -14,8 +14,8 @@ Class transitions are interpolated with class frequencies, emissions are discoun
 open class. The end token is a class of its own and stands before the first word.
 
 Texts are scored where they are with the counts of words that make up at least ``SENT`` of all tokens (at most 1 / SENT
-words, a bound by their definition). Rarer words are joined with their counts, as numbers: 64-bit hashes of words and the
-number of the document. At 10^9 rare words about one pair in a few dozen corpora shares a hash, and then shares its count.
+words, a bound by their definition). Rarer words are joined with their counts, as numbers in arrays: 64-bit hashes of words, dealt
+by hash, and the number of the block of documents. At 10^9 rare words about one pair in a few dozen corpora shares a hash, and then shares its count.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -51,16 +52,12 @@ _PAIRS = 4_000_000
 _MEMO = 300_000
 _SHARD_ROWS = 400_000
 """Occurrences of rarer words in one shard, on average."""
+_PIECE = 8_000_000
+"""Bytes of text whose tokens are held at once; a longer text is held whole."""
 _AT_ONCE = 512
 """Rarer words that are compared with the same class counts, at most; in small shards a 64th of the words, lest all run to one class."""
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    found = text.lower().split() if text else []
-    found.append(END)
-    return found
-
-
 def hashed(word: bytes) -> int:
     value = xxhash.xxh64_intdigest(word, 42)
     return value - (1 << 64) if value >> 63 else value
@@ -70,9 +67,57 @@ def open_class(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % OPEN
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[bytes | None]:
-    for value in batch.column("text").cast(pa.binary()):
-        yield value.as_py()
+@dataclass
+class Tokens:
+    """The tokens of some texts, one text after the other: each distinct token once, and their places."""
+
+    words: list[bytes]
+    at: np.ndarray
+    """The place in ``words`` of each token; every text ends with the end token, which so stands before the next one too."""
+    sizes: np.ndarray
+    """Tokens of each text."""
+
+    @property
+    def text(self) -> np.ndarray:
+        """The number of the text of each token."""
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    def of(self, numbers: dict[bytes, int]) -> np.ndarray:
+        """The number of each distinct token."""
+        return np.fromiter(map(numbers.__getitem__, self.words), np.int64, len(self.words))
+
+
+def tokens(texts: pa.Array) -> Tokens:
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = split.flatten().dictionary_encode()
+    words, at, sizes = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy(), split.value_lengths().to_numpy()
+    if END in words:  # what stands before leading and after trailing white space
+        kept = at != words.index(END)
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[kept], minlength=len(sizes))
+        at = at[kept]
+    else:
+        words.append(END)
+    whole = np.full(len(at) + len(sizes), words.index(END), np.int64)
+    inner = np.ones(len(whole), bool)
+    inner[np.cumsum(sizes + 1) - 1] = False
+    whole[inner] = at
+    return Tokens(words, whole, sizes + 1)
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` in pieces of about as much text as is held at once."""
+    if not batch.num_rows:
+        return
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    piece = (np.cumsum(sizes) - sizes) // _PIECE
+    starts = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]])).tolist()
+    for low, high in zip(starts, [*starts[1:], batch.num_rows]):
+        yield batch.slice(low, high - low)
+
+
+def _tokens(batch: pa.RecordBatch) -> Iterator[Tokens]:
+    for part in _parts(batch):
+        yield tokens(part.column("text"))
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -86,8 +131,9 @@ def word_counts(texts: DataFrame) -> DataFrame:
                                               ["word", "n"])
 
         for batch in batches:
-            for text in _texts(batch):
-                held.update(tokens(text))
+            for own in _tokens(batch):
+                for word, n in zip(own.words, np.bincount(own.at, minlength=len(own.words)).tolist()):
+                    held[word] += n
                 if len(held) > _HELD:
                     yield given()
                     held.clear()
@@ -131,12 +177,11 @@ def class_bigrams(texts: DataFrame, words: list[bytes]) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64))], ["code", "n"])
 
         for batch in batches:
-            for text in _texts(batch):
-                own = tokens(text)
-                ids = np.fromiter(map(numbers.__getitem__, own), np.int64, len(own))
-                ids = np.where(ids < 0, len(words) - 1 - ids, ids)
+            for own in _tokens(batch):
+                ids = own.of(numbers)
+                ids = np.where(ids < 0, len(words) - 1 - ids, ids)[own.at]
                 held.append(np.concatenate([[end], ids[:-1]]) * size + ids)
-                waiting += len(own)
+                waiting += len(ids)
                 if waiting > _PAIRS:
                     yield added()
                     held, waiting = [], 0
@@ -247,41 +292,50 @@ def exchange(pairs: DataFrame, words: int, start: np.ndarray, classes: int = CLA
     return best[1]
 
 
-def rare_places(texts: DataFrame, words: list[bytes], of: np.ndarray) -> DataFrame:
-    """Every place of a word that is none of ``words``: its ``hash``, its open class ``was``, the classes ``before`` and ``after`` it (-1: the
-    word itself), and the hash of the word after it if that is a rarer one too (``peer``)."""
+def rare_places(texts: DataFrame, words: list[bytes], of: np.ndarray, shards: int) -> DataFrame:
+    """Every place of a word that is none of ``words``, dealt by the hash of the word into ``shards``, in arrays. Of each such word: its ``hash``,
+    its open class ``was`` and how many ``times`` it follows; of each of its places, word by word: the classes ``before`` and ``after`` it (-1:
+    the word itself), and in ``peers``, for places before another such word, the hash of that."""
     sent = texts.sparkSession.sparkContext.broadcast((Symbols({w: i for i, w in enumerate(words)}), of, len(words), words.index(END)))
-    names = ["hash", "was", "before", "after", "peer"]
+    types = {"hash": pa.int64(), "was": pa.int16(), "times": pa.int32(), "before": pa.int16(), "after": pa.int16(), "peers": pa.int64()}
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, classes, size, end = sent.value
         for batch in batches:
-            out = {c: [np.zeros(0, np.int64)] for c in [*names, "alone"]}
-            for text in _texts(batch):
-                own = tokens(text)
-                ids = np.fromiter(map(numbers.__getitem__, own), np.int64, len(own))
-                rare = np.flatnonzero(ids < 0)
-                if not len(rare):
-                    continue
-                ids = np.where(ids < 0, size - 1 - ids, ids)
-                path = classes[np.concatenate([[end], ids])].astype(np.int64)
-                hashes = np.zeros(len(own) + 1, np.int64)
-                hashes[rare + 1] = [hashed(own[i]) for i in rare.tolist()]
-                is_rare = np.concatenate([[False], ids >= size])
+            for own in _tokens(batch):
+                ids = own.of(numbers)
+                rare = ids < 0
+                hashes = np.zeros(len(ids), np.int64)
+                hashes[rare] = [hashed(own.words[i]) for i in np.flatnonzero(rare).tolist()]
+                ids = np.where(rare, size - 1 - ids, ids)
+                kinds = np.flatnonzero(rare)
+                shard = np.mod(hashes[kinds], shards)
+                kinds, shard = kinds[np.argsort(shard, kind="stable")], np.sort(shard)
+                rank = np.zeros(len(ids), np.int64)
+                rank[kinds] = np.arange(len(kinds))
                 # the end token is last, so every rare word has a next one
-                me, last, following = hashes[rare + 1], hashes[rare], hashes[rare + 2]
-                out["hash"].append(me)
-                out["was"].append(ids[rare] - size)
-                out["before"].append(np.where(is_rare[rare] & (last == me), -1, path[rare]))
-                out["after"].append(np.where(is_rare[rare + 2] & (following == me), -1, path[rare + 2]))
-                out["peer"].append(following)
-                out["alone"].append((~is_rare[rare + 2]).astype(np.int64))
-            whole = {c: np.concatenate(v) for c, v in out.items()}
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(whole["hash"]), *[pa.array(whole[c].astype(np.int16)) for c in names[1:4]],
-                 pa.array(whole["peer"], mask=whole["alone"] == 1)], names)
-
-    return texts.select("text").mapInArrow(lean(found), "hash long, was short, before short, after short, peer long")
+                here = np.flatnonzero(rare[own.at])
+                here = here[np.argsort(rank[own.at[here]], kind="stable")]
+                times = np.bincount(rank[own.at[here]], minlength=len(kinds))
+                path = np.concatenate([[end], ids[own.at]])
+                around = np.concatenate([[0], hashes[own.at]])
+                me, last, following = around[here + 1], around[here], around[here + 2]
+                before, after = (classes[path[here + i]].astype(np.int64) for i in (0, 2))
+                before[(path[here] >= size) & (last == me)] = -1
+                after[(path[here + 2] >= size) & (following == me)] = -1
+                peer = (path[here + 2] >= size) & (following != me)
+                dealt, starts = np.unique(shard, return_index=True)
+                ends = np.append(starts, len(shard))
+                places = np.concatenate([[0], np.cumsum(times)])[ends]
+                values = {"hash": hashes[kinds], "was": ids[kinds] - size, "times": times, "before": before, "after": after, "peers": following[peer]}
+                offsets = {**dict.fromkeys(("hash", "was", "times"), ends), **dict.fromkeys(("before", "after"), places),
+                           "peers": np.concatenate([[0], np.cumsum(peer)])[places]}
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(dealt, pa.int64()), *[pa.ListArray.from_arrays(pa.array(offsets[c], pa.int32()), pa.array(values[c], t))
+                                                    for c, t in types.items()]], ["shard", *types])
+
+    return texts.select("text").mapInArrow(
+        lean(found), "shard long, hash array<long>, was array<short>, times array<int>, before array<short>, after array<short>, peers array<long>")
 
 
 def rare_gains(n: np.ndarray, was: np.ndarray, own: np.ndarray, before: tuple, after: tuple, first: int) -> np.ndarray:
@@ -317,19 +371,26 @@ def rare_gains(n: np.ndarray, was: np.ndarray, own: np.ndarray, before: tuple, a
     return gain
 
 
-def _rare_moved(bigrams: np.ndarray, first: int):
-    """The rarer words of one shard move among the open classes, some at once, in a copy of the class bigrams. Gives ``hash, class``, and the
-    bigrams of these words with frequent ones as ``code, n``."""
+def _joined(arrays: pd.Series, kind: type = np.int64) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *arrays]).astype(kind, copy=False)
+
+
+def _rare_moved(bigrams: np.ndarray, first: int, shards: int):
+    """The rarer words of one shard move among the open classes, some at once, in a copy of the class bigrams. Gives rows of arrays: the words
+    with their classes (``kind`` 0, ``shard`` their own), the hashes of rarer words after them with the class of the word before (1, ``shard``
+    that of the former), and the bigrams of these words with frequent ones, and with themselves, as ``code, n`` (2)."""
     k = len(bigrams)
 
     def moved(frame: pd.DataFrame) -> pd.DataFrame:
+        whole = {c: _joined(frame[c]) for c in ("hash", "was", "times", "before", "after", "peers")}
         n, cells = bigrams.copy(), np.zeros((k, k), np.int64)
-        hashes, sample, at = np.unique(frame["hash"].to_numpy(), return_index=True, return_inverse=True)
-        was, now = frame["was"].to_numpy()[sample].astype(np.int64) + first, np.zeros(len(hashes), np.int64)
-        own = np.bincount(at[frame["after"].to_numpy() < 0], minlength=len(hashes)).astype(np.float64)
+        hashes, sample, at = np.unique(whole["hash"], return_index=True, return_inverse=True)
+        at = np.repeat(at, whole["times"])
+        was, now = whole["was"][sample] + first, np.zeros(len(hashes), np.int64)
+        own = np.bincount(at[whole["after"] < 0], minlength=len(hashes)).astype(np.float64)
         sides = []
         for side in ("before", "after"):
-            c = frame[side].to_numpy().astype(np.int64)
+            c = whole[side]
             code, m = np.unique(at[c >= 0] * k + c[c >= 0], return_counts=True)
             sides.append((code // k, code % k, m.astype(np.float64)))
         at_once = min(_AT_ONCE, 1 + len(hashes) // 64)
@@ -351,31 +412,45 @@ def _rare_moved(bigrams: np.ndarray, first: int):
             np.maximum(n, 0, out=n)  # neighbours may have moved meanwhile
             np.add.at(cells, (to[aw[ac < first]], ac[ac < first]), am[ac < first].astype(np.int64))
             np.add.at(cells, (bc[bc < first], to[bw[bc < first]]), bm[bc < first].astype(np.int64))
+        np.add.at(cells, (now, now), own.astype(np.int64))
         code = np.flatnonzero(cells)
-        words = pd.DataFrame({"hash": hashes, "class": (now - first).astype(np.int32), "code": np.int32(-1), "n": np.int64(0)})
-        sums = pd.DataFrame({"hash": np.int64(0), "class": np.int32(-1), "code": code.astype(np.int32), "n": cells.ravel()[code]})
-        return pd.concat([words, sums])
+        rows = [(0, int(frame["shard"].iloc[0]), hashes, now - first, [], []), (2, -1, [], [], code, cells.ravel()[code])]
+        # a word after itself is counted above
+        classes, to = (now - first)[at[whole["after"] >= first]], np.mod(whole["peers"], shards)
+        order = np.argsort(to, kind="stable")
+        dealt, starts = np.unique(to[order], return_index=True)
+        for shard, part in zip(dealt.tolist(), np.split(order, starts[1:])):
+            rows.append((1, shard, whole["peers"][part], classes[part], [], []))
+        return pd.DataFrame(rows, columns=["kind", "shard", "hash", "class", "code", "n"])
 
     return moved
 
 
+def _followed(frame: pd.DataFrame) -> pd.DataFrame:
+    """Bigrams of open classes as ``code, n``, from the words of one shard with their classes and the rarer words that stand before them."""
+    (hashes, classes), (peers, before) = ((_joined(rows["hash"]), _joined(rows["class"])) for rows in (frame[frame["kind"] == i] for i in (0, 1)))
+    order = np.argsort(hashes)
+    after = classes[order[np.searchsorted(hashes, peers, sorter=order)]]
+    code, n = np.unique(before * OPEN + after, return_counts=True)
+    return pd.DataFrame({"code": code.astype(np.int32), "n": n.astype(np.int64)})
+
+
 def rare_exchange(texts: DataFrame, words: list[bytes], of: np.ndarray, n: np.ndarray, classes: int, places: int) -> tuple[DataFrame, np.ndarray] | None:
     """Open classes of all rarer words by exchange (``hash, class``, landed) and the class bigrams with them; None if they are no better than
     ``n``, those with classes by last bytes. ``places``: how many tokens are rarer words."""
-    first, k = classes + 1, len(n)
-    around = rare_places(texts, words, of)
-    shard = F.pmod("hash", F.lit(1 + places // _SHARD_ROWS)).alias("shard")
-    found = stash(around.drop("peer").groupBy(shard).applyInPandas(_rare_moved(n, first), "hash long, class int, code int, n long"))
+    first, k, shards = classes + 1, len(n), 1 + places // _SHARD_ROWS
+    found = stash(rare_places(texts, words, of, shards).groupBy("shard").applyInPandas(
+        _rare_moved(n, first, shards), "kind int, shard long, hash array<long>, class array<int>, code array<int>, n array<long>"))
     best = n.copy()
     best[first:] = 0
     best[:, first:] = 0
-    for r in found.where("code >= 0").groupBy("code").agg(F.sum("n").alias("n")).collect():
+    sums = found.where("kind = 2").select(F.inline(F.arrays_zip("code", "n")))
+    for r in sums.groupBy("code").agg(F.sum("n").alias("n")).collect():
         best[r.code // k, r.code % k] += r.n
-    moved = found.where("code < 0").select("hash", "class")
-    a, b = (moved.select(F.col("hash").alias(key), F.col("class").alias(name)) for key, name in (("hash", "a"), ("peer", "b")))
-    neighbours = around.where("peer is not null").select("hash", "peer").join(a, "hash").join(b, "peer")
-    for r in neighbours.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).collect():
-        best[first + r.a, first + r.b] += r.n
+    neighbours = found.where("kind < 2").select("kind", "shard", "hash", "class").groupBy("shard").applyInPandas(_followed, "code int, n long")
+    for r in neighbours.groupBy("code").agg(F.sum("n").alias("n")).collect():
+        best[first + r.code // OPEN, first + r.code % OPEN] += r.n
+    moved = found.where("kind = 0").select(F.inline(F.arrays_zip("hash", "class")))
     return (moved, best) if objective(best) > objective(n) else None
 
 
@@ -482,12 +557,67 @@ def _model(counts: DataFrame, total: int, kinds: int, words: list[bytes], of: np
                  np.log10(unseen), symbols[END])
 
 
+_DEALT = "shard long, key long, hash array<long>, at array<int>, n array<long>, class array<int>"
+
+
+def _dealt(shards: int, key: int, **columns: np.ndarray) -> pa.RecordBatch:
+    """Arrays of equal length, ``hash`` among them, dealt by the hash: a row of arrays (see ``_DEALT``) for each shard."""
+    shard = np.mod(columns["hash"], shards)
+    order = np.argsort(shard, kind="stable")
+    found, starts = np.unique(shard[order], return_index=True)
+    ends = pa.array(np.append(starts, len(shard)), pa.int32())
+    none = pa.array(np.zeros(len(found) + 1), pa.int32())
+    types = {"hash": pa.int64(), "at": pa.int32(), "n": pa.int64(), "class": pa.int32()}
+    lists = [pa.ListArray.from_arrays(ends, pa.array(columns[c][order], t)) if c in columns else pa.ListArray.from_arrays(none, pa.array([], t))
+             for c, t in types.items()]
+    return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(np.full(len(found), key), pa.int64()), *lists], ["shard", "key", *types])
+
+
+def _asked(shards: int):
+    """The rare words of each block of texts, by hash and place in its list."""
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, words in zip(batch.column("key").to_pylist(), batch.column("words")):
+                hashes = words.values.to_numpy()
+                yield _dealt(shards, key, hash=hashes, at=np.arange(len(hashes)))
+
+    return asked
+
+
+def _counted(shards: int):
+    """The counts of rare words with their classes (-1: none), under the key -1."""
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            classes = pc.fill_null(batch.column("class"), -1)
+            yield _dealt(shards, -1, hash=batch.column("hash").to_numpy(), n=batch.column("n").to_numpy(), **{"class": classes.to_numpy()})
+
+    return counted
+
+
+def _answered(frame: pd.DataFrame) -> pd.DataFrame:
+    """The counts and classes of the words of one shard for the blocks that ask for them; words never counted are left out."""
+    known = frame[frame["key"] < 0]
+    hashes, which = np.unique(_joined(known["hash"]), return_inverse=True)
+    n, classes = np.zeros(len(hashes), np.int64), np.full(len(hashes), OPEN)
+    # words that share a hash share the count and the first class
+    np.add.at(n, which, _joined(known["n"]))
+    given = _joined(known["class"])
+    np.minimum.at(classes, which, np.where(given < 0, OPEN, given))
+    classes[classes == OPEN] = -1
+    rows = []
+    for key, asked, at in frame.loc[frame["key"] >= 0, ["key", "hash", "at"]].itertuples(index=False) if len(hashes) else ():
+        place = np.minimum(np.searchsorted(hashes, asked), len(hashes) - 1)
+        found = hashes[place] == asked
+        rows.append((key, at[found], n[place[found]], classes[place[found]]))
+    return pd.DataFrame(rows, columns=["key", "at", "n", "class"])
+
+
 def score(rows: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """``rows`` (narrow columns and ``text``) with ``n_tokens``, ``n_known``, ``base_score`` and ``score`` in place of the text."""
     kept = [c for c in rows.columns if c != "text"]
     sent = rows.sparkSession.sparkContext.broadcast(model)
-    more = {"key": "long", "n_tokens": "long", "n_known": "long", "base": "double", "own": "double", "rare": "array<long>",
-            "times": "array<int>", "kind": "array<int>", "path": "array<int>"}
+    more = {"key": "long", "n_tokens": "long", "n_known": "long", "base": "double", "own": "double", "words": "array<long>",
+            "kinds": "array<int>", "path": "array<int>"}
     schema = rows.select(*kept, *[F.lit(None).cast(t).alias(c) for c, t in more.items()]).schema
     bottom = float(np.log10(model.tokens + model.kinds + 1))
 
@@ -495,64 +625,59 @@ def score(rows: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         m, nth = sent.value, TaskContext.get().partitionId() << 40
         base = np.log10(m.count + 1) - bottom
         for batch in batches:
-            out = {c: [] for c in more}
-            for text in _texts(batch):
-                words = tokens(text)
-                ids = np.fromiter(map(m.symbols.__getitem__, words), np.int64, len(words))
+            for part in _parts(batch):
+                own = tokens(part.column("text"))
+                kinds, texts = own.of(m.symbols), own.text
+                ids, size = kinds[own.at], len(own.sizes)
                 known = ids >= 0
-                seen = ids[known]
-                rare = np.flatnonzero(~known).tolist()
-                times = Counter(words[i] for i in rare)
-                nth_rare = {w: -1 - i for i, w in enumerate(times)}
-                # classes, or -1 - the place in the list of rare words
-                path = m.word_class[np.maximum(ids, 0)].astype(np.int32)
-                path[rare] = [nth_rare[words[i]] for i in rare]
-                out["key"].append(nth)
-                out["n_tokens"].append(len(words))
-                out["n_known"].append(len(seen))
-                out["base"].append(float(base[seen].sum()) - bottom * (len(words) - len(seen)))
-                out["own"].append(float(m.emission[seen].sum()))
-                out["path"].append(path)
-                out["rare"].append([hashed(w) for w in times])
-                out["times"].append(list(times.values()))
-                out["kind"].append([open_class(w) for w in times])
+                n_known = np.bincount(texts[known], minlength=size)
+                rare = np.flatnonzero(kinds < 0)
+                # classes, or -1 - the place in the list of rare words, which the first text of a block has
+                path_of = np.zeros(len(kinds), np.int32)
+                path_of[kinds >= 0] = m.word_class[kinds[kinds >= 0]]
+                path_of[rare] = -1 - np.arange(len(rare))
+                sums = [np.bincount(texts[known], values[ids[known]], size) for values in (base, m.emission)]
+                lists = [pa.array([values, *[None] * (size - 1)], pa.list_(t)) for values, t in (
+                    (np.array([hashed(own.words[i]) for i in rare.tolist()], np.int64), pa.int64()), ((-1 - kinds[rare]).astype(np.int32), pa.int32()))]
+                paths = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(own.sizes)]), pa.int32()), pa.array(path_of[own.at]))
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(c) for c in kept], pa.array(np.full(size, nth)), pa.array(own.sizes, pa.int64()),
+                     pa.array(n_known, pa.int64()), pa.array(sums[0] - bottom * (own.sizes - n_known)), pa.array(sums[1]), *lists, paths],
+                    [*kept, *more])
                 nth += 1
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()),
-                     pa.list_(pa.int32()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *[pa.array(out[c], t) for c, t in zip(more, types)]],
-                                             [*kept, *more])
 
     landed = stash(rows.select(*kept, "text").mapInArrow(lean(scored), schema))
-    few = counts.where("word is null").groupBy("hash").agg(F.sum("n").alias("n"), F.min("class").alias("class"))
-    each = landed.select("key", F.posexplode(F.arrays_zip("rare", "times", "kind")).alias("place", "w"))
-    each = each.select("key", "place", F.col("w.rare").alias("hash"), F.col("w.times").alias("times"), F.col("w.kind").alias("kind"))
-    totals, unseen = (F.array(*[F.lit(float(x)) for x in values]) for values in (np.log10(model.open_total), model.open_unseen))
-    seen, kind = F.col("n").isNotNull(), F.coalesce("class", "kind")
-    emitted = F.when(seen, F.log10(F.col("n") - DISCOUNT) - F.get(totals, kind)).otherwise(F.get(unseen, kind))
-    sums = each.join(few, "hash", "left").groupBy("key").agg(
-        F.sum(F.when(seen, F.col("times")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("more_base"),
-        F.sum(F.col("times") * emitted).alias("more_own"),
-        F.array_sort(F.collect_list(F.struct("place", kind.alias("kind")))).getField("kind").alias("classes"))
-    zero = F.lit(0.0)
-    joined = landed.drop("rare", "times", "kind").join(sums, "key", "left").select(
-        *kept, "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"),
-        (F.col("own") + F.coalesce("more_own", zero)).alias("score"), "path", "classes")
-
-    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    few = counts.where("word is null").select("hash", "n", "class")
+    unknown = landed.agg(F.sum(F.col("n_tokens") - F.col("n_known"))).first()[0] or 0
+    shards = 1 + max(unknown, few.count()) // _SHARD_ROWS
+    asked = landed.where("words is not null").select("key", "words").mapInArrow(_asked(shards), _DEALT)
+    answers = asked.unionByName(few.mapInArrow(lean(_counted(shards), 10_000), _DEALT)).groupBy("shard").applyInPandas(
+        _answered, "key long, at array<int>, n array<long>, class array<int>")
+    out = [*kept, "n_tokens", "n_known", "base_score", "score"]
+    open_total = np.log10(model.open_total)
+
+    def walked(left: pa.Table, right: pa.Table) -> pa.Table:
         m = sent.value
-        for batch in batches:
-            score = batch.column("score").to_numpy(zero_copy_only=False).copy()
-            for i, (path, classes) in enumerate(zip(batch.column("path"), batch.column("classes"))):
-                path = path.values.to_numpy(zero_copy_only=False)
-                if classes.is_valid:
-                    own = classes.values.to_numpy(zero_copy_only=False) + m.open_first
-                    path = np.where(path < 0, own[np.maximum(-1 - path, 0)], path)
-                score[i] += m.transition[np.concatenate([[m.word_class[m.end]], path[:-1]]), path].sum()
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in batch.schema.names[:-3]], pa.array(score)], batch.schema.names[:-2])
-
-    return joined.mapInArrow(lean(walked), joined.drop("path", "classes").schema)
+        kinds, path = (left.column(c).combine_chunks() for c in ("kinds", "path"))
+        sizes, path = pc.list_value_length(path).to_numpy(zero_copy_only=False), path.flatten().to_numpy().astype(np.int64)
+        kinds = kinds.flatten().to_numpy().astype(np.int64)
+        at, n_of, class_of = (right.column(c).combine_chunks().flatten().to_numpy() for c in ("at", "n", "class"))
+        n = np.zeros(len(kinds))
+        n[at] = n_of
+        kinds[at] = np.where(class_of < 0, kinds[at], class_of)
+        emitted = np.where(n > 0, np.log10(np.maximum(n, 1) - DISCOUNT) - open_total[kinds], m.open_unseen[kinds])
+        texts = np.repeat(np.arange(len(sizes)), sizes)
+        rare = np.flatnonzero(path < 0)
+        which, of = -1 - path[rare], texts[rare]
+        known, base, own = (np.bincount(of, values[which], len(sizes)) for values in (n > 0, np.log10(n + 1), emitted))
+        path[rare] = kinds[which] + m.open_first
+        # every path ends with the end token's class, which so stands before the next one too
+        own += np.bincount(texts, m.transition[np.concatenate([[m.word_class[m.end]], path[:-1]]), path], len(sizes))
+        sums = [left.column(c).to_numpy() + more for c, more in (("n_known", known.astype(np.int64)), ("base", base), ("own", own))]
+        return pa.Table.from_arrays([*[left.column(c) for c in (*kept, "n_tokens")], *map(pa.array, sums)], out)
+
+    types = rows.select(*kept, *[F.lit(None).cast(t).alias(c) for c, t in zip(out[-4:], ("long", "long", "double", "double"))]).schema
+    return landed.drop("words").groupBy("key").cogroup(answers.groupBy("key")).applyInArrow(walked, types)
 
 
 def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,3 +223,28 @@ def test_bigrams_after_the_moves_of_rare_words(spark, monkeypatch, sent):
         path = path_of(t)
         emitted = sum(math.log10((n[w] - (C.DISCOUNT if c > classes else 0)) / size[c]) for w, c in zip(words_of(t), path[1:]))
         assert found[i] == pytest.approx(sum(model.transition[a, b] for a, b in zip(path, path[1:])) + emitted)
+
+
+def test_tokens_of_many_texts_at_once(monkeypatch):
+    rng = random.Random(8)
+    alphabet = [bytes([b]) for b in (*range(8, 15), *range(28, 33), 0x85, 0xA0)] + [b"A", b"b", b"C", "É".encode(), b"\x00"]
+    texts = [None, b"", b" ", b"a", b" a  B\n", *[b"".join(rng.choices(alphabet, k=rng.randint(0, 12))) for _ in range(500)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()).view(pa.string())], ["text"])
+    for piece in (C._PIECE, 20):
+        monkeypatch.setattr(C, "_PIECE", piece)
+        parts = list(C._tokens(batch))
+        assert (len(parts) > 100) == (piece == 20)
+        got = [p.words[i] for p in parts for i in p.at.tolist()]
+        assert got == [w for t in texts for w in [*(t or b"").lower().split(), C.END]]
+        assert [n for p in parts for n in p.sizes.tolist()] == [len((t or b"").split()) + 1 for t in texts]
+    assert not list(C._tokens(batch.slice(0, 0)))
+
+
+def test_places_of_rare_words_travel_in_few_rows(spark):
+    texts = spark.createDataFrame([("the a b b c end",), ("c the",), (None,)] * 50, "text string").coalesce(1)
+    rows = C.rare_places(texts, [b"the", b"end", b""], np.array([0, 1, 2] + [3] * C.OPEN, np.int32), 4).collect()
+    assert len(rows) <= 4 and all(h % 4 == r.shard for r in rows for h in r.hash)
+    a, b, c = (C.hashed(w) for w in (b"a", b"b", b"c"))
+    found = Counter(p for r in rows for p in zip(np.repeat(r.hash, r.times).tolist(), r.before, r.after))
+    assert found == {(a, 0, 3): 50, (b, 3, -1): 50, (b, -1, 3): 50, (c, 3, 1): 50, (c, 2, 0): 50}
+    assert Counter(p for r in rows for p in r.peers) == {b: 50, c: 50}

@@ -90,7 +90,9 @@ class Tokens:
 def tokens(texts: pa.Array) -> Tokens:
     split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     coded = split.flatten().dictionary_encode()
-    words, at, sizes = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy(), split.value_lengths().to_numpy()
+    # by way of numpy, which makes the bytes objects ten times as fast as to_pylist
+    words = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+    at, sizes = coded.indices.to_numpy(), split.value_lengths().to_numpy()
     if END in words:  # what stands before leading and after trailing white space
         kept = at != words.index(END)
         sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[kept], minlength=len(sizes))
@@ -521,7 +523,7 @@ def _with_open_classes(counts: DataFrame, words: list[bytes], sent: float) -> Da
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, n = batch.column("word").to_pylist(), batch.column("n")
+            own, n = batch.column("word").to_numpy(zero_copy_only=False).tolist(), batch.column("n")
             yield pa.RecordBatch.from_arrays(
                 [pa.array([w if c >= sent or w == END else None for w, c in zip(own, n.to_pylist())], pa.binary()),
                  pa.array(list(map(hashed, own)), pa.int64()), n,

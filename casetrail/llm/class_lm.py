@@ -674,7 +674,7 @@ def score(rows: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         known, base, own = (np.bincount(of, values[which], len(sizes)) for values in (n > 0, np.log10(n + 1), emitted))
         path[rare] = kinds[which] + m.open_first
         # every path ends with the end token's class, which so stands before the next one too
-        own += np.bincount(texts, m.transition[np.concatenate([[m.word_class[m.end]], path[:-1]]), path], len(sizes))
+        own = own + np.bincount(texts, m.transition[np.concatenate([[m.word_class[m.end]], path[:-1]]), path], len(sizes))
         sums = [left.column(c).to_numpy() + more for c, more in (("n_known", known.astype(np.int64)), ("base", base), ("own", own))]
         return pa.Table.from_arrays([*[left.column(c) for c in (*kept, "n_tokens")], *map(pa.array, sums)], out)
 

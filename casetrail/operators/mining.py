@@ -6,12 +6,16 @@ Two orders matter. *Recorded order* (``ingest_seq``) decides timing and recordin
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casetrail import fixed_values as fixed
 from casetrail.operators.ordering import (
     Grouped,
+    dealt,
     digest_text,
     long_group_rows,
     order_free_digest,
@@ -25,15 +29,27 @@ RECORDED_ORDER = ["ingest_seq"]
 
 
 class EventLog(Grouped):
-    """An event log whose long cases are handled in pieces."""
+    """An event log whose long cases are handled in pieces, and whose other cases are dealt to as many tasks as the log is long.
+
+    ``most_events`` may be given when the caller can bound the number of events more cheaply than by counting ``events``.
+    """
 
-    def __init__(self, events: DataFrame, long_cases: list | None = None):
+    def __init__(self, events: DataFrame, long_cases: list | None = None, most_events: int | None = None):
         super().__init__(events, CASE, long_cases)
+        if most_events is not None:
+            self.most_events = most_events
 
     @property
     def events(self) -> DataFrame:
         return self.rows
 
+    @cached_property
+    def most_events(self) -> int:
+        return self.rows.count()
+
+    def each(self, work: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
+        return super().each(lambda events, is_long: work(events if is_long else dealt(events, CASE, self.most_events), is_long))
+
 
 # --- counts ---------------------------------------------------------------------------------------------------------
 

@@ -20,6 +20,8 @@ from casetrail.session import broadcast_if_small, stash
 LONG_GROUP_ROWS = "casetrail.longGroupRows"
 DEFAULT_LONG_GROUP_ROWS = 1_000_000
 MOST_LONG_GROUPS = 50_000
+TASK_ROWS = "casetrail.taskRows"
+DEFAULT_TASK_ROWS = 250_000
 
 
 def long_group_rows(df: DataFrame) -> int:
@@ -43,6 +45,18 @@ def long_groups(df: DataFrame, key: str, stored: bool = False) -> list:
     return [row[key] for row in largest]
 
 
+def dealt(df: DataFrame, key: str, most_rows: int) -> DataFrame:
+    """Deal at most ``most_rows`` rows by ``key`` to so many tasks that one gets some 250,000 of them.
+
+    The size of a task that Spark chooses is one of compressed bytes, which says little of the rows that sorts and sums hold at once. Short
+    inputs are left to Spark, which deals them to all cores.
+    """
+    spark = df.sparkSession
+    tasks = -(-most_rows // int(spark.conf.get(TASK_ROWS, str(DEFAULT_TASK_ROWS))))
+    usual = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks, key) if tasks > usual else df
+
+
 class Grouped:
     """Rows of one DataFrame, told apart by whether their group is long.
 

@@ -30,7 +30,7 @@ def activity_log(spark: SparkSession, sf_dir: str) -> EventLog:
         F.lit("").alias("resource"),
         F.lit("web").alias("source_system"),
         F.concat(F.lit("web.user."), F.col("user_id").cast("string")).alias("entity_fqn")),
-        [str(user) for user in long_groups(events, "user_id", stored=True)])
+        [str(user) for user in long_groups(events, "user_id", stored=True)], events.count())
 
 
 LINE_ACTIVITY = {"NO": "Scheduled", "NF": "Attended", "AO": "JobComplete", "AF": "Invoice", "RO": "DefectRaised",
@@ -99,7 +99,9 @@ def job_log(spark: SparkSession, sf_dir: str) -> EventLog:
     dated = lines.rows.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "ordered"), "l_orderkey")
     done = _unfolded(dated, work, F.when(F.col("l_quantity") >= 45, service))
 
-    return EventLog(quotes.unionByName(done), [f"job-{order}" for order in lines.long_keys])
+    # two events of an order, two of a line at most; the footers tell how many of them there are
+    most = 2 * (orders.count() + table(spark, sf_dir, "lineitem").count())
+    return EventLog(quotes.unionByName(done), [f"job-{order}" for order in lines.long_keys], most)
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:

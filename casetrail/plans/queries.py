@@ -45,7 +45,7 @@ def job_log(spark: SparkSession, sf_dir: str) -> EventLog:
 def landed_job_log(spark: SparkSession, sf_dir: str) -> EventLog:
     """The job log stored once, for queries that go over it several times."""
     log = inputs.job_log(spark, sf_dir)
-    return EventLog(stash(log.events), log.long_keys)
+    return EventLog(stash(log.events), log.long_keys, log.most_events)
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:

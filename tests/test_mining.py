@@ -1,9 +1,13 @@
 import random
+import re
 from collections import Counter, defaultdict
+from datetime import date
 
 import pytest
 
 from casetrail.operators import mining as M
+from casetrail.operators.mining import EventLog
+from casetrail.plans import inputs
 from casetrail.plans.queries import durations
 from logs import PARCELS, event_log
 
@@ -145,6 +149,40 @@ def test_sums_beyond_a_long(spark):
     assert dict(durations(event_log(spark, PARCELS)).dtypes)["total_us"] == "bigint"
 
 
+def test_a_task_gets_a_bounded_number_of_events(spark):
+    """Four hundred events for tasks of twenty: the cases are dealt to twenty tasks, whatever Spark would choose; the facts stay the same."""
+    def facts():
+        log = event_log(spark, random_events())
+        found = M.log_facts(log)
+        return found._jdf.queryExecution().executedPlan().toString(), sorted(map(tuple, found.collect()), key=str)
+
+    usual, expected = facts()
+    spark.conf.set("casetrail.taskRows", "20")
+    try:
+        plan, found = facts()
+        assert log_partitions(plan) == 20 != log_partitions(usual)
+        assert found == expected
+        long = EventLog(event_log(spark, random_events()).events, ["hot"], 400)
+        assert sorted(map(tuple, M.log_facts(long).collect()), key=str) == expected
+    finally:
+        spark.conf.unset("casetrail.taskRows")
+
+
+def log_partitions(plan):
+    """Tasks that the cases are dealt to."""
+    return int(re.search(r"Exchange hashpartitioning\(case_id#\d+, (\d+)\)", plan)[1])
+
+
+def test_the_bound_of_events_is_none_too_low(spark, tmp_path):
+    orders = [(i, i % 7, "OFP"[i % 3], date(2024, 1, 1 + i % 28)) for i in range(40)]
+    lines = [(i % 40, i % 9, i % 5, i // 40, "NAR"[i % 3], "OF"[i % 2], date(2024, 2, 1 + i % 28), float(i % 51), 1.0, 0.0, 0.0) for i in range(160)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, """l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_linestatus string,
+        l_shipdate date, l_quantity double, l_extendedprice double, l_discount double, l_tax double""").write.parquet(f"{tmp_path}/lineitem.parquet")
+    log = inputs.job_log(spark, str(tmp_path))
+    assert log.most_events == 400 >= log.events.count() > 200
+
+
 def test_only_the_hot_case_is_cut(spark):
     spark.conf.set("casetrail.longGroupRows", "50")
     try:
